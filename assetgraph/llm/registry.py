@@ -6,20 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetgraph.llm import licenses, warc
+from assetgraph.llm.decontaminate import op1_decontaminate
 from assetgraph.llm.neardup import op5_minhash
 from assetgraph.llm.packing import op10_packing
 from assetgraph.llm.pii import op6_pii
 from assetgraph.llm.quality import op3_quality
+from assetgraph.llm.repeats import op9_repeats
 from assetgraph.llm.toxicity import op4_toxicity
+from assetgraph.llm.vptree import op2_vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_vptree": op2_vptree,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_pii": op6_pii,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_warc": warc.op8_warc,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Nearest neighbours are checked in double precision to 9 digits by the tests; here the ranks that SQL shares exactly."""
+    return {"op7_licenses": licenses.oracle(), "op8_warc": warc.ORACLE}
