@@ -92,7 +92,10 @@ select doc_id as asset_key,
        case doc_id % 5
          when 0 then concat('{"keywords":["', lang, '","', source, '","', lang, '"],"triples":[{"subject":"', lang, '","predicate":"in","object":"', source, '"}]}')
          when 1 then concat('<think>x {y}</think>{"keywords":["', source, '"],"relations":[{"subject":"', source, '","relation":"r","object":"', lang, '"}]}')
-         when 2 then concat('
+         when 2 then concat('```json', chr(10), '{"keywords":["', lang, '"]}', chr(10), '```')
+         when 3 then concat('Answer: {"keywords":["', source, '"],"entities":[""," ', lang, ' "]} done')
+         else 'no json here' end as raw
+from documents
 """,
     "fx_parts": r"""
 select p_partkey as occ, p_name as name, p_size as quantity,
