@@ -11,7 +11,8 @@ MAX_DEPTH = 8
 def split_documents(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, doc_no, doc) with doc as VARIANT: an object is a document, an array one for each element, else the text is cut at `;` line ends and before `{` lines."""
     cut = F.transform(F.split(body, r";\s*\n|\n(?=\s*\{)"), lambda x: F.regexp_replace(x, r";\s*$", ""))
-    parts = F.when(F.try_parse_json(F.col(body)).isNotNull(), F.array(F.col(body))).otherwise(cut)
+    each = F.forall(cut, lambda x: F.try_parse_json(x).isNotNull())  # the parser ignores what follows a first document
+    parts = F.when(F.try_parse_json(F.col(body)).isNotNull() & ~each, F.array(F.col(body))).otherwise(cut)
     values = F.filter(F.transform(parts, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
     listed = df.select(key, F.posexplode(values).alias("_part", "_v"))
     docs = listed.select(key, "_part", F.posexplode(F.expr("case when schema_of_variant(_v) like 'ARRAY%' then cast(_v as array<variant>) else array(_v) end")).alias("_nth", "doc"))
