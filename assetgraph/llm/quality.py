@@ -22,10 +22,11 @@ from assetgraph.llm.jobs import doc_texts, map_blocks, sample_rows
 from assetgraph.llm.textvec import LOWER, mix, ngram_hash, span_hash, text_bytes, words
 
 #: The bound on the rows that the fit sees.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 BITS = 18
 STEPS = 120
 L2 = 1e-4
+CHUNK_DOCS = 500
 
 _U = np.uint64
 _SHAPE = np.full(256, 4, np.int64)
@@ -85,37 +86,36 @@ def fit_ordinal(ids: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: i
     if len(grades) < 2:
         return Ordinal(np.zeros(1 << bits, np.float32), np.zeros(0), grades or (0,))
     y = np.searchsorted(grades, grade)
-    n, k = len(y), len(grades) - 1
-    size = np.maximum(np.diff(offsets), 1)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    used, ids = np.unique(ids, return_inverse=True)
-    w = np.zeros(len(used))
+    n, k, size = len(y), len(grades) - 1, 1 << bits
     share = np.array([(y >= j + 1).mean() for j in range(k)])
     t0 = np.log((1 - share + 1e-6) / (share + 1e-6))
     raw = np.concatenate([t0[:1], np.log(np.maximum(np.diff(t0), 1e-3))])
-    m, v = np.zeros(len(w) + k), np.zeros(len(w) + k)
+    w, m, v = np.zeros(size), np.zeros(size + k), np.zeros(size + k)
+    # some documents at a time, so that the temporary arrays stay small
+    cuts = [*range(0, n, CHUNK_DOCS), n]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for step in range(1, steps + 1):
         t = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
-        s = np.bincount(row, w[ids], n) / size
         ext = np.concatenate([[-1e9], t, [1e9]])
-        upper, lower = sigmoid(ext[y + 1] - s), sigmoid(ext[y] - s)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper), lower * (1 - lower)
-        gs = (du - dl) / p / n
-        gt = np.zeros(k + 2)
-        np.add.at(gt, y + 1, -du / p / n)
-        np.add.at(gt, y, dl / p / n)
-        gt = gt[1:-1]
-        graw = np.concatenate([[gt.sum()], [gt[j:].sum() * np.exp(raw[j]) for j in range(1, k)]])
-        g = np.concatenate([np.bincount(ids, (gs / size)[row], len(w)) + l2 * w / n, graw])
+        gw, gt = l2 * w / n, np.zeros(k + 2)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own, counts, z = ids[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), y[i:j]
+            row = np.repeat(np.arange(j - i, dtype=np.int32), counts)
+            s = np.bincount(row, w[own], j - i) / np.maximum(counts, 1)
+            upper, lower = sigmoid(ext[z + 1] - s), sigmoid(ext[z] - s)
+            p = np.maximum(upper - lower, 1e-9)
+            du, dl = upper * (1 - upper), lower * (1 - lower)
+            gw += np.bincount(own, ((du - dl) / p / n / np.maximum(counts, 1))[row], size)
+            np.add.at(gt, z + 1, -du / p / n)
+            np.add.at(gt, z, dl / p / n)
+        inner = gt[1:-1]
+        graw = np.concatenate([[inner.sum()], [inner[j:].sum() * np.exp(raw[j]) for j in range(1, k)]])
+        g = np.concatenate([gw, graw])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w -= move[: len(w)]
-        raw = raw - 0.2 * move[len(w) :]
-    full = np.zeros(1 << bits, np.float32)
-    full[used] = w
-    return Ordinal(full, np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))]), grades)
+        w -= move[:size]
+        raw = raw - 0.2 * move[size:]
+    return Ordinal(w.astype(np.float32), np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))]), grades)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, bits: int = BITS) -> Ordinal:
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, bits: in
     found = texts.mapInArrow(run, "doc_id long, grade int, ids array<int>").toArrow().sort_by("doc_id")
     lists = found.column("ids").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     return fit_ordinal(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), found.column("grade").to_numpy(), bits)
 
