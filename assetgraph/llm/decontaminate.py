@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.llm.jobs import doc_texts
-from assetgraph.llm.plainwords import plain_words
+from assetgraph.llm.plainwords import code_points, plain_words
 from assetgraph.llm.textvec import blocks, mix, ngram_hash
 
 K1, B = 1.2, 0.75
@@ -37,7 +37,7 @@ OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 SHINGLE = 5
 SLICE_ITEMS = 20_000
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 #: What terms in many items may add to an item while they are bounded together.
 COMMON_SHARE = 0.25
 
@@ -61,15 +61,12 @@ def _shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings by term: items[at[t]:at[t + 1]] with their impacts; block postings likewise with block maxima."""
+    """Block postings of a term t: block[block_at[t]:block_at[t + 1]] with block_max; its items stand in by_block."""
 
     ids: list
     terms: np.ndarray
     lookup: np.ndarray
     common: np.ndarray
-    at: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
     block_at: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
@@ -78,6 +75,8 @@ class Index:
     words: list[np.ndarray]
     shingles: list[np.ndarray]
     answers: list[np.ndarray]
+    #: For each term, by block: block maximum, items and impacts.
+    by_block: list[dict[int, tuple[float, list[int], list[float]]]]
 
     def term_ids(self, hashes: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
@@ -108,52 +107,51 @@ class Index:
         good = own + self.common_bound[key % n_blocks] >= THRESHOLD - 1e-9
         return key[good] // n_blocks, key[good] % n_blocks
 
-    def retrieve(self, terms: np.ndarray, in_blocks: np.ndarray) -> list[tuple[int, float]]:
-        """WAND over the given blocks: items of score at least THRESHOLD for the distinct terms of a passage."""
-        lists = []
-        for t in np.unique(terms[terms >= 0]):
-            a, b = self.at[t], self.at[t + 1]
-            inside = np.isin(self.items[a:b] // BLOCK_ITEMS, in_blocks)
-            if inside.any():
-                lists.append([0, self.items[a:b][inside], self.impacts[a:b][inside]])
-        bound = [float(x[2].max()) for x in lists]
+    def retrieve(self, terms: np.ndarray, in_blocks: list[int]) -> list[tuple[int, float]]:
+        """WAND within each of the given blocks: items of score at least THRESHOLD for the distinct terms of a passage."""
+        own = [self.by_block[t] for t in set(terms[terms >= 0].tolist())]
         found = []
-        while lists:
-            order = sorted(range(len(lists)), key=lambda k: lists[k][1][lists[k][0]])
-            total, pivot = 0.0, None
-            for k in order:
-                total += bound[k]
-                if total >= THRESHOLD - 1e-9:
-                    pivot = int(lists[k][1][lists[k][0]])
+        for block in in_blocks:
+            lists = [x[block] for x in own if block in x]
+            if sum(x[0] for x in lists) < THRESHOLD - 1e-9:  # the block maxima of distinct terms
+                continue
+            cursors = [[0, items, impacts, bound] for bound, items, impacts in lists]
+            while cursors:
+                cursors.sort(key=lambda x: x[1][x[0]])
+                total, pivot = 0.0, None
+                for x in cursors:
+                    total += x[3]
+                    if total >= THRESHOLD - 1e-9:
+                        pivot = x[1][x[0]]
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                break
-            if lists[order[0]][1][lists[order[0]][0]] == pivot:
-                score = 0.0
-                for x in lists:
-                    if x[1][x[0]] == pivot:
-                        score += float(x[2][x[0]])
-                        x[0] += 1
-                if score >= THRESHOLD - 1e-9:
-                    found.append((pivot, score))
-            else:
-                for x in lists:
-                    if x[1][x[0]] < pivot:
-                        x[0] += int(np.searchsorted(x[1][x[0] :], pivot))
-            alive = [k for k, x in enumerate(lists) if x[0] < len(x[1])]
-            lists, bound = [lists[k] for k in alive], [bound[k] for k in alive]
+                if cursors[0][1][cursors[0][0]] == pivot:
+                    score = 0.0
+                    for x in cursors:
+                        if x[1][x[0]] == pivot:
+                            score += x[2][x[0]]
+                            x[0] += 1
+                    if score >= THRESHOLD - 1e-9:
+                        found.append((pivot, score))
+                else:
+                    for x in cursors:
+                        while x[0] < len(x[1]) and x[1][x[0]] < pivot:
+                            x[0] += 1
+                cursors = [x for x in cursors if x[0] < len(x[1])]
         return found
 
 
 def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     """items: (id, text). Items without words are left out; None if none is left."""
     w = plain_words(pa.array([t or "" for _, t in items], pa.string()))
-    rows = [(i, w.hashes[w.of[k] : w.of[k + 1]], t or "", w.starts[w.of[k] : w.of[k + 1]] - w.offsets[k]) for k, (i, t) in enumerate(items) if w.of[k + 1] > w.of[k]]
+    at = code_points(w)
+    rows = [(i, w.hashes[w.of[k] : w.of[k + 1]], t or "", at[w.starts[w.of[k] : w.of[k + 1]]] - at[w.offsets[k]]) for k, (i, t) in enumerate(items) if w.of[k + 1] > w.of[k]]
     if not rows:
         return None
     rows.sort(key=lambda r: len(r[1]))
     ids, tokens = [r[0] for r in rows], [r[1] for r in rows]
-    answers = [h[starts >= len(text[: answer_start(text)].encode())] for _, h, text, starts in rows]
+    answers = [h[starts >= answer_start(text)] for _, h, text, starts in rows]
     size = np.array([len(t) for t in tokens])
     item = np.repeat(np.arange(len(rows)), size)
     terms, term = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -178,10 +176,14 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     block_pair, back = np.unique(term * n_blocks + item // BLOCK_ITEMS, return_inverse=True)
     block_max = np.zeros(len(block_pair))
     np.maximum.at(block_max, back, impact)
+    by_block: list[dict[int, tuple[float, list[int], list[float]]]] = [{} for _ in terms]
+    for t, i, w in zip(term.tolist(), item.tolist(), impact.tolist(), strict=True):
+        top, items, impacts = by_block[t].get(i // BLOCK_ITEMS, (0.0, [], []))
+        by_block[t][i // BLOCK_ITEMS] = (max(top, w), [*items, i], [*impacts, w])
     lookup = np.zeros(1 << 20, bool)
     lookup[(terms >> _U(44)).astype(np.int64)] = True
     block_at = np.concatenate([[0], np.cumsum(np.bincount(block_pair // n_blocks, minlength=len(terms)))])
-    return Index(ids, terms, lookup, common, at, item, impact, block_at, block_pair % n_blocks, block_max, common_bound, int(size.max()), tokens, [_shingles(t) for t in tokens], answers)
+    return Index(ids, terms, lookup, common, block_at, block_pair % n_blocks, block_max, common_bound, int(size.max()), tokens, [_shingles(t) for t in tokens], answers, by_block)
 
 
 def leaks(index: Index, column: pa.Array, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP) -> list[tuple[int, object, float, float, float]]:
@@ -209,7 +211,7 @@ def leaks(index: Index, column: pa.Array, overlap: float = OVERLAP, answer_overl
         end = int(min(w.of[row + 1], begin + 2 * index.cell))
         hashes = w.hashes[begin:end]
         own = None
-        for item, score in index.retrieve(terms[begin:end], block[lo:hi]):
+        for item, score in index.retrieve(terms[begin:end], block[lo:hi].tolist()):
             own = own if own is not None else (_shingles(hashes) if len(hashes) >= SHINGLE else hashes)
             goal = index.shingles[item]
             if len(index.words[item]) < SHINGLE:

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from assetgraph.llm.textvec import _P, LOWER, mix, powers, span_hash, text_bytes, words
+from assetgraph.llm.textvec import _P, mix, powers, span_hash, text_bytes, words
 
 _U = np.uint64
 _PUNCT = np.zeros(256, bool)
@@ -29,7 +30,8 @@ class Words:
 
 
 def plain_words(column: pa.Array) -> Words:
-    buf, offsets = text_bytes(column)
+    """Words of the lower-case texts. Lower case maps code point to code point, so places in code points stay those of the text."""
+    buf, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
     starts, ends, of = words(buf, offsets)
     a, b = starts.copy(), ends.copy()
     while len(a):
@@ -42,7 +44,7 @@ def plain_words(column: pa.Array) -> Words:
         if not cut.any():
             break
         b[cut] -= 1
-    return Words(buf, offsets, starts, ends, span_hash(LOWER[buf], a, b) if len(a) else np.zeros(0, _U), of)
+    return Words(buf, offsets, starts, ends, span_hash(buf, a, b) if len(a) else np.zeros(0, _U), of)
 
 
 @dataclass
