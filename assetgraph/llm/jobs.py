@@ -48,8 +48,13 @@ def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a batch has one row at least.
+BATCH_BYTES = 8 << 20
+
+
 def doc_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and text alone, so that other columns neither travel nor clash."""
+    """Key and text alone, so that other columns neither travel nor clash. Batches of texts are bounded by bytes, not rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
