@@ -112,9 +112,9 @@ select l_orderkey * 10 + l_linenumber as dim, case when l_partkey % 17 = 0 then
 from lineitem
 """,
     "fx_sources": r"""
-select cast(n_nationkey as bigint) as source_key, case n_nationkey % 4 when 0 then 'MySQL' when 1 then 'iotdb' when 2 then 'file-system' else 'redis' end as source_type,
-       case n_nationkey % 3 when 0 then '127.0.0.1' when 1 then '10.0..0-7' else ' db host ' end as ip, case when n_nationkey = 9 then 6667 else 6000 + n_nationkey end as port
-from nation
+select s_suppkey as source_key, case s_suppkey % 4 when 0 then 'MySQL' when 1 then 'iotdb' when 2 then 'file-system' else 'redis' end as source_type,
+       case s_suppkey % 3 when 0 then '127.0.0.1' when 1 then '10.0..0-7' else ' db host ' end as ip, cast(case when s_suppkey = 9 then 6667 else 6000 + s_suppkey % 1000 end as int) as port
+from supplier
 """,
     "fx_events_log": r"""
 select event_id + 1 as seq, substring(cast(ts as string), 1, 19) as ts_text, case event_type when 'error' then 'WARN' when 'signup' then 'running' when 'purchase' then 'success' else event_type end as level,

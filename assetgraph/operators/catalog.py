@@ -191,7 +191,7 @@ def list_directory(assets: DataFrame, folder: str, key: str, path: str, file: st
     here = normalize_path(F.col(path))
     below = assets.where(here.startswith(base + "/")).select(F.split(F.substring(here, F.lit(len(base) + 2), F.length(here)), "/")[0].alias("name")).distinct()
     folders = below.select(F.lit("folder").alias("kind"), "name", F.lit(None).cast("long").alias(key))
-    direct = (here == (base or "/")) | ((here == F.concat(F.lit(base + "/"), F.col(file))) & F.lit(True))
+    direct = (here == (base or "/")) | (here == F.concat(F.lit(base + "/"), F.col(file)))
     files = assets.where(direct).groupBy(F.col(file).alias("name")).agg(F.max(key).alias(key)).select(F.lit("file").alias("kind"), "name", key)
     return folders.join(files.select("name"), "name", "left_anti").select("kind", "name", key).unionByName(files).orderBy(F.col("kind") == "file", "name")
 

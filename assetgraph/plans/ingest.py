@@ -107,7 +107,7 @@ def q_kv_export(spark, sf):
 
 
 def q_document_export(spark, sf):
-    return export.table_json(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name"), ["n_regionkey"], "n_nationkey")
+    return export.table_json(table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name"), ["s_nationkey"], "s_suppkey")
 
 
 def q_external_scan(spark, sf):
