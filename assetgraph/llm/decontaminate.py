@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import doc_texts
+from assetgraph.llm.jobs import bounded, doc_texts
 from assetgraph.llm.plainwords import code_points, plain_words
 from assetgraph.llm.textvec import blocks, mix, ngram_hash
 
@@ -272,7 +272,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[f[0] for f in leaks(shared.value, b.column(where))]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -52,9 +52,15 @@ def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
 BATCH_BYTES = 8 << 20
 
 
-def doc_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and text alone, so that other columns neither travel nor clash. Batches of texts are bounded by bytes, not rows."""
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs; from here on the session bounds Arrow batches by bytes, not by rows alone."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
+def doc_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and text alone, so that other columns neither travel nor clash."""
+    bounded(docs)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import doc_texts, map_blocks
+from assetgraph.llm.jobs import bounded, doc_texts, map_blocks
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret", "url")
@@ -182,7 +182,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [pa.array(new, b.schema.field(i).type) if k == i else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = docs.mapInArrow(run, schema)
+    out = bounded(docs).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length(text).cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import doc_texts, map_blocks, sample_rows
+from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, sample_rows
 from assetgraph.llm.textvec import LOWER, mix, ngram_hash, span_hash, text_bytes, words
 
 #: The bound on the rows that the fit sees.
@@ -179,7 +179,7 @@ def select(docs: DataFrame, model: Ordinal, at_least: int = 1, bits: int = BITS)
                 tails = model.tails(model.position(*features(b.column(where), bits)))
                 yield b.filter(pa.array(tails[:, column] >= 0.5)) if tails.shape[1] else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

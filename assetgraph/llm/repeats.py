@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import doc_texts, map_blocks, materialise
+from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, materialise
 from assetgraph.llm.plainwords import code_points, plain_words, units
 
 MIN_WORDS = 8
@@ -88,7 +88,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(i).type) if k == i else b.column(k) for k in range(len(names))], names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return bounded(joined).mapInArrow(run, docs.schema)
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import fresh_path, materialise
+from assetgraph.llm.jobs import bounded, fresh_path, materialise
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 1024
@@ -170,7 +170,7 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
             yield _batch(found, (("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())))
         files.close()
 
-    return materialise(rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
+    return materialise(bounded(rows).mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
 def _batch(rows: list[tuple], columns) -> pa.RecordBatch:
