@@ -57,6 +57,17 @@ def q_stream_leaf_pipeline(spark, sf):
     return spark.read.schema("asset_key long, route string").parquet(path).select("asset_key", "route")
 
 
+def q_stream_directories(spark, sf):
+    """Folders brought up to date by a stream of assets."""
+    rows = lambda df: df.select(
+        F.col("doc_id").alias("asset_key"), F.concat(F.lit("/docs/"), "lang", F.lit("/"), "source").alias("logical_path"),
+        F.when(F.col("n_chars") > 12000, "FAILED").when(F.col("doc_id") % 7 == 4, "SKIPPED").otherwise("SUCCESS").alias("status"), F.array("lang").alias("keywords"),
+    )
+    path = fresh_path(spark, "folders")
+    feeds.run_available(rows(_stream(spark, sf, "documents")), feeds.DirectoryPipeline(path, lambda: rows(table(spark, sf, "documents"))))
+    return spark.read.schema(feeds.DirectoryPipeline.SCHEMA).parquet(path).select("path", "status")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _LEVEL = "case upper(trim(coalesce(level, ''))) when 'WARNING' then 'WARN' when 'INFO' then 'INFO' when 'WARN' then 'WARN' when 'ERROR' then 'ERROR' when 'SUCCESS' then 'SUCCESS' when 'RUNNING' then 'RUNNING' else 'INFO' end"
@@ -69,5 +80,8 @@ ORACLE = {
     "q_stream_status_windows": f"{_WINDOWS} having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) from events) - interval 10 minute",
     "q_stream_catalog": """select o_custkey as asset_key, arg_max(o_orderstatus, o_orderkey) filter (where o_orderkey % 3 <> 0) as status, arg_max(o_orderpriority, o_orderkey) filter (where o_orderkey % 2 = 0) as keywords
  from orders group by 1 having count(*) filter (where o_orderkey % 3 <> 0 or o_orderkey % 2 = 0) > 0""",
+    "q_stream_directories": """with a as (select '/docs/' || lang as up, '/docs/' || lang || '/' || source as path, case when n_chars > 12000 then 'FAILED' when doc_id % 7 = 4 then 'SKIPPED' else 'SUCCESS' end as status from documents),
+ d as (select up, path, bool_or(status <> 'SKIPPED') and bool_and(status in ('SKIPPED', 'SUCCESS')) as ready from a group by 1, 2), l as (select up as path, bool_and(ready) as ready from d group by 1)
+ select path, case when ready then 'SUCCESS' else 'PENDING' end as status from (select path, ready from d union all select * from l union all select unnest(['/docs', '/']), (select bool_and(ready) from l))""",
     "q_stream_leaf_pipeline": "select doc_id as asset_key, case when doc_id % 3 = 2 then 'skipped' when doc_id % 3 = 0 then 'office' else 'image' end as route from documents where doc_id % 4 <> 0 and doc_id % 29 <> 0",
 }

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetgraph.functions.paths import normalize_path, parent_path, path_chain
 from assetgraph.operators.catalog import current_state
-from assetgraph.scratch import fresh_path
+from assetgraph.operators.extract import roll_up
+from assetgraph.operators.sinks import merge_table
+from assetgraph.scratch import fresh_path, saved
 
 LEVELS = ("INFO", "WARN", "ERROR", "SUCCESS", "RUNNING")
 MOST = 120
@@ -96,3 +99,32 @@ class LeafPipeline:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         waiting = batch.where("status in ('PENDING', 'FAILED') and is_valid")
         self.extract(waiting).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+
+class DirectoryPipeline:
+    """A recurring roll-up: each micro-batch of changed assets brings its folders and their ancestors up to date in the table at `path`.
+
+    `assets` gives the current assets (asset_key, logical_path, status, keywords). Only the folders that the batch touches are computed anew;
+    their other sub-folders count with what the table says of them.
+    """
+
+    SCHEMA = "path string, status string, keywords array<string>"
+
+    def __init__(self, path: str, assets: Callable[[], DataFrame]):
+        self.path, self.assets = path, assets
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        touched = saved(batch.select(F.explode(path_chain(normalize_path(F.col("logical_path")))).alias("folder")).distinct(), "touched")
+        own = self.assets().join(touched, normalize_path(F.col("logical_path")) == F.col("folder"), "left_semi")
+        rows = own.select(F.col("asset_key").cast("string").alias("key"), normalize_path(F.col("logical_path")).alias("at"), "status", "keywords")
+        if batch_id > 0:
+            stored = batch.sparkSession.read.schema(self.SCHEMA).parquet(self.path).where("path <> '/'")
+            beside = stored.join(touched, F.col("path") == F.col("folder"), "left_anti").withColumn("at", parent_path(F.col("path")))
+            rows = rows.unionByName(beside.join(touched, F.col("at") == F.col("folder"), "left_semi").select(F.col("path").alias("key"), "at", "status", "keywords"))
+        if not rows.isEmpty():
+            merge_table(self.path, roll_up(rows, "key", "at", "keywords", saved), ["path"])
+
+
+def start_recurring(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds"):
+    """The running query that hands a micro-batch to the sink at each tick and goes on where it stopped."""
+    return stream.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(sink).start()

@@ -23,3 +23,19 @@ def test_deduplicated_stream(spark, tmp_path):
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     assert sorted(r.focus for r in feeds.collected(feeds.dedup_requests_stream(stream, "focus", "ts", "1 hour")).collect()) == ["a", "b"]
+
+
+def test_directories_over_several_batches_equal_one_roll_up(spark, tmp_path):
+    from assetgraph.operators.extract import roll_up
+    from assetgraph.scratch import saved
+
+    schema = "asset_key long, logical_path string, status string, keywords array<string>"
+    parts = [[(1, "/a/b", "SUCCESS", ["x"]), (2, "/a/c", "SUCCESS", ["y"])], [(3, "/a/c", "FAILED", None), (4, "/d", "SUCCESS", ["z"])], [(3, "/a/c", "SUCCESS", ["w"])]]
+    now = {}
+    sink = feeds.DirectoryPipeline(fresh_path(spark, "folders"), lambda: spark.createDataFrame(list(now.values()), schema))
+    for n, part in enumerate(parts):
+        now |= {r[0]: r for r in part}
+        sink(spark.createDataFrame(part, schema), n)
+        want = roll_up(spark.createDataFrame(list(now.values()), schema), "asset_key", "logical_path", "keywords", saved)
+        got = spark.read.schema(sink.SCHEMA).parquet(sink.path)
+        assert sorted((r.path, r.status, sorted(r.keywords or [])) for r in got.collect()) == sorted((r.path, r.status, sorted(r.keywords or [])) for r in want.collect())
