@@ -138,7 +138,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, bits: in
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     ids = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    return fit_ordinal(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), found.column("grade").to_numpy(), bits)
+    grade = found.column("grade").to_numpy().copy()
+    del found
+    model = fit_ordinal(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), grade, bits)
+    del ids, lists
+    pa.default_memory_pool().release_unused()  # the driver needs the sample no longer
+    return model
 
 
 def graded(labels: DataFrame) -> DataFrame:
