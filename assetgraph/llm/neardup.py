@@ -3,13 +3,12 @@ evaluations give as many independent estimates; bands of signature values name c
 
 1. Each document: its set of n-word shingles (64-bit fingerprints of whole words), the set's digest, its bands.
 2. Documents with equal sets collapse to the smallest doc_id (one aggregation; no pairs).
-3. Within a band's bucket every member is held against a few hubs, chosen anew each round. The confirmed links are
-   joined to components.
+3. Within a band's bucket every member is held against the smallest one. The confirmed links are joined to components.
 4. Buckets whose members still lie in different components are settled exactly: their shingle sets meet in blocks
    of bounded size and all pairs across components are counted inside the task. Only links leave it, at most one per
    member and block.
 
-Nothing is capped: hub rounds only save work, step 4 covers what they leave. A pair at the threshold shares no band
+Nothing is capped: the hubs only save work, step 4 covers what they leave. A pair at the threshold shares no band
 with probability (1 - 0.8^5)^32 = 3e-6.
 
 Defined results: null and empty texts have an empty set and stay alone. Rows with the same doc_id are one document (their
@@ -33,7 +32,6 @@ from assetgraph.llm.textvec import LOWER, mix, ngram_hash, span_hash, text_bytes
 
 BANDS, BAND_ROWS = 32, 5
 PERCENT = 80
-HUB_ROUNDS = 3
 #: Shingles per block when buckets are settled exactly; memory per task follows it, results do not.
 BLOCK_SHINGLES = 400_000
 
@@ -169,27 +167,22 @@ def components(docs: DataFrame, shingle: int = 2, percent: int = PERCENT, count:
     copies = full.join(first.select(*same, "doc"), same).where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
 
     members = first.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
+    shared = members.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("doc").alias("hub"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1")
+    )
+    # buckets of several bands with the very same members are one
+    shared = shared.where("size > 1").groupBy("size", "hub", "x0", "x1").agg(F.min("key").alias("key")).select("key", "size", "hub")
     buckets = materialise(members.join(shared, "key").select("key", "doc", "n", "size", "hub"), "buckets")
-    candidates = buckets.select("doc").distinct()
+    candidates = buckets.select("doc").distinct().hint("merge")  # grows with the corpus: never broadcast
     sets = materialise(map_blocks(texts.join(candidates, texts["doc_id"] == candidates["doc"], "left_semi"), "text", _sets(shingle), "doc long, grams array<long>"), "sets")
 
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     sizes = first.select(F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"))
 
-    def confirmed(of: DataFrame) -> DataFrame:
-        pairs = of.where("doc <> hub").select("doc", "n", "hub").distinct().join(sizes, "hub").where(near)
-        return _confirm(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")), sets, percent)
-
-    links = materialise(confirmed(buckets), "confirmed")
-    open_buckets = buckets.where("size > 2").select("key", "doc", "n", "size")  # with two members the hub has settled it
-    for turn in range(HUB_ROUNDS):
-        label = connected_components(links)
-        open_buckets = materialise(_unsettled(open_buckets, label), "open")
-        if open_buckets.isEmpty() or turn == HUB_ROUNDS - 1:
-            break
-        hub = open_buckets.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("hub"), F.min_by("component", F.xxhash64("doc", F.lit(turn))).alias("hub_component"))
-        links = materialise(links.unionByName(confirmed(open_buckets.join(hub, "key").where("component <> hub_component"))), "confirmed")
+    pairs = buckets.where("doc <> hub").select("doc", "n", "hub").distinct().join(sizes, "hub").where(near)
+    links = materialise(_confirm(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")), sets, percent), "confirmed")
+    # with two members the hub has settled the bucket
+    open_buckets = materialise(_unsettled(buckets.where("size > 2"), connected_components(links)), "open")
     if not open_buckets.isEmpty():
         links = links.unionByName(_settled(open_buckets, sets, percent))
     label = connected_components(links.unionByName(copies))
