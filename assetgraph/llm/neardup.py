@@ -213,7 +213,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id. Rows that repeat a
     doc_id are reduced to one; rows without doc_id stay."""
     found = materialise(components(docs, shingle, percent), "components")
-    dropped = found.where("not kept").select("doc_id").distinct()
+    dropped = found.where("not kept").select("doc_id").distinct().hint("merge")  # grows with the corpus: never broadcast
     out = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), docs["doc_id"] == F.col("_dropped"), "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():
