@@ -10,7 +10,7 @@ in a group of its own, and the k best of each group meet in a ranked merge that
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components take no part; only vectors of the
 query's dimension are candidates; rows that repeat a vec_id count once (the smallest vector); a null vec_id takes no
-part. Ties go to the smaller vec_id.
+part. Scores are given to 12 decimals; ties, scores that are equal there, go to the smaller vec_id, however many they are.
 """
 
 from __future__ import annotations
@@ -27,17 +27,30 @@ FACTOR = 1.0
 LEAF = 128
 SHARD_ROWS = 16384
 BLOCK_QUERIES = 2048
+DIGITS = 12
+NOISE = 1e-11  # above the rounding of a matrix product and of DIGITS
+SLACK = 2e-6  # above the root of what equal cosines may differ by
+PAIRS = 65536
 
 
 class Tree:
-    """Nodes in depth-first order. Inner: (vantage row, median, left, right). Leaf: (start, end) in `order`."""
+    """A tree over the distinct directions of the vectors; rows of one direction are its members, in ascending order.
+
+    Nodes in depth-first order. Inner: (vantage, median, left, right). Leaf: (start, end) in `order`.
+    """
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.order = np.arange(len(vectors))
+        unit = _unit(vectors)
+        _, first, of = np.unique(unit.view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        # directions are numbered by their smallest row, so that the smaller of two has the smaller row
+        self.of = np.argsort(np.argsort(first))[of.ravel()]
+        self.unit = unit[np.sort(first)]
+        self.members = np.argsort(self.of, kind="stable")
+        self.ends = np.cumsum(np.bincount(self.of))
+        self.order = np.arange(len(self.unit))
         self.nodes: list[tuple] = []
         rng = np.random.default_rng(len(vectors))
-        stack = [(0, len(vectors), None)]
+        stack = [(0, len(self.unit), None)]
         while stack:
             start, end, parent = stack.pop()
             me = len(self.nodes)
@@ -57,23 +70,28 @@ class Tree:
             stack += [(start + middle, end, (me, 1)), (start, start + middle, (me, 0))]
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """The rows of each query's k nearest (-1 where there are fewer); own: the row of the query itself or -1."""
-        q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        best = np.full((len(q), k), -np.inf)
-        found = np.full((len(q), k), -1)
+        """The rows of each query's k nearest, ties by row (-1 where there are fewer); own: the row of the query itself or -1."""
+        q = _unit(queries)
+        most = k + 1  # directions: the query's own may have no other member
+        best = np.full((len(q), most), -np.inf)
+        found = np.full((len(q), most), -1)
 
         def visit(node: int, active: np.ndarray) -> None:
             what = self.nodes[node]
             if what[0] is None:
                 rows = self.order[what[1] : what[2]]
                 sims = q[active] @ self.unit[rows].T
-                sims[rows[None, :] == own[active][:, None]] = -np.inf
-                # slightly more than k, since equal cosines are told apart by vec_id afterwards
-                both = np.concatenate([best[active], sims], axis=1)
-                names = np.concatenate([found[active], np.broadcast_to(rows, sims.shape)], axis=1)
-                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                best[active] = np.take_along_axis(both, top, 1)
-                found[active] = np.where(np.isneginf(best[active]), -1, np.take_along_axis(names, top, 1))
+                floor = np.partition(np.concatenate([best[active], sims], axis=1), -most, axis=1)[:, -most]
+                i, j = np.nonzero(sims >= floor[:, None] - NOISE)
+                if not len(i):
+                    return
+                at, names = active[i], rows[j]
+                old = np.unique(at)
+                kept, slot = np.nonzero(found[old] >= 0)
+                kept = old[kept]
+                at, names, scores = np.concatenate([kept, at]), np.concatenate([found[kept, slot], names]), np.concatenate([best[kept, slot], _cosine(q, at, self.unit, names)])
+                at, names, scores, rank = _first(at, names, scores, most)
+                best[at, rank], found[at, rank] = scores, names
                 return
             vantage, median, near, far = what
             d = _distance(q[active] @ self.unit[vantage])
@@ -82,15 +100,46 @@ class Tree:
                 if first.any():
                     visit(side, active[first])
             bound = np.abs(d - median) * factor
-            open_ = bound <= _distance(best[active].min(axis=1)) + 1e-9
+            open_ = bound <= _distance(best[active, -1]) + SLACK
             for other, side in ((~inside, near), (inside, far)):
                 go = other & open_
                 if go.any():
                     visit(side, active[go])
 
+        out = np.full((len(q), k), -1)
         if len(self.order) and len(q):
             visit(0, np.arange(len(q)))
-        return found
+            at, slot = np.nonzero(found >= 0)
+            direction, scores = found[at, slot], best[at, slot]
+            begins = np.concatenate([[0], self.ends[:-1]])
+            n = np.minimum(self.ends[direction] - begins[direction], most)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, scores, rows = np.repeat(at, n), np.repeat(scores, n), self.members[np.repeat(begins[direction], n) + nth]
+            other = rows != own[at]
+            at, rows, _, rank = _first(at[other], rows[other], scores[other], k)
+            out[at, rank] = rows
+        return out
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1: first by their largest component, so that scaled copies become equal and squares stay finite."""
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return np.ascontiguousarray(v / np.sqrt((v * v).sum(axis=1, keepdims=True)) + 0.0)
+
+
+def _cosine(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosine of each pair of unit rows, to DIGITS; unlike a matrix product's it does not depend on the other pairs."""
+    parts = [(a[i[at : at + PAIRS]] * b[j[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)]
+    return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
+
+
+def _first(at: np.ndarray, names: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k entries of each `at` with the highest scores, ties by name, and their ranks from 0."""
+    o = np.lexsort((names, -scores, at))
+    at, names, scores = at[o], names[o], scores[o]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    top = rank < k
+    return at[top], names[top], scores[top], rank[top]
 
 
 def _distance(cosine: np.ndarray) -> np.ndarray:
@@ -105,12 +154,11 @@ def _search(k: int, factor: float) -> Callable:
         ids, vectors = shard["vec_id"].to_numpy(), np.stack(shard["v"].to_numpy()).astype(np.float64)
         names, asked = queries["query_id"].to_numpy(), np.stack(queries["q"].to_numpy()).astype(np.float64)
         at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-        found = Tree(vectors).search(asked, np.where(ids[at] == names, at, -1), k + 3, factor)
+        tree = Tree(vectors)
+        found = tree.search(asked, np.where(ids[at] == names, at, -1), k, factor)
         row, _ = np.nonzero(found >= 0)
         col = found[found >= 0]
-        a, b = asked[row], vectors[col]
-        score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-        return pd.DataFrame({"query_id": names[row], "vec_id": ids[col], "score": score})
+        return pd.DataFrame({"query_id": names[row], "vec_id": ids[col], "score": _cosine(_unit(asked), row, tree.unit, tree.of[col])})
 
     return run
 

@@ -188,6 +188,23 @@ def test_exact_search_equals_brute_force(spark):
     assert vptree.search(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(11)
+    base = [float(np.float32(x)) for x in rng.normal(size=6)]
+    rows = [(i, [x * (1, 3, 0.7, 1e200)[i // 2 % 4] for x in base]) for i in range(0, 900, 2)]
+    rows += [(i, [float(x) for x in rng.permutation([3.0, 1.0, -2.0, 0.5, 0.25, 1.5])]) for i in range(1, 400, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: np.array(v) / np.max(np.abs(v)) for i, v in rows}
+    want = {}
+    for q in (i for i in good if i % 5 == 0):
+        cosine = {i: round(float(good[q] @ v / np.linalg.norm(good[q]) / np.linalg.norm(v)), 11) for i, v in good.items() if i != q}
+        want[q] = sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+    got = {}
+    for r in sorted(vptree.search(df, F.col("vec_id") % 5 == 0, shard_rows=200, block_queries=60).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want and want[890] == [0, 2, 4, 6, 8]
+
+
 def test_relaxed_search_has_the_stated_recall():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(20, 16))
