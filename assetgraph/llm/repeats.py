@@ -1,7 +1,7 @@
 """Substring dedup by line or sentence hashing.
 
 Units are lines, or the sentences of lines, normalised to lower-case words without outer punctuation and named by a 64-bit
-digest. Digests are grouped over the whole corpus; the occurrence with the smallest (doc_id, unit) stays, the others are
+digest. Digests are grouped over the whole corpus; the occurrence with the smallest (doc_id, text, unit) stays, the others are
 repeats. Neighbouring repeats of a document join to a span, and a span of at least `min_words` words is removed, with its
 offsets in the original text. Single short sentences that agree by chance are left alone.
 
@@ -9,7 +9,8 @@ A digest's occurrences are never gathered: one aggregation finds the first and t
 that hold more than a thousandth of all units (so at most a thousand) are joined by broadcast, the others by shuffle.
 
 Defined results: null and empty texts have no units. A null doc_id has no rank and takes no part. Rows that repeat a doc_id
-are one document; their equal units are the same occurrence. Offsets are code points, ends exclusive.
+and its text are one document; their equal units are the same occurrence. Different texts of one doc_id are told apart by
+text_digest, which orders them too. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -39,40 +40,47 @@ def _units(sentences: bool):
         end = at[w.ends[u.last - 1]] - base if len(u.first) else np.zeros(0, np.int64)
         nth = np.arange(len(text)) - u.of[:-1][text]
         return pa.RecordBatch.from_arrays(
-            [pa.array(u.hashes.view(np.int64)), block.column("doc_id").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (nth, start, end, u.last - u.first))],
-            ["digest", "doc_id", "unit", "start", "end", "n_words"],
+            [pa.array(u.hashes.view(np.int64)), *(block.column(c).take(pa.array(text)) for c in ("doc_id", "text_digest")), *(pa.array(x.astype(np.int32)) for x in (nth, start, end, u.last - u.first))],
+            ["digest", "doc_id", "text_digest", "unit", "start", "end", "n_words"],
         )
 
     return run
 
 
 def occurrences(docs: DataFrame, sentences: bool = True) -> DataFrame:
-    """digest, doc_id, unit, start, end, n_words of every unit of every ranked document."""
-    return map_blocks(doc_texts(docs).where("doc_id is not null"), "text", _units(sentences), "digest long, doc_id long, unit int, start int, end int, n_words int")
+    """digest, doc_id, text_digest, unit, start, end, n_words of every unit of every ranked document."""
+    texts = doc_texts(docs).where("doc_id is not null").withColumn("text_digest", F.xxhash64("text"))
+    return map_blocks(texts, "text", _units(sentences), "digest long, doc_id long, text_digest long, unit int, start int, end int, n_words int")
 
 
 def repeated_spans(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_units, n_words, kept_doc_id: every span to remove, and where its first unit stays."""
+    """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id: every span to remove, and where its first unit stays."""
     found = materialise(occurrences(docs, sentences), "units")
-    groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("keep")).where("n > 1")
-    groups = materialise(groups.select("digest", "n", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.unit").alias("kept_unit")), "repeated")
+    place = ("doc_id", "text_digest", "unit")
+    groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("keep")).where("n > 1")
+    groups = materialise(groups.select("digest", "n", *(F.col(f"keep.{c}").alias(f"kept_{c}") for c in place)), "repeated")
     hot_from = max(HOT_LEAST, found.count() // HOT_SHARE)
     hot = F.broadcast(groups.where(F.col("n") > hot_from))  # at most HOT_SHARE rows: their counts add up to no more than all
     cold = groups.where(F.col("n") <= hot_from)
     marked = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
-    marked = marked.where((F.col("doc_id") != F.col("kept_doc_id")) | (F.col("unit") != F.col("kept_unit"))).select("doc_id", "unit", "start", "end", "n_words", "kept_doc_id")
-    runs = marked.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit", "start")))
-    spans = runs.groupBy("doc_id", "run").agg(
+    kept = F.lit(True)
+    for c in place:
+        kept &= F.col(c) == F.col(f"kept_{c}")
+    marked = marked.where(~kept).select(*place, "start", "end", "n_words", "kept_doc_id")
+    # repeated rows repeat their units: one of each is numbered
+    order = Window.partitionBy("doc_id", "text_digest").orderBy("unit")
+    runs = marked.withColumn("run", F.col("unit") - F.dense_rank().over(order)).withColumn("before", F.lag("unit").over(order)).where("before is null or before <> unit")
+    spans = runs.groupBy("doc_id", "text_digest", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"), F.min_by("kept_doc_id", "unit").alias("kept_doc_id")
     )
     return spans.where(F.col("n_words") >= min_words).drop("run")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the spans. The spans of one document travel together; documents without spans stay as they are."""
-    own = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """docs without the spans. The spans of one text travel together; documents without spans stay as they are."""
+    own = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_digest").alias("_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     names = docs.columns
-    joined = docs.join(own, docs["doc_id"] == own["_doc"], "left").select(*(docs[c] for c in names), "_spans")
+    joined = docs.join(own, (docs["doc_id"] == own["_doc"]) & (F.xxhash64(docs[text]) == own["_text"]), "left").select(*(docs[c] for c in names), "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = names.index(text)

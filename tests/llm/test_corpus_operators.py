@@ -327,6 +327,19 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert repeats.repeated_spans(docs(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_a_document(spark):
+    short = " ".join(f"word{i} three words{i}." for i in range(10))
+    texts = [(1, short), (2, "own start here. " + short + " own end."), (2, short + "\nAnother end of the same id."), (None, short)]
+    want = {(2, 16, 16 + len(short), 10, 30), (2, 0, len(short), 10, 30)}
+    for rows in (texts, texts + texts[:3] * 2 + texts[1:2]):
+        spans = repeats.repeated_spans(docs(spark, rows))
+        got = spans.collect()
+        assert len(got) == 2 and {(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in got} == want
+        cleaned = repeats.remove_spans(docs(spark, rows), spans).collect()
+        after = {short: short, texts[1][1]: "own start here.  own end.", texts[2][1]: "\nAnother end of the same id."}
+        assert sorted(((r.doc_id or 0), r.text) for r in cleaned) == sorted((d or 0, after[t]) for d, t in rows)
+
+
 def test_line_units(spark):
     line = "A long line. It has more than eight words, as it must."
     rows = [(1, line + "\nown words here"), (2, "x\n" + line), (3, line.split(".")[0] + ".")]
