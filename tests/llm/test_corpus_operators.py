@@ -234,6 +234,45 @@ def test_licences(spark):
     assert [r.license for r in more] == ["own"] and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_in_their_usual_layout(spark):
+    mit = re.sub(licenses.BREAKS, "\n\n", licenses.TEXTS["MIT"])
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit), (2, "Some project\n\n" + mit + "\n\nmore"), (3, mit.split("\n\n")[0] + "\n\n" + mit.split("\n\n")[2])]
+    rows += [(4, "BSD 2-Clause License\n\nCopyright (c) 2020, One\nAll rights reserved.\n\n" + bsd), (5, "intro\n\n" + bsd), (6, "MIT License\n\nhow it was chosen"), (2, rows[1][1])]
+    got = sorted((r.doc_id, r.unit_kind, r.unit, r.license) for r in licenses.scan(docs(spark, rows)).collect() if r.unit_kind != "line")
+    assert got == [(1, "document", 0, "MIT"), (1, "run", 2, "MIT"), (2, "run", 1, "MIT"), (2, "run", 1, "MIT"), (4, "document", 0, "BSD-2-Clause"), (4, "paragraph", 1, "all-rights-reserved"), (4, "run", 2, "BSD-2-Clause"), (5, "run", 1, "BSD-2-Clause")]
+    own = licenses.known_table(spark, {"own": ["My own terms, which are long enough to make a paragraph of their own here.\n\nAnd a second one."]})
+    text = "x\n\nMy own terms, which are long enough to make a paragraph of their own here.\n\nAnd a second one.\n\ny"
+    assert [(r.unit_kind, r.license) for r in licenses.scan(docs(spark, [(1, text)]), more=own.where("license = 'own'")).collect()] == [("run", "own")]
+
+
+def test_long_licences(spark):
+    import os
+
+    at = "/usr/share/common-licenses/"
+    if not os.path.exists(at + "GPL-3"):
+        pytest.skip("no licence texts on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for i, f in enumerate(names):
+        with open(at + f, encoding="utf-8") as t:
+            text = t.read()
+        rows += [(i, text), (100 + i, "A project.\n\n" + text + "\n\nThe end.")]
+    got = {(r.doc_id, r.unit_kind, r.license) for r in licenses.scan(docs(spark, rows)).collect() if r.unit_kind in ("document", "run")}
+    assert got >= {(i, "document", n) for i, n in enumerate(names.values())} | {(j + i, "run", n) for i, n in enumerate(names.values()) for j in (0, 100)}
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 
