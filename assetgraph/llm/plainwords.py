@@ -15,6 +15,10 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
+_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "。！？…।"])
+_ARABIC = int.from_bytes("؟".encode(), "big")
+#: Sentences of more words are cut where two words' hashes say so, alike wherever the words stand.
+LONG = 32
 
 
 @dataclass
@@ -49,30 +53,45 @@ def plain_words(column: pa.Array) -> Words:
 
 @dataclass
 class Units:
-    """Runs of words: first and last (exclusive) word, hash of the plain words, n + 1 offsets of each text's units."""
+    """Runs of words: first and last (exclusive) word, hash of the plain words, n + 1 offsets of each text's units, line of each unit."""
 
     first: np.ndarray
     last: np.ndarray
     hashes: np.ndarray
     of: np.ndarray
+    line: np.ndarray
+
+
+def _stops(w: Words) -> np.ndarray:
+    """Whether a word ends in a stop."""
+    byte = lambda back: w.buf[np.maximum(w.ends - back, 0)].astype(np.int64)
+    last = byte(1)
+    two = byte(2) << 8 | last
+    return _STOP[last] | (two == _ARABIC) | np.isin(byte(3) << 16 | two, _WIDE)
 
 
 def units(w: Words, sentences: bool) -> Units:
-    """Lines, or sentences within lines: a unit ends with its line, and for sentences after a word that ends in a stop."""
+    """Lines, or sentences within lines: a unit ends with its line, and for sentences after a word that ends in a stop. Long sentences are cut."""
     n = len(w.starts)
     if not n:
-        return Units(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(len(w.of), np.int64))
+        return Units(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(len(w.of), np.int64), np.zeros(0, np.int64))
     newline = np.concatenate([[0], np.cumsum(w.buf == 10)])
-    final = np.zeros(n, bool)
-    final[:-1] = newline[w.starts[1:]] > newline[w.ends[:-1]]
+    broken = np.zeros(n, bool)
+    broken[:-1] = newline[w.starts[1:]] > newline[w.ends[:-1]]
+    broken[w.of[1:][w.of[1:] > w.of[:-1]] - 1] = True
+    final = broken.copy()
     if sentences:
-        final |= _STOP[w.buf[w.ends - 1]]
-    final[w.of[1:][w.of[1:] > w.of[:-1]] - 1] = True
+        final |= _stops(w)
+        ends = np.flatnonzero(final) + 1
+        size = np.diff(ends, prepend=0)
+        before = np.concatenate([np.zeros(1, _U), w.hashes[:-1]])
+        before[ends - size] = 0
+        final |= (np.repeat(size, size) > LONG) & ((mix(w.hashes + before * _U(_P)) & _U(7)) == 0)
     last = np.flatnonzero(final) + 1
     first = np.concatenate([[0], last[:-1]])
     p, inv = powers(n + 1)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hashes) * p[:n])])
-    return Units(first, last, mix((total[last] - total[first]) * inv[first] + _U(_P) * (last - first).astype(_U)), np.searchsorted(first, w.of))
+    return Units(first, last, mix((total[last] - total[first]) * inv[first] + _U(_P) * (last - first).astype(_U)), np.searchsorted(first, w.of), (np.cumsum(broken) - broken)[first])
 
 
 def code_points(w: Words) -> np.ndarray:

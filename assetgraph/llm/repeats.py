@@ -2,8 +2,10 @@
 
 Units are lines, or the sentences of lines, normalised to lower-case words without outer punctuation and named by a 64-bit
 digest. Digests are grouped over the whole corpus; the occurrence with the smallest (doc_id, text, unit) stays, the others are
-repeats. Neighbouring repeats of a document join to a span, and a span of at least `min_words` words is removed, with its
-offsets in the original text. Single short sentences that agree by chance are left alone.
+repeats. Neighbouring repeats of a document join to a span, with its offsets in the original text. Every span is returned; one of
+at least `min_words` words or of whole lines is marked to be removed. Single short sentences inside a line, which may agree by
+chance, are left alone. Sentences of more than 32 words are cut at words that depend on the words alone, so that a long passage
+without a stop is found inside different lines, but for a few words at its ends.
 
 A digest's occurrences are never gathered: one aggregation finds the first and the count, one join marks the rest. Digests
 that hold more than a thousandth of all units (so at most a thousand) are joined by broadcast, the others by shuffle.
@@ -39,22 +41,32 @@ def _units(sentences: bool):
         start = at[w.starts[u.first]] - base if len(u.first) else np.zeros(0, np.int64)
         end = at[w.ends[u.last - 1]] - base if len(u.first) else np.zeros(0, np.int64)
         nth = np.arange(len(text)) - u.of[:-1][text]
+        opens = np.searchsorted(u.line, u.line, "left")
+        line_unit, line_units = nth - (np.arange(len(nth)) - opens), np.searchsorted(u.line, u.line, "right") - opens
         return pa.RecordBatch.from_arrays(
-            [pa.array(u.hashes.view(np.int64)), *(block.column(c).take(pa.array(text)) for c in ("doc_id", "text_digest")), *(pa.array(x.astype(np.int32)) for x in (nth, start, end, u.last - u.first))],
-            ["digest", "doc_id", "text_digest", "unit", "start", "end", "n_words"],
+            [pa.array(u.hashes.view(np.int64)), *(block.column(c).take(pa.array(text)) for c in ("doc_id", "text_digest")), *(pa.array(x.astype(np.int32)) for x in (nth, start, end, u.last - u.first, line_unit, line_units))],
+            ["digest", "doc_id", "text_digest", "unit", "start", "end", "n_words", "line_unit", "line_units"],
         )
 
     return run
 
 
 def occurrences(docs: DataFrame, sentences: bool = True) -> DataFrame:
-    """digest, doc_id, text_digest, unit, start, end, n_words of every unit of every ranked document."""
+    """digest, doc_id, text_digest, unit, start, end, n_words of every unit of every ranked document, with the first unit of its line and their number."""
     texts = doc_texts(docs).where("doc_id is not null").withColumn("text_digest", F.xxhash64("text"))
-    return map_blocks(texts, "text", _units(sentences), "digest long, doc_id long, text_digest long, unit int, start int, end int, n_words int")
+    return map_blocks(texts, "text", _units(sentences), "digest long, doc_id long, text_digest long, unit int, start int, end int, n_words int, line_unit int, line_units int")
 
 
 def repeated_spans(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id: every span to remove, and where its first unit stays."""
+    """The spans of `all_repeats` of at least min_words words."""
+    return all_repeats(docs, sentences, min_words).where(F.col("n_words") >= min_words)
+
+
+def all_repeats(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id, removed: every repeat, where its first unit stays, whether to remove it.
+
+    A run below min_words comes as its whole lines (removed) and what it has of other lines (left).
+    """
     found = materialise(occurrences(docs, sentences), "units")
     place = ("doc_id", "text_digest", "unit")
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("keep")).where("n > 1")
@@ -66,19 +78,22 @@ def repeated_spans(docs: DataFrame, sentences: bool = True, min_words: int = MIN
     kept = F.lit(True)
     for c in place:
         kept &= F.col(c) == F.col(f"kept_{c}")
-    marked = marked.where(~kept).select(*place, "start", "end", "n_words", "kept_doc_id")
+    marked = marked.where(~kept).select(*place, "start", "end", "n_words", "line_unit", "line_units", "kept_doc_id")
     # repeated rows repeat their units: one of each is numbered
     order = Window.partitionBy("doc_id", "text_digest").orderBy("unit")
     runs = marked.withColumn("run", F.col("unit") - F.dense_rank().over(order)).withColumn("before", F.lag("unit").over(order)).where("before is null or before <> unit")
-    spans = runs.groupBy("doc_id", "text_digest", "run").agg(
+    run = ("doc_id", "text_digest", "run")
+    words, here = F.sum("n_words").over(Window.partitionBy(*run)), F.count("*").over(Window.partitionBy(*run, "line_unit"))
+    part = F.when(F.col("words") >= min_words, -2).when(F.col("here") == F.col("line_units"), -1).otherwise(F.col("line_unit"))
+    spans = runs.withColumn("words", words).withColumn("here", here).withColumn("part", part).groupBy(*run, "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"), F.min_by("kept_doc_id", "unit").alias("kept_doc_id")
     )
-    return spans.where(F.col("n_words") >= min_words).drop("run")
+    return spans.withColumn("removed", F.col("part") < 0).drop("run", "part")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the spans. The spans of one text travel together; documents without spans stay as they are."""
-    own = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_digest").alias("_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """docs without the spans, or those marked as removed. The spans of one text travel together; documents without spans stay as they are."""
+    own = (spans.where("removed") if "removed" in spans.columns else spans).groupBy(F.col("doc_id").alias("_doc"), F.col("text_digest").alias("_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     names = docs.columns
     joined = docs.join(own, (docs["doc_id"] == own["_doc"]) & (F.xxhash64(docs[text]) == own["_text"]), "left").select(*(docs[c] for c in names), "_spans")
 
@@ -102,4 +117,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     from assetgraph.llm.jobs import table
 
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return all_repeats(table(spark, sf_dir, "documents"))

@@ -379,6 +379,25 @@ def test_rows_that_repeat_a_document(spark):
         assert sorted(((r.doc_id or 0), r.text) for r in cleaned) == sorted((d or 0, after[t]) for d, t in rows)
 
 
+def test_every_repeat_is_returned(spark):
+    rng = random.Random(13)
+    names = [f"w{i}" for i in range(60)]
+    passage = " ".join(names)
+    rows = [(1, "Released under the MIT license.\nFirst own line. Thank you. More of it"), (2, "An own line\n  Released under the MIT license.  \nIs that so? Thank you. And on"), (3, "Thank you. Only here\nReleased under the MIT license.\n\nthe end")]
+    rows += [(10, "before it " + passage + " after"), (11, "other words that come first " + passage + " and others"), (20, "क ख ग। own one"), (21, "other start\nक ख ग। own two"), (30, prose(rng, 50) + " zz"), (31, "A clean text. With nothing twice\n")]
+    found = repeats.all_repeats(docs(spark, rows))
+    text = dict(rows)
+    got = sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.removed) for r in found.collect())
+    line = "Released under the MIT license."
+    assert [g for g in got if g[0] != 11] == [(2, line, True), (2, "Thank you.", False), (3, line, True), (3, "Thank you.", False), (21, "क ख ग।", False)]
+    (long,) = [g for g in got if g[0] == 11]
+    assert long[2] and len(long[1].split()) >= 30 and long[1] in passage
+    cleaned = {r.doc_id: r.text for r in repeats.remove_spans(docs(spark, rows), found).collect()}
+    assert cleaned == text | {2: text[2].replace(line, ""), 3: text[3].replace(line, ""), 11: text[11].replace(long[1], "")}
+    joined = [(1, "Short one.\nNext line. Ends so"), (2, "Is new. Ends so\nShort one.\nNext line. Not that")]
+    assert sorted((dict(joined)[r.doc_id][r.start : r.end], r.removed) for r in repeats.all_repeats(docs(spark, joined)).collect()) == [("Ends so", False), ("Next line.", False), ("Short one.", True)]
+
+
 def test_line_units(spark):
     line = "A long line. It has more than eight words, as it must."
     rows = [(1, line + "\nown words here"), (2, "x\n" + line), (3, line.split(".")[0] + ".")]
