@@ -1,7 +1,7 @@
 """Personal data by anchor expansion: an Aho-Corasick pass finds anchors, local parsers expand and check each one.
 
 Anchors are at-signs, plus signs, digits, URL schemes and identifier cues. A parser reads outwards from its anchor
-only, so the work is one automaton pass over the text and a few characters per anchor.
+only and nothing twice, so the work is one automaton pass over the text and grows with its length alone.
 
 Base kinds, in this order, each leftmost and non-overlapping: email, ip, card, phone. The cues add `secret`
 (values after password, token and the like, cloud key ids), `iban` and `url` (URLs that carry a user or an id after a
@@ -34,8 +34,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _VALUE = re.compile(r"[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-_IBAN = re.compile(r"[A-Za-z]*[ :]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_URL = re.compile(r"://([^\s/@]+@)?[^\s\"'<>]+")
+_IBAN = re.compile(r"[a-z]{0,8}[ :]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_RUN = re.compile(r"[^\s\"'<>]*")
+_USER = re.compile(r"[^\s/@\"'<>]+@[^\s\"'<>]")
 Span = tuple[int, int]
 
 
@@ -95,7 +96,7 @@ def find(text: str) -> dict[str, list[Span]]:
     """All spans of each kind, ascending."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     upto = dict.fromkeys(KINDS, 0)
-    last_digit = -2
+    last_digit, run_end, last_query = -2, 0, -1
     for i, (anchor, mark) in _anchors().iter(_lower(text)):
         if anchor == "digit":
             starts_run, last_digit = i != last_digit + 1, i
@@ -103,7 +104,7 @@ def find(text: str) -> dict[str, list[Span]]:
                 continue
             if i >= upto["ip"] and (m := _IP.match(text, i)):
                 upto["ip"] = m.end()
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                     out["ip"].append(m.span())
             if i >= upto["card"] and (m := _CARD.match(text, i)):
                 upto["card"] = m.end()
@@ -120,13 +121,15 @@ def find(text: str) -> dict[str, list[Span]]:
                 upto["email"] = span[1]
                 out["email"].append(span)
         elif anchor == "scheme":
+            if i >= run_end:  # a run without white space is looked through once, however many schemes stand in it
+                run_end = _RUN.match(text, i + 1).end()
+                last_query = text.rfind("?", i + 1, run_end)
             start = i - 2
             while start > upto["url"] and text[start - 1].isascii() and text[start - 1].isalpha():
                 start -= 1
-            m = _URL.match(text, i - 2)
-            if m and start < i - 2 and (m[1] or "?" in m[0]):
-                out["url"].append((start, m.end()))
-                upto["url"] = m.end()
+            if start < i - 2 and (last_query > i or _USER.match(text, i + 1)):
+                out["url"].append((start, run_end))
+                upto["url"] = run_end
         elif found := _added(text, mark, i - len(mark) + 1, i + 1):
             kind, span = found
             if span[0] >= upto[kind]:

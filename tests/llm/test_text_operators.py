@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,6 +128,20 @@ def test_planted_personal_data():
     assert "[EMAIL]" in masked and "4111" not in masked and masked.endswith("a@b.")
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.2.3 " + "9" * 6000, "a://" * 40_000, "iban" * 40_000, "1." * 40_000, "+1" * 40_000, "a@" * 40_000, "token=" * 30_000, "x@" + "a." * 40_000, "+1" + "(" * 80_000])
+def test_hostile_texts_take_linear_time(text):
+    began = time.perf_counter()
+    found = pii.find(text)
+    assert time.perf_counter() - began < 1.5
+    if len(text) < 20_000:
+        assert {k: found[k] for k in BASE} == {"email": [], "ip": [(0, 5006)], "card": [], "phone": []}
+
+
+def test_urls_with_a_user_or_a_query():
+    text = "http://a.b/c http://u:p@h/x https://w.org/web/ftp://u@h 'https://a?b=1' x://"
+    assert [text[a:b] for a, b in pii.find(text)["url"]] == ["http://u:p@h/x", "ftp://u@h", "https://a?b=1"]
+
+
 def test_scan_and_mask(spark):
     rows = [(1, "me a@b.co", "en", ""), (1, "me a@b.co", "en", ""), (2, None, None, None), (None, "", "en", "")]
     out = pii.scan(docs(spark, rows)).collect()
