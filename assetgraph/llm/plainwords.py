@@ -18,7 +18,7 @@ _STOP[[ord(c) for c in ".!?"]] = True
 _WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "。！？…।"])
 _ARABIC = int.from_bytes("؟".encode(), "big")
 #: Sentences of more words are cut where two words' hashes say so, alike wherever the words stand.
-LONG = 32
+LONG = 16
 
 
 @dataclass

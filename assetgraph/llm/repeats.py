@@ -1,11 +1,11 @@
-"""Substring dedup by line or sentence hashing.
+"""Substring dedup by line hashing, with the sentences inside lines as a finer unit.
 
 Units are lines, or the sentences of lines, normalised to lower-case words without outer punctuation and named by a 64-bit
 digest. Digests are grouped over the whole corpus; the occurrence with the smallest (doc_id, text, unit) stays, the others are
-repeats. Neighbouring repeats of a document join to a span, with its offsets in the original text. Every span is returned; one of
-at least `min_words` words or of whole lines is marked to be removed. Single short sentences inside a line, which may agree by
-chance, are left alone. Sentences of more than 32 words are cut at words that depend on the words alone, so that a long passage
-without a stop is found inside different lines, but for a few words at its ends.
+repeats. Neighbouring repeats of a document join to a span, with its offsets in the original text. A repeat of whole lines is
+removed however short it is, and so is a run of at least `min_words` words that begins or ends inside a line. Shorter runs inside a
+line, which agree by chance, are returned but marked as left alone. Sentences of more than 16 words are cut at words that depend on
+the words alone, so that a passage without a stop is found inside different lines, but for a few words at its ends.
 
 A digest's occurrences are never gathered: one aggregation finds the first and the count, one join marks the rest. Digests
 that hold more than a thousandth of all units (so at most a thousand) are joined by broadcast, the others by shuffle.
@@ -17,6 +17,7 @@ text_digest, which orders them too. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, materialise
 from assetgraph.llm.plainwords import code_points, plain_words, units
 
-MIN_WORDS = 8
+#: Words from which a run inside lines is a passage and no chance.
+MIN_WORDS = 20
 HOT_SHARE, HOT_LEAST = 1000, 10_000
 
 
@@ -58,14 +60,15 @@ def occurrences(docs: DataFrame, sentences: bool = True) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """The spans of `all_repeats` of at least min_words words."""
-    return all_repeats(docs, sentences, min_words).where(F.col("n_words") >= min_words)
+    """The spans of `all_repeats` that are to be removed."""
+    return all_repeats(docs, sentences, min_words).where("removed").drop("removed")
 
 
 def all_repeats(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id, removed: every repeat, where its first unit stays, whether to remove it.
 
-    A run below min_words comes as its whole lines (removed) and what it has of other lines (left).
+    A run below min_words comes as its whole lines (removed) and what it has of other lines (left). Columns of docs beside
+    doc_id and text are not looked at.
     """
     found = materialise(occurrences(docs, sentences), "units")
     place = ("doc_id", "text_digest", "unit")
@@ -93,9 +96,10 @@ def all_repeats(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WO
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     """docs without the spans, or those marked as removed. The spans of one text travel together; documents without spans stay as they are."""
-    own = (spans.where("removed") if "removed" in spans.columns else spans).groupBy(F.col("doc_id").alias("_doc"), F.col("text_digest").alias("_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    doc, digest, cuts = (f"_{x}_{uuid.uuid4().hex}" for x in ("doc", "text", "spans"))  # clash with no column of docs
+    own = (spans.where("removed") if "removed" in spans.columns else spans).groupBy(F.col("doc_id").alias(doc), F.col("text_digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
     names = docs.columns
-    joined = docs.join(own, (docs["doc_id"] == own["_doc"]) & (F.xxhash64(docs[text]) == own["_text"]), "left").select(*(docs[c] for c in names), "_spans")
+    joined = docs.join(own, (docs["doc_id"] == own[doc]) & (F.xxhash64(docs[text]) == own[digest]), "left").select(*(docs[c] for c in names), cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = names.index(text)
@@ -117,4 +121,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     from assetgraph.llm.jobs import table
 
-    return all_repeats(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents"))

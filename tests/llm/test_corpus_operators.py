@@ -320,18 +320,31 @@ def test_sort_key(url, key):
 
 
 def _units(text):
-    """(start, end, plain words) of each sentence."""
+    """(line, start, end, plain words) of each sentence."""
     out = []
-    for line in re.finditer(r"[^\n]+", text or ""):
+    for n, line in enumerate(re.finditer(r"[^\n]+", text or "")):
         own = []
         for m in re.finditer(r"[^\x20\x09-\x0D]+", line[0]):
             own.append((m.start() + line.start(), m.end() + line.start(), m[0].strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower()))
             if m[0][-1] in ".!?":
-                out.append(own)
+                out.append((n, own))
                 own = []
         if own:
-            out.append(own)
-    return [(u[0][0], u[-1][1], tuple(w for _, _, w in u)) for u in out]
+            out.append((n, own))
+    return [(n, u[0][0], u[-1][1], tuple(w for _, _, w in u)) for n, u in out]
+
+
+def _parts(run, in_line, least):
+    """Spans (start, end, units, words, removed) of one run of neighbouring repeats."""
+    span = lambda own, removed: (own[0][1], own[-1][2], len(own), sum(len(u[3]) for u in own), removed)
+    if sum(len(u[3]) for u in run) >= least:
+        return [span(run, True)]
+    whole = [u for u in run if sum(v[0] == u[0] for v in run) == in_line[u[0]]]
+    rest = collections.defaultdict(list)
+    for u in run:
+        if u not in whole:
+            rest[u[0]].append(u)
+    return [span(own, False) for own in rest.values()] + ([span(whole, True)] if whole else [])
 
 
 def test_repeats_equal_brute_force(spark, monkeypatch):
@@ -340,29 +353,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     sentences = [prose(rng, rng.randrange(1, 15)).capitalize() + "." for _ in range(40)]
     rows = [(i * 2, "".join(rng.choice([s, s.upper(), s.replace(".", "!")]) + rng.choice([" ", "\n", " \n\n"]) for s in rng.choices(sentences + [prose(rng, 9) + "."] * 20, k=rng.randrange(12)))) for i in range(60)]
     rows += [(200 + i, sentences[0] + " " + prose(rng, 12)) for i in range(50)] + [(5, None), (7, ""), (9, " \n"), (None, rows[1][1]), rows[4]]
-    first, seen = {}, {}
+    first = {}
     for d, t in sorted({r for r in rows if r[0] is not None and r[1]}):
-        for n, (_, _, w) in enumerate(_units(t)):
-            first.setdefault(w, (d, n))
-            seen[w] = seen.get(w, 0) + 1
+        for n, u in enumerate(_units(t)):
+            first.setdefault(u[3], (d, n))
     want = set()
     for d, t in {r for r in rows if r[0] is not None and r[1]}:
-        run = []
-        for n, (a, b, w) in [*enumerate(_units(t)), (-1, (0, 0, None))]:
-            if w is not None and first[w] != (d, n):
-                run.append((a, b, len(w)))
-                continue
-            if sum(x[2] for x in run) >= repeats.MIN_WORDS:
-                want.add((d, run[0][0], run[-1][1], len(run), sum(x[2] for x in run)))
-            run = []
-    spans = repeats.repeated_spans(docs(spark, rows[:-1]))
-    assert {(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in spans.collect()} == want
-    cleaned = {r.doc_id: r.text for r in repeats.remove_spans(docs(spark, rows[:-1]), spans).collect()}
-    for d, t in rows[:-1]:
-        if d is not None and t is not None:
-            for a, b in sorted(((x[1], x[2]) for x in want if x[0] == d), reverse=True):
-                t = t[:a] + t[b:]
-            assert cleaned[d] == t
+        own = _units(t)
+        in_line, run = collections.Counter(u[0] for u in own), []
+        for n, u in enumerate([*own, None]):
+            if u is not None and first[u[3]] != (d, n):
+                run.append(u)
+            elif run:
+                want |= {(d, *p) for p in _parts(run, in_line, repeats.MIN_WORDS)}
+                run = []
+    found = repeats.all_repeats(docs(spark, rows))
+    assert {(r.doc_id, r.start, r.end, r.n_units, r.n_words, r.removed) for r in found.collect()} == want and len({w[-1] for w in want}) == 2
+    spans = repeats.repeated_spans(docs(spark, rows))
+    assert {(r.doc_id, r.start, r.end) for r in spans.collect()} == {w[:3] for w in want if w[-1]}
+    cleaned = sorted(((r.doc_id or -1), r.text or "") for r in repeats.remove_spans(docs(spark, rows), spans).collect())
+    after = []
+    for d, t in rows:
+        for a, b in sorted((w[1:3] for w in want if w[-1] and w[0] == d and t), reverse=True):
+            t = t[:a] + t[b:]
+        after.append((d or -1 if d != 0 else -1, t or ""))
+    assert cleaned == sorted(after)
     assert repeats.repeated_spans(docs(spark, [])).count() == 0
 
 
@@ -400,7 +415,7 @@ def test_every_repeat_is_returned(spark):
 
 def test_line_units(spark):
     line = "A long line. It has more than eight words, as it must."
-    rows = [(1, line + "\nown words here"), (2, "x\n" + line), (3, line.split(".")[0] + ".")]
+    rows = [(1, line + "\nown words here"), (2, "x\n" + line), (3, line.split(".")[0] + "."), (4, "as " + line)]
     assert [(r.doc_id, r.start, r.kept_doc_id) for r in repeats.repeated_spans(docs(spark, rows), sentences=False).collect()] == [(2, 2, 1)]
 
 
