@@ -5,19 +5,22 @@ each record lies. Files bear a random name, so a task that runs again never touc
 captures of the committed try are used.
 
 Index: captures are range-partitioned and sorted by the URL with its host reversed, and cut into compressed blocks of
-`BLOCK_LINES` lines; the directory keeps the first key and the byte range of each block. A lookup searches the directory
-by bisection, reads one block by its range and then the records by theirs.
+`BLOCK_LINES` lines; the directory keeps the first and last key and the byte range of each block. A lookup sorts the distinct
+keys that are asked for, finds their blocks in the directory by bisection, slice by slice, reads each block once by its range and then
+the records of the keys by theirs. A key with many captures spans blocks, which different tasks read.
 
 Payloads of at least `REVISIT_BYTES` bytes with one digest and length are stored once, with the largest page_id; the
 other records are revisits that name it.
 
-Defined results: a null html is an empty payload; null and odd URLs sort under their own text; a null page_id is written, and read,
-as null and is always a response. Rows that repeat a page_id are records of their own. No pages: no files.
+Defined results: a null html is an empty payload; null and odd URLs sort under their own text, a null one as the empty text; a null
+page_id is written, and read, as null and is always a response. Rows that repeat a page_id are records of their own, each with an id
+of its own. No pages: no files. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import uuid
@@ -35,7 +38,7 @@ REVISIT_BYTES = 1000
 BLOCK_LINES = 1024
 FILE_BYTES = 1 << 30
 LEVEL = 4
-#: Directory rows that a lookup broadcasts at once; a larger directory is searched slice by slice.
+#: Directory rows that a lookup broadcasts at once; a larger directory is searched slice by slice, each by the keys of its range.
 DIRECTORY_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,18 +62,22 @@ def sort_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){tail if tail.startswith('/') else '/' + tail}".lower()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, number: str = "", named: bool = True) -> bytes:
+    """A record. Its id follows from page and digest, and from `number` for rows that repeat a page.
+
+    length: of the payload, which a revisit does not hold. named: the response has an id that follows from its page; else a revisit names the page alone.
+    """
     kind = "response" if refers_to is None else "revisit"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    name = lambda page: uuid.uuid5(uuid.NAMESPACE_OID, f"{page}:{digest}")
+    name = lambda page, number="": uuid.uuid5(uuid.NAMESPACE_OID, f"{page}:{digest}{number}")
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name(page_id)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {sort_safe(url)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name(page_id, number)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {sort_safe(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: application/http;msgtype=response",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{name(refers_to)}>", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To: <urn:uuid:{name(refers_to)}>"] if named else []), f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -144,27 +151,34 @@ def _html(html: str = "html"):
     return F.coalesce(F.col(html).cast("string"), F.lit(""))
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, digest, refers_to of the pages whose payload another page stores."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(_html()).alias("digest"), F.octet_length(_html()).cast("long").alias("n")).where(F.col("n") >= REVISIT_BYTES)
-    own = own.where("page_id is not null").distinct()
-    first = own.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return own.join(first, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to")
+def special_pages(pages: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to, repeated, named of the pages whose payload another page stores, and of those that stand in several rows.
+
+    named: the page that is referred to stands in one row.
+    """
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(_html()).alias("digest"), F.octet_length(_html()).cast("long").alias("n"))
+    own = own.groupBy("page_id", "digest", "n").agg(F.count("*").alias("rows"))
+    first = own.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest", "n").agg(F.max("page_id").alias("to"), F.max_by("rows", "page_id").alias("to_rows"), F.count("*").alias("k")).where("k > 1").drop("k")
+    refers_to = F.when(F.col("page_id") != F.col("to"), F.col("to"))
+    return own.join(first, ["digest", "n"], "left").select("page_id", "digest", refers_to.alias("refers_to"), (F.col("rows") > 1).alias("repeated"), (F.col("to_rows") == 1).alias("named")).where("refers_to is not null or repeated")
 
 
 def write_archives(pages: DataFrame, uri: str) -> DataFrame:
     """Writes a record for every row below uri; returns the captures: key, page_id, file, offset, length."""
-    # the revisits are written first: where they are few, the plan broadcasts them and no payload is shuffled
-    known = materialise(revisits(pages), "revisits").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    # written first, so that Spark sees how many there are: few are broadcast, and no payload is shuffled; many are joined by shuffle
+    known = materialise(special_pages(pages), "special-pages").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", "repeated", "named")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _html().alias("html"), F.sha1(_html()).alias("digest"))
-    rows = rows.join(known, (rows["page_id"] == known["_page"]) & (rows["digest"] == known["_digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = rows.join(known, rows["page_id"].eqNullSafe(known["_page"]) & (rows["digest"] == known["_digest"]), "left")
+    # a revisit needs no payload, only its length
+    html = F.when(F.col("refers_to").isNull(), F.col("html"))
+    rows = rows.select("page_id", "url", html.alias("html"), "digest", "refers_to", F.octet_length("html").alias("n"), F.coalesce("repeated", F.lit(False)).alias("repeated"), "named")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(uri, ".warc.gz")
         for batch in batches:
             found = []
-            for page, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _compress(record(page, url, html.encode(), digest, refers))
+            for page, url, html, digest, refers, n, repeated, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = _compress(record(page, url, html.encode() if html is not None else b"", n, digest, refers, f":{uuid.uuid4().hex}" if repeated else "", bool(named)))
                 name, at = files.write(data)
                 found.append((sort_key(url), page, name, at, len(data)))
             yield _batch(found, (("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())))
@@ -238,10 +252,38 @@ def read_all(directory: DataFrame, index_uri: str, archive_uri: str) -> DataFram
     return spread.mapInArrow(run, READ_SCHEMA)
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sort_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+
+def _find_blocks(shared):
+    """Rows (file, offset, length, key) of the blocks that may hold each key, by bisection in a slice of the directory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, rows = shared.value
+        for batch in batches:
+            found = []
+            for key in batch.column(0).to_pylist():
+                at = max(0, bisect.bisect_left(firsts, key) - 1)
+                while at < len(rows) and rows[at][0] <= key:
+                    if rows[at][1] >= key:
+                        found.append((*rows[at][2:], key))
+                    at += 1
+            yield _batch(found, (("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("key", pa.string())))
+
+    return run
+
+
 def lookup(directory: DataFrame, urls: DataFrame, index_uri: str, archive_uri: str, url: str = "url") -> DataFrame:
-    """The records of each distinct URL of urls (column url): bisection in the directory, one or a few blocks, then the records."""
+    """The records of each distinct URL of urls, every record once. A null URL asks for records without one.
+
+    The keys lie sorted in a table, so that a slice of the directory meets only those of its own range. A block is read by one task,
+    with the keys asked of it (no more than it has lines).
+    """
     spark, out = directory.sparkSession, None
-    asked = urls.select(F.col(url).cast("string").alias("url")).where("url is not null").distinct()
+    asked = urls.select(F.col(url).cast("string").alias("url")).distinct().mapInArrow(_keys, "key string").distinct()
+    asked = materialise(asked.repartitionByRange("key").sortWithinPartitions("key"), "asked")
     slices = max(1, -(-directory.count() // DIRECTORY_ROWS))
     ranked = directory.repartitionByRange(slices, "first_key", "last_key").withColumn("slice", F.spark_partition_id()) if slices > 1 else directory.withColumn("slice", F.lit(0))
     ranked = materialise(ranked, "directory") if slices > 1 else ranked
@@ -250,26 +292,21 @@ def lookup(directory: DataFrame, urls: DataFrame, index_uri: str, archive_uri: s
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(([r["first_key"] for r in rows], [tuple(r) for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import bisect
-
-            firsts, rows = shared.value
-            index, archive = _Ranges(index_uri), _Ranges(archive_uri)
-            for batch in batches:
-                found = []
-                for u in batch.column(0).to_pylist():
-                    key = sort_key(u)
-                    at = max(0, bisect.bisect_left(firsts, key) - 1)
-                    while at < len(rows) and rows[at][0] <= key:
-                        if rows[at][1] >= key:
-                            found += [_read_record(archive.read(f, a, m)) for k, _, f, a, m in _lines(index.read(*rows[at][2:])) if k == key]
-                        at += 1
-                yield _batch(found, _READ)
-
-        part = asked.mapInArrow(run, READ_SCHEMA)
+        part = asked.where(F.col("key").between(rows[0]["first_key"], max(r["last_key"] for r in rows))).mapInArrow(_find_blocks(shared), "file string, offset long, length long, key string")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], READ_SCHEMA)
+    if out is None:
+        return spark.createDataFrame([], READ_SCHEMA)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, archive = _Ranges(index_uri), _Ranges(archive_uri)
+        for batch in batches:
+            for name, at, n, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = set(keys)
+                yield _batch([_read_record(archive.read(f, a, m)) for k, _, f, a, m in _lines(index.read(name, at, n)) if k in own], _READ)
+
+    blocks = materialise(out.groupBy("file", "offset", "length").agg(F.collect_set("key").alias("keys")), "blocks")
+    n = spark.sparkContext.defaultParallelism
+    return blocks.repartition(max(n, int(blocks.count() // 64)), "file", "offset").mapInArrow(read, READ_SCHEMA)
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str, str]:
@@ -282,7 +319,9 @@ def archive(pages: DataFrame) -> tuple[DataFrame, str, str]:
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     from assetgraph.llm.jobs import table
 
-    return read_all(*archive(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    directory, index, archives = archive(pages)
+    return lookup(directory, pages, index, archives)
 
 
 ORACLE = f"""

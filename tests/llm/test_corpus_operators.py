@@ -1,7 +1,9 @@
 """Near-duplicates, decontamination, nearest neighbours, licences, archives, repeats and the pipeline."""
 
 import collections
+import gzip
 import hashlib
+import os
 import random
 import re
 
@@ -258,8 +260,6 @@ TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF TH
 
 
 def test_long_licences(spark):
-    import os
-
     at = "/usr/share/common-licenses/"
     if not os.path.exists(at + "GPL-3"):
         pytest.skip("no licence texts on this machine")
@@ -283,10 +283,12 @@ def pages(spark, rows):
 def test_archive_round_trip(spark):
     big = "é\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(i, f"http://h{i % 3}.example.com:80/p/{i}?q=1#f", f"<p>{i}</p>" * (i * 9)) for i in range(60)]
-    rows += [(100, "http://a/1", big), (101, "http://a/2", big), (102, "http://a/3", big), (103, "http://a/4", "small"), (104, "http://a/5", "small"), (105, None, None), (None, "http://a/1", big), (106, "not a url\n", ""), (7, rows[7][1], rows[7][2])]
+    rows += [(100, "http://a/1", big), (101, "http://a/2", big), (102, "http://a/3", big), (103, "http://a/4", "small"), (104, "http://a/5", "small"), (105, None, None), (None, "http://a/1", big), (106, "not a url\n", ""), (7, rows[7][1], rows[7][2]), (200, "http://b/1", big + "x"), (201, "http://b/2", big + "x"), (201, "http://b/2", big + "x")]
     df = pages(spark, rows)
     directory, index, archive = warc.archive(df)
     got = warc.read_all(directory, index, archive).collect()
+    asked = warc.lookup(directory, df, index, archive).collect()
+    assert sorted(map(str, asked)) == sorted(map(str, got))
     want = []
     for p, u, h in rows:
         raw = (h or "").encode()
@@ -295,17 +297,36 @@ def test_archive_round_trip(spark):
         want.append((p or -1, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if refers else "response", refers or -1))
     assert sorted((r.page_id if r.page_id is not None else -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in got) == sorted((p if p else (0 if p == 0 else p), *x) for p, *x in [(w[0] if w[0] != -1 or rows[k][0] is None else rows[k][0], *w[1:]) for k, w in enumerate(want)])
     asked = spark.createDataFrame([("https://H1.example.com/p/1?q=1",), ("http://a/1",), ("http://none/",), (None,)], "url string")
-    assert sorted(str(r.page_id) for r in warc.lookup(directory, asked, index, archive).collect()) == ["1", "100", "None"]
+    assert sorted(str(r.page_id) for r in warc.lookup(directory, asked, index, archive).collect()) == ["1", "100", "105", "None"]
+    ids, refers = [], []
+    for f in os.listdir(archive.removeprefix("file:")):
+        with open(f"{archive.removeprefix('file:')}/{f}", "rb") as file:
+            raw = gzip.decompress(file.read())
+        ids += re.findall(rb"WARC-Record-ID: (\S+)", raw)
+        refers += re.findall(rb"WARC-Refers-To: (\S+)", raw)
+    assert len(ids) == len(set(ids)) == len(rows) and set(refers) <= set(ids) and len(set(refers)) == 1
 
 
-def test_index_is_sorted_and_sparse(spark):
+def test_index_is_sorted_and_sparse(spark, monkeypatch):
     df = pages(spark, [(i, f"http://www.z{i % 7}.org/{i}", "x") for i in range(500)])
     at = warc.fresh_path(spark, "t")
     directory = warc.write_index(warc.write_archives(df, at + "/a"), at + "/i", block_lines=32)
     rows = directory.orderBy("first_key").collect()
     assert len(rows) >= 500 // 32 and all(a.last_key <= b.first_key for a, b in zip(rows, rows[1:], strict=False)) and sum(r.lines for r in rows) == 500
-    got = warc.lookup(directory, df.select("url"), at + "/i", at + "/a").collect()
-    assert sorted(r.page_id for r in got) == list(range(500))
+    for bound in (200_000, 5):  # the directory at once, and in slices
+        monkeypatch.setattr(warc, "DIRECTORY_ROWS", bound)
+        got = warc.lookup(directory, df.select("url"), at + "/i", at + "/a").collect()
+        assert sorted(r.page_id for r in got) == list(range(500))
+
+
+def test_a_key_with_many_captures_spans_blocks(spark, monkeypatch):
+    df = pages(spark, [(i, "http://a.b/same" if i % 3 else f"http://a.b/{i}", "x") for i in range(300)])
+    at = warc.fresh_path(spark, "t")
+    directory = warc.write_index(warc.write_archives(df, at + "/a"), at + "/i", block_lines=16)
+    for bound in (200_000, 3):
+        monkeypatch.setattr(warc, "DIRECTORY_ROWS", bound)
+        got = warc.lookup(directory, df.where("page_id < 2"), at + "/i", at + "/a").collect()
+        assert sorted(r.page_id for r in got) == [0] + [i for i in range(300) if i % 3]
     assert warc.read_all(*warc.archive(pages(spark, []))).count() == 0
 
 
