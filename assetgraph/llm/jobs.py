@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="assetgraph-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,6 +39,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table below the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_blocks(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow over blocks of whole texts with a bounded number of bytes."""
 
@@ -53,8 +61,11 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """docs; from here on the session bounds Arrow batches by bytes, not by rows alone."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """docs; from here on the session bounds Arrow batches by bytes, not by rows alone. A smaller bound that is set stays."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return docs
 
 
@@ -64,6 +75,23 @@ def doc_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def sample_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """A bounded sample that is the same on every run: the rows with the smallest key hashes."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+def sample_texts(docs: DataFrame, rated: DataFrame, rows: int, size: int) -> DataFrame:
+    """doc_id, text and the other columns of rated for a bounded sample of rated documents, the same on every run: those with the
+    smallest hashes of doc_id, as long as they are no more than `rows` rows and `size` bytes of text together.
+
+    rated: doc_id (long, not null) and a rating, one row for each doc_id at least. A rated document that stands alone beyond the bounds ends the sample.
+    """
+    texts = doc_texts(docs)
+    by = "doc_id"
+    once = rated.groupBy(by).agg(*(F.min(c).alias(c) for c in rated.columns if c != by))
+    chosen = once.orderBy(F.xxhash64(by), by).limit(rows)
+    lengths = texts.select(by, F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen.select(by)), by)  # at most `rows` ids
+    found = lengths.groupBy(by).agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).orderBy(F.xxhash64(by), by)
+    ids, n, total = [], 0, 0
+    for r in found.collect():  # at most `rows` rows of three numbers
+        n, total = n + r["rows"], total + r["bytes"]
+        if n > rows or total > size:
+            break
+        ids.append((r[by],))
+    kept = docs.sparkSession.createDataFrame(ids, f"{by} long")
+    return texts.join(F.broadcast(chosen.join(kept, by)), by)

@@ -4,9 +4,11 @@ A text is a bag of hashed features (words, word pairs, endings, shapes, repetiti
 shared weights. Ordered thresholds t_1 < ... < t_K give P(grade >= k) = sigmoid(s - t_k), hence the expected grade and
 the tail probability that selects documents.
 
-The fit uses at most `SAMPLE_ROWS` rated rows, those with the smallest key hashes; scoring covers every document whole.
-Defined results: null and empty texts have no features and take s = 0. Ratings that are null are left out; with fewer than
-two grades the model is flat (all weights 0). Repeated rows are rated and scored as rows of their own.
+The fit uses at most `SAMPLE_ROWS` rated rows and `SAMPLE_BYTES` bytes of their texts, those with the smallest key hashes; scoring covers
+every document whole. The sample's features come to the driver as counts of distinct features, at most one for each five bytes of text or so.
+Defined results: null and empty texts have no features and take s = 0. Ratings that are null are left out, of several for a
+document the smallest counts; with fewer than two grades the model is flat (all weights 0). Repeated rows are rated and scored as rows of
+their own. An empty table gives no rows; further columns are not looked at (`score`) or stay (`select`).
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, sample_rows
+from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, sample_texts
 from assetgraph.llm.textvec import LOWER, mix, ngram_hash, span_hash, text_bytes, words
 
-#: The bound on the rows that the fit sees.
+#: The bounds on the rows that the fit sees and on their texts.
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 12 << 20
 BITS = 18
 STEPS = 120
 L2 = 1e-4
-CHUNK_DOCS = 500
 
 _U = np.uint64
 _SHAPE = np.full(256, 4, np.int64)
@@ -80,68 +82,99 @@ class Ordinal:
         return self.grades[0] + self.tails(s) @ np.diff(np.asarray(self.grades, float))
 
 
-def fit_ordinal(ids: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BITS, steps: int = STEPS, l2: float = L2) -> Ordinal:
+class Sample:
+    """Counted features of rated documents, by document and by feature, so that both sums of a step are sums over ranges."""
+
+    def __init__(self, doc: np.ndarray, feature: np.ndarray, count: np.ndarray, docs: int):
+        """doc ascends; each (doc, feature) stands once."""
+        self.docs, self.doc, self.feature = docs, doc.astype(np.int32), feature
+        total = np.maximum(np.bincount(doc, count, docs), 1)
+        self.share = (count / total[doc]).astype(np.float32)
+        self.filled, self.doc_at = np.unique(self.doc, return_index=True)
+        by = np.argsort(feature, kind="stable")
+        self.by_doc, self.by_share = self.doc[by], self.share[by]
+        self.seen, self.feature_at, self.place = np.unique(feature[by], return_index=True, return_inverse=True)
+        place = np.empty(len(by), np.int64)
+        place[by] = self.place
+        self.place = place.astype(np.int32)
+
+    def positions(self, w: np.ndarray) -> np.ndarray:
+        """The mean weight of each document's features; w: of the features that occur."""
+        out = np.zeros(self.docs)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(w[self.place] * self.share, self.doc_at, dtype=np.float64)
+        return out
+
+    def gradient(self, by_doc: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(by_doc[self.by_doc] * self.by_share, self.feature_at, dtype=np.float64) if len(self.seen) else np.zeros(0)
+
+
+def loss_and_gradient(sample: Sample, y: np.ndarray, w: np.ndarray, raw: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood with its penalty, and its gradient by w and raw. Thresholds: raw[0], then gaps exp(raw[k])."""
+    n, k = len(y), len(raw)
+    gaps = np.exp(raw[1:])
+    ext = np.concatenate([[-1e9], raw[0] + np.concatenate([[0.0], np.cumsum(gaps)]), [1e9]])
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    s = sample.positions(w)
+    upper, lower = sigmoid(ext[y + 1] - s), sigmoid(ext[y] - s)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper), lower * (1 - lower)
+    gt = (np.bincount(y + 1, -du / p / n, k + 2) + np.bincount(y, dl / p / n, k + 2))[1:-1]
+    after = np.cumsum(gt[::-1])[::-1]
+    return float(-np.log(p).mean() + l2 / n / 2 * (w * w).sum()), np.concatenate([sample.gradient((du - dl) / p / n) + l2 / n * w, [after[0]], after[1:] * gaps])
+
+
+def fit_ordinal(sample: Sample, grade: np.ndarray, bits: int = BITS, steps: int = STEPS, l2: float = L2) -> Ordinal:
     """Maximum likelihood by Adam over the whole sample; thresholds stay ordered as cumulated positive gaps."""
     grades = tuple(int(g) for g in np.unique(grade))
+    weights = np.zeros(1 << bits, np.float32)
     if len(grades) < 2:
-        return Ordinal(np.zeros(1 << bits, np.float32), np.zeros(0), grades or (0,))
+        return Ordinal(weights, np.zeros(0), grades or (0,))
     y = np.searchsorted(grades, grade)
-    n, k, size = len(y), len(grades) - 1, 1 << bits
-    share = np.array([(y >= j + 1).mean() for j in range(k)])
+    share = np.array([(y >= j + 1).mean() for j in range(len(grades) - 1)])
     t0 = np.log((1 - share + 1e-6) / (share + 1e-6))
     raw = np.concatenate([t0[:1], np.log(np.maximum(np.diff(t0), 1e-3))])
-    w, m, v = np.zeros(size), np.zeros(size + k), np.zeros(size + k)
-    # some documents at a time, so that the temporary arrays stay small
-    cuts = [*range(0, n, CHUNK_DOCS), n]
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    size = len(sample.seen)
+    w, m, v = np.zeros(size), np.zeros(size + len(raw)), np.zeros(size + len(raw))
     for step in range(1, steps + 1):
-        t = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
-        ext = np.concatenate([[-1e9], t, [1e9]])
-        gw, gt = l2 * w / n, np.zeros(k + 2)
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            own, counts, z = ids[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), y[i:j]
-            row = np.repeat(np.arange(j - i, dtype=np.int32), counts)
-            s = np.bincount(row, w[own], j - i) / np.maximum(counts, 1)
-            upper, lower = sigmoid(ext[z + 1] - s), sigmoid(ext[z] - s)
-            p = np.maximum(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper), lower * (1 - lower)
-            gw += np.bincount(own, ((du - dl) / p / n / np.maximum(counts, 1))[row], size)
-            np.add.at(gt, z + 1, -du / p / n)
-            np.add.at(gt, z, dl / p / n)
-        inner = gt[1:-1]
-        graw = np.concatenate([[inner.sum()], [inner[j:].sum() * np.exp(raw[j]) for j in range(1, k)]])
-        g = np.concatenate([gw, graw])
+        _, g = loss_and_gradient(sample, y, w, raw, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w -= move[:size]
         raw = raw - 0.2 * move[size:]
-    return Ordinal(w.astype(np.float32), np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))]), grades)
+    weights[sample.seen] = w
+    return Ordinal(weights, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]), grades)
+
+
+def counted(ids: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, count) of the distinct features of a block, by document."""
+    pair, count = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) << bits | ids, return_counts=True)
+    return pair >> bits, pair & ((1 << bits) - 1), count
 
 
-def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, bits: int = BITS) -> Ordinal:
-    """ratings: doc_id and an integer grade. Features are made on the executors; at most `sample` rows of them come back."""
+def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, bits: int = BITS) -> Ordinal:
+    """ratings: doc_id and an integer grade. Features are made on the executors; those of a sample bounded in rows and bytes come back."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("doc_id is not null and grade is not null")
-    chosen = sample_rows(rated, "doc_id", sample)
-    texts = doc_texts(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    texts = sample_texts(docs, rated, sample, size)
 
     def run(batches):
         from assetgraph.llm.textvec import blocks
 
         for batch in batches:
             for b in blocks(batch, "text"):
-                ids, offsets = features(b.column("text"), bits)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), lists], ["doc_id", "grade", "ids"])
-
-    found = texts.mapInArrow(run, "doc_id long, grade int, ids array<int>").toArrow().sort_by("doc_id")
-    lists = found.column("ids").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                doc, feature, count = counted(*features(b.column("text"), bits), bits)
+                at = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (feature, count)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), *lists], ["doc_id", "grade", "ids", "counts"])
+
+    found = texts.mapInArrow(run, "doc_id long, grade int, ids array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks] or [np.zeros(0, np.int32)])
+    sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in found.column("ids").chunks] or [np.zeros(0, np.int32)])
     grade = found.column("grade").to_numpy().copy()
+    made = Sample(np.repeat(np.arange(len(sizes)), sizes), flat("ids"), flat("counts"), len(sizes))
     del found
-    model = fit_ordinal(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), grade, bits)
-    del ids, lists
+    model = fit_ordinal(made, grade, bits)
+    del made
     pa.default_memory_pool().release_unused()  # the driver needs the sample no longer
     return model
 

@@ -2,11 +2,13 @@
 
 Folding: lower case, homoglyphs to Latin letters, digit and symbol substitutions, `l`/`1`/`|` to one skeleton
 letter, other punctuation to spaces. Lexicon entries are beginnings of folded words with log-odds weights; they are learned
-from at most `SAMPLE_ROWS` labelled rows. Exception phrases (an entry within two words that only harmless texts have) mask
-the hits inside them. The score is a logistic function of the hits' weights, normalised by the text's length.
+from at most `SAMPLE_ROWS` labelled rows and `SAMPLE_BYTES` bytes of their texts, and nothing else bounds them. Exception phrases (an entry
+within two words that only harmless texts have) mask the hits inside them. The score is a logistic function of the hits' weights, normalised
+by the text's length.
 
 Defined results: null and empty texts have no hits and take the score of a text without hits. Null doc_ids stay null and count
 as held out only if their crc32 is divisible, which it is not (null: false). Without labels the lexicon is empty and every score is the prior.
+Repeated rows each get their score; an empty table has no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import doc_texts, map_blocks, sample_rows
+from assetgraph.llm.jobs import doc_texts, map_blocks, sample_texts
 
-#: The bound on the labelled rows that lexicon and weights are learned from, and on the lexicon.
+#: The bounds on the labelled rows that lexicon and weights are learned from.
 SAMPLE_ROWS = 16000
-LEXICON_ROWS = 4000
+SAMPLE_BYTES = 64 << 20
 MIN_TOXIC, MIN_LOG_ODDS = 4, 2.0
 PREFIX = (3, 14)
 
@@ -95,7 +97,16 @@ class Lexicon:
                 masked.append((start, end))
             elif size > best.get(start, (0, 0.0))[0]:
                 best[start] = (size, weight)
-        return [(s, folded[s : s + n], w) for s, (n, w) in sorted(best.items()) if not any(a <= s <= b for a, b in masked)]
+        # starts and masks both ascend: a hit is masked if the furthest end of the masks that begin before it reaches it
+        masked.sort()
+        out, k, reach = [], 0, -1
+        for s, (n, w) in sorted(best.items()):
+            while k < len(masked) and masked[k][0] <= s:
+                reach = max(reach, masked[k][1])
+                k += 1
+            if s > reach:
+                out.append((s, folded[s : s + n], w))
+        return out
 
     def measures(self, text: str) -> tuple[float, float]:
         """The summed weights of distinct hits, and of all hits per hundred words."""
@@ -133,13 +144,14 @@ def _phrases(entries: dict[str, float]):
         for text, label in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist(), strict=True):
             folded = fold(text or "")
             own = set()
-            for start, _, _ in lexicon.hits(folded):
-                after = folded[start + 1 : start + 80].split(" ")
-                before = folded[max(0, start - 40) : start].split(" ")
-                if len(after) > 2:
-                    own.add(f" {after[0]} {after[1]} ")
-                if len(before) > 1 and before[-1] and after[0]:
-                    own.add(f" {before[-1]} {after[0]} ")
+            for start, _, _ in lexicon.hits(folded):  # a hit starts at the space before its word
+                end = folded.find(" ", start + 1)
+                after = folded.find(" ", end + 1) if end > 0 else -1
+                if after > 0:
+                    own.add(folded[start : after + 1])
+                before = folded.rfind(" ", 0, start)
+                if 0 <= before < start - 1 and end != start + 1:
+                    own.add((folded[before:end] if end > 0 else folded[before:]) + " ")
             phrases += own
             toxic += [label] * len(own)
         return pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], ["phrase", "toxic"])
@@ -168,11 +180,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = (), size: int = SAMPLE_BYTES) -> Lexicon:
     """labels: doc_id and toxic (0 or 1). Rows that are held out are never read."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
-    rated = sample_rows(rated, "doc_id", sample)
-    texts = doc_texts(docs).join(F.broadcast(rated), "doc_id").persist()  # at most `sample` rows
+    texts = sample_texts(docs, rated, sample, size).persist()  # at most `sample` rows and `size` bytes
     try:
         counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
         n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -183,12 +194,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, excepti
         odds = F.log(((F.col("t") + 0.2) / (n1 + 0.4)) / ((F.col("c") + 0.2) / (n0 + 0.4)))
         rows = (
             prefixes.groupBy("prefix").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("odds", odds)
-            .where((F.col("t") >= MIN_TOXIC) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc(F.col("t") * F.col("odds")), "prefix").limit(LEXICON_ROWS).collect()
+            .where((F.col("t") >= MIN_TOXIC) & (F.col("odds") >= MIN_LOG_ODDS)).collect()
         )
         entries = _telling(rows)
         harmless = (
             map_blocks(texts, "text", _phrases(entries), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-            .where("t = 0 and c >= 3").orderBy(F.desc("c"), "phrase").limit(LEXICON_ROWS).collect()
+            .where("t = 0 and c >= 3").orderBy("phrase").collect()
         )
         lexicon = Lexicon(entries, tuple([*(fold(e).rstrip() + " " for e in exceptions), *(r["phrase"] for r in harmless)]))
 
@@ -204,8 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, excepti
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score, predicted and n_hits of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_ROWS entries and exceptions
+    """doc_id, score and predicted of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample that it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from assetgraph.llm.textvec import blocks

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from assetgraph.llm import packing, pii, quality, toxicity
+from assetgraph.llm import jobs, packing, pii, quality, toxicity
 from assetgraph.llm.textvec import blocks, ngram_hash, span_hash, text_bytes, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -169,12 +169,53 @@ def test_ordinal_fit_orders_thresholds_and_grades():
         texts.append(" ".join(rng.choice(["bad"] * (4 - g) + ["good"] * (1 + g)) for _ in range(60)))
         grades.append(g)
     ids, offsets = quality.features(pa.array(texts))
-    model = quality.fit_ordinal(ids, offsets, np.array(grades))
+    model = quality.fit_ordinal(quality.Sample(*quality.counted(ids, offsets), len(texts)), np.array(grades))
     assert (np.diff(model.thresholds) > 0).all() and model.grades == (0, 1, 2, 3)
     s = model.position(ids, offsets)
     assert (np.diff(model.tails(s), axis=1) <= 0).all() and np.corrcoef(model.expected(s), grades)[0, 1] > 0.9
 
 
+def test_likelihood_and_gradient_equal_their_definitions():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d"], size=rng.integers(0, 9))) for _ in range(12)] + [""]
+    ids, offsets = quality.features(pa.array(texts))
+    sample = quality.Sample(*quality.counted(ids, offsets), len(texts))
+    y, w, raw = rng.integers(0, 4, len(texts)), rng.normal(size=len(sample.seen)), np.array([-0.4, 0.3, -0.2])
+
+    def loss(w, raw):
+        at = dict(zip(sample.seen.tolist(), w, strict=True))
+        t = [-1e9, raw[0], raw[0] + np.exp(raw[1]), raw[0] + np.exp(raw[1]) + np.exp(raw[2]), 1e9]
+        total = 0.0
+        for i, grade in enumerate(y):
+            own = ids[offsets[i] : offsets[i + 1]].tolist()
+            s = sum(at[f] for f in own) / max(1, len(own))
+            total -= np.log(1 / (1 + np.exp(-np.clip(t[grade + 1] - s, -60, 60))) - 1 / (1 + np.exp(-np.clip(t[grade] - s, -60, 60))))
+        return total / len(y) + 0.05 / len(y) / 2 * (w * w).sum()
+
+    value, gradient = quality.loss_and_gradient(sample, y, w, raw, 0.05)
+    assert abs(value - loss(w, raw)) < 1e-6
+    for k in range(len(w) + 3):
+        up = np.zeros(len(w) + 3)
+        up[k] = 1e-5
+        want = (loss(w + up[: len(w)], raw + up[len(w) :]) - loss(w - up[: len(w)], raw - up[len(w) :])) / 2e-5
+        assert abs(gradient[k] - want) < 1e-6
+    model = quality.Ordinal(np.array([1.0, 3.0]), np.array([0.5, 2.0]), (0, 1, 2))
+    assert np.allclose(model.position(np.array([0, 1, 1]), np.array([0, 3, 3])), [7 / 3, 0])
+    assert np.allclose(model.expected(np.array([0.0])), 1 / (1 + np.exp(0.5)) + 1 / (1 + np.exp(2.0)))
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i, "x" * (i + 1), "", "") for i in range(40)] + [(3, "again", "", ""), (50, None, "", "")]
+    rated = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 7)], "doc_id long, grade int")
+    everything = jobs.sample_texts(docs(spark, rows), rated, 1000, 1 << 20).collect()
+    assert len(everything) == len(rows) and {r.grade for r in everything if r.doc_id == 5} == {1}
+    few = jobs.sample_texts(docs(spark, rows), rated, 10, 1 << 20).collect()
+    assert 5 <= len(few) <= 10 and few and sorted(map(tuple, few)) == sorted(map(tuple, jobs.sample_texts(docs(spark, rows), rated, 10, 1 << 20).collect()))
+    small = jobs.sample_texts(docs(spark, rows), rated, 1000, 100).collect()
+    assert 0 < sum(len(r.text or "") for r in small) <= 100
+    assert jobs.sample_texts(docs(spark, []), rated, 10, 10).count() == 0
+
+
 def test_quality_held_out_and_edges(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -207,6 +248,35 @@ def test_longest_hit_and_exceptions():
     assert long[0] == 3.0 and long[1] < 0.7
 
 
+def test_hits_and_scores_equal_brute_force():
+    rng = random.Random(8)
+    words = ["scum", "scumbag", "trash", "track", "can", "the", "is", "xtrash", "tr4sh", "idiot", "SCUM!", "", "-"]
+    lexicon = toxicity.Lexicon({" tra": 1.0, " trash": 4.0, " scum": 3.0, " idiot": 2.5}, (" trash can ", " the scum ", " can the "), (-3.0, 0.7, 0.2))
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(30)))
+        folded = toxicity.fold(text)
+        masks = [(i, i + len(e) - 1) for e in lexicon.exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+        want = []
+        for i in range(len(folded)):
+            own = [e for e in lexicon.entries if folded.startswith(e, i)]
+            if own and not any(a <= i <= b for a, b in masks):
+                want.append((i, max(own, key=len), lexicon.entries[max(own, key=len)]))
+        assert lexicon.hits(folded) == want
+        a, b = sum({e: w for _, e, w in want}.values()), sum(w for _, _, w in want) / (1 + folded.count(" ") / 100)
+        assert abs(lexicon.score(np.array([lexicon.measures(text)]))[0] - 1 / (1 + np.exp(3.0 - 0.7 * a - 0.2 * b))) < 1e-12
+    began = time.perf_counter()
+    lexicon.measures("the scum trash can " * 50_000)
+    assert time.perf_counter() - began < 4
+
+
+def test_phrases_around_hits():
+    run = toxicity._phrases({" scum": 3.0})
+    long = "w" * 500
+    texts = [f"the scum {long} b", f"{long} scum", "scum", "scum x", "a scum", "no hit"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array([0] * len(texts), pa.int32())})
+    assert set(run(batch).column("phrase").to_pylist()) == {f" scum {long} ", " the scum ", f" {long} scum ", " a scum "}
+
+
 def test_toxicity_held_out_and_edges(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
