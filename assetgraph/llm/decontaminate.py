@@ -5,15 +5,18 @@ are two neighbouring cells of as many words as the longest item has, so that a w
 
 Retrieval is block-max WAND: items stand in blocks; a block's maxima bound what any of its items can reach. First all
 passages of a block of texts are bounded at once, block by block; terms in many items are bounded together by what they can add
-to an item at most. Passages whose bound reaches the threshold go on to the pivot loop, which skips items by the sums
-of term maxima and scores the others exactly. Every item above the threshold is retrieved.
+to an item at most. Passages whose bound reaches the block's least threshold go on to the pivot loop, which skips items by the sums
+of term maxima and scores the others exactly. Every item above its threshold is retrieved.
 
 A retrieved item is a leak if at least 80 % of its five-word shingles stand in the passage (question and answer
-together), and at least `answer_overlap` of the answer's words.
-
-The index is broadcast in slices of at most `SLICE_ITEMS` items. Defined results: null and empty items are never
-found; items with fewer than five words count as one shingle; null and empty texts have no leaks; a null doc_id is
-returned as null; repeated rows are reported once for each distinct doc_id and item.
+together), and at least `answer_overlap` of the answer's words. An item's threshold follows from the 80 %: a term is missing only
+where all shingles that hold it are, so spreading its weight over these shingles bounds what the missing fifth can weigh. No
+passage that verification would accept lies below it.
+
+The index is broadcast in slices, bounded in items and in bytes; long items have slices of their own, so that they don't widen the passages of
+short ones. Defined results: null and empty items are never found; items with fewer than five words count as one shingle; null and empty
+texts have no leaks; a null doc_id is returned as null; repeated rows are reported once for each distinct doc_id and item, with the figures
+of the one passage that has the most of the item. Empty tables: no leaks. Further columns are not looked at (`find_leaks`) or stay (`drop_leaks`).
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from assetgraph.llm.plainwords import code_points, plain_words
 from assetgraph.llm.textvec import blocks, mix, ngram_hash
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5
 OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 SHINGLE = 5
+#: Items and bytes of their texts in a slice; an item with more bytes is a slice of its own. Items of LONG bytes don't share one with shorter ones.
 SLICE_ITEMS = 20_000
+SLICE_BYTES = 8 << 20
+LONG = 1 << 16
 BLOCK_ITEMS = 4
 #: What terms in many items may add to an item while they are bounded together.
 COMMON_SHARE = 0.25
@@ -59,6 +64,21 @@ def _shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return np.unique(ngram_hash(words, np.array([0, len(words)]), n)[0])
 
 
+def threshold(words: np.ndarray, weights: dict[int, float], overlap: float = OVERLAP) -> float:
+    """The least weight of an item's terms in a passage that has `overlap` of its shingles. weights: of each word, 1 in all."""
+    if len(words) < SHINGLE:
+        return 1.0
+    grams = ngram_hash(words, np.array([0, len(words)]), SHINGLE)[0]
+    distinct, back = np.unique(grams, return_inverse=True)
+    may_miss = len(distinct) - int(np.ceil(overlap * len(distinct) - 1e-9))
+    terms, place = np.unique(words, return_inverse=True)
+    pairs = np.unique(np.concatenate([back * len(terms) + place[k : k + len(grams)] for k in range(SHINGLE)]))
+    gram, term = pairs // len(terms), pairs % len(terms)
+    share = np.array([weights[t] for t in terms.tolist()]) / np.bincount(term, minlength=len(terms))
+    lost = np.sort(np.bincount(gram, share[term], len(distinct)))[::-1][:may_miss].sum()
+    return float(max(0.0, 1.0 - lost))
+
+
 @dataclass
 class Index:
     """Block postings of a term t: block[block_at[t]:block_at[t + 1]] with block_max; its items stand in by_block."""
@@ -75,6 +95,8 @@ class Index:
     words: list[np.ndarray]
     shingles: list[np.ndarray]
     answers: list[np.ndarray]
+    thresholds: np.ndarray
+    block_threshold: np.ndarray
     #: For each term, by block: block maximum, items and impacts.
     by_block: list[dict[int, tuple[float, list[int], list[float]]]]
 
@@ -104,16 +126,17 @@ class Index:
         alone = ~((before < len(key)) & (key[np.minimum(before, len(key) - 1)] == key - n_blocks)) & (key >= n_blocks) if len(key) else np.zeros(0, bool)
         # and the passages whose first cell holds no rare term of the block
         key, own = np.concatenate([key, key[alone] - n_blocks]), np.concatenate([own, total[alone]])
-        good = own + self.common_bound[key % n_blocks] >= THRESHOLD - 1e-9
+        good = own + self.common_bound[key % n_blocks] >= self.block_threshold[key % n_blocks] - 1e-9
         return key[good] // n_blocks, key[good] % n_blocks
 
     def retrieve(self, terms: np.ndarray, in_blocks: list[int]) -> list[tuple[int, float]]:
-        """WAND within each of the given blocks: items of score at least THRESHOLD for the distinct terms of a passage."""
+        """WAND within each of the given blocks: items whose score for the distinct terms of a passage reaches their threshold."""
         own = [self.by_block[t] for t in set(terms[terms >= 0].tolist())]
         found = []
         for block in in_blocks:
             lists = [x[block] for x in own if block in x]
-            if sum(x[0] for x in lists) < THRESHOLD - 1e-9:  # the block maxima of distinct terms
+            least = self.block_threshold[block] - 1e-9
+            if sum(x[0] for x in lists) < least:  # the block maxima of distinct terms
                 continue
             cursors = [[0, items, impacts, bound] for bound, items, impacts in lists]
             while cursors:
@@ -121,7 +144,7 @@ class Index:
                 total, pivot = 0.0, None
                 for x in cursors:
                     total += x[3]
-                    if total >= THRESHOLD - 1e-9:
+                    if total >= least:
                         pivot = x[1][x[0]]
                         break
                 if pivot is None:
@@ -132,7 +155,7 @@ class Index:
                         if x[1][x[0]] == pivot:
                             score += x[2][x[0]]
                             x[0] += 1
-                    if score >= THRESHOLD - 1e-9:
+                    if score >= self.thresholds[pivot] - 1e-9:
                         found.append((pivot, score))
                 else:
                     for x in cursors:
@@ -142,8 +165,8 @@ class Index:
         return found
 
 
-def build_index(items: list[tuple[object, str | None]]) -> Index | None:
-    """items: (id, text). Items without words are left out; None if none is left."""
+def build_index(items: list[tuple[object, str | None]], overlap: float = OVERLAP) -> Index | None:
+    """items: (id, text). Items without words are left out; None if none is left. overlap: what a leak has of an item at least."""
     w = plain_words(pa.array([t or "" for _, t in items], pa.string()))
     at = code_points(w)
     rows = [(i, w.hashes[w.of[k] : w.of[k + 1]], t or "", at[w.starts[w.of[k] : w.of[k + 1]]] - at[w.offsets[k]]) for k, (i, t) in enumerate(items) if w.of[k + 1] > w.of[k]]
@@ -183,7 +206,13 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     lookup = np.zeros(1 << 20, bool)
     lookup[(terms >> _U(44)).astype(np.int64)] = True
     block_at = np.concatenate([[0], np.cumsum(np.bincount(block_pair // n_blocks, minlength=len(terms)))])
-    return Index(ids, terms, lookup, common, block_at, block_pair % n_blocks, block_max, common_bound, int(size.max()), tokens, [_shingles(t) for t in tokens], answers, by_block)
+    weights: list[dict[int, float]] = [{} for _ in rows]
+    for t, i, w in zip(terms[term].tolist(), item.tolist(), impact.tolist(), strict=True):
+        weights[i][t] = w
+    thresholds = np.array([threshold(x, w, overlap) for x, w in zip(tokens, weights, strict=True)])
+    block_threshold = np.full(n_blocks, np.inf)
+    np.minimum.at(block_threshold, np.arange(len(rows)) // BLOCK_ITEMS, thresholds)
+    return Index(ids, terms, lookup, common, block_at, block_pair % n_blocks, block_max, common_bound, int(size.max()), tokens, [_shingles(t) for t in tokens], answers, thresholds, block_threshold, by_block)
 
 
 def leaks(index: Index, column: pa.Array, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP) -> list[tuple[int, object, float, float, float]]:
@@ -226,29 +255,42 @@ def leaks(index: Index, column: pa.Array, overlap: float = OVERLAP, answer_overl
     return [(row, index.ids[item], score, share, answered) for (row, item), (share, answered, score) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """One index for each slice of at most about SLICE_ITEMS items."""
-    items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
-    slices = max(1, -(-items.count() // SLICE_ITEMS))
-    for s in range(slices):
-        own = items.where(F.pmod(F.xxhash64("k"), F.lit(slices)) == s).orderBy("k", "t").collect()
-        if index := build_index([(r["k"], r["t"]) for r in own]):
-            yield index
+def slices(classes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(least class, last class, number of slices) of neighbouring classes of lengths. classes: (floor(log2(bytes)), items, bytes), ascending."""
+    out: list[list[int]] = []
+    for c, items, size in classes:
+        if out and out[-1][2] + items <= SLICE_ITEMS and out[-1][3] + size <= SLICE_BYTES and not (out[-1][0] < LONG.bit_length() - 1 <= c):
+            out[-1][1:] = [c, out[-1][2] + items, out[-1][3] + size]
+        else:
+            out.append([c, c, items, size])
+    return [(a, b, max(1, -(-items // SLICE_ITEMS), -(-size // SLICE_BYTES))) for a, b, items, size in out]
+
+
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", overlap: float = OVERLAP) -> Iterator[Index]:
+    """One index for each slice of the items."""
+    items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t <> ''")
+    items = items.withColumn("n", F.octet_length("t")).withColumn("c", F.floor(F.log2("n")).cast("int"))
+    classes = items.groupBy("c").agg(F.count("*").alias("items"), F.sum("n").alias("bytes")).orderBy("c").collect()  # a row for each power of two
+    for first, last, n in slices([tuple(r) for r in classes]):
+        for s in range(n):
+            own = items.where(F.col("c").between(first, last) & (F.pmod(F.xxhash64("k"), F.lit(n)) == s)).orderBy("k", "t").select("k", "t").collect()
+            if index := build_index([(r["k"], r["t"]) for r in own], overlap):
+                yield index
 
 
 SCHEMA = "doc_id long, item_id long, score double, overlap double, answer_overlap double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP) -> DataFrame:
     """doc_id, item_id, score, overlap, answer_overlap of every document and item that it holds."""
     spark, out = docs.sparkSession, None
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)  # at most SLICE_ITEMS items
+    for index in indexes(benchmark, overlap=overlap):
+        shared = spark.sparkContext.broadcast(index)  # at most SLICE_ITEMS items of SLICE_BYTES
 
         def run(batches, shared=shared):
             for batch in batches:
                 for b in blocks(batch, "text"):
-                    found = leaks(shared.value, b.column("text"))
+                    found = leaks(shared.value, b.column("text"), overlap, answer_overlap)
                     ids = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "overlap", "answer_overlap"])
 
@@ -256,20 +298,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], SCHEMA)
-    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "overlap", "answer_overlap")))
+    best = F.max(F.struct("overlap", "answer_overlap", "score")).alias("best")  # of repeated rows, and of items that repeat an id
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *(f"best.{c}" for c in ("score", "overlap", "answer_overlap")))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns stay as they are."""
     where = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, overlap=overlap):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             for batch in batches:
                 for b in blocks(batch, batch.schema.names[where]):
                     keep = np.ones(b.num_rows, bool)
-                    keep[[f[0] for f in leaks(shared.value, b.column(where))]] = False
+                    keep[[f[0] for f in leaks(shared.value, b.column(where), overlap, answer_overlap)]] = False
                     yield b.filter(pa.array(keep))
 
         docs = bounded(docs).mapInArrow(run, docs.schema)

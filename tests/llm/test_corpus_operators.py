@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracles import connection, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -117,11 +118,45 @@ def test_retrieval_equals_exhaustive_scores():
             for _, items, impacts in index.by_block[t].values():
                 for i, w in zip(items, impacts, strict=True):
                     scores[i] += w
-        want = {i for i, s in scores.items() if s >= decontaminate.THRESHOLD - 1e-9}
+        want = {i for i, s in scores.items() if s >= index.thresholds[i] - 1e-9}
         got = dict(index.retrieve(terms, list(range(len(index.common_bound)))))
         assert set(got) == want and all(abs(got[i] - scores[i]) < 1e-9 for i in want)
 
 
+def test_no_passage_that_verification_accepts_lies_below_the_threshold():
+    rng = random.Random(15)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(["rare%d" % i] * (i % 2) + [rng.choice(common) for _ in range(rng.randrange(4, 40))] + ["odd%d" % i] * (i % 3))) for i in range(201)]
+    items.append((201, "unique0 c1 c2 c3 c4 c5 c6 c7 c8 c9 c10 c11 c0 unique1"))
+    index = decontaminate.build_index(items)
+    assert index.thresholds[index.ids.index(201)] < 0.5
+    for n, words in enumerate(index.words):
+        grams = {tuple(words[k : k + 5].tolist()): set(words[k : k + 5].tolist()) for k in range(len(words) - 4)}
+        scored = {}
+        for t, blocks in enumerate(index.by_block):
+            for _, own, impacts in blocks.values():
+                if n in own:
+                    scored[int(index.terms[t])] = impacts[own.index(n)]
+        for _ in range(20):
+            kept = rng.sample(sorted(grams), -(-len(grams) * 8 // 10)) if grams else []
+            there = set().union(*(grams[g] for g in kept)) if grams else set(words.tolist())
+            assert sum(scored[t] for t in there) >= index.thresholds[n] - 1e-9
+    passage = "and so c0 c1 c2 c3 c4 c5 c6 c7 c8 c9 c10 c11 c0 c5 on".replace("c0 c1", "x c1", 1)
+    assert 201 in [f[1] for f in decontaminate.leaks(index, pa.array([passage]), answer_overlap=0.5)]
+
+
+def test_long_items_have_slices_of_their_own(spark, monkeypatch):
+    assert decontaminate.slices([]) == [] and decontaminate.slices([(3, 10, 100), (6, 10, 1000), (17, 1, 1 << 17)]) == [(3, 6, 1), (17, 17, 1)]
+    assert decontaminate.slices([(6, 50_000, 4_000_000), (7, 10, 1500)]) == [(6, 6, 3), (7, 7, 1)]
+    rng = random.Random(16)
+    items = [(i, prose(rng, 12)) for i in range(30)] + [(100, prose(rng, 20_000))]
+    rows = [(i, "before " + t + " after") for i, t in items]
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", 8)
+    got = decontaminate.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.where("doc_id = item_id").collect()} == {(i, i) for i, _ in items}
+    assert len(list(decontaminate.indexes(spark.createDataFrame(items, "item_id long, text string")))) > 3
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(6)
     items = [(i, t) for i, t in _items(rng, 50) if len(t.split()) >= 5] + [(90, None), (91, ""), (92, "rare words")]
