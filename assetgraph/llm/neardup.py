@@ -226,3 +226,17 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
     from assetgraph.llm.jobs import table
 
     return components(table(spark, sf_dir, "documents"), shingle=2)
+
+
+#: All pairs that share a shingle, on whole sets; labels then spread along the links.
+ORACLE = f"""
+with recursive texts as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+grams as (select doc_id, len(w) as n, case when len(w) = 1 then [w[1]] when len(w) > 1 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else [] end as g from texts),
+sized as (select doc_id, len(g) as n_shingles from grams),
+flat as (select distinct doc_id, unnest(g) as s from grams),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from flat a join flat b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * c >= {PERCENT} * (x.n_shingles + y.n_shingles - c)),
+both_ways as (select a as u, b as v from links union all select b, a from links),
+reach as (select u, u as v from both_ways union select r.u, l.v from reach r join both_ways l on l.u = r.v),
+label as (select u as doc_id, min(v) as component from reach group by 1)
+select doc_id, cast(n_shingles as bigint) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept from sized left join label using (doc_id)"""

@@ -5,11 +5,13 @@ totals per partition give by prefix sums the global place of each partition. Pas
 multiples of the length. Both passes are narrow: no row is shuffled. The driver sees one number per partition.
 
 Defined results: a null text is empty; every document ends with `eos`, so an empty one has one token. Rows that repeat a
-doc_id or have none are documents of their own. The order is that of the scan's partitions. No documents: no pieces.
+doc_id or have none are documents of their own. The order is that of the scan's partitions. No documents: no pieces. Further columns
+are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -50,17 +52,36 @@ _BREAK[_DIGIT, [_LETTER, _DIGIT, _PUNCT]] = _BREAK[[_LETTER, _PUNCT], _DIGIT] =
 _BREAK = _BREAK.ravel()
 
 
+# The normalisation and pre-tokenization under which pieces of words have ids of their own.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def in_pieces(spec: dict) -> bool:
+    """Whether a tokenizer's file describes one that gives the pieces of a text the ids that they have in it."""
+    return spec.get("normalizer") == _NORMALISER and spec.get("pre_tokenizer") == _PRE_TOKENIZER and spec.get("model", {}).get("type") == "BPE" and not spec.get("truncation") and not spec.get("padding") and not spec["model"].get("dropout")
+
+
 class PieceTokenizer:
     """Ids of a word tokenizer that drops white space: encodes each distinct word piece once and looks up the rest.
 
     Pieces are cut at ASCII white space and between ASCII letters, digits and punctuation (apostrophes apart), where
-    the tokenizer's pre-tokenization breaks whatever stands around. Texts with added tokens are encoded whole.
+    the tokenizer's pre-tokenization breaks whatever stands around. Texts with added tokens are encoded whole, and so is every text
+    where the tokenizer is of another kind (`in_pieces`).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.whole = not in_pieces(json.load(file))
         self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
@@ -116,7 +137,7 @@ class PieceTokenizer:
         if not len(buf):
             return np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
         raw = buf.tobytes()
-        if any(a in raw for a in self.added):
+        if self.whole or any(a in raw for a in self.added):
             ids, size = self._encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             return ids, np.concatenate([[0], np.cumsum(size)])
         low, kind = LOWER[buf], _KIND[buf]

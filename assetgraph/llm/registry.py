@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetgraph.llm import licenses, warc
+from assetgraph.llm import licenses, neardup, vptree, warc
 from assetgraph.llm.decontaminate import op1_decontaminate
 from assetgraph.llm.neardup import op5_minhash
 from assetgraph.llm.packing import op10_packing
@@ -31,5 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    """Nearest neighbours are checked in double precision to 9 digits by the tests; here the ranks that SQL shares exactly."""
-    return {"op7_licenses": licenses.oracle(), "op8_warc": warc.ORACLE}
+    """SQL for the operators whose results SQL can give exactly."""
+    return {"op2_vptree": vptree.ORACLE, "op5_minhash": neardup.ORACLE, "op7_licenses": licenses.oracle(), "op8_warc": warc.ORACLE}

@@ -5,16 +5,20 @@ vectors at the median distance m from a vantage point; a side cannot hold anythi
 skipped when `factor` times that bound exceeds the query's k-th best distance: factor 1 is exact search, larger factors
 prune more. Queries walk a tree together, so a node costs one matrix product for all queries that visit it.
 
-Shards hold about `SHARD_ROWS` vectors of one dimension, query blocks about `BLOCK_QUERIES`; every block meets every shard
-in a group of its own, and the k best of each group meet in a ranked merge that cuts partitions to k rows before its shuffle.
+Shards hold about `SHARD_ROWS` vectors of one dimension. Each shard's tree is built once and written to the shared folder. A block of about
+`BLOCK_QUERIES` queries walks a set of trees one after the other in one task, so that what it has found in one prunes the next; vectors
+are not copied for the blocks, and a task holds one tree and one block. Small inputs deal the trees to several tasks for each
+block; the k best of each meet in a ranked merge that cuts partitions to k rows before its shuffle.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components take no part; only vectors of the
 query's dimension are candidates; rows that repeat a vec_id count once (the smallest vector); a null vec_id takes no
-part. Scores are given to 12 decimals; ties, scores that are equal there, go to the smaller vec_id, however many they are.
+part; an empty table gives no rows; further columns are not looked at. Scores are given to 12 decimals; ties, scores that are equal there, go to the smaller vec_id, however many they are.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -22,11 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetgraph.llm.jobs import fresh_path, materialise
+
 K = 5
 FACTOR = 1.0
 LEAF = 128
-SHARD_ROWS = 16384
+SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Tasks for each core that small inputs are dealt to.
+WAVES = 2
 DIGITS = 12
 NOISE = 1e-11  # above the rounding of a matrix product and of DIGITS
 SLACK = 2e-6  # above the root of what equal cosines may differ by
@@ -69,20 +77,24 @@ class Tree:
             self.nodes.append([vantage, float(distance[part[middle]]), -1, -1])
             stack += [(start + middle, end, (me, 1)), (start, start + middle, (me, 0))]
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """The rows of each query's k nearest, ties by row (-1 where there are fewer); own: the row of the query itself or -1."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> np.ndarray:
+        """The rows of each query's k nearest, ties by row (-1 where there are fewer); own: the row of the query itself or -1.
+
+        floor: scores that k rows elsewhere reach already; rows below it may be left out.
+        """
         q = _unit(queries)
         most = k + 1  # directions: the query's own may have no other member
         best = np.full((len(q), most), -np.inf)
         found = np.full((len(q), most), -1)
+        least = np.full(len(q), -np.inf) if floor is None else floor
 
         def visit(node: int, active: np.ndarray) -> None:
             what = self.nodes[node]
             if what[0] is None:
                 rows = self.order[what[1] : what[2]]
                 sims = q[active] @ self.unit[rows].T
-                floor = np.partition(np.concatenate([best[active], sims], axis=1), -most, axis=1)[:, -most]
-                i, j = np.nonzero(sims >= floor[:, None] - NOISE)
+                bar = np.maximum(np.partition(np.concatenate([best[active], sims], axis=1), -most, axis=1)[:, -most], least[active])
+                i, j = np.nonzero(sims >= bar[:, None] - NOISE)
                 if not len(i):
                     return
                 at, names = active[i], rows[j]
@@ -100,7 +112,7 @@ class Tree:
                 if first.any():
                     visit(side, active[first])
             bound = np.abs(d - median) * factor
-            open_ = bound <= _distance(best[active, -1]) + SLACK
+            open_ = bound <= _distance(np.maximum(best[active, -1], least[active])) + SLACK
             for other, side in ((~inside, near), (inside, far)):
                 go = other & open_
                 if go.any():
@@ -146,19 +158,49 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * np.maximum(cosine, -1.0), 0))
 
 
-def _search(k: int, factor: float) -> Callable:
-    def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+def _build(uri: str) -> Callable:
+    """Writes the tree of a shard's vectors below uri, in a file of a random name; a task that runs again writes another."""
+
+    def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
         shard = shard.sort_values("vec_id")
-        ids, vectors = shard["vec_id"].to_numpy(), np.stack(shard["v"].to_numpy()).astype(np.float64)
-        names, asked = queries["query_id"].to_numpy(), np.stack(queries["q"].to_numpy()).astype(np.float64)
-        at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-        tree = Tree(vectors)
-        found = tree.search(asked, np.where(ids[at] == names, at, -1), k, factor)
-        row, _ = np.nonzero(found >= 0)
-        col = found[found >= 0]
-        return pd.DataFrame({"query_id": names[row], "vec_id": ids[col], "score": _cosine(_unit(asked), row, tree.unit, tree.of[col])})
+        tree = Tree(np.stack(shard["v"].to_numpy()).astype(np.float64))
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.tree"
+        with store.open_output_stream(f"{root}/{name}") as out:
+            pickle.dump((shard["vec_id"].to_numpy(), tree), out, protocol=5)
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "file": [name]})
+
+    return run
+
+
+def _walk(uri: str, files, k: int, factor: float) -> Callable:
+    """A block of queries through the trees of its set, with the best of all of them kept. files: a broadcast, by dimension and set."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        names, asked = group["query_id"].to_numpy(), np.stack(group["q"].to_numpy()).astype(np.float64)
+        unit, n = _unit(asked), len(group)
+        ids, scores, floor = np.full((n, k), -1), np.full((n, k), -np.inf), np.full(n, -np.inf)
+        held = np.zeros((n, k), bool)
+        store, root = fs.FileSystem.from_uri(uri)
+        for file in files.value.get((key[0], key[1]), []):
+            with store.open_input_file(f"{root}/{file}") as source:
+                own, tree = pickle.loads(source.read())
+            at = np.minimum(np.searchsorted(own, names), len(own) - 1)
+            found = tree.search(asked, np.where(own[at] == names, at, -1), k, factor, floor)
+            row, slot = np.nonzero(found >= 0)
+            col = found[row, slot]
+            new = _cosine(unit, row, tree.unit, tree.of[col])
+            old, place = np.nonzero(held)
+            at, name, score, rank = _first(np.concatenate([old, row]), np.concatenate([ids[old, place], own[col]]), np.concatenate([scores[old, place], new]), k)
+            ids[at, rank], scores[at, rank], held[at, rank] = name, score, True
+            floor = np.where(held[:, -1], scores[:, -1], -np.inf)
+        row, slot = np.nonzero(held)
+        return pd.DataFrame({"query_id": names[row], "vec_id": ids[row, slot], "score": scores[row, slot]})
 
     return run
 
@@ -173,14 +215,22 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that is_query (over vec_id) marks."""
-    rows = usable(vectors)
+    spark, rows = vectors.sparkSession, usable(vectors)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     shards, parts = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_queries))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("part", every(parts))
-    right = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")).withColumn("shard", every(shards))
-    keys = ("dim", "shard", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k, factor), "query_id long, vec_id long, score double")
+    uri = fresh_path(spark, "trees")
+    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    trees = materialise(sharded.groupBy("dim", "shard").applyInPandas(_build(uri), "dim int, shard int, file string"), "tree-files")
+    # a set of trees for each task; large inputs have blocks enough for one set
+    sets = min(shards, max(1, -(-WAVES * spark.sparkContext.defaultParallelism // parts)))
+    files: dict[tuple[int, int], list[str]] = {}
+    for r in trees.orderBy("dim", "shard").collect():  # a name for each shard of vectors
+        files.setdefault((r["dim"], r["shard"] % sets), []).append(r["file"])
+    shared = spark.sparkContext.broadcast(files)
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    blocks = asked.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    found = blocks.groupBy("dim", "set", "part").applyInPandas(_walk(uri, shared, k, factor), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -189,3 +239,12 @@ def op2_vptree(spark, sf_dir: str) -> DataFrame:
     from assetgraph.llm.jobs import table
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE = f"""
+with good as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+once as (select vec_id, min(v) as v from good group by 1),
+scored as (select q.vec_id as query_id, c.vec_id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), {DIGITS}) as score
+  from once q join once c on len(c.v) = len(q.v) and c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= {K}"""

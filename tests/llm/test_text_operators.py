@@ -60,6 +60,14 @@ def test_piece_tokenizer_equals_the_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
 
 
+def test_a_tokenizer_of_another_kind_encodes_whole_texts():
+    model = packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert model.whole and not packing.PieceTokenizer(PATH).whole
+    ids, offsets = model.encode(pa.array([*HARD, None]))
+    want = [e.ids for e in model.model.encode_batch([*HARD, ""], add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
 def test_packing_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([None, "", *HARD]) if i % 3 else " ".join(rng.choice(["the", "réeux", "x9", "b,"]) for _ in range(rng.randrange(400))), "en", "clash") for i in range(60)]
