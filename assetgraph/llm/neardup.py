@@ -4,26 +4,29 @@ evaluations give as many independent estimates; bands of signature values name c
 1. Each document: its set of n-word shingles (64-bit fingerprints of whole words), the set's digest, its bands.
 2. Documents with equal sets collapse to the smallest doc_id (one aggregation; no pairs).
 3. Within a band's bucket every member is held against the smallest one. The confirmed links are joined to components.
-4. Buckets whose members still lie in different components are settled exactly: their shingle sets meet in blocks
-   of bounded size and all pairs across components are counted inside the task. Only links leave it, at most one per
-   member and block.
+4. Large buckets whose members still lie in different components get further hubs, members drawn by a hash, as long as these
+   join a fair part of what is left.
+5. Buckets that stay open are settled exactly: the members outside the bucket's main component, in blocks of bounded size, meet
+   all its members, in blocks too, and pairs across components are counted inside the task. Only links leave it, at most one for
+   each member and block.
 
-Nothing is capped: the hubs only save work, step 4 covers what they leave. A pair at the threshold shares no band
-with probability (1 - 0.8^5)^32 = 3e-6.
+Nothing is capped: the hubs only save work, step 5 covers what they leave. Rows of a bucket are joined in portions of about `PORTION`, a
+hub's set is dealt to as many tasks as its bucket needs. If the extremes were independent, a pair at the threshold would share no band with
+probability (1 - 0.8^5)^32 = 3e-6; in sets of a few shingles they are not, and it is about 2e-5.
 
 Defined results: null and empty texts have an empty set and stay alone. Rows with the same doc_id are one document (their
 sets are held apart, their links are joined); each row is returned. A null doc_id takes no part: its component is null,
-its row is kept.
+its row is kept. An empty table has no rows. Further columns are not looked at (`components`) or stay (`keep_first`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetgraph.llm.components import connected_components
@@ -34,6 +37,10 @@ BANDS, BAND_ROWS = 32, 5
 PERCENT = 80
 #: Shingles per block when buckets are settled exactly; memory per task follows it, results do not.
 BLOCK_SHINGLES = 400_000
+#: Members of a bucket that are joined in one portion.
+PORTION = 1000
+#: Further hubs of large buckets end after so many, or when one joins less than this share of what it is held against.
+MORE_HUBS, FAIR = 6, 0.1
 
 _U = np.uint64
 
@@ -119,20 +126,18 @@ def _sets(n: int):
 
 
 def _settle(percent: int):
-    """Links across components within a block of a bucket: joins what it finds as it goes, so at most one per member."""
+    """Links across components between the drivers and all members of a group: joins what it finds as it goes, so at most one per member."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc").drop_duplicates("doc")
-        docs, labels = group["doc"].to_numpy(), group["component"].to_numpy().copy()
+        group = group.sort_values(["doc", "driver"], ascending=[True, False]).drop_duplicates("doc")
+        docs, labels, drivers = group["doc"].to_numpy(), group["component"].to_numpy().copy(), np.flatnonzero(group["driver"].to_numpy())
         sets = [np.asarray(g, np.int64) for g in group["grams"]]
         size = np.array([len(s) for s in sets])
         every, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         flat, every = flat[order], every[order]
-        main = pd.Series(labels).value_counts()
         found = []
-        # members of the largest component need not be held against each other, so they never drive
-        for i in np.flatnonzero(labels != main.index[0]) if len(main) else []:
+        for i in drivers:
             left, right = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             hit = right - left
             at = np.repeat(left - (np.cumsum(hit) - hit), hit) + np.arange(hit.sum())
@@ -147,13 +152,24 @@ def _settle(percent: int):
     return run
 
 
+def _portions(size: Column) -> Column:
+    return F.ceil(size / PORTION).cast("int")
+
+
+def _portion(doc: Column, size: Column) -> Column:
+    return F.pmod(F.xxhash64(doc, F.lit(2)), _portions(size)).cast("int")
+
+
+def _for_each_portion(buckets: DataFrame, size: str) -> DataFrame:
+    return buckets.withColumn("portion", F.explode(F.sequence(F.lit(0), _portions(F.col(size)) - 1)))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (a, b) on whole shingle sets. A hub's set is dealt to several salts, its many partners with it."""
-    salts = 8
-    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b").withColumn("salt", F.pmod("b", F.lit(salts)))
-    hubs = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc").select(F.col("doc").alias("a"), F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    """The pairs (a, b, size, ...) that are links on whole shingle sets. size: of the bucket of hub a, whose set is dealt to as many portions."""
+    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b").withColumn("portion", _portion(F.col("b"), F.col("size")))
+    hubs = _for_each_portion(pairs.groupBy("a").agg(F.max("size").alias("most")).join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a"), "most").select("a", "portion", "ga")
     common = F.size(F.array_intersect("ga", "gb"))
-    return left.join(hubs, ["a", "salt"]).where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+    return left.join(hubs, ["a", "portion"]).where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select(*pairs.columns)
 
 
 def components(docs: DataFrame, shingle: int = 2, percent: int = PERCENT, count: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -168,21 +184,32 @@ def components(docs: DataFrame, shingle: int = 2, percent: int = PERCENT, count:
 
     members = first.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("doc").alias("hub"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1")
+        F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("hub"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1")
     )
     # buckets of several bands with the very same members are one
-    shared = shared.where("size > 1").groupBy("size", "hub", "x0", "x1").agg(F.min("key").alias("key")).select("key", "size", "hub")
-    buckets = materialise(members.join(shared, "key").select("key", "doc", "n", "size", "hub"), "buckets")
+    shared = shared.where("size > 1").groupBy("size", F.col("hub.doc").alias("hub"), "x0", "x1").agg(F.min("key").alias("key"), F.min("hub.n").alias("hub_n")).select("key", "size", "hub", "hub_n")
+    buckets = materialise(members.join(shared, "key").select("key", "doc", "n", "size", "hub", "hub_n"), "buckets")
     candidates = buckets.select("doc").distinct().hint("merge")  # grows with the corpus: never broadcast
     sets = materialise(map_blocks(texts.join(candidates, texts["doc_id"] == candidates["doc"], "left_semi"), "text", _sets(shingle), "doc long, grams array<long>"), "sets")
 
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    sizes = first.select(F.col("doc").alias("hub"), F.col("n_shingles").alias("hub_n"))
-
-    pairs = buckets.where("doc <> hub").select("doc", "n", "hub").distinct().join(sizes, "hub").where(near)
-    links = materialise(_confirm(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")), sets, percent), "confirmed")
+    pairs = buckets.where(_near("n", "hub_n", percent) & (F.col("doc") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.max("size").alias("size"))
+    links = materialise(_confirm(pairs, sets, percent).select("a", "b"), "confirmed")
     # with two members the hub has settled the bucket
-    open_buckets = materialise(_unsettled(buckets.where("size > 2"), connected_components(links)), "open")
+    label = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
+    labelled = buckets.where("size > 2").select("key", "doc", "n", "size").join(label, "doc", "left").select("key", "doc", "n", "size", F.coalesce("c", "doc").alias("component"))
+    open_buckets = materialise(_unsettled(labelled), "open")
+    for turn in range(MORE_HUBS):
+        large = open_buckets.where(F.col("total") > BLOCK_SHINGLES)
+        if large.isEmpty():
+            break
+        tried = materialise(_held_against_a_hub(large, turn, percent), "tried")
+        new = materialise(_confirm(tried, sets, percent), "confirmed")
+        links = links.unionByName(new.select("a", "b"))
+        joined = connected_components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = open_buckets.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+        open_buckets = materialise(_unsettled(moved.select("key", "doc", "n", "size", F.coalesce("c", "component").alias("component"))), "open")
+        if new.count() < FAIR * tried.count():
+            break
     if not open_buckets.isEmpty():
         links = links.unionByName(_settled(open_buckets, sets, percent))
     label = connected_components(links.unionByName(copies))
@@ -191,35 +218,56 @@ def components(docs: DataFrame, shingle: int = 2, percent: int = PERCENT, count:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of the buckets that span several components, with the component."""
-    label = label.select(F.col("node").alias("doc"), F.col("component").alias("c"))
-    joined = buckets.select("key", "doc", "n", "size").join(label, "doc", "left").withColumn("component", F.coalesce("c", "doc")).drop("c")
-    spread = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return joined.join(spread, "key", "left_semi").select("key", "doc", "n", "size", "component")
+def _near(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _unsettled(labelled: DataFrame) -> DataFrame:
+    """key, doc, n, size, component of the members of buckets that span several components, with the bucket's main component, its shingles
+    (total) and those outside the main component (rest)."""
+    by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("size").alias("size"))
+    main = F.max(F.struct("k", "component", "n"))
+    spread = by_component.groupBy("key").agg(F.count("*").alias("parts"), main.alias("m"), F.sum("n").alias("total"), F.max("size").alias("size")).where("parts > 1")
+    spread = _for_each_portion(spread.select("key", F.col("m.component").alias("main"), "total", (F.col("total") - F.col("m.n")).alias("rest"), "size"), "size").drop("size")
+    return labelled.withColumn("portion", _portion(F.col("doc"), F.col("size"))).join(spread, ["key", "portion"]).drop("portion")
+
+
+def _held_against_a_hub(large: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b, size, ca, cb) of a hub that a hash draws in each bucket and the members of other components."""
+    hub = F.min(F.struct(F.xxhash64("doc", F.lit(100 + turn)), "doc", "n", "component"))
+    hubs = _for_each_portion(large.groupBy("key").agg(hub.alias("h"), F.max("size").alias("size")), "size").select("key", "portion", F.col("h.doc").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("ca"))
+    joined = large.withColumn("portion", _portion(F.col("doc"), F.col("size"))).join(hubs, ["key", "portion"])
+    pairs = joined.where((F.col("component") != F.col("ca")) & _near("n", "hub_n", percent))
+    return pairs.groupBy("a", F.col("doc").alias("b")).agg(F.max("size").alias("size"), F.first("ca").alias("ca"), F.first("component").alias("cb"))
 
 
 def _settled(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact links across components: a bucket is dealt to parts of bounded size, every two parts meet in one group."""
-    parts = buckets.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    dealt = buckets.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    met = dealt.select("key", "doc", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("p"), F.greatest(j, "part").alias("q")))).alias("at"))
-    # groups without two components have nothing to settle
-    met = met.select("key", "doc", "component", "at.p", "at.q").join(sets, "doc")
+    """Exact links across components: the members, and those outside the main component once more as drivers, are dealt to blocks of
+    bounded size; every block of drivers meets every block of members in a group."""
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
+    place = lambda seed, n: F.pmod(F.xxhash64("doc", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = buckets.withColumn("_p", blocks("total")).withColumn("_q", blocks("rest"))
+    members = own.select("key", "doc", "component", place(3, F.col("_p")).alias("p"), every(F.col("_q")).alias("q"), F.lit(False).alias("driver"))
+    drivers = own.where("component <> main").select("key", "doc", "component", every(F.col("_p")).alias("p"), place(4, F.col("_q")).alias("q"), F.lit(True).alias("driver"))
+    met = members.unionByName(drivers).join(sets, "doc")
     return met.groupBy("key", "p", "q").applyInPandas(_settle(percent), "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id. Rows that repeat a
-    doc_id are reduced to one; rows without doc_id stay."""
+    """docs with one document of each group of near-duplicates: the one with the smallest doc_id. Of rows that repeat a
+    doc_id one stays, that with the smallest text, null before others; rows without doc_id stay."""
     found = materialise(components(docs, shingle, percent), "components")
-    dropped = found.where("not kept").select("doc_id").distinct().hint("merge")  # grows with the corpus: never broadcast
-    out = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), docs["doc_id"] == F.col("_dropped"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    mark = f"_{uuid.uuid4().hex}"  # clashes with no column of docs
+    dropped = found.where("not kept").select(F.col("doc_id").alias(mark)).distinct().hint("merge")  # grows with the corpus: never broadcast
+    out = docs.join(dropped, docs["doc_id"] == F.col(mark), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark))
     if repeated.isEmpty():
         return out
-    once = out.join(repeated, out["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, out["doc_id"] == F.col("_again"), "left_anti").unionByName(once)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = out.join(repeated, out["doc_id"] == F.col(mark), "left_semi").withColumn(mark, nth).where(F.col(mark) == 1).drop(mark)
+    return out.join(repeated, out["doc_id"] == F.col(mark), "left_anti").unionByName(once)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,9 @@ def _union(n, links):
     return [top(i) for i in range(n)]
 
 
-def test_components_of_chains_stars_and_cycles(spark):
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_LEAST", hot)
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     links += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -76,7 +78,9 @@ def _classes(rows, n, percent=80):
 
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, shingle, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)  # several parts a bucket
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)  # several blocks a bucket, and further hubs
+    monkeypatch.setattr(neardup, "PORTION", 3)
+    monkeypatch.setattr(components, "HOT_LEAST", 4)
     rng = random.Random(shingle)
     rows, families = [], [prose(rng, 60) for _ in range(6)]
     for i in range(150):
@@ -91,11 +95,31 @@ def test_near_duplicates_equal_brute_force(spark, shingle, monkeypatch):
     assert kept.columns == ["doc_id", "text", "component", "key"] and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
+@pytest.mark.parametrize("more", [0, 6])
+def test_a_large_bucket_of_loose_copies(spark, monkeypatch, more):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(neardup, "PORTION", 10)
+    monkeypatch.setattr(neardup, "MORE_HUBS", more)
+    rng = random.Random(21)
+    base = [f"{rng.choice(WORDS)}{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(40)] = f"new{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    want, _ = _classes(rows, 2)
+    got = neardup.components(docs(spark, rows), 2, count=64, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None)]
     out = neardup.components(docs(spark, rows)).collect()
     assert sorted(((r.doc_id or 0), r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
     assert sorted(r.doc_id or 0 for r in neardup.keep_first(docs(spark, rows), 2).collect()) == [0, 1, 3]
+    twice = [(7, "some text"), (7, "another text"), (7, None), (8, "b"), (8, "a")]
+    assert sorted((r.doc_id, r.text or "") for r in neardup.keep_first(docs(spark, twice).repartition(3), 2).collect()) == [(7, ""), (8, "a")]
     assert neardup.components(docs(spark, [])).count() == 0 and neardup.keep_first(docs(spark, []), 2).count() == 0
 
 
