@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from assetgraph.llm.jobs import discard, fresh_path
 
-#: A node with more than a thousandth of all link ends, and HOT_LEAST at least, is joined by broadcast: there are no more than a thousand.
-HOT_SHARE, HOT_LEAST = 1000, 10_000
-
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b (long). Returns node, component: the smallest node that it can reach. Nodes without links have no row.
 
     Alternates two rounds until nothing changes: every node hands its smallest neighbour to its larger neighbours, then to its
-    smaller ones. Links shrink to stars in about log(n) rounds. Minima are taken by partial aggregation and the rows of a hub are
-    joined where they lie, so that its neighbours never meet in one task. A round's table is deleted when the next one is written.
+    smaller ones. Links shrink to stars in about log(n) rounds. Minima are taken by partial aggregation, so a hub's neighbours
+    are never gathered for them; in the join with the minima they are rows of two ids under one key, which stream through a task.
+    A round's table is deleted when the next one is written.
     """
     spark, last = links.sparkSession, None
 
@@ -35,18 +33,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = written(links)
     before = signature(links)
     while True:
-        hot_from = max(HOT_LEAST, 2 * before[0] // HOT_SHARE)
-
-        def with_minimum(rows: DataFrame, low: DataFrame, key: str, hot_from=hot_from) -> DataFrame:
-            hot, cold = F.broadcast(low.where(F.col("n") > hot_from).drop("n")), low.where(F.col("n") <= hot_from).drop("n")
-            return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
-
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_minimum(both.where("v > u"), low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        down = large.where("a <> b").distinct()  # a < b: each node's smaller neighbours
-        low = down.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = with_minimum(down, low, "b").select("m", "a").union(low.select("m", "b"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        down = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()  # a < b: each node's smaller neighbours
+        low = down.groupBy("b").agg(F.min("a").alias("m"))
+        small = down.join(low, "b").select("m", "a").union(low.select("m", "b"))
         links = written(small.toDF("a", "b"))
         after = signature(links)
         if after == before:

@@ -49,9 +49,7 @@ def _union(n, links):
     return [top(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [3, 10_000])
-def test_components_of_chains_stars_and_cycles(spark, monkeypatch, hot):
-    monkeypatch.setattr(components, "HOT_LEAST", hot)
+def test_components_of_chains_stars_and_cycles(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     links += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -80,7 +78,6 @@ def _classes(rows, n, percent=80):
 def test_near_duplicates_equal_brute_force(spark, shingle, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)  # several blocks a bucket, and further hubs
     monkeypatch.setattr(neardup, "PORTION", 3)
-    monkeypatch.setattr(components, "HOT_LEAST", 4)
     rng = random.Random(shingle)
     rows, families = [], [prose(rng, 60) for _ in range(6)]
     for i in range(150):
@@ -95,11 +92,9 @@ def test_near_duplicates_equal_brute_force(spark, shingle, monkeypatch):
     assert kept.columns == ["doc_id", "text", "component", "key"] and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
-@pytest.mark.parametrize("more", [0, 6])
-def test_a_large_bucket_of_loose_copies(spark, monkeypatch, more):
+def test_a_large_bucket_of_loose_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1000)
     monkeypatch.setattr(neardup, "PORTION", 10)
-    monkeypatch.setattr(neardup, "MORE_HUBS", more)
     rng = random.Random(21)
     base = [f"{rng.choice(WORDS)}{i}" for i in range(40)]
     rows = []
