@@ -229,7 +229,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FAC
         files.setdefault((r["dim"], r["shard"] % sets), []).append(r["file"])
     shared = spark.sparkContext.broadcast(files)
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
-    blocks = asked.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    blocks = asked.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).repartition(min(10_000, sets * parts), "dim", "set", "part")  # few bytes, much work
     found = blocks.groupBy("dim", "set", "part").applyInPandas(_walk(uri, shared, k, factor), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
