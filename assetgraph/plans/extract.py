@@ -9,7 +9,7 @@ from assetgraph.functions.paths import parent_path
 from assetgraph.operators import catalog as c
 from assetgraph.operators import extract as x
 
-LEAVES, DIRECTORIES, BUDGET, BLOCK_CAP = 10, 5, 120, 2000
+LEAVES, DIRECTORIES, BUDGET, BLOCK_CAP = 10, 5, 120, 500_000
 
 
 def _columns(spark, sf, kind):
@@ -95,7 +95,7 @@ def q_filter_triples(spark, sf):
 
 
 def q_document_triples(spark, sf):
-    return x.admitted_triples(fixture(spark, sf, "fx_triples").where("pos % 2 = 1"), _keywords(spark, sf), "asset_key", "pos", x.TRIPLE_CAP, self_loops=True, max_predicate=64)
+    return x.admitted_triples(fixture(spark, sf, "fx_triples"), _keywords(spark, sf), "asset_key", "pos", x.TRIPLE_CAP, self_loops=True, max_predicate=64)
 
 
 def q_leaf_candidates(spark, sf):
@@ -179,10 +179,10 @@ ORACLE = {
     "q_fallback_keywords": oracle(f"with {_FALL} select asset_key, string_agg(keyword, '|' order by nth) as keywords from fall where nth <= 12 group by 1", "fx_keywords", "fx_assets"),
     "q_parse_responses": f"with {_ANSWERS} select * from ans",
     "q_keywords_final": oracle(f"with {_FALL}, {_ANSWERS} select a.asset_key, case when a.keywords <> '' then a.keywords else (select string_agg(keyword, '|' order by nth) from fall f where f.asset_key = a.asset_key and nth <= 12) end as keywords from ans a", "fx_keywords", "fx_assets"),
-    "q_validate_relations": oracle(f"with {_GOOD.format(more='and subject <> object')} select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4", "fx_triples", "fx_keywords"),
-    "q_filter_triples": oracle(f"""with {_GOOD.format(more='')}, d as (select distinct asset_key, subject, predicate, object from fx_triples), g as (select distinct asset_key, subject, predicate, object from good)
+    "q_validate_relations": oracle(f"with {_GOOD.format(more='and subject <> object')} select asset_key, subject, predicate, object, pos from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 24", "fx_triples", "fx_keywords"),
+    "q_filter_triples": oracle(f"""with {_GOOD.format(more='')}, d as (select distinct asset_key, subject, predicate, object from fx_triples), g as (select * from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 180)
  select d.asset_key, count(g.asset_key) as accepted, count(*) - count(g.asset_key) as rejected from d left join g on d.asset_key = g.asset_key and d.subject = g.subject and d.predicate = g.predicate and d.object = g.object group by 1""", "fx_triples", "fx_keywords"),
-    "q_document_triples": oracle(f"with {_GOOD.format(more='and pos % 2 = 1 and length(predicate) <= 64')} select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4", "fx_triples", "fx_keywords"),
+    "q_document_triples": oracle(f"with {_GOOD.format(more='and length(predicate) <= 64')} select asset_key, subject, predicate, object, pos from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 180", "fx_triples", "fx_keywords"),
     "q_leaf_candidates": oracle(f"select asset_key, status from fx_assets where is_valid and status in ('PENDING', 'FAILED') order by asset_key limit {LEAVES}", "fx_assets"),
     "q_directory_ready": oracle(f"with {_READY} select * from ready", "fx_assets"),
     "q_directory_candidate": oracle(f"""with {_READY}, f as (select logical_path as parent, min(asset_key) as key from fx_assets where is_valid group by 1)

@@ -33,8 +33,10 @@ def _known(spark, sf):
 
 
 def q_mentions(spark, sf):
-    fresh = _known(spark, sf).where("asset_key % 2 = 0")
-    return g.merge_snapshot(_known(spark, sf).where("norm <> 'the'"), fresh, "asset_key")
+    """Stored mentions of all assets, those of French ones renewed."""
+    french = table(spark, sf, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("asset_key"))
+    known = saved(_known(spark, sf), "mentions")
+    return g.merge_snapshot(known.where("norm <> 'de'"), known.join(french, "asset_key", "left_semi"), "asset_key")
 
 
 def _entities(spark, sf):
@@ -45,13 +47,19 @@ def q_entities(spark, sf):
     return _entities(spark, sf)
 
 
+def _relations(spark, sf, known):
+    return g.semantic_relations(fixture(spark, sf, "fx_triples"), known, "asset_key", "pos")
+
+
 def q_semantic_relations(spark, sf):
-    return g.semantic_relations(fixture(spark, sf, "fx_triples"), _known(spark, sf), "asset_key", "pos")
+    return _relations(spark, sf, saved(_known(spark, sf), "mentions"))
 
 
 def _candidates(spark, sf):
-    relations = q_semantic_relations(spark, sf).withColumn("related", F.col("asset_key") % 3 != 0)
-    return g.relation_candidates(_known(spark, sf), relations, "asset_key")
+    """The mentions are made once and joined three times."""
+    known = saved(_known(spark, sf), "mentions")
+    relations = _relations(spark, sf, known).withColumn("related", F.col("relation") != "rel3")
+    return g.relation_candidates(known, relations, "asset_key")
 
 
 def q_relation_candidates(spark, sf):
@@ -59,10 +67,11 @@ def q_relation_candidates(spark, sf):
 
 
 def q_relation_writeback(spark, sf):
-    answers = q_semantic_relations(spark, sf).select("asset_key", "a", "b", F.lit("again").alias("relation")).unionByName(
-        _known(spark, sf).alias("x").join(_known(spark, sf).alias("y"), "asset_key").where("x.norm < y.norm and asset_key % 2 = 0").select("asset_key", F.col("x.norm").alias("a"), F.col("y.norm").alias("b"), F.lit("linked").alias("relation"))
-    )
-    return g.write_back(_candidates(spark, sf), answers.groupBy("asset_key", "a", "b").agg(F.max("relation").alias("relation")), "asset_key")
+    """Answers link what begins alike; the other pairs that were asked for are not related."""
+    found = _candidates(spark, sf)
+    alike = F.substring("focus", 1, 1) == F.substring("candidate", 1, 1)
+    answers = found.where(alike).select("asset_key", F.least("focus", "candidate").alias("a"), F.greatest("focus", "candidate").alias("b"), F.lit("linked").alias("relation")).distinct()
+    return g.write_back(found, answers, "asset_key")
 
 
 def q_graph_query(spark, sf):
@@ -202,12 +211,12 @@ _NODES = "select id, 'LogicalPath' as label, case when id = '/' then '/' else re
 _EDGES = "select case when depth = 1 then '/' else regexp_replace(id, '/[^/]*$', '') end as src, id as dst, 'CONTAINS' as type from dirs where id <> '/' union all select logical_path, 'asset:' || asset_key, 'HAS_DATA' from live"
 _N = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9一-龥]', '', 'g')"
 _KNOWN = f"known as (select distinct asset_key, {_N('keyword')} as norm from fx_keywords where {_N('keyword')} <> '')"
-_ENT = f"ent as (select {_N('keyword')} as norm, trim(regexp_replace(arg_min(keyword, asset_key * 10 + pos), '\\s+', ' ', 'g')) as name from fx_keywords where {_N('keyword')} <> '' group by 1)"
+_ENT = f"ent as (select {_N('keyword')} as norm, trim(regexp_replace(arg_min(keyword, asset_key * 100 + pos), '\\s+', ' ', 'g')) as name from fx_keywords where {_N('keyword')} <> '' group by 1)"
 _REL = f"""t as (select asset_key, pos, predicate, {_N('subject')} as s, {_N('object')} as o from fx_triples where predicate <> ''),
 rel as (select asset_key, least(s, o) as a, greatest(s, o) as b, arg_max(predicate, pos) as relation, arg_max(s > o, pos) as reversed from t where s <> '' and o <> '' and s <> o
  and exists (select 1 from known k where k.asset_key = t.asset_key and k.norm = s) and exists (select 1 from known k where k.asset_key = t.asset_key and k.norm = o) group by 1, 2, 3)"""
 _CAND = """grp as (select norm as focus, asset_key from (select *, row_number() over (partition by norm order by asset_key desc) as nth from known) where nth <= 8),
-cand as (select focus, g.asset_key, k.norm as candidate, case when r.asset_key is null then 'unknown' when r.asset_key % 3 <> 0 then 'related' else 'unrelated' end as status
+cand as (select focus, g.asset_key, k.norm as candidate, case when r.asset_key is null then 'unknown' when r.relation <> 'rel3' then 'related' else 'unrelated' end as status
  from grp g join known k on k.asset_key = g.asset_key and k.norm <> focus left join rel r on r.asset_key = g.asset_key and r.a = least(focus, k.norm) and r.b = greatest(focus, k.norm))"""
 _FOUND = f"found as (select id, label, case when id like '%9' then '' else name end as name from ({_NODES}) where id not like 'asset:%7'), links as (select src, dst from ({_EDGES}))"
 _VERS = "vers as (select doc_id, source, row_number() over (partition by source order by doc_id) as version, case when doc_id % 11 = 0 or n_chars % 100 / 100.0 < 0.9 then 'NEEDS_REVIEW' else 'AUTO_ACCEPTED' end as status from documents)"
@@ -221,12 +230,12 @@ def _recursive(sql: str, *names: str) -> str:
 ORACLE = {
     "q_graph_nodes": oracle(f"with {_STATE}, {_TREE} {_NODES}", "fx_assets_log"),
     "q_graph_edges": oracle(f"with {_STATE}, {_TREE} {_EDGES}", "fx_assets_log"),
-    "q_mentions": oracle(f"with {_KNOWN} select * from known where norm <> 'the' or asset_key % 2 = 0", "fx_keywords"),
+    "q_mentions": oracle(f"with {_KNOWN} select * from known where norm <> 'de' or asset_key in (select doc_id from documents where lang = 'fr')", "fx_keywords"),
     "q_entities": oracle(f"with {_ENT} select * from ent", "fx_keywords"),
     "q_semantic_relations": oracle(f"with {_KNOWN}, {_REL} select * from rel", "fx_keywords", "fx_triples"),
     "q_relation_candidates": oracle(f"with {_KNOWN}, {_REL}, {_CAND} select * from cand", "fx_keywords", "fx_triples"),
     "q_relation_writeback": oracle(f"""with {_KNOWN}, {_REL}, {_CAND}, asked as (select distinct asset_key, least(focus, candidate) as a, greatest(focus, candidate) as b from cand where status = 'unknown')
- select asset_key, a, b, asset_key % 2 = 0 as related, case when asset_key % 2 = 0 then 'linked' else 'no relation' end as relation, 'query-udf' as source from asked""", "fx_keywords", "fx_triples"),
+ select asset_key, a, b, a[1] = b[1] as related, case when a[1] = b[1] then 'linked' else 'no relation' end as relation, 'query-udf' as source from asked""", "fx_keywords", "fx_triples"),
     "q_graph_query": oracle(f"""with {_LIVE}, {_KNOWN}, w as (select row_number() over (order by asset_key desc) as rank, asset_key, logical_path from live where logical_path like '/docs/en/%' order by asset_key desc limit {NODES})
  select cast(rank as int) as rank, w.asset_key, logical_path as parent, norm from w left join known k on k.asset_key = w.asset_key order by rank, norm nulls first limit {max(100, 4 * NODES)}""", "fx_assets", "fx_keywords"),
     "q_graph_search": oracle(f"""with {_LIVE}, {_KNOWN} select asset_key from live a where data_type in ('file', 'document') and (contains(lower(file_name || chr(10) || logical_path), '{WORD}') or exists (select 1 from known k where k.asset_key = a.asset_key and contains(norm, '{WORD}'))) order by asset_key desc limit 120""", "fx_assets", "fx_keywords"),

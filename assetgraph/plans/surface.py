@@ -18,7 +18,7 @@ def q_leaf_meta(spark, sf):
 
 
 def q_leaf_execute(spark, sf):
-    columns = fixture(spark, sf, "fx_keywords").where("pos <= 2").select("asset_key", "pos", F.concat(F.lit("f"), "pos").alias("name"))
+    columns = fixture(spark, sf, "fx_keywords").select("asset_key", "pos", F.concat(F.lit("f"), "pos").alias("name"))
     found = transforms.leaf_execute(c.live(fixture(spark, sf, "fx_assets")).select("asset_key", "data_type", "file_name"), columns)
     return found.withColumns({n: F.array_join(n, "|") for n in ("keywords", "fields")})
 
@@ -61,9 +61,9 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 _PATH = "logical_path || '/' || file_name"
 ORACLE = {
     "q_leaf_meta": oracle(f"select asset_key as meta_key, logical_path, {_PATH} as asset_path, file_name, data_type, file_format, file_size, cast(null as varchar) as create_time, replace(substr({_PATH}, 2), '/', '.') as content_path from fx_assets where is_valid", "fx_assets"),
-    "q_leaf_execute": oracle("""with k as (select asset_key, string_agg('f' || pos, '|' order by pos) as fields from fx_keywords where pos <= 2 group by 1),
+    "q_leaf_execute": oracle("""with k as (select asset_key, string_agg('f' || pos, '|' order by pos) as fields from fx_keywords group by 1),
  r as (select a.asset_key, data_type, file_name, case when data_type = 'file' then '' else coalesce(fields, '') end as fields, case when data_type = 'file' and file_format = 'zip' then 'SKIPPED' when data_type <> 'file' and fields is null then 'FAILED' else 'SUCCESS' end as status from fx_assets a left join k on k.asset_key = a.asset_key where is_valid)
- select asset_key, status, case when status = 'SUCCESS' then case when fields = '' then '' else fields || '|' end || data_type || '|' || file_name else '' end as keywords, fields, case when data_type = 'file' then case when status = 'SKIPPED' then 'skipped' else 'office' end else data_type end as field_kind,
+ select asset_key, status, case when status = 'SUCCESS' then array_to_string(array_slice(list_concat(case when fields = '' then [] else string_split(fields, '|') end, [data_type, file_name]), 1, 12), '|') else '' end as keywords, fields, case when data_type = 'file' then case when status = 'SKIPPED' then 'skipped' else 'office' end else data_type end as field_kind,
  case status when 'SKIPPED' then 'unsupported file' when 'FAILED' then 'no fields' else '' end as message from r""", "fx_assets", "fx_keywords"),
     "q_sql_functions": oracle("select asset_key, logical_path || '/x' as path, file_format as extension, replace(replace(file_name, '_', ''), '.', '') as norm, cast((length(file_name) + 2) // 3 as bigint) as tokens, case when file_size > 0 then 1.0 else 0.0 end::double as confidence from fx_assets", "fx_assets"),
     "q_sql_expand": oracle(f"""with known as (select distinct asset_key, regexp_replace(lower(keyword), '[^a-z0-9一-龥]', '', 'g') as norm from fx_keywords) select k.asset_key, k.norm as candidate from known k where norm not in ('', '{FOCUS}') and exists (select 1 from known f where f.asset_key = k.asset_key and f.norm = '{FOCUS}')""", "fx_keywords"),
