@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ def sanitize_document_key(c: Column) -> Column:
 
 
 def normalize_field(c: Column) -> Column:
-    """The last dotted part without brackets and without characters outside letters, digits, `_`, `-` and Han; `key_2` is `key`."""
-    part = F.regexp_extract(F.regexp_replace(c, "[()]", ""), r"([^.]*)$", 1)
+    """The last dotted part without brackets at the ends and without characters outside letters, digits, `_`, `-` and Han; the second key header is `key`."""
+    part = F.regexp_extract(F.regexp_replace(strip(c), "^[()]+|[()]+$", ""), r"([^.]*)$", 1)
     name = F.regexp_replace(part, r"[^A-Za-z0-9_\-一-龥]", "")
-    return F.when(name.rlike("^key_[0-9]+$"), "key").otherwise(name)
+    return F.when(F.lower(name) == "key_2", "key").otherwise(name)
 
 
 def normalize_column(c: Column) -> Column:
@@ -40,8 +42,17 @@ def display_name(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
-def dedup_headers(df: DataFrame, group: str, position: str, name: str) -> DataFrame:
-    """Adds `header`: blanks become `column_<position>`, repeats get `_2`, `_3` and so on within their group."""
+def dedup_headers(df: DataFrame, group: str, position: str, name: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds `header`: blanks become `column_<position>`, repeats get `_2`, `_3` and so on within their group.
+
+    A name that an earlier column has by its suffix moves on to the next one, in rounds until all names of a group differ.
+    """
     filled = df.withColumn("_name", F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.concat(F.lit("column_"), F.col(position))).otherwise(F.trim(F.col(name))))
-    nth = F.row_number().over(Window.partitionBy(group, "_name").orderBy(position))
-    return filled.withColumn("_nth", nth).withColumn("header", F.when(F.col("_nth") == 1, F.col("_name")).otherwise(F.concat_ws("_", "_name", "_nth"))).drop("_name", "_nth")
+    header = F.when(F.col("_nth") == 1, F.col("_name")).otherwise(F.concat_ws("_", "_name", "_nth"))
+    rows = filled.withColumn("_nth", F.row_number().over(Window.partitionBy(group, "_name").orderBy(position)))
+    while True:
+        rows = rows.withColumn("header", header)
+        rows = save(rows.withColumn("_late", F.row_number().over(Window.partitionBy(group, "header").orderBy(position)) > 1))
+        if rows.where("_late").isEmpty():
+            return rows.drop("_name", "_nth", "_late")
+        rows = rows.withColumn("_nth", F.col("_nth") + F.col("_late").cast("int"))

@@ -75,6 +75,26 @@ def to_data_path(path: Column) -> Column:
     return F.concat(F.lit("data."), F.array_join(F.transform(segments(path), escape), "."))
 
 
+def normalize_escaped_path(path: Column) -> Column:
+    """Trimmed, runs of backslashes collapsed to one."""
+    return F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), r"\\{2,}", r"\\")
+
+
+def split_parent_leaf(path: Column) -> tuple[Column, Column]:
+    """The column path before its last unescaped dot and what follows; both empty where a side is."""
+    p = normalize_escaped_path(path)
+    dot = last_unescaped_dot(p)
+    inside = (dot > 0) & (dot < F.length(p) - 1)
+    return F.when(inside, F.substring(p, F.lit(1), dot)).otherwise(""), F.when(inside, F.substring(p, dot + 2, F.length(p))).otherwise("")
+
+
+def to_file_leaf_path(prefix: Column, file: Column) -> Column:
+    """A file's column path below a prefix, its dots escaped; `content.bin` without a name."""
+    name = F.regexp_replace(F.trim(F.coalesce(file, F.lit(""))), r"\\", "/")
+    base = F.when(name.rlike("/[^/]+$"), leaf_name(name)).otherwise(name)
+    return F.concat(prefix, F.lit("."), escape(F.when(base == "", "content.bin").otherwise(base)))
+
+
 def quote_identifier_path(p: Column) -> Column:
     """Each segment in back quotes; a final `*` stays."""
     return F.array_join(F.transform(split_unescaped(p), lambda s: F.when(s == "*", s).otherwise(F.concat(F.lit("`"), s, F.lit("`")))), ".")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assetgraph.functions.paths import asset_path, base_name, file_extension, leaf_name, normalize_path, path_chain, split_unescaped, unescape
 from assetgraph.sources.delimited import ordinals
@@ -166,23 +167,44 @@ def sync_actions(derived: DataFrame, catalog: DataFrame, path: str, file: str) -
     return joined.select(path, file, F.when(F.col("_there"), "SKIPPED").when(F.col("_old"), "REPLACED").otherwise("IMPORTED").alias("action"))
 
 
+def sync_report(actions: DataFrame, derived: DataFrame, stored: DataFrame, path: str, file: str, size: str) -> DataFrame:
+    """(action, assets, directories, bytes): how many assets each action has and their estimated size; directories that are new count as imported.
+
+    stored: the folders (path) that have a row already.
+    """
+    sizes = derived.groupBy(path, file).agg(F.max(F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0))).alias("_b"))
+    counts = actions.join(sizes, [path, file], "left").groupBy("action").agg(F.count("*").alias("assets"), F.sum(F.coalesce("_b", F.lit(0))).alias("bytes"))
+    fresh = missing_directories(derived, stored, path).agg(F.count("*").alias("_d"))  # one row
+    every = counts.join(F.broadcast(fresh), F.col("action") == "IMPORTED", "left")
+    return every.select("action", "assets", F.coalesce("_d", F.lit(0)).alias("directories"), "bytes")
+
+
 def needs_refresh(old_type: Column, new_type: Column, old_path: Column, new_path: Column, size: Column) -> Column:
     """Whether a schema sync replaces an existing row."""
     return (old_type != new_type) | (old_path != new_path) | ~new_type.isin("relational", "timeseries") | F.coalesce(size <= 0, F.lit(True))
 
 
 def register_sources(registry: DataFrame, incoming: DataFrame, by: str, key: str) -> DataFrame:
-    """incoming with the registered key of its source, or a new one."""
-    known = registry.groupBy(F.col(by).alias("_by")).agg(F.min(key).alias("_key"))
-    joined = incoming.join(known, F.col(by) == F.col("_by"), "left").drop("_by")
+    """incoming (by, ip, port, incoming_no) with the registered key of its source, or a new one.
+
+    A source is known by its prefix `by`; without one by ip and port, but never as the default row (is_default).
+    """
+    named = registry.where(F.coalesce(F.col(by), F.lit("")) != "").groupBy(F.col(by).alias("_by")).agg(F.min(key).alias("_k1"))
+    placed = registry.where(~F.coalesce("is_default", F.lit(False))).groupBy(F.trim("ip").alias("_ip"), F.col("port").alias("_port")).agg(F.min(key).alias("_k2"))
+    joined = incoming.join(named, F.col(by) == F.col("_by"), "left").join(placed, (F.trim("ip") == F.col("_ip")) & (F.col("port") == F.col("_port")), "left")
+    joined = joined.withColumn("_key", F.when(F.coalesce(F.col(by), F.lit("")) != "", F.col("_k1")).otherwise(F.col("_k2"))).drop("_by", "_k1", "_k2", "_ip", "_port")
     fresh = allocate_ids(joined.where("_key is null"), "incoming_no", registry.agg(F.max(key) + 1), key).drop("_key")
     return joined.where("_key is not null").withColumnRenamed("_key", key).select(*fresh.columns).unionByName(fresh)
 
 
-def source_sizes(registry: DataFrame, deltas: DataFrame, by: str, size: str) -> DataFrame:
-    """registry with total_size: the sum of its sizes, negative ones as zero."""
-    total = deltas.groupBy(by).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("total_size"))
-    return registry.join(total, by, "left").withColumn("total_size", F.coalesce("total_size", F.lit(0)))
+def source_sizes(registry: DataFrame, deltas: DataFrame, by: str, size: str, default: str = "(default)", total: str = "(total)") -> DataFrame:
+    """(by, total_size, place): registered sources with the sum of their sizes, negative ones as zero; before them the default source, which has
+    what belongs to no registered one, after them the sum of all."""
+    added = deltas.groupBy(by).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("total_size"))
+    own = registry.select(by).distinct().join(added, by, "left").select(by, F.coalesce("total_size", F.lit(0)).alias("total_size"), F.lit(1).alias("place"))
+    rest = added.join(registry.select(F.col(by).alias("_r")).distinct(), F.col(by) == F.col("_r"), "left_anti")
+    one = lambda df, name, place: df.agg(F.coalesce(F.sum("total_size"), F.lit(0)).alias("total_size")).select(F.lit(name).alias(by), "total_size", F.lit(place).alias("place"))
+    return own.unionByName(one(rest, default, 0)).unionByName(one(added, total, 2))
 
 
 def list_directory(assets: DataFrame, folder: str, key: str, path: str, file: str) -> DataFrame:
@@ -204,14 +226,35 @@ def resolve_files(requests: DataFrame, assets: DataFrame, key: str, path: str, f
     return joined.groupBy(path, file).agg(F.expr("max_by(_k, struct(_try.rank, _k)) filter (where _k is not null)").alias(key))
 
 
-def display(c: Column) -> Column:
-    """Text of a value for a preview: lists joined, bytes as text."""
-    return F.coalesce(c.cast("string"), F.lit(""))
+def display(c: Column, kind: T.DataType) -> Column:
+    """Text of a value for a preview: bytes as text, lists joined by commas, `$oid` as `ObjectId("x")`, maps and structs as {k: v}; null is empty, within a map null."""
+    return F.coalesce(_shown(c, kind), F.lit(""))
+
+
+def _shown(c: Column, kind: T.DataType) -> Column:
+    """As display, but null for null."""
+    if isinstance(kind, T.BinaryType):
+        return F.decode(c, "utf-8")
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(c, lambda x: F.coalesce(_shown(x, kind.elementType), F.lit(""))), ", ")
+    pair = lambda k, v: F.concat(k, F.lit(": "), F.coalesce(v, F.lit("null")))
+    if isinstance(kind, T.MapType):
+        listed = F.transform(F.map_entries(c), lambda e: pair(_shown(e["key"], kind.keyType), _shown(e["value"], kind.valueType)))
+        plain = F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}"))
+        if not isinstance(kind.keyType, T.StringType):
+            return plain
+        return F.when(F.map_contains_key(c, F.lit("$oid")), F.concat(F.lit('ObjectId("'), F.coalesce(_shown(c["$oid"], kind.valueType), F.lit("null")), F.lit('")'))).otherwise(plain)
+    if isinstance(kind, T.StructType):
+        if "$oid" in kind.names:
+            return F.when(c.isNotNull(), F.concat(F.lit('ObjectId("'), F.coalesce(_shown(c.getField("$oid"), kind["$oid"].dataType), F.lit("null")), F.lit('")')))
+        fields = [pair(F.lit(f.name), _shown(c.getField(f.name), f.dataType)) for f in kind.fields]
+        return F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(F.array(*fields), ", "), F.lit("}")))
+    return c.cast("string")
 
 
 def preview(df: DataFrame, key: str, rows: int = 50) -> DataFrame:
     """The first rows by key, every column as text."""
-    return df.orderBy(key).limit(rows).select(*(display(F.col(c)).alias(c) for c in df.columns))
+    return df.orderBy(key).limit(rows).select(*(display(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def paginate(df: DataFrame, order: str, page: int, size: int) -> DataFrame:

@@ -11,6 +11,7 @@ from assetgraph.functions.text import confidence
 from assetgraph.sources.delimited import ordinals
 
 HOPS = 6  # doublings: chains of up to 2^6 hops
+MOST_ANCESTORS = 62
 KINDS = ("EBOM", "INFERRED_ASSEMBLY", "FEATURE_TREE", "ILLUSTRATED_STRUCTURE", "NONE")
 ENGINEERING = ("ENGINEERING_DRAWING", "TECHNICAL_ILLUSTRATION")
 OVERLAP, TILE_SIDE, MAX_TILES = 0.08, 1600, 6
@@ -102,7 +103,7 @@ def resolve_chains(parts: DataFrame, occ: str, parent: str, save: Callable[[Data
     """(occ, parent, depth): the number of ancestors, null where the chain ends at nothing, in a cycle or after too many hops.
 
     Pointer doubling: after k rounds a row points 2^k ancestors up, so 6 joins settle chains of 64 hops. Rows whose chain has
-    ended are not joined again.
+    ended are not joined again. More than MOST_ANCESTORS are too many.
     """
     rows = parts.select(F.col(occ).alias("occ"), F.col(parent).alias("parent"), F.col(parent).alias("_to"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("_n"), F.lit(False).alias("_lost"))
     for _ in range(hops):
@@ -111,7 +112,7 @@ def resolve_chains(parts: DataFrame, occ: str, parent: str, save: Callable[[Data
         lost = F.col("_at").isNull() | F.coalesce("_gone", F.lit(False))
         moved = joined.select("occ", "parent", F.col("_next").alias("_to"), (F.col("_n") + F.coalesce("_m", F.lit(0))).alias("_n"), lost.alias("_lost"))
         rows = save(rows.where("_to is null or _lost").unionByName(moved))
-    return rows.select("occ", "parent", F.when(F.col("_to").isNull() & ~F.col("_lost"), F.col("_n")).alias("depth"))
+    return rows.select("occ", "parent", F.when(F.col("_to").isNull() & ~F.col("_lost") & (F.col("_n") <= MOST_ANCESTORS), F.col("_n")).alias("depth"))
 
 
 def project(chains: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetgraph.functions.names import normalize_field
 from assetgraph.functions.paths import file_extension, parent_path, strip
-from assetgraph.functions.text import ENTITY_CAP, KEYWORD_CAP, TRIPLE_CAP, dedup_strings, salvage_object
+from assetgraph.functions.text import ENTITY_CAP, KEYWORD_CAP, TRIPLE_CAP, bounded_summary, dedup_strings, salvage_object
+from assetgraph.scratch import saved
 
 FIELD_CAP, RELATION_CAP, FINAL_CAP = 120, 24, 12
 VALUE_CHARS, TOTAL_CHARS = 8000, 15000
@@ -29,16 +31,26 @@ def fields(columns: DataFrame, asset: str, order: str, name: str, drop: tuple[st
     return listed.select(asset, F.slice(F.when(F.size(rest) > 0, rest).otherwise(F.col("_all")), 1, cap).alias("fields"))
 
 
-def json_fields(df: DataFrame, key: str, body: str, max_depth: int = 8, cap: int = FIELD_CAP) -> DataFrame:
-    """(key, fields): all dotted keys of a JSON object, inner ones too; of other texts what looks like a quoted key."""
+def json_fields(df: DataFrame, key: str, body: str, cap: int = FIELD_CAP, save: Callable[[DataFrame], DataFrame] = saved, levels: int = 4) -> DataFrame:
+    """(key, fields): all dotted keys of a JSON object, inner ones too, level by level; of other texts what looks like a quoted key."""
     out = df.select(key, F.col(body).alias("_b"), F.try_parse_json(F.col(body)).alias("_v"))
-    out = out.withColumn("_front", F.expr("case when schema_of_variant(_v) like 'OBJECT%' then array(named_struct('p', '', 'v', _v)) else array() end")).withColumn("_keys", F.array().cast("array<string>"))
+    out = out.withColumn("_front", F.expr("case when schema_of_variant(_v) like 'OBJECT%' then array(named_struct('p', '', 'v', _v)) else array() end")).withColumn("_keys", F.array().cast("array<string>")).drop("_v")
     step = """flatten(transform(filter(_front, n -> schema_of_variant(n.v) like 'OBJECT%'), n -> transform(map_entries(cast(n.v as map<string, variant>)),
       e -> named_struct('p', concat(n.p, if(n.p = '', '', '.'), e.key), 'v', e.value))))"""
-    for _ in range(max_depth):
-        out = out.withColumn("_front", F.expr(step)).withColumn("_keys", F.concat("_keys", F.transform("_front", lambda n: n["p"])))
+    done = None
+    while True:
+        for _ in range(levels):
+            out = out.withColumn("_front", F.expr(step)).withColumn("_keys", F.concat("_keys", F.transform("_front", lambda n: n["p"])))
+        rest = F.expr("transform(filter(_front, n -> schema_of_variant(n.v) like 'OBJECT%'), n -> named_struct('p', n.p, 'v', to_json(n.v)))")
+        rows = save(out.withColumn("_front", rest))
+        closed = rows.where(F.size("_front") == 0).drop("_front")
+        done = closed if done is None else done.unionByName(closed)
+        out = rows.where(F.size("_front") > 0)
+        if out.isEmpty():
+            break
+        out = out.withColumn("_front", F.expr("transform(_front, n -> named_struct('p', n.p, 'v', parse_json(n.v)))"))
     loose = F.regexp_extract_all("_b", F.lit(r'"([^"]+)"\s*:'), 1)
-    return out.select(key, dedup_strings(F.when(F.size("_keys") > 0, F.col("_keys")).otherwise(loose), cap).alias("fields"))
+    return done.select(key, dedup_strings(F.when(F.size("_keys") > 0, F.col("_keys")).otherwise(loose), cap).alias("fields"))
 
 
 def route_file(name: Column) -> Column:
@@ -68,7 +80,7 @@ def fallback_keywords(keywords: Column, fields_: Column, entities: Column, file:
 def parse_responses(responses: DataFrame, key: str, raw: str) -> DataFrame:
     """(key, keywords, entities, triples, error) of model answers; what is no JSON object is an error with empty lists."""
     shape = f"keywords array<string>, entities array<string>, triples {TRIPLE}, relations {TRIPLE}"
-    parsed = responses.select(key, F.from_json(salvage_object(F.col(raw)), shape).alias("_j"), (F.try_parse_json(salvage_object(F.col(raw))).isNull() | (salvage_object(F.col(raw)) == "")).alias("error"))
+    parsed = responses.select(key, salvage_object(F.col(raw)).alias("_t")).select(key, F.from_json("_t", shape).alias("_j"), (F.try_parse_json("_t").isNull() | (F.col("_t") == "")).alias("error"))
     none = F.array().cast("array<string>")
     both = F.concat(*(F.coalesce(f"_j.{n}", F.array().cast(TRIPLE)) for n in ("triples", "relations")))
     clean = F.transform(both, lambda t: F.struct(strip(F.coalesce(t["subject"], F.lit(""))).alias("subject"), strip(F.coalesce(t["predicate"], t["relation"], F.lit(""))).alias("predicate"), strip(F.coalesce(t["object"], F.lit(""))).alias("object")))
@@ -79,14 +91,28 @@ def parse_responses(responses: DataFrame, key: str, raw: str) -> DataFrame:
     )
 
 
-def final_keywords(answers: DataFrame, fallback: DataFrame, key: str, cap: int = FINAL_CAP) -> DataFrame:
-    """(key, keywords): those of the answer where it has any, else the fallback's."""
-    joined = fallback.select(key, F.col("keywords").alias("_f")).join(answers.select(key, F.col("keywords").alias("_a")), key, "left")
-    return joined.select(key, F.slice(F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_f")), 1, cap).alias("keywords"))
+def final_keywords(answers: DataFrame, fallback: DataFrame, key: str, kind: str | None = None, cap: int = FINAL_CAP) -> DataFrame:
+    """(key, keywords): those of the answer where it has any, else the fallback's, at most `cap`.
+
+    kind: a column of fallback; a `drawing` has all keywords and entities of its answer, a `document` its keywords as they are, both uncapped.
+    """
+    none = F.array().cast("array<string>")
+    entities = F.col("entities") if "entities" in answers.columns else none
+    joined = fallback.select(key, F.col("keywords").alias("_f"), (F.col(kind) if kind else F.lit("")).alias("_kind")).join(answers.select(key, F.col("keywords").alias("_a"), entities.alias("_e")), key, "left")
+    a, e = F.coalesce("_a", none), F.coalesce("_e", none)
+    usual = F.slice(F.when(F.size(a) > 0, a).otherwise(F.col("_f")), 1, cap)
+    return joined.select(key, F.when(F.col("_kind") == "drawing", dedup_strings(F.concat(a, e))).when((F.col("_kind") == "document") & (F.size(a) > 0), a).otherwise(usual).alias("keywords"))
+
+
+def document_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, evidence: str = "evidence", most: int = 160) -> DataFrame:
+    """Triples of documents (key, order, subject, predicate, object, evidence), uncapped: ends are keywords, the predicate has 1 to 64 characters, the evidence is not empty."""
+    told = triples.withColumn(evidence, bounded_summary(F.col(evidence), most)).withColumn("predicate", strip(F.coalesce("predicate", F.lit("")))).where(F.col(evidence) != "")
+    kept = admitted_triples(told, keywords, key, order, None, self_loops=True, max_predicate=64)
+    return kept.join(told.select(key, order, "subject", "predicate", "object", evidence), [key, order, "subject", "predicate", "object"])
 
 
-def admitted_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, cap: int, self_loops: bool, max_predicate: int | None = None) -> DataFrame:
-    """Triples (key, order, subject, predicate, object) whose ends are keywords (key, keyword) of their asset, each once, the first ones by order."""
+def admitted_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, cap: int | None, self_loops: bool, max_predicate: int | None = None) -> DataFrame:
+    """Triples (key, order, subject, predicate, object) whose ends are keywords (key, keyword) of their asset, each once, the first ones by order; all of them without a cap."""
     good = triples.where("predicate <> ''")
     if not self_loops:
         good = good.where("subject <> object")
@@ -96,6 +122,8 @@ def admitted_triples(triples: DataFrame, keywords: DataFrame, key: str, order: s
     for end in ("subject", "object"):
         good = good.join(known, (F.col(key) == F.col("_a")) & (F.col(end) == F.col("_k")), "left_semi")
     once = good.groupBy(key, "subject", "predicate", "object").agg(F.min(order).alias(order))
+    if cap is None:
+        return once
     return once.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order, "subject", "predicate", "object"))).where(F.col("_nth") <= cap).drop("_nth")
 
 
@@ -126,23 +154,25 @@ def directory_summary(children: DataFrame, parent: str, order: str, keywords: st
     return kept.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_k"))), lambda x: x["_k"]).alias("keywords"))
 
 
-def roll_up(assets: DataFrame, key: str, path: str, keywords: str, save: Callable[[DataFrame], DataFrame], max_depth: int = 32) -> DataFrame:
-    """(path, status, keywords) of every directory after all rounds: level by level, the deepest first.
+def roll_up(assets: DataFrame, key: str, path: str, keywords: str, save: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """(path, status, keywords) of every directory after all rounds: level by level, the deepest first, down to the root.
 
-    assets: key, path (their folder), status and keywords of live assets. `save` cuts the lineage after each level.
+    assets: key (a number), path (their folder), status and keywords of live assets. folder: a column with the path of rows that stand for whole
+    folders, null for assets. Children count in the order of assets by key, then folders by path. `save` cuts the lineage of each level.
     """
-    children = assets.select(F.col(path).alias("parent"), F.col(key).cast("string").alias("_o"), "status", F.col(keywords).alias("_kw"))
+    sub = F.col(folder) if folder else F.lit(None).cast("string")
+    order = lambda number, name: F.struct(name.isNotNull().alias("f"), number.cast("long").alias("k"), name.alias("p"))
+    children = save(assets.select(F.col(path).alias("parent"), order(F.col(key), sub).alias("_o"), "status", F.col(keywords).alias("_kw")))
     levels = []
     depth = F.size(F.filter(F.split("parent", "/"), lambda x: x != ""))
-    deepest = min(max_depth, assets.agg(F.max(F.size(F.filter(F.split(path, "/"), lambda x: x != "")))).first()[0] or 0)
-    for level in range(deepest, -1, -1):
+    for level in range(children.agg(F.max(depth)).first()[0] or 0, -1, -1):
         here = children.where(depth == level)
         state = directory_readiness(here.withColumn("has_keywords", F.col("_kw").isNotNull()))
         done = here.where("status = 'SUCCESS'")
         rows = state.join(directory_summary(done, "parent", "_o", "_kw"), "parent", "left")
         rows = save(rows.select(F.col("parent").alias("path"), F.when(F.col("ready"), "SUCCESS").otherwise("PENDING").alias("status"), F.when(F.col("ready"), F.coalesce("keywords", F.array().cast("array<string>"))).alias("keywords")))
         levels.append(rows)
-        up = rows.where("path <> '/'").select(parent_path(F.col("path")).alias("parent"), F.col("path").alias("_o"), "status", F.col("keywords").alias("_kw"))
+        up = rows.where("path <> '/'").select(parent_path(F.col("path")).alias("parent"), order(F.lit(None), F.col("path")).alias("_o"), "status", F.col("keywords").alias("_kw"))
         children = children.where(depth < level).unionByName(up)
     out = levels[0]
     for x in levels[1:]:
@@ -157,23 +187,28 @@ def status_rows(callbacks: DataFrame, key: str, seq: str) -> DataFrame:
     return callbacks.select(key, seq, status.alias("status"), words.alias("keywords"), F.nullif(F.trim("summary"), F.lit("")).alias("summary"))
 
 
-def _fragments(text: str, fits: Callable[[str], bool]) -> Iterator[str]:
-    """Halves of a text, cut after the last line end or full stop of the first half, until each one fits."""
-    stack = [text]
-    while stack:
-        part = stack.pop()
-        if len(part) < 2 or fits(part):
-            yield part
-            continue
-        middle = len(part) // 2
-        at = max(part.rfind("\n", 0, middle), part.rfind("。", 0, middle))
-        cut = at + 1 if at >= middle // 2 else middle
-        stack += [part[cut:], part[:cut]]
+def _pieces(unit: str, budget: int) -> list[tuple[int, int]]:
+    """(tokens, characters) of the pieces of a unit, in order: one that is over the budget is cut in two, after the last line end or full
+    stop of its first half unless that leaves less than a quarter before the cut, else in the middle."""
+    marks = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+    plain = np.concatenate([[0], np.cumsum(marks < 128)])
+    stops = np.flatnonzero((marks == ord("\n")) | (marks == ord("。"))) + 1  # places after a stop
 
+    def cost(a: int, b: int) -> int:
+        ascii_ = int(plain[b] - plain[a])
+        return (ascii_ + 2) // 3 + 2 * (b - a - ascii_)
 
-def _tokens(text: str) -> int:
-    ascii_ = len(text.encode("ascii", "ignore"))
-    return (ascii_ + 2) // 3 + 2 * (len(text) - ascii_)
+    out, todo = [], [(0, len(marks))]
+    while todo:
+        a, b = todo.pop()
+        n = b - a
+        if n < 2 or cost(a, b) <= budget:
+            out.append((cost(a, b), n))
+            continue
+        nearest = int(np.searchsorted(stops, a + n // 2, "right")) - 1
+        cut = int(stops[nearest]) if nearest >= 0 and stops[nearest] > a + n // 2 // 2 else a + n // 2
+        todo += [(cut, b), (a, cut)]
+    return out
 
 
 def pack_chunks(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
@@ -185,13 +220,12 @@ def pack_chunks(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
             rows = []
             for k, body in zip(df[key], df[text], strict=True):
                 chunk, parts, used, chars = 0, 0, 0, 0
-                for unit in (body or "").split("\n"):
-                    for part in _fragments(unit, lambda x: _tokens(x) <= budget) if unit else ():
-                        cost = _tokens(part)
+                for unit in filter(None, (body or "").split("\n")):
+                    for cost, length in _pieces(unit, budget):
                         if parts and used + cost > budget:
                             rows.append((k, chunk, parts, used, chars))
                             chunk, parts, used, chars = chunk + 1, 0, 0, 0
-                        parts, used, chars = parts + 1, used + cost, chars + len(part)
+                        parts, used, chars = parts + 1, used + cost, chars + length
                 if parts:
                     rows.append((k, chunk, parts, used, chars))
             yield pd.DataFrame(rows, columns=[key, "chunk", "n_parts", "tokens", "chars"])
@@ -204,6 +238,13 @@ def merge_sections(triples: DataFrame, key: str, section: str) -> DataFrame:
     return triples.where("subject <> '' and predicate <> '' and object <> ''").groupBy(key, "subject", "predicate", "object").agg(F.min(section).alias(section))
 
 
+def merge_section_keywords(keywords: DataFrame, key: str, section: str, order: str, word: str) -> DataFrame:
+    """(key, word, place): the keywords of all sections, each once, numbered from 1 by the first section and place that has it. Nothing is capped."""
+    trimmed = keywords.select(key, section, order, strip(F.col(word)).alias(word)).where(F.col(word) != "")
+    first = trimmed.groupBy(key, word).agg(F.min(F.struct(section, order)).alias("_at"))
+    return first.select(key, word, F.row_number().over(Window.partitionBy(key).orderBy("_at", word)).alias("place"))
+
+
 def dedup_blocks(docs: DataFrame, key: str, text: str, cap: int) -> DataFrame:
     """(key, pos, block): the distinct lines of each document in order, together at most `cap` characters."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "_l")).select(key, "pos", F.trim(F.regexp_replace("_l", "[ \t]+", " ")).alias("block")).where("block <> ''")

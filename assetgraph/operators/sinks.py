@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.scratch import saved
+from assetgraph.scratch import drop_versions, versions
 
 
 def append_log(rows: DataFrame, path: str, day: str) -> None:
@@ -19,18 +19,23 @@ def read_log(spark, path: str, schema: str, since: str | None = None) -> DataFra
     return (log.where(F.col("day") >= since) if since else log).drop("day")
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest complete version of a merged table; no rows before the first merge."""
+    found = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
 def merge_table(path: str, fresh: DataFrame, keys: list[str]) -> None:
-    """Merges rows by key into the table at path: rows with a fresh key are replaced, the others stay. The new table is complete before the old one goes."""
+    """Merges rows by key into the table at path: rows with a fresh key are replaced, the others stay.
+
+    A merge writes a new version beside the old one, which readers go on with until the new one is complete. The version before the
+    last one is deleted, so that a reader that has begun can end.
+    """
     spark = fresh.sparkSession
-    try:
-        stored = spark.read.schema(fresh.schema).parquet(path)
-        stored.isEmpty()
-    except Exception as e:  # there is no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], fresh.schema)
+    stored, n = read_table(spark, path, fresh.schema), max(versions(spark, path), default=-1) + 1
     once = fresh.dropDuplicates(keys)
-    saved(stored.join(once.select(*keys), keys, "left_anti").select(*fresh.columns).unionByName(once), "merge").write.mode("overwrite").parquet(path)
+    stored.join(once.select(*keys), keys, "left_anti").select(*fresh.columns).unionByName(once).write.mode("overwrite").parquet(f"{path}/v{n}")
+    drop_versions(spark, path, n - 1)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -53,29 +53,18 @@ SQL_FUNCTIONS = {
 }
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Makes the scalar functions and the table function ag_expand known to SQL; returns their names."""
-    for head, body in SQL_FUNCTIONS.items():
-        spark.sql(f"create or replace temporary function {head} return {body}")
-
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="asset_key bigint, candidate string")
-    class Expand:
-        """Rows (asset_key, norm) of the partitions that mention a focus: what stands beside it. Use with TABLE(...) PARTITION BY asset_key."""
+#: What assets mention beside a focus, over a view ag_mentions (asset_key, norm); a table function whose body Catalyst inlines.
+EXPAND = """create or replace temporary function ag_expand(focus string) returns table (asset_key bigint, candidate string)
+return select distinct m.asset_key, m.norm from ag_mentions m left semi join (select asset_key from ag_mentions f where f.norm = ag_expand.focus) f on m.asset_key = f.asset_key where m.norm <> ag_expand.focus"""
 
-        def __init__(self):
-            self.key, self.norms, self.focus = None, [], None
 
-        def eval(self, row, focus):
-            self.key, self.focus = row["asset_key"], focus
-            if len(self.norms) <= extract.FIELD_CAP:
-                self.norms.append(row["norm"])
-
-        def terminate(self):
-            if self.focus in self.norms:
-                for n in sorted(set(self.norms) - {self.focus}):
-                    yield self.key, n
-
-    spark.udtf.register("ag_expand", Expand)
-    return [*(h.split("(")[0] for h in SQL_FUNCTIONS), "ag_expand"]
+def register(spark: SparkSession, mentions: DataFrame | None = None) -> list[str]:
+    """Makes the scalar functions known to SQL and, given the mentions (asset_key, norm), the table function ag_expand; returns their names."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {head} return {body}")
+    names = [h.split("(")[0] for h in SQL_FUNCTIONS]
+    if mentions is not None:
+        mentions.createOrReplaceTempView("ag_mentions")
+        spark.sql(EXPAND)
+        names.append("ag_expand")
+    return names

@@ -8,6 +8,7 @@ from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.functions.paths import parent_path
 from assetgraph.operators import catalog as c
 from assetgraph.operators import extract as x
+from assetgraph.scratch import saved
 
 LEAVES, DIRECTORIES, BUDGET, BLOCK_CAP = 10, 5, 120, 500_000
 
@@ -80,7 +81,9 @@ def q_parse_responses(spark, sf):
 
 
 def q_keywords_final(spark, sf):
-    return _joined(x.final_keywords(_answers(spark, sf), _fallback(spark, sf), "asset_key"), "keywords")
+    """Assets of language fr count as drawings, of es as documents, the others as usual."""
+    kinds = table(spark, sf, "documents").select(F.col("doc_id").alias("asset_key"), F.when(F.col("lang") == "fr", "drawing").when(F.col("lang") == "es", "document").otherwise("").alias("kind"))
+    return _joined(x.final_keywords(_answers(spark, sf), _fallback(spark, sf).join(kinds, "asset_key"), "asset_key", "kind"), "keywords")
 
 
 def q_validate_relations(spark, sf):
@@ -95,7 +98,8 @@ def q_filter_triples(spark, sf):
 
 
 def q_document_triples(spark, sf):
-    return x.admitted_triples(fixture(spark, sf, "fx_triples"), _keywords(spark, sf), "asset_key", "pos", x.TRIPLE_CAP, self_loops=True, max_predicate=64)
+    told = F.when(F.col("pos") % 11 != 0, F.concat_ws("  ", "subject", "predicate", "object"))
+    return x.document_triples(fixture(spark, sf, "fx_triples").withColumn("evidence", told), _keywords(spark, sf), "asset_key", "pos")
 
 
 def q_leaf_candidates(spark, sf):
@@ -126,8 +130,7 @@ def q_directory_summary(spark, sf):
 
 
 def q_rollup_tree(spark, sf):
-    rows = _worded(spark, sf).withColumn("keywords", F.slice("keywords", 1, 2))
-    return x.roll_up(rows, "asset_key", "logical_path", "keywords", lambda df: df).select("path", "status")
+    return _joined(x.roll_up(_worded(spark, sf), "asset_key", "logical_path", "keywords", saved), "keywords")
 
 
 def q_status_transitions(spark, sf):
@@ -145,6 +148,13 @@ def q_merge_sections(spark, sf):
     return x.merge_sections(fixture(spark, sf, "fx_triples"), "asset_key", "pos")
 
 
+def q_section_keywords(spark, sf):
+    """The keywords of the first and the second answer to each asset, as two sections, merged."""
+    first = _answers(spark, sf).select("asset_key", F.lit(0).alias("section"), F.posexplode("keywords").alias("at", "keyword"))
+    second = _keywords(spark, sf).select("asset_key", F.lit(1).alias("section"), F.col("pos").alias("at"), "keyword")
+    return x.merge_section_keywords(first.unionByName(second), "asset_key", "section", "at", "keyword")
+
+
 def q_dedup_blocks(spark, sf):
     return x.dedup_blocks(table(spark, sf, "documents"), "doc_id", "text", BLOCK_CAP).select("doc_id", "pos", F.md5("block").alias("digest"))
 
@@ -166,6 +176,13 @@ _ANSWERS = """ans as (select asset_key, case asset_key % 5 when 0 then lang || '
 _GOOD = "good as (select t.* from fx_triples t where predicate <> '' {more} and exists (select 1 from fx_keywords k where k.asset_key = t.asset_key and k.keyword = t.subject) and exists (select 1 from fx_keywords k where k.asset_key = t.asset_key and k.keyword = t.object))"
 _READY = "ready as (select logical_path as parent, count(*) as n, bool_or(status <> 'SKIPPED') and bool_and(status in ('SKIPPED', 'SUCCESS')) as ready from fx_assets where is_valid group by 1)"
 
+def _up(child: str, name: str, parent: str) -> str:
+    """Keywords of the folders above those of `child` (path, ready, o, keyword): the first twelve of the ready children in order, where all are ready."""
+    return f"""{name}_r as (select {parent} as path, bool_and(ready) as ready from (select distinct path as p, ready from {child}) c, lateral (select c.p as path) group by 1),
+ {name}_f as (select {parent} as path, keyword, min(struct_pack(p := path, o := o)) as first from {child} where ready and keyword is not null group by 1, 2),
+ {name} as (select r.path, r.ready, f.o, f.keyword from {name}_r r left join (select path, keyword, row_number() over (partition by path order by first, keyword) as o from {name}_f) f on f.path = r.path and r.ready and f.o <= 12)"""
+
+
 ORACLE = {
     "q_fields_relational": oracle(f"""with {_COLS("source_type in ('mysql', 'redis')")}, {_FIRST} select asset, string_agg(name, '|' order by o, name) as fields from ranked where nth <= 120 group by 1""", "fx_columns"),
     "q_fields_timeseries": oracle(f"""with {_COLS("source_type = 'filesystem'", "replace(regexp_extract(path, '([^.]*)$', 1), 'event_time', 'time')")}, {_FIRST}
@@ -178,22 +195,29 @@ ORACLE = {
     "q_type_rows": oracle("select regexp_replace(path, '\\.[^.]*$', '') as asset, bool_and(not ends_with(path, '7')) as is_type_row from fx_columns group by 1", "fx_columns"),
     "q_fallback_keywords": oracle(f"with {_FALL} select asset_key, string_agg(keyword, '|' order by nth) as keywords from fall where nth <= 12 group by 1", "fx_keywords", "fx_assets"),
     "q_parse_responses": f"with {_ANSWERS} select * from ans",
-    "q_keywords_final": oracle(f"with {_FALL}, {_ANSWERS} select a.asset_key, case when a.keywords <> '' then a.keywords else (select string_agg(keyword, '|' order by nth) from fall f where f.asset_key = a.asset_key and nth <= 12) end as keywords from ans a", "fx_keywords", "fx_assets"),
+    "q_keywords_final": oracle(f"with {_FALL}, {_ANSWERS} select a.asset_key, case when lang = 'fr' then a.keywords || case when a.entities <> '' and a.entities <> a.keywords then case when a.keywords <> '' then '|' else '' end || a.entities else '' end when a.keywords <> '' then a.keywords else (select string_agg(keyword, '|' order by nth) from fall f where f.asset_key = a.asset_key and nth <= 12) end as keywords from ans a join documents d on d.doc_id = a.asset_key", "fx_keywords", "fx_assets"),
     "q_validate_relations": oracle(f"with {_GOOD.format(more='and subject <> object')} select asset_key, subject, predicate, object, pos from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 24", "fx_triples", "fx_keywords"),
     "q_filter_triples": oracle(f"""with {_GOOD.format(more='')}, d as (select distinct asset_key, subject, predicate, object from fx_triples), g as (select * from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 180)
  select d.asset_key, count(g.asset_key) as accepted, count(*) - count(g.asset_key) as rejected from d left join g on d.asset_key = g.asset_key and d.subject = g.subject and d.predicate = g.predicate and d.object = g.object group by 1""", "fx_triples", "fx_keywords"),
-    "q_document_triples": oracle(f"with {_GOOD.format(more='and length(predicate) <= 64')} select asset_key, subject, predicate, object, pos from (select *, row_number() over (partition by asset_key order by pos) as nth from (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4)) where nth <= 180", "fx_triples", "fx_keywords"),
+    "q_document_triples": oracle(f"""with {_GOOD.format(more="and length(predicate) <= 64 and pos % 11 <> 0")}, f as (select asset_key, subject, predicate, object, min(pos) as pos from good group by 1, 2, 3, 4),
+ t as (select *, trim(regexp_replace(subject || '  ' || predicate || '  ' || object, '\\s+', ' ', 'g')) as e from f), h as (select *, regexp_extract(substr(e, 1, 160), '(?s)^(.*[.!?。！？])', 1) as c from t)
+ select asset_key, subject, predicate, object, pos, case when length(e) <= 160 then e when length(c) > 80 then c else substr(e, 1, 159) || '…' end as evidence from h""", "fx_triples", "fx_keywords"),
     "q_leaf_candidates": oracle(f"select asset_key, status from fx_assets where is_valid and status in ('PENDING', 'FAILED') order by asset_key limit {LEAVES}", "fx_assets"),
     "q_directory_ready": oracle(f"with {_READY} select * from ready", "fx_assets"),
     "q_directory_candidate": oracle(f"""with {_READY}, f as (select logical_path as parent, min(asset_key) as key from fx_assets where is_valid group by 1)
  select parent, key, case when key % 3 = 0 then 'FAILED' else 'PENDING' end as status from ready join f using (parent) where ready order by key % 3 = 0, key limit {DIRECTORIES}""", "fx_assets"),
     "q_directory_summary": oracle(f"""with {_FALL}, ch as (select a.logical_path, a.asset_key, f.keyword, f.nth from fx_assets a join fall f on a.asset_key = f.asset_key where is_valid and status = 'SUCCESS' and nth <= 12),
  fi as (select logical_path, keyword, min(asset_key * 100 + nth) as o from ch group by 1, 2), r as (select *, row_number() over (partition by logical_path order by o, keyword) as nth from fi) select logical_path, string_agg(keyword, '|' order by nth) as keywords from r where nth <= 12 group by 1""", "fx_keywords", "fx_assets"),
-    "q_rollup_tree": oracle(f"""with {_READY}, l2 as (select '/docs/' || split_part(parent, '/', 3) as path, bool_and(ready) as ready from ready group by 1) select parent as path, case when ready then 'SUCCESS' else 'PENDING' end as status from ready
- union all select path, case when ready then 'SUCCESS' else 'PENDING' end from l2 union all select p, case when r then 'SUCCESS' else 'PENDING' end from (select unnest(['/docs', '/']) as p, (select bool_and(ready) from l2) as r)""", "fx_assets"),
+    "q_rollup_tree": oracle(f"""with {_FALL}, {_READY}, ch as (select a.logical_path, a.asset_key, f.keyword, f.nth from fx_assets a join fall f on a.asset_key = f.asset_key where is_valid and status = 'SUCCESS' and nth <= 12),
+ fi as (select logical_path, keyword, min(asset_key * 100 + nth) as o from ch group by 1, 2), l3 as (select r.parent as path, r.ready, k.o, k.keyword from ready r left join (select logical_path, keyword, row_number() over (partition by logical_path order by o, keyword) as o from fi) k on k.logical_path = r.parent and r.ready and k.o <= 12),
+ {_up("l3", "l2", "regexp_replace(path, '/[^/]*$', '')")}, {_up("l2", "l1", "'/docs'")}, {_up("l1", "l0", "'/'")}
+ select path, case when ready then 'SUCCESS' else 'PENDING' end as status, case when ready then coalesce(string_agg(keyword, '|' order by o), '') end as keywords from (select * from l3 union all select * from l2 union all select * from l1 union all select * from l0) group by path, ready""", "fx_keywords", "fx_assets"),
     "q_status_transitions": """select doc_id, doc_id * 2 as seq, 'PROCESSING' as status, cast(null as varchar) as keywords, cast(null as varchar) as summary from labels
  union all select doc_id, doc_id * 2 + 1, case when quality = 1 then 'SUCCESS' else 'FAILED' end, case when toxic = 1 then '[]' else '["k"]' end, 's' from labels where doc_id % 5 <> 0""",
     "q_merge_sections": oracle("select asset_key, subject, predicate, object, min(pos) as pos from fx_triples where subject <> '' and predicate <> '' and object <> '' group by 1, 2, 3, 4", "fx_triples"),
+    "q_section_keywords": oracle(f"""with {_ANSWERS}, w as (select asset_key, 0 as section, u as place, string_split(keywords, '|')[u] as keyword from (select asset_key, keywords, unnest(range(1, len(string_split(keywords, '|')) + 1)) as u from ans where keywords <> '')
+ union all select asset_key, 1, pos, keyword from fx_keywords), t as (select asset_key, section, place, regexp_replace(keyword, '^\\s+|\\s+$', '', 'g') as keyword from w), f as (select asset_key, keyword, min(section * 100 + place) as o from t where keyword <> '' group by 1, 2)
+ select asset_key, keyword, cast(row_number() over (partition by asset_key order by o, keyword) as int) as place from f""", "fx_keywords"),
     "q_dedup_blocks": f"""with l as (select doc_id, n - 1 as pos, trim(regexp_replace(ls[n], '[ \t]+', ' ', 'g'), ' ') as block from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as n from (select doc_id, string_split(text, chr(10)) as ls from documents))),
  f as (select doc_id, block, min(pos) as pos from l where block <> '' group by 1, 2), b as (select *, coalesce(sum(length(block)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from f)
  select doc_id, cast(pos as int) as pos, md5(substr(block, 1, cast({BLOCK_CAP} - before as bigint))) as digest from b where before < {BLOCK_CAP}""",

@@ -8,9 +8,8 @@ from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.functions.names import sanitize_column
 from assetgraph.sources import delimited, documents, export, external, files
 
-CHUNK, CAP = 1024, 3000
+CHUNK, CAP = 1024, 1 << 20
 PREFIX = "data.extern.mysql10_0_0_1_3306"
-XML = "o_orderkey long, o_orderstatus string, o_orderpriority string"
 
 
 def q_csv_ingest(spark, sf):
@@ -68,8 +67,12 @@ def q_json_flat_kv(spark, sf):
 
 
 def q_xml_documents(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", F.to_xml(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority")).alias("body"))
-    return documents.xml_documents(orders.withColumnRenamed("o_orderkey", "doc"), "doc", "body", XML)
+    """Orders with an attribute, a nested part and their lines as repeated children."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("line"))  # seven at most
+    orders = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    shape = F.struct(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("info"), "line")
+    texts = orders.select(F.col("o_orderkey").alias("order_no"), F.to_xml(shape, {"attributePrefix": "_"}).alias("body"))
+    return documents.shred(documents.xml_documents(texts, "order_no", "body"), "order_no").drop("doc_no")
 
 
 def _chunks(spark, sf):
@@ -98,8 +101,8 @@ def q_file_sizes(spark, sf):
 
 
 def q_csv_export(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 200).alias("head"))
-    return export.csv_lines(rows, ["lang", "source", "head"]).select("doc_id", "line")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return export.csv_lines(rows, ["lang", "source", "text"]).select("doc_id", "line")
 
 
 def q_kv_export(spark, sf):
@@ -107,7 +110,7 @@ def q_kv_export(spark, sf):
 
 
 def q_document_export(spark, sf):
-    return export.table_json(table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name"), ["s_nationkey"], "s_suppkey")
+    return export.table_json(table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_nationkey", "c_custkey", 25)
 
 
 def q_external_scan(spark, sf):
@@ -165,7 +168,9 @@ ORACLE = {
     "q_json_shred": oracle(f"with {_LEAVES} select file_no, doc_no, elem, path, type, value from leaves", "fx_json"),
     "q_json_types": oracle(f"with {_LEAVES} select path, case when min(type) = max(type) then min(type) else 'text' end as type from leaves group by 1", "fx_json"),
     "q_json_flat_kv": oracle(f"with {_LEAVES} select file_no, path as k, arg_max(value, elem) as v from leaves where doc_no = 0 group by 1, 2", "fx_json"),
-    "q_xml_documents": "select o_orderkey as doc, 'o_orderkey' as path, cast(o_orderkey as varchar) as value from orders union all select o_orderkey, 'o_orderstatus', o_orderstatus from orders union all select o_orderkey, 'o_orderpriority', o_orderpriority from orders",
+    "q_xml_documents": """select o_orderkey as order_no, 0 as elem, '@id' as path, 'integer' as type, cast(o_orderkey as varchar) as value from orders union all select o_orderkey, 0, 'status', 'text', o_orderstatus from orders
+ union all select o_orderkey, 0, 'info.priority', 'text', o_orderpriority from orders union all select o_orderkey, 0, 'info.customer', 'integer', cast(o_custkey as varchar) from orders
+ union all select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as int), 'line', 'integer', cast(l_linenumber as varchar) from lineitem where l_orderkey in (select o_orderkey from orders)""",
     "q_file_chunks": f"""select doc_id, cast(n as int) as chunk_no, cast(length(p) // 2 as int) as n_bytes, md5(p) as digest from (select doc_id, n, substr({_HEX}, n * {2 * CHUNK} + 1, {2 * CHUNK}) as p
  from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil(octet_length(encode(text)) / {CHUNK}.0) as bigint)))) as n from documents where text is not null))""",
     "q_file_reassemble": f"select doc_id, cast(length(p) // 2 as int) as n_bytes, md5(p) as digest from (select doc_id, substr({_HEX}, 1, {2 * CAP}) as p from documents where text is not null)",
@@ -174,9 +179,10 @@ ORACLE = {
         f"""select file_no, n >= 2 and pairs > 0 as ok, case when n >= 2 and pairs > 0 then n - 1 else 0 end as rows, case when n < 2 then 'needs a header and a row' when pairs = 0 then 'no pair' else '' end as reason
  from (select file_no, count(*) filter (where t <> '') as n, count(*) filter (where t <> '' and regexp_matches(line, '[=:]')) as pairs from (select *, {_TRIM.format(x="line")} as t from fx_kv_lines) group by 1)""", "fx_kv_lines"),
     "q_file_sizes": oracle("select '/' || host || path as path, cast(sum(cast(ceil(size_chars / 1024.0) as bigint) * 1024) as bigint) as bytes from fx_file_list group by 1", "fx_file_list"),
-    "q_csv_export": """select doc_id, concat_ws(',', c(lang), c(source), c(head)) as line from (select doc_id, lang, source, substr(text, 1, 200) as head from documents)""",
     "q_kv_export": oracle(f"with {_PAIRS} select file_no, '{{' || string_agg(cast(to_json(k) as varchar) || ':' || cast(to_json(v) as varchar), ',' order by k) || '}}' as body from pairs group by 1", "fx_kv_lines"),
+    "q_document_export": """select c_nationkey, cast(part as int) as part, '{"columns":["c_custkey","c_name"],"rows":[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":' || cast(to_json(c_name) as varchar) || '}', ',' order by c_custkey) || '],"totalRows":' || max(n) || '}' as body
+ from (select *, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 25 as part, count(*) over (partition by c_nationkey) as n from customer) group by 1, 2""",
     "q_external_scan": "select p_brand, count(*) as n, cast(sum(p_size) as bigint) as size from part group by 1",
 }
 _cell = lambda x: f"""case when regexp_matches(coalesce({x}, ''), '[,"' || chr(13) || chr(10) || ']') then '"' || replace({x}, '"', '""') || '"' else coalesce({x}, '') end"""
-ORACLE["q_csv_export"] = f"select doc_id, {_cell('lang')} || ',' || {_cell('source')} || ',' || {_cell('head')} as line from (select doc_id, lang, source, substr(text, 1, 200) as head from documents)"
+ORACLE["q_csv_export"] = f"select doc_id, {_cell('lang')} || ',' || {_cell('source')} || ',' || {_cell('text')} as line from documents"

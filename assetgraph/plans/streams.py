@@ -64,8 +64,9 @@ def q_stream_directories(spark, sf):
         F.when(F.col("n_chars") > 12000, "FAILED").when(F.col("doc_id") % 7 == 4, "SKIPPED").otherwise("SUCCESS").alias("status"), F.array("lang").alias("keywords"),
     )
     path = fresh_path(spark, "folders")
-    feeds.run_available(rows(_stream(spark, sf, "documents")), feeds.DirectoryPipeline(path, lambda: rows(table(spark, sf, "documents"))))
-    return spark.read.schema(feeds.DirectoryPipeline.SCHEMA).parquet(path).select("path", "status")
+    sink = feeds.DirectoryPipeline(path, lambda: rows(table(spark, sf, "documents")))
+    feeds.run_available(rows(_stream(spark, sf, "documents")), sink)
+    return sink.table(spark).select("path", "status")
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

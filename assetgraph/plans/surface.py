@@ -32,19 +32,17 @@ def q_sql_functions(spark, sf):
 
 def q_sql_expand(spark, sf):
     """The table function in use from SQL: what assets mention beside one entity."""
-    transforms.register(spark)
-    g.mentions(fixture(spark, sf, "fx_keywords"), "asset_key", "keyword").createOrReplaceTempView("ag_mentions")
-    return spark.sql(f"select asset_key, candidate from ag_expand(table(ag_mentions) partition by (asset_key), '{FOCUS}')")
+    transforms.register(spark, g.mentions(fixture(spark, sf, "fx_keywords"), "asset_key", "keyword"))
+    return spark.sql(f"select asset_key, candidate from ag_expand('{FOCUS}')")
 
 
 def q_graph_sink(spark, sf):
-    """Nodes that were merged in two steps and read back."""
+    """Edges that were merged in two steps, first those of finished assets, then all, and read back."""
     live = c.live(fixture(spark, sf, "fx_assets"), null_is_live=True)
     path = fresh_path(spark, "graph")
-    for part in ("asset_key % 2 = 0", "asset_key % 3 = 0"):
-        own = live.where(part)
+    for own in (live.where("status = 'SUCCESS'"), live):
         sinks.write_graph(g.nodes(own, "asset_key", "logical_path", "file_name"), g.edges(own, "asset_key", "logical_path"), path)
-    return spark.read.schema("src string, dst string, type string").parquet(f"{path}/edges")
+    return sinks.read_table(spark, f"{path}/edges", "src string, dst string, type string")
 
 
 def q_log_sink(spark, sf):
@@ -67,7 +65,7 @@ ORACLE = {
  case status when 'SKIPPED' then 'unsupported file' when 'FAILED' then 'no fields' else '' end as message from r""", "fx_assets", "fx_keywords"),
     "q_sql_functions": oracle("select asset_key, logical_path || '/x' as path, file_format as extension, replace(replace(file_name, '_', ''), '.', '') as norm, cast((length(file_name) + 2) // 3 as bigint) as tokens, case when file_size > 0 then 1.0 else 0.0 end::double as confidence from fx_assets", "fx_assets"),
     "q_sql_expand": oracle(f"""with known as (select distinct asset_key, regexp_replace(lower(keyword), '[^a-z0-9一-龥]', '', 'g') as norm from fx_keywords) select k.asset_key, k.norm as candidate from known k where norm not in ('', '{FOCUS}') and exists (select 1 from known f where f.asset_key = k.asset_key and f.norm = '{FOCUS}')""", "fx_keywords"),
-    "q_graph_sink": oracle("""with live as (select * from fx_assets where is_valid and (asset_key % 2 = 0 or asset_key % 3 = 0)) select distinct case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end as src, array_to_string(s[1:n], '/') as dst, 'CONTAINS' as type
+    "q_graph_sink": oracle("""with live as (select * from fx_assets where is_valid) select distinct case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end as src, array_to_string(s[1:n], '/') as dst, 'CONTAINS' as type
  from (select string_split(logical_path, '/') as s, unnest([2, 3, 4]) as n from live) union all select logical_path, 'asset:' || asset_key, 'HAS_DATA' from live""", "fx_assets"),
     "q_log_sink": oracle("select asset_key, arg_max(status, seq) filter (where status is not null) as status, arg_max(is_valid, seq) filter (where is_valid is not null) as is_valid from fx_assets_log where seq % 4 <> 0 group by 1", "fx_assets_log"),
 }

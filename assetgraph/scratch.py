@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where it is unset."""
+    """The session's checkpoint folder; one of our own only where it is unset, on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="assetgraph-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -25,3 +27,25 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions v<n> of a table below path, ascending. A version is complete once its job has been committed."""
+    at, fs = _at(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_at(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def drop_versions(spark: SparkSession, path: str, below: int) -> None:
+    """Deletes the versions of a table before a number."""
+    for n in versions(spark, path):
+        if n < below:
+            at, fs = _at(spark, f"{path}/v{n}")
+            fs.delete(at, True)

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+from assetgraph.scratch import saved
+
+#: Levels that are opened between two looks at whether any is left.
+LEVELS = 4
 
 
 def split_documents(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, doc_no, doc) with doc as VARIANT: an object is a document, an array one for each element, else the text is cut at `;` line ends and before `{` lines."""
-    cut = F.transform(F.split(body, r";\s*\n|\n(?=\s*\{)"), lambda x: F.regexp_replace(x, r";\s*$", ""))
-    each = F.forall(cut, lambda x: F.try_parse_json(x).isNotNull())  # the parser ignores what follows a first document
-    parts = F.when(F.try_parse_json(F.col(body)).isNotNull() & ~each, F.array(F.col(body))).otherwise(cut)
-    values = F.filter(F.transform(parts, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
-    listed = df.select(key, F.posexplode(values).alias("_part", "_v"))
-    docs = listed.select(key, "_part", F.posexplode(F.expr("case when schema_of_variant(_v) like 'ARRAY%' then cast(_v as array<variant>) else array(_v) end")).alias("_nth", "doc"))
-    # array documents come from one part, cut texts have one document a part: the place follows from both
-    return docs.select(key, (F.col("_part") + F.col("_nth")).cast("int").alias("doc_no"), "doc")
+    """(key, doc_no, doc) with doc as VARIANT: an object is a document, an array one for each element, else the text is cut at `;` line ends and before `{` lines. Documents are numbered in the order of the text."""
+    cut = F.transform(F.split(body, r";\s*\n|\n(?=\s*\{)"), lambda x: F.try_parse_json(F.regexp_replace(x, r";\s*$", "")))
+    parsed = df.select(key, F.try_parse_json(F.col(body)).alias("_whole"), cut.alias("_parts"))
+    each = F.forall("_parts", lambda v: v.isNotNull())  # the parser ignores what follows a first document
+    values = F.filter(F.when(F.col("_whole").isNotNull() & ~each, F.array("_whole")).otherwise(F.col("_parts")), lambda v: v.isNotNull())
+    listed = parsed.select(key, values.alias("_values"))
+    flat = F.expr("flatten(transform(_values, v -> case when schema_of_variant(v) like 'ARRAY%' then cast(v as array<variant>) else array(v) end))")
+    return listed.select(key, F.posexplode(flat).alias("doc_no", "doc"))
 
 
 _NAME = "regexp_replace(regexp_replace(coalesce({k}, ''), '[^a-zA-Z0-9_@$-]', '_'), '^([0-9])', 'c_$1')"
@@ -30,26 +34,33 @@ _EXPAND = f"""flatten(transform(_nodes, n -> case
   else array(n) end))"""
 
 
-def shred(docs: DataFrame, key: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, doc_no, elem, path, type, value): every leaf of every document, in one pass over the rows.
+def shred(docs: DataFrame, key: str, save: Callable[[DataFrame], DataFrame] = saved, levels: int = LEVELS) -> DataFrame:
+    """(key, doc_no, elem, path, type, value): every leaf of every document, however deep.
 
     Names are sanitised, list element j stands at elem + j, nulls are dropped, `{"$oid": x}` is `ObjectId("x")`, a scalar
-    root has the path `value`. What lies deeper than max_depth stays as one JSON text.
+    root has the path `value`. Some levels are opened in one pass over the rows; only what is still open after it is gone through again.
     """
-    nodes = docs.select(key, "doc_no", F.expr("array(named_struct('path', '', 'elem', 0, 't', cast(null as string), 'v', doc))").alias("_nodes"))
-    for _ in range(max_depth):
-        nodes = nodes.withColumn("_nodes", F.expr(_EXPAND))
-    leaf = nodes.select(key, "doc_no", F.explode("_nodes").alias("n")).select(key, "doc_no", "n.*")
-    kind = F.expr("schema_of_variant(v)")
-    number = F.expr("try_variant_get(v, '$', 'bigint')")
-    type_ = (
-        F.when(F.col("t").isNotNull(), "text").when(kind == "BOOLEAN", "boolean")
-        .when((kind == "BIGINT") & number.between(-(2**31), 2**31 - 1), "integer").when(kind == "BIGINT", "long")
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double").otherwise("text")
-    )
-    text = F.coalesce("t", F.when(kind.rlike("^(OBJECT|ARRAY)"), F.expr("to_json(v)")).otherwise(F.expr("try_variant_get(v, '$', 'string')")))
-    leaf = leaf.where((kind != "VOID") | F.col("t").isNotNull())
-    return leaf.select(key, "doc_no", F.col("elem").cast("int").alias("elem"), F.when(F.col("path") == "", "value").otherwise(F.col("path")).alias("path"), type_.alias("type"), text.alias("value"))
+    start = docs.select(key, "doc_no", F.lit("").alias("path"), F.lit(0).alias("elem"), F.col("doc").alias("v"))
+    out = None
+    while True:
+        nodes = start.select(key, "doc_no", F.expr("array(named_struct('path', path, 'elem', elem, 't', cast(null as string), 'v', v))").alias("_nodes"))
+        for _ in range(levels):
+            nodes = nodes.withColumn("_nodes", F.expr(_EXPAND))
+        leaf = nodes.select(key, "doc_no", F.explode("_nodes").alias("n")).select(key, "doc_no", "n.*").withColumn("_kind", F.expr("schema_of_variant(v)"))
+        number = F.expr("try_variant_get(v, '$', 'bigint')")
+        kind, named = F.col("_kind"), F.col("t").isNotNull()
+        type_ = (
+            F.when(named, "text").when(kind == "BOOLEAN", "boolean").when((kind == "BIGINT") & number.between(-(2**31), 2**31 - 1), "integer").when(kind == "BIGINT", "long")
+            .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double").when(kind.rlike("^(OBJECT|ARRAY)"), "open").otherwise("text")
+        )
+        text = F.coalesce("t", F.when(kind.rlike("^(OBJECT|ARRAY)"), F.expr("to_json(v)")).otherwise(F.expr("try_variant_get(v, '$', 'string')")))
+        rows = save(leaf.where((kind != "VOID") | named).select(key, "doc_no", F.col("elem").cast("int").alias("elem"), "path", type_.alias("type"), text.alias("value")))
+        closed = rows.where("type <> 'open'").withColumn("path", F.when(F.col("path") == "", "value").otherwise(F.col("path")))
+        out = closed if out is None else out.unionByName(closed)
+        rest = rows.where("type = 'open'")
+        if rest.isEmpty():
+            return out
+        start = rest.select(key, "doc_no", "path", "elem", F.parse_json("value").alias("v"))
 
 
 def widened_types(leaves: DataFrame) -> DataFrame:
@@ -62,9 +73,10 @@ def flat_pairs(leaves: DataFrame, key: str) -> DataFrame:
     return leaves.where("doc_no = 0").groupBy(key, F.col("path").alias("k")).agg(F.max_by("value", "elem").alias("v"))
 
 
-def xml_documents(df: DataFrame, key: str, body: str, schema: str) -> DataFrame:
-    """(key, path, value): leaves of XML texts of a known shape; attributes are `@name`, mixed text is `#text`, the root's name is dropped."""
-    parsed = df.select(key, F.from_xml(F.col(body), schema, {"attributePrefix": "@", "valueTag": "#text"}).alias("x"))
-    names = parsed.schema["x"].dataType.names
-    pairs = F.array(*(F.struct(F.lit(n).alias("path"), F.col("x").getField(n).cast("string").alias("value")) for n in names))
-    return parsed.select(key, F.inline(pairs)).where("value is not null")
+def xml_documents(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, doc_no, doc) of XML texts, for `shred`: attributes are `@name`, repeated children lists, mixed text `#text`, leaves typed, the root's
+    name dropped. Texts that are no XML, or that bring a document type, have no row."""
+    checked = df.select(key, F.col(body).alias("_b"), F.from_xml(F.col(body), "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].alias("_bad"))
+    good = checked.where("_b is not null and _bad is null and trim(_b) <> '' and not contains(_b, '<!DOCTYPE')")
+    doc = F.expr("case when _bad is null and trim(_b) <> '' then from_xml(_b, 'variant', map('attributePrefix', '@', 'valueTag', '#text')) end")
+    return good.select(key, F.lit(0).alias("doc_no"), doc.alias("doc"))

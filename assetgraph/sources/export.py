@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetgraph.sources.delimited import ordinals
+
 
 def csv_cell(c: Column) -> Column:
     """Quoted where it has a comma, a quote or a line break; quotes doubled; null is empty."""
@@ -30,9 +32,14 @@ def pairs_json(pairs: DataFrame, key: str, k: str = "k", v: str = "v") -> DataFr
     return pairs.groupBy(key).agg(F.to_json(F.map_from_entries(entries)).alias("body"))
 
 
-def table_json(df: DataFrame, group: list[str], row_order: str) -> DataFrame:
-    """(group, body): columns, rows in order and totalRows of each group as a JSON text."""
-    names = [c for c in df.columns if c not in group]
-    rows = F.array_sort(F.collect_list(F.struct(row_order, *(c for c in names if c != row_order))))
-    body = F.to_json(F.struct(F.array(*map(F.lit, names)).alias("columns"), rows.alias("rows"), F.size(rows).alias("totalRows")))
-    return df.groupBy(*group).agg(body.alias("body"))
+def table_json(df: DataFrame, group: str, row_order: str, part_rows: int = 10_000) -> DataFrame:
+    """(group, part, body): columns, rows in order and totalRows of each group as JSON texts of at most part_rows rows, part from 0; all parts have the group's total.
+
+    row_order: an integer column.
+    """
+    names = [c for c in df.columns if c != group]
+    placed = ordinals(df, group, row_order, "_at").withColumn("part", F.floor(F.col("_at") / part_rows).cast("int"))
+    parts = placed.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct(row_order, *(c for c in names if c != row_order)))).alias("_rows"))
+    totals = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    body = F.to_json(F.struct(F.array(*map(F.lit, names)).alias("columns"), F.col("_rows").alias("rows"), F.col("_n").alias("totalRows")))
+    return parts.join(totals, F.col(group) == F.col("_g")).select(group, "part", body.alias("body"))

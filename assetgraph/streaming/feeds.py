@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from assetgraph.functions.paths import normalize_path, parent_path, path_chain
 from assetgraph.operators.catalog import current_state
 from assetgraph.operators.extract import roll_up
-from assetgraph.operators.sinks import merge_table
-from assetgraph.scratch import fresh_path, saved
+from assetgraph.operators.sinks import merge_table, read_table
+from assetgraph.scratch import drop_versions, fresh_path, saved, versions
 
 LEVELS = ("INFO", "WARN", "ERROR", "SUCCESS", "RUNNING")
 MOST = 120
@@ -66,28 +66,34 @@ def collected(stream: DataFrame) -> DataFrame:
 class CatalogSink:
     """Continuous catalog state: every micro-batch is merged, by key, into the table of states at `path`.
 
-    Each batch writes a version of its own, and a version that is there is not written again, so a batch that is tried again has no further effect.
+    A batch writes the version of its number from the newest complete one before it, which is looked for on disk, so a stream that starts
+    anew on its checkpoint goes on where it stopped. A version that is complete is not written again: a batch that is tried again
+    has no further effect. The one before the last is deleted.
     """
 
     def __init__(self, path: str, key: str, seq: str):
-        self.path, self.key, self.seq, self.last = path, key, seq, -1
+        self.path, self.key, self.seq = path, key, seq
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = versions(spark, self.path)
+        if batch_id in found:
+            return
         values = [c for c in batch.columns if c not in (self.key, self.seq)]
-        # one log row per value that is set, so that an older batch row never hides a newer one
         fresh = batch.select(self.key, self.seq, *values)
-        if self.last >= 0:
-            fresh = batch.sparkSession.read.parquet(f"{self.path}/v{self.last}").unionByName(fresh)
-        pieces = [fresh.where(F.col(v).isNotNull()).groupBy(self.key).agg(F.max(F.struct(self.seq, v)).alias(v)) for v in values]
-        latest = fresh.select(self.key).distinct()
-        for p in pieces:
-            latest = latest.join(p, self.key, "left")
+        if before := [n for n in found if n < batch_id]:
+            fresh = spark.read.schema(fresh.schema).parquet(f"{self.path}/v{before[-1]}").unionByName(fresh)
+        # one log row per value that is set, so that an older batch row never hides a newer one
+        last = [F.max(F.when(F.col(v).isNotNull(), F.struct(self.seq, v))).alias(v) for v in values]
+        latest = fresh.groupBy(self.key).agg(*last)
         rows = F.inline(F.array(*(F.struct(F.col(f"{v}.{self.seq}").alias(self.seq), *(F.when(F.lit(v == w), F.col(f"{w}.{w}")).alias(w) for w in values)) for v in values)))
         latest.select(self.key, rows).where(F.col(self.seq).isNotNull()).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.last = batch_id
+        drop_versions(spark, self.path, before[-1] if before else 0)
 
     def state(self, spark, schema) -> DataFrame:
-        return current_state(spark.read.schema(schema).parquet(f"{self.path}/v{self.last}"), self.key, self.seq)
+        found = versions(spark, self.path)
+        log = spark.read.schema(schema).parquet(f"{self.path}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+        return current_state(log, self.key, self.seq)
 
 
 class LeafPipeline:
@@ -116,13 +122,15 @@ class DirectoryPipeline:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         touched = saved(batch.select(F.explode(path_chain(normalize_path(F.col("logical_path")))).alias("folder")).distinct(), "touched")
         own = self.assets().join(touched, normalize_path(F.col("logical_path")) == F.col("folder"), "left_semi")
-        rows = own.select(F.col("asset_key").cast("string").alias("key"), normalize_path(F.col("logical_path")).alias("at"), "status", "keywords")
-        if batch_id > 0:
-            stored = batch.sparkSession.read.schema(self.SCHEMA).parquet(self.path).where("path <> '/'")
-            beside = stored.join(touched, F.col("path") == F.col("folder"), "left_anti").withColumn("at", parent_path(F.col("path")))
-            rows = rows.unionByName(beside.join(touched, F.col("at") == F.col("folder"), "left_semi").select(F.col("path").alias("key"), "at", "status", "keywords"))
+        rows = own.select(F.col("asset_key").cast("long").alias("key"), F.lit(None).cast("string").alias("sub"), normalize_path(F.col("logical_path")).alias("at"), "status", "keywords")
+        stored = self.table(batch.sparkSession).where("path <> '/'")
+        beside = stored.join(touched, F.col("path") == F.col("folder"), "left_anti").withColumn("at", parent_path(F.col("path")))
+        rows = rows.unionByName(beside.join(touched, F.col("at") == F.col("folder"), "left_semi").select(F.lit(None).cast("long").alias("key"), F.col("path").alias("sub"), "at", "status", "keywords"))
         if not rows.isEmpty():
-            merge_table(self.path, roll_up(rows, "key", "at", "keywords", saved), ["path"])
+            merge_table(self.path, roll_up(rows, "key", "at", "keywords", saved, folder="sub"), ["path"])
+
+    def table(self, spark) -> DataFrame:
+        return read_table(spark, self.path, self.SCHEMA)
 
 
 def start_recurring(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds"):
