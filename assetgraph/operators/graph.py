@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetgraph.functions.names import display_name, entity_norm
-from assetgraph.functions.paths import leaf_name, normalize_path, parent_path, path_chain
+from assetgraph.functions.paths import asset_path, leaf_name, normalize_path, parent_path, path_chain
+from assetgraph.functions.text import dedup_strings
 
 FOCUS_ASSETS, CANDIDATES = 8, 30
 SIZES = {"LogicalPath": 36, "DataAsset": 42, "Entity": 30}
@@ -28,6 +29,27 @@ def edges(assets: DataFrame, key: str, path: str) -> DataFrame:
     return contains.unionByName(assets.select(normalize_path(F.col(path)).alias("src"), F.concat(F.lit("asset:"), key).alias("dst"), F.lit("HAS_DATA").alias("type")).distinct())
 
 
+def node_attributes(assets: DataFrame, key: str, path: str, file: str, kind: str, keywords: str, most: int = 80) -> DataFrame:
+    """(id, data_type, keywords, meta_key): a directory's key belongs to its folder's node, other assets have kind and keywords on their own; rows without a kind have none."""
+    kinds = F.lower(F.trim(F.coalesce(F.col(kind), F.lit(""))))
+    typed = assets.where(kinds != "").withColumn("_kind", kinds)
+    folder = asset_path(normalize_path(F.col(path)), F.col(file))
+    none = F.array().cast("array<string>")
+    rows = typed.select(
+        F.when(F.col("_kind") == "directory", folder).otherwise(F.concat(F.lit("asset:"), key)).alias("id"), F.when(F.col("_kind") != "directory", F.col("_kind")).alias("data_type"),
+        F.when(F.col("_kind") != "directory", dedup_strings(F.coalesce(keywords, none), most)).alias("keywords"), F.col(key).alias("meta_key"),
+    )
+    return rows.groupBy("id").agg(F.max_by(F.struct("data_type", "keywords", "meta_key"), "meta_key").alias("_x")).select("id", "_x.*")
+
+
+def mention_words(assets: DataFrame, key: str, keywords: str, fields: str, entities: str) -> DataFrame:
+    """(key, pos, word): the keywords of each asset, or its fields and entities where it has none; pos from 0."""
+    none = F.array().cast("array<string>")
+    given = dedup_strings(F.coalesce(keywords, none))
+    words = F.when(F.size(given) > 0, given).otherwise(dedup_strings(F.concat(F.coalesce(fields, none), F.coalesce(entities, none))))
+    return assets.select(key, F.posexplode(words).alias("pos", "word"))
+
+
 def merge_snapshot(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """stored with the rows of every re-processed key replaced by the fresh ones."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
@@ -44,15 +66,15 @@ def entities(keywords: DataFrame, key: str, order: str, word: str) -> DataFrame:
     return named.groupBy("norm").agg(display_name(F.min_by("_w", F.struct(key, order, "_w"))).alias("name"))
 
 
-def semantic_relations(triples: DataFrame, known: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, a, b, relation, reversed): one undirected edge for each pair of an asset's entities, the last relation wins."""
+def semantic_relations(triples: DataFrame, known: DataFrame, key: str, order: str, label: str = "DataAsset") -> DataFrame:
+    """(key, a, b, relation, reversed, asset_ref): one undirected edge for each pair of an asset's entities, the last relation wins; asset_ref is `Label::key`."""
     rows = triples.where("predicate <> ''").select(key, order, "predicate", entity_norm(F.col("subject")).alias("_s"), entity_norm(F.col("object")).alias("_o")).where("_s <> '' and _o <> '' and _s <> _o")
     own = known.select(F.col(key).alias("_k"), F.col("norm").alias("_n"))
     for end in ("_s", "_o"):
         rows = rows.join(own, (F.col(key) == F.col("_k")) & (F.col(end) == F.col("_n")), "left_semi")
     pairs = rows.select(key, order, F.least("_s", "_o").alias("a"), F.greatest("_s", "_o").alias("b"), "predicate", (F.col("_s") > F.col("_o")).alias("_r"))
     last = pairs.groupBy(key, "a", "b").agg(F.max(F.struct(order, "predicate", "_r")).alias("_x"))
-    return last.select(key, "a", "b", F.col("_x.predicate").alias("relation"), F.col("_x._r").alias("reversed"))
+    return last.select(key, "a", "b", F.col("_x.predicate").alias("relation"), F.col("_x._r").alias("reversed"), F.concat(F.lit(f"{label}::"), key).alias("asset_ref"))
 
 
 def relation_candidates(known: DataFrame, relations: DataFrame, key: str, assets: int = FOCUS_ASSETS, each: int = CANDIDATES) -> DataFrame:
@@ -74,27 +96,50 @@ def write_back(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame
     return joined.select(key, "a", "b", F.col("_r").isNotNull().alias("related"), F.coalesce("_r", F.lit("no relation")).alias("relation"), F.lit("query-udf").alias("source"))
 
 
-def query_prefix(assets: DataFrame, known: DataFrame, key: str, path: str, prefix: str, max_nodes: int) -> DataFrame:
-    """(rank, key, parent, norm): the newest assets below a path with their folder and entities, within the row budget. The limit comes before the joins."""
+def query_prefix(assets: DataFrame, known: DataFrame, key: str, path: str, prefix: str, max_nodes: int, drawings: DataFrame | None = None) -> DataFrame:
+    """(kind, rank, src, dst): the edges around the newest assets below a path, within the row budget. The limit comes before the joins.
+
+    HAS_DATA from the folder, CONTAINS from the root down to it, MENTIONS of entities, and for drawings (key, component), which show no
+    mentions, DEPICTS with the root component. rank: of the asset, 0 for CONTAINS. Without assets the folders below the path, as NODE.
+    """
     width, rows = min(200, max(10, max_nodes)), min(2000, max(100, 4 * max_nodes))
-    under = assets.where((F.col(path) == prefix) | F.startswith(path, F.lit(prefix.rstrip("/") + "/")))
-    newest = under.orderBy(F.desc(key)).limit(width)
+    below = lambda c: (c == prefix) | F.startswith(c, F.lit(prefix.rstrip("/") + "/"))
+    newest = assets.where(below(F.col(path))).orderBy(F.desc(key)).limit(width)
     ranked = newest.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key))))  # at most `width` rows
-    found = ranked.join(known, key, "left").select("rank", key, F.col(path).alias("parent"), "norm")
-    return found.orderBy("rank", "norm").limit(rows)
-
-
-def search(assets: DataFrame, known: DataFrame, key: str, word: str, types: list[str] | None = None, newest: int = 120) -> DataFrame:
-    """(key): the newest assets whose name, path or entities contain a word."""
-    text = F.lower(F.concat_ws("\n", "file_name", "logical_path"))
-    of_type = assets.where(F.col("data_type").isin(*types)) if types else assets
-    direct = of_type.where(F.contains(text, F.lit(word.lower()))).select(key)
-    mentioned = of_type.join(known.where(F.contains("norm", F.lit(word.lower()))), key, "left_semi").select(key)
-    return direct.union(mentioned).distinct().orderBy(F.desc(key)).limit(newest)
-
-
-def matched_entities(assets: DataFrame, known: DataFrame, named: DataFrame, key: str, word: str, most: int = 16) -> DataFrame:
-    """(norm, name): entities of the assets whose name contains a word, the first by name."""
+    drawn = drawings.select(F.col(key).alias("_d"), "component") if drawings is not None else assets.sparkSession.createDataFrame([], f"_d {assets.schema[key].dataType.simpleString()}, component string")
+    ranked = ranked.join(drawn, F.col(key) == F.col("_d"), "left")
+    told = ranked.join(known.select(F.col(key).alias("_m"), "norm"), (F.col(key) == F.col("_m")) & F.col("_d").isNull(), "left")
+    found = told.select("rank", F.concat(F.lit("asset:"), key).alias("asset"), normalize_path(F.col(path)).alias("parent"), "norm", "component").orderBy("rank", "norm", "component").limit(rows)
+    edge = lambda df, kind, rank, src, dst: df.select(F.lit(kind).alias("kind"), F.col(rank).cast("int").alias("rank") if rank else F.lit(0).alias("rank"), F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    chain = found.select(F.explode(path_chain(F.col("parent"))).alias("dst")).where("dst <> '/'").distinct().withColumn("src", parent_path(F.col("dst")))
+    parts = [edge(found, "HAS_DATA", "rank", "parent", "asset"), edge(chain, "CONTAINS", None, "src", "dst"), edge(found.where("norm is not null"), "MENTIONS", "rank", "asset", "norm"), edge(found.where("component is not null"), "DEPICTS", "rank", "asset", "component")]
+    if newest.isEmpty():
+        folders = assets.select(F.explode(path_chain(normalize_path(F.col(path)))).alias("src")).distinct().where(below(F.col("src"))).orderBy("src").limit(rows)
+        parts.append(edge(folders.withColumn("dst", F.lit(None).cast("string")), "NODE", None, "src", "dst"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def search(assets: DataFrame, known: DataFrame, key: str, word: str, types: list[str] | None = None, newest: int = 120, texts: list[DataFrame] = [], folders: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """(kind, id): the newest assets that a word hits by name, path, mentioned entities, or by one of the further texts (key, text): keywords, components,
+    part numbers, specifications, dimensions. Without a type, the folders (path, key) hit by name or path too, the newest first."""
+    hit = lambda c: F.contains(F.lower(c), F.lit(word.lower()))
+    of_type = assets.where(F.lower("data_type").isin(*types)) if types else assets
+    ids = of_type.where(hit(asset_path(normalize_path(F.col("logical_path")), F.col("file_name")))).select(key)
+    for source in [known.where(hit(F.col("norm"))), *(t.where(hit(F.col("text"))) for t in texts)]:
+        ids = ids.union(of_type.join(source.select(key), key, "left_semi").select(key))
+    found = ids.distinct().orderBy(F.desc(key)).limit(newest).select(F.lit("asset").alias("kind"), F.col(key).cast("string").alias("id"))
+    if types or folders is None:
+        return found
+    return found.unionByName(folders.where(hit(F.col("path"))).orderBy(F.desc("key"), "path").limit(newest).select(F.lit("directory").alias("kind"), F.col("path").alias("id")))
+
+
+def matched_entities(assets: DataFrame, known: DataFrame, named: DataFrame, key: str, word: str, most: int = 16, drawings: DataFrame | None = None) -> DataFrame:
+    """(norm, name): entities of the assets, but of no drawings (key), whose name contains a word, the first by name."""
+    if drawings is not None:
+        assets = assets.join(drawings.select(key), key, "left_anti")
     norms = known.join(assets.select(key).distinct(), key, "left_semi").select("norm").distinct()
     return named.join(norms, "norm", "left_semi").where(F.contains(F.lower("name"), F.lit(word.lower()))).orderBy("name", "norm").limit(most)
 
@@ -117,6 +162,22 @@ def assemble(found: DataFrame, links: DataFrame) -> DataFrame:
     return every.join(F.broadcast(ranked), "label").select("id", "label", shown_name(F.col("label"), F.col("name"), F.col("id")).alias("name"), "category", size.alias("size"))
 
 
+def assemble_edges(links: DataFrame) -> DataFrame:
+    """(src, dst, type, relation): every edge once."""
+    return links.select("src", "dst", "type", F.coalesce("relation", F.lit("")).alias("relation")).distinct()
+
+
+def clamp_budget(most: int, policy: int = 200) -> int:
+    """A node budget from 20 up to what the policy allows, itself from 20 to 500."""
+    return max(20, min(most, max(20, min(policy, 500))))
+
+
+def budget_report(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row (nodes, omitted, truncated)."""
+    counts = found.agg(F.count("*").alias("_all")).join(F.broadcast(kept.agg(F.count("*").alias("nodes"))))  # two single rows
+    return counts.select("nodes", (F.col("_all") - F.col("nodes")).alias("omitted"), (F.col("_all") > F.col("nodes")).alias("truncated"))
+
+
 def within_budget(found: DataFrame, links: DataFrame, matched: Column, most: int) -> tuple[DataFrame, DataFrame]:
     """The nodes that match first, then by id, up to the budget, and the edges with both ends among them."""
     kept = found.orderBy(F.desc(matched), "id").limit(most)
@@ -131,6 +192,23 @@ def delta(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return b.join(a, on, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, on, "left_anti").withColumn("change", F.lit("removed")))
 
 
+LABEL_RANK = ("Component", "Entity", "DataAsset", "LogicalPath")
+
+
+def focus(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, label): the first node (id, label) that is new, by the rank of its label, then by id; no row if none is."""
+    rank = F.lit(len(LABEL_RANK))
+    for i, label in enumerate(LABEL_RANK):
+        rank = F.when(F.col("label") == label, i).otherwise(rank)
+    return new.join(old.select("id"), "id", "left_anti").orderBy(rank, "id").limit(1).select("id", "label")
+
+
+def signature(nodes_: DataFrame, edges_: DataFrame) -> str:
+    """A text that is equal for equal sets of nodes (id) and edges (src, dst), whatever their order; two aggregations."""
+    one = lambda df, *c: df.select(*c).distinct().agg(F.count("*"), F.bit_xor(F.xxhash64(*c)), F.sum(F.xxhash64(*c).cast("decimal(38,0)"))).first()
+    return ":".join(map(str, (*one(nodes_, "id"), *one(edges_, "src", "dst"))))
+
+
 def entity_degree(known: DataFrame, relations: DataFrame) -> DataFrame:
     """(norm, n_assets, n_relations)."""
     ends = relations.select(F.col("a").alias("norm")).union(relations.select(F.col("b").alias("norm"))).groupBy("norm").agg(F.count("*").alias("_r"))

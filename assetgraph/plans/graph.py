@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.operators import catalog as c
 from assetgraph.operators import drawings as d
+from assetgraph.operators import extract as x
 from assetgraph.operators import graph as g
+from assetgraph.plans import extract as x_plans
 from assetgraph.scratch import saved
 
 NODES, WORD, MOST = 20, "re", 16
@@ -74,17 +76,47 @@ def q_relation_writeback(spark, sf):
     return g.write_back(found, answers, "asset_key")
 
 
+def q_node_attributes(spark, sf):
+    """Folders as directory rows, assets with kind and keywords."""
+    live = _live(spark, sf)
+    folders = live.groupBy("logical_path").agg(F.min("asset_key").alias("k")).select((F.col("k") + 2000000).alias("asset_key"), F.regexp_replace("logical_path", "/[^/]*$", "").alias("logical_path"), F.regexp_extract("logical_path", "([^/]*)$", 1).alias("file_name"), F.lit("Directory").alias("data_type"))
+    listed = fixture(spark, sf, "fx_keywords").groupBy("asset_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword"))), lambda t: t["keyword"]).alias("kw"))
+    rows = live.select("asset_key", "logical_path", "file_name", F.when(F.col("file_format") != "zip", F.col("data_type")).alias("data_type")).unionByName(folders).join(listed, "asset_key", "left")
+    return g.node_attributes(rows, "asset_key", "logical_path", "file_name", "data_type", "kw").withColumn("keywords", F.array_join("keywords", "|"))
+
+
+def q_mention_words(spark, sf):
+    """Keywords of the answers, or format and kind as fields with the answers' entities."""
+    answers = x.parse_responses(fixture(spark, sf, "fx_responses"), "asset_key", "raw").select("asset_key", F.when(F.col("asset_key") % 5 != 3, F.col("keywords")).alias("keywords"), "entities")
+    rows = answers.join(fixture(spark, sf, "fx_assets").select("asset_key", F.array("file_format", "data_type").alias("fields")), "asset_key")
+    return g.mention_words(rows, "asset_key", "keywords", "fields", "entities")
+
+
+def _drawings(spark, sf):
+    """JSON assets count as analysed drawings."""
+    return _live(spark, sf).where("file_format = 'json'").select("asset_key", F.concat(F.lit("component:"), "asset_key").alias("component"))
+
+
 def q_graph_query(spark, sf):
-    return g.query_prefix(_live(spark, sf).select("asset_key", "logical_path"), _known(spark, sf), "asset_key", "logical_path", "/docs/en", NODES)
+    """Around the newest English assets, and below a folder that has no assets."""
+    live, known = _live(spark, sf).select("asset_key", "logical_path"), saved(_known(spark, sf), "mentions")
+    return g.query_prefix(live, known, "asset_key", "logical_path", "/docs/en", NODES, _drawings(spark, sf)).unionByName(g.query_prefix(live, known, "asset_key", "logical_path", "/none", NODES))
 
 
 def q_graph_search(spark, sf):
-    return g.search(_live(spark, sf), _known(spark, sf), "asset_key", WORD, ["file", "document"])
+    """Assets by name, path, entities, keywords, parts and dimensions; of two kinds, and of all with folders."""
+    live, known = _live(spark, sf), saved(_known(spark, sf), "mentions")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("asset_key"), F.concat_ws("\n", "p_name", "p_brand", "p_type").alias("text"))
+    dims = fixture(spark, sf, "fx_dims").where("target > 0").select(F.col("target").alias("asset_key"), F.concat_ws(" ", "kind", "nominal").alias("text"))
+    words = fixture(spark, sf, "fx_keywords").select("asset_key", F.col("keyword").alias("text"))
+    folders = live.groupBy(F.col("logical_path").alias("path")).agg(F.max("asset_key").alias("key"))
+    two = g.search(live, known, "asset_key", WORD, ["file", "document"], texts=[words, parts, dims])
+    return two.withColumn("of", F.lit("two")).unionByName(g.search(live, known, "asset_key", "a 3", texts=[words, parts, dims], folders=folders).union(g.search(live, known, "asset_key", "src1", folders=folders).where("kind = 'directory'")).withColumn("of", F.lit("all")))
 
 
 def q_matched_entities(spark, sf):
     french = _live(spark, sf).where("logical_path like '/docs/fr/%'")
-    return g.matched_entities(french, _known(spark, sf), _entities(spark, sf), "asset_key", WORD, MOST)
+    return g.matched_entities(french, _known(spark, sf), _entities(spark, sf), "asset_key", WORD, MOST, _drawings(spark, sf))
 
 
 def _parts_of_graph(spark, sf):
@@ -97,10 +129,27 @@ def q_graph_assemble(spark, sf):
     return g.assemble(*_parts_of_graph(spark, sf))
 
 
+def q_graph_links(spark, sf):
+    """The assembled edges of folders, assets, mentions and relations."""
+    live, known = _live(spark, sf), saved(_known(spark, sf), "mentions")
+    tree = g.edges(live, "asset_key", "logical_path").withColumn("relation", F.lit(None).cast("string"))
+    told = known.select(F.concat(F.lit("asset:"), "asset_key").alias("src"), F.col("norm").alias("dst"), F.lit("MENTIONS").alias("type"), F.lit(None).cast("string").alias("relation"))
+    between = _relations(spark, sf, known).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SEMANTIC_RELATION").alias("type"), "relation")
+    return g.assemble_edges(tree.unionByName(told).unionByName(between))
+
+
+def q_graph_focus(spark, sf):
+    """What to look at first after the finished assets have been joined by the others."""
+    live = _live(spark, sf)
+    nodes = lambda df: g.nodes(df, "asset_key", "logical_path", "file_name")
+    return g.focus(nodes(live.where("status = 'SUCCESS'")), nodes(live))
+
+
 def q_node_budget(spark, sf):
     found, links = _parts_of_graph(spark, sf)
-    kept, own = g.within_budget(found, links, F.col("name").contains("src"), 60)
-    return kept.select("id", F.lit("node").alias("kind")).unionByName(own.select(F.concat_ws(">", "src", "dst").alias("id"), F.lit("edge").alias("kind")))
+    kept, own = g.within_budget(found, links, F.col("name").contains("src"), g.clamp_budget(60))
+    report = g.budget_report(found, kept).select(F.concat_ws(":", "nodes", "omitted", F.col("truncated").cast("string")).alias("id"), F.lit("report").alias("kind"))
+    return report.unionByName(kept.select("id", F.lit("node").alias("kind"))).unionByName(own.select(F.concat_ws(">", "src", "dst").alias("id"), F.lit("edge").alias("kind")))
 
 
 def q_graph_delta(spark, sf):
@@ -213,7 +262,7 @@ _N = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9一-龥]', '', 'g')"  # noq
 _KNOWN = f"known as (select distinct asset_key, {_N('keyword')} as norm from fx_keywords where {_N('keyword')} <> '')"
 _ENT = f"ent as (select {_N('keyword')} as norm, trim(regexp_replace(arg_min(keyword, asset_key * 100 + pos), '\\s+', ' ', 'g')) as name from fx_keywords where {_N('keyword')} <> '' group by 1)"
 _REL = f"""t as (select asset_key, pos, predicate, {_N('subject')} as s, {_N('object')} as o from fx_triples where predicate <> ''),
-rel as (select asset_key, least(s, o) as a, greatest(s, o) as b, arg_max(predicate, pos) as relation, arg_max(s > o, pos) as reversed from t where s <> '' and o <> '' and s <> o
+rel as (select asset_key, least(s, o) as a, greatest(s, o) as b, arg_max(predicate, pos) as relation, arg_max(s > o, pos) as reversed, 'DataAsset::' || asset_key as asset_ref from t where s <> '' and o <> '' and s <> o
  and exists (select 1 from known k where k.asset_key = t.asset_key and k.norm = s) and exists (select 1 from known k where k.asset_key = t.asset_key and k.norm = o) group by 1, 2, 3)"""
 _CAND = """grp as (select norm as focus, asset_key from (select *, row_number() over (partition by norm order by asset_key desc) as nth from known) where nth <= 8),
 cand as (select focus, g.asset_key, k.norm as candidate, case when r.asset_key is null then 'unknown' when r.relation <> 'rel3' then 'related' else 'unrelated' end as status
@@ -236,15 +285,28 @@ ORACLE = {
     "q_relation_candidates": oracle(f"with {_KNOWN}, {_REL}, {_CAND} select * from cand", "fx_keywords", "fx_triples"),
     "q_relation_writeback": oracle(f"""with {_KNOWN}, {_REL}, {_CAND}, asked as (select distinct asset_key, least(focus, candidate) as a, greatest(focus, candidate) as b from cand where status = 'unknown')
  select asset_key, a, b, a[1] = b[1] as related, case when a[1] = b[1] then 'linked' else 'no relation' end as relation, 'query-udf' as source from asked""", "fx_keywords", "fx_triples"),
-    "q_graph_query": oracle(f"""with {_LIVE}, {_KNOWN}, w as (select row_number() over (order by asset_key desc) as rank, asset_key, logical_path from live where logical_path like '/docs/en/%' order by asset_key desc limit {NODES})
- select cast(rank as int) as rank, w.asset_key, logical_path as parent, norm from w left join known k on k.asset_key = w.asset_key order by rank, norm nulls first limit {max(100, 4 * NODES)}""", "fx_assets", "fx_keywords"),
-    "q_graph_search": oracle(f"""with {_LIVE}, {_KNOWN} select asset_key from live a where data_type in ('file', 'document') and (contains(lower(file_name || chr(10) || logical_path), '{WORD}') or exists (select 1 from known k where k.asset_key = a.asset_key and contains(norm, '{WORD}'))) order by asset_key desc limit 120""", "fx_assets", "fx_keywords"),
-    "q_matched_entities": oracle(f"with {_LIVE}, {_KNOWN}, {_ENT} select norm, name from ent where contains(lower(name), '{WORD}') and norm in (select norm from known where asset_key in (select asset_key from live where logical_path like '/docs/fr/%')) order by name, norm limit {MOST}", "fx_assets", "fx_keywords"),
+    "q_node_attributes": oracle("""with a as (select asset_key, file_name, logical_path, case when file_format <> 'zip' then data_type end as data_type from fx_assets where is_valid), k as (select asset_key, string_agg(w, '|' order by pos) as kw from (select asset_key, regexp_replace(keyword, '^\\s+|\\s+$', '', 'g') as w, min(pos) as pos from fx_keywords group by 1, 2) where w <> '' group by 1)
+ select 'asset:' || a.asset_key as id, data_type, coalesce(kw, '') as keywords, a.asset_key as meta_key from a left join k on k.asset_key = a.asset_key where data_type is not null union all select logical_path, null, null, min(asset_key) + 2000000 from a group by 1""", "fx_assets", "fx_keywords"),
+    "q_mention_words": oracle(f"""with {x_plans._ANSWERS}, w as (select a.asset_key, case when a.asset_key % 5 <> 3 and keywords <> '' then string_split(keywords, '|') else list_concat([file_format], case when data_type <> file_format then [data_type] else [] end, case when entities <> '' then [entities] else [] end) end as ws from ans a join fx_assets f on f.asset_key = a.asset_key)
+ select asset_key, cast(unnest(range(0, len(ws))) as int) as pos, unnest(ws) as word from w""", "fx_assets"),
+    "q_graph_query": oracle(f"""with {_LIVE}, {_KNOWN}, w as (select row_number() over (order by asset_key desc) as rank, asset_key, logical_path, file_format = 'json' as drawn from live where logical_path like '/docs/en/%' order by asset_key desc limit {NODES}),
+ f as (select cast(rank as int) as rank, 'asset:' || w.asset_key as asset, logical_path as parent, norm, case when drawn then 'component:' || w.asset_key end as component from w left join known k on k.asset_key = w.asset_key and not drawn order by rank, norm nulls first limit {max(100, 4 * NODES)})
+ select distinct 'HAS_DATA' as kind, rank, parent as src, asset as dst from f union all select distinct 'MENTIONS', rank, asset, norm from f where norm is not null union all select distinct 'DEPICTS', rank, asset, component from f where component is not null
+ union all select distinct 'CONTAINS', 0, case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end, array_to_string(s[1:n], '/') from (select string_split(parent, '/') as s, unnest([2, 3, 4]) as n from f)""", "fx_assets", "fx_keywords"),
+    "q_graph_search": oracle(f"""with {_LIVE}, {_KNOWN}, t as (select asset_key, keyword as text from fx_keywords union all select p_partkey, p_name || chr(10) || p_brand || chr(10) || p_type from part union all select target, kind || ' ' || nominal from fx_dims where target > 0 union all select asset_key, norm from known union all select asset_key, logical_path || '/' || file_name from live),
+ h as (select distinct l.asset_key, contains(lower(text), '{WORD}') as one, contains(lower(text), 'a 3') as two, data_type from live l join t on t.asset_key = l.asset_key),
+ f as (select logical_path as path, max(asset_key) as key from live group by 1)
+ select 'asset' as kind, cast(asset_key as varchar) as id, 'two' as of from (select distinct asset_key from h where one and data_type in ('file', 'document') order by asset_key desc limit 120)
+ union all select 'asset', cast(asset_key as varchar), 'all' from (select distinct asset_key from h where two order by asset_key desc limit 120) union all select 'directory', path, 'all' from (select path from f where contains(lower(path), 'a 3') order by key desc, path limit 120)
+ union all select 'directory', path, 'all' from (select path from f where contains(lower(path), 'src1') order by key desc, path limit 120)""", "fx_assets", "fx_keywords", "fx_dims"),
+    "q_matched_entities": oracle(f"with {_LIVE}, {_KNOWN}, {_ENT} select norm, name from ent where contains(lower(name), '{WORD}') and norm in (select norm from known where asset_key in (select asset_key from live where logical_path like '/docs/fr/%' and file_format <> 'json')) order by name, norm limit {MOST}", "fx_assets", "fx_keywords"),
+    "q_graph_links": oracle(f"""with {_LIVE}, {_TREE}, {_KNOWN}, {_REL} select src, dst, type, '' as relation from ({_EDGES}) union all select 'asset:' || asset_key, norm, 'MENTIONS', '' from known union all select distinct a, b, 'SEMANTIC_RELATION', relation from rel""", "fx_assets", "fx_keywords", "fx_triples"),
+    "q_graph_focus": oracle("select 'asset:' || asset_key as id, 'DataAsset' as label from fx_assets where is_valid and status <> 'SUCCESS' order by id limit 1", "fx_assets"),
     "q_graph_assemble": oracle(f"""with {_LIVE}, {_TREE}, {_FOUND}, e as (select * from found union all select id, 'Unknown', '(unknown)' from (select src as id from links union select dst from links) where id not in (select id from found)),
  cat as (select label, row_number() over (order by min(id), label) - 1 as category from e group by 1) select id, label, case when trim(name) <> '' then name when label = 'DataAsset' then 'Asset ' || id else id end as name, cast(category as int) as category,
  case label when 'LogicalPath' then 36 when 'DataAsset' then 42 else 24 end as size from e join cat using (label)""", "fx_assets"),
     "q_node_budget": oracle(f"""with {_LIVE}, {_TREE}, {_FOUND}, kept as (select id from found order by contains(name, 'src') desc, id limit 60)
- select id, 'node' as kind from kept union all select src || '>' || dst, 'edge' from links where src in (select id from kept) and dst in (select id from kept)""", "fx_assets"),
+ select '60:' || ((select count(*) from found) - 60) || ':true' as id, 'report' as kind union all select id, 'node' as kind from kept union all select src || '>' || dst, 'edge' from links where src in (select id from kept) and dst in (select id from kept)""", "fx_assets"),
     "q_graph_delta": oracle("""with p as (select unnest([1, 2, 3, 4]) as n), ex as (select asset_key, logical_path, string_split(logical_path, '/') as s, n from fx_assets, p where is_valid),
  ed as (select asset_key, case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end as src, array_to_string(s[1:n], '/') as dst from ex where n > 1 union all select asset_key, logical_path, 'asset:' || asset_key from fx_assets where is_valid),
  o as (select distinct src, dst from ed where asset_key % 5 <> 0), w as (select distinct src, dst from ed where asset_key % 3 <> 0)
