@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.functions.text import confidence
+from assetgraph.functions.text import confidence, dedup_strings
 from assetgraph.sources.delimited import ordinals
 
 HOPS = 6  # doublings: chains of up to 2^6 hops
@@ -16,21 +16,36 @@ KINDS = ("EBOM", "INFERRED_ASSEMBLY", "FEATURE_TREE", "ILLUSTRATED_STRUCTURE", "
 ENGINEERING = ("ENGINEERING_DRAWING", "TECHNICAL_ILLUSTRATION")
 OVERLAP, TILE_SIDE, MAX_TILES = 0.08, 1600, 6
 REVIEW_BELOW = 0.9
-SHAPE = "classification struct<documentClass:string,confidence:string,isEngineeringDrawing:boolean>, structure struct<kind:string,authority:string>, summaryText string, notes array<string>"
+#: The lists of an analysis and how many entries count.
+LISTS = {"partDefinitions": 1000, "occurrences": 2000, "features": 1000, "dimensions": 3000, "textBlocks": 5000, "notes": 500, "views": 200, "evidence": 8000}
+PLAIN = ("notes", "views")  # others hold objects alone
+SHAPE = (
+    "classification struct<documentClass:string,confidence:string,isEngineeringDrawing:boolean,domain:string,drawingType:string,signals:array<string>>, "
+    "structure struct<kind:string,authority:string,rootOccurrenceIds:array<string>>, summaryText string, mainObjectName string, validation struct<score:string,issues:array<string>>, "
+) + ", ".join(f"{name} array<string>" for name in LISTS)
+SEVERITY = {"EBOM_WITHOUT_PARTS_LIST": "ERROR", "DUPLICATE_ITEM_NO": "WARNING", "INVALID_QUANTITY": "WARNING", "MISSING_OCCURRENCE_EVIDENCE": "WARNING", "MISSING_PART_GEOMETRY": "INFO", "MISSING_EVIDENCE": "INFO"}
 
 
 def normalize_analysis(raw: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, document_class, engineering, confidence, kind, authority, summary, n_notes): enums in upper case, unknown kinds NONE, nothing structural for what is no drawing."""
+    """One row for each analysis: enums in upper case, unknown kinds NONE, lists cut to what counts (entries as JSON texts) and empty for what is no drawing."""
     j = raw.select(key, F.from_json(body, SHAPE).alias("j"))
     upper = lambda c, default: F.coalesce(F.nullif(F.upper(F.trim(c)), F.lit("")), F.lit(default))
-    cls = upper(F.col("j.classification.documentClass"), "UNKNOWN")
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    none = F.array().cast("array<string>")
+    cls, sure = upper(F.col("j.classification.documentClass"), "UNKNOWN"), F.col("j.classification.confidence")
     engineering = F.coalesce("j.classification.isEngineeringDrawing", F.lit(False)) | cls.isin(*ENGINEERING)
     kind = upper(F.col("j.structure.kind"), "NONE")
-    notes = F.slice(F.coalesce("j.notes", F.array().cast("array<string>")), 1, 500)
+    lists = []
+    for name, most in LISTS.items():
+        entries = F.coalesce(f"j.{name}", none)
+        entries = entries if name in PLAIN else F.filter(entries, lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+        lists.append(F.when(engineering, F.slice(entries, 1, most)).otherwise(none).alias(name))
     return j.select(
-        key, cls.alias("document_class"), engineering.alias("engineering"), confidence(F.col("j.classification.confidence")).alias("confidence"),
+        key, cls.alias("document_class"), engineering.alias("engineering"), confidence(sure).alias("confidence"), upper(F.col("j.classification.domain"), "UNKNOWN").alias("domain"),
+        upper(F.col("j.classification.drawingType"), "UNKNOWN").alias("drawing_type"), dedup_strings(F.coalesce("j.classification.signals", none), 32).alias("signals"),
         F.when(engineering & kind.isin(*KINDS), kind).otherwise("NONE").alias("kind"), upper(F.col("j.structure.authority"), "NONE").alias("authority"),
-        F.substring(F.coalesce(F.trim("j.summaryText"), F.lit("")), 1, 500).alias("summary"), F.when(engineering, F.size(notes)).otherwise(0).alias("n_notes"),
+        dedup_strings(F.coalesce("j.structure.rootOccurrenceIds", none), 100).alias("roots"), text(F.col("j.mainObjectName")).alias("main_object"), F.substring(text(F.col("j.summaryText")), 1, 500).alias("summary"),
+        confidence(F.coalesce("j.validation.score", sure)).alias("score"), *lists,
     )
 
 
@@ -74,21 +89,56 @@ def tile_bounds(sheets: DataFrame, key: str, width: str, height: str, side: int
     return tiles.select(key, "tile", F.struct(low(c, F.col("_c")).alias("x0"), low(r, F.col("_r")).alias("y0"), high(c, F.col("_c")).alias("x1"), high(r, F.col("_r")).alias("y1")).alias("bounds"))
 
 
-def issues(occurrences: DataFrame, evidence: DataFrame, doc: str, occ: str) -> DataFrame:
+def valid_refs(refs: DataFrame, evidence: DataFrame, doc: str, item: str, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, item, ref): references to evidence (doc, ev, region_type, has_box, raw_text) that there is, each once; with allowed types only
+    regions of these that have a box and no text."""
+    good = evidence.select(F.col(doc).alias("_d"), F.col("ev").alias("_e"), F.upper(F.trim(F.coalesce("region_type", F.lit("UNKNOWN")))).alias("_t"), "has_box", F.trim(F.coalesce("raw_text", F.lit(""))).alias("_x"))
+    if allowed:
+        good = good.where(F.col("_t").isin(*allowed) & F.col("has_box") & (F.col("_x") == ""))
+    return refs.join(good, (F.col(doc) == F.col("_d")) & (F.col("ref") == F.col("_e")), "left_semi").select(doc, item, "ref").distinct()
+
+
+def settled_kinds(analyses: DataFrame, occurrences: DataFrame, doc: str) -> DataFrame:
+    """analyses (doc, kind, authority) with kind and `downgraded`: a parts structure without a parts list or without occurrences is an inferred one, or none."""
+    some = occurrences.select(F.col(doc).alias("_d")).distinct().withColumn("_some", F.lit(True))
+    joined = analyses.join(some, F.col(doc) == F.col("_d"), "left").withColumn("_some", F.coalesce("_some", F.lit(False)))
+    down = (F.col("kind") == "EBOM") & ((F.col("authority") != "PARTS_LIST") | ~F.col("_some"))
+    kind = F.when(down, F.when(F.col("_some"), "INFERRED_ASSEMBLY").otherwise("NONE")).otherwise(F.col("kind"))
+    return joined.withColumn("downgraded", down).withColumn("kind", kind).drop("_d", "_some")
+
+
+def issues(occurrences: DataFrame, shapes: DataFrame, others: DataFrame, evidence: DataFrame, doc: str, occ: str) -> DataFrame:
     """(doc, occ, code): repeated item numbers (all but the first), quantities that are not positive, missing evidence and geometry.
 
-    evidence: doc, occ, region_type, has_box.
+    shapes, others: references (doc, occ, ref) to geometry, and to text or anything.
     """
     first = occurrences.where("item_no <> ''").groupBy(doc, "item_no").agg(F.min(occ).alias("_first"))
     repeated = occurrences.join(first, [doc, "item_no"]).where(F.col(occ) != F.col("_first")).select(doc, occ, F.lit("DUPLICATE_ITEM_NO").alias("code"))
     quantity = occurrences.where("quantity <= 0").select(doc, occ, F.lit("INVALID_QUANTITY").alias("code"))
-    some = evidence.select(doc, occ).distinct()
-    shape = evidence.where("region_type = 'PART_GEOMETRY' and has_box").select(doc, occ).distinct()
+    shape = valid_refs(shapes, evidence, doc, occ, ("PART_GEOMETRY",)).select(doc, occ).distinct()
+    some = valid_refs(others, evidence, doc, occ).select(doc, occ).union(shape).distinct()
     bare = occurrences.join(some, [doc, occ], "left_anti").select(doc, occ, F.lit("MISSING_OCCURRENCE_EVIDENCE").alias("code"))
     unseen = occurrences.join(shape, [doc, occ], "left_anti").select(doc, occ, F.lit("MISSING_PART_GEOMETRY").alias("code"))
     return repeated.unionByName(quantity).unionByName(bare).unionByName(unseen)
 
 
+def missing_evidence(items: DataFrame, refs: DataFrame, evidence: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, item, code) of features or dimensions without a valid reference."""
+    return items.join(valid_refs(refs, evidence, doc, item).select(doc, item).distinct(), [doc, item], "left_anti").select(doc, item, F.lit("MISSING_EVIDENCE").alias("code"))
+
+
+def reviews(analyses: DataFrame, found: DataFrame, doc: str) -> DataFrame:
+    """(doc, n_issues, worst, requires_review) of analyses (doc, score, downgraded) with the issues (doc, code) found in them."""
+    rank = F.lit(0)
+    for code, severity in SEVERITY.items():
+        rank = F.when(F.col("code") == code, {"INFO": 1, "WARNING": 2, "ERROR": 3}[severity]).otherwise(rank)
+    counts = found.groupBy(doc).agg(F.count("*").alias("_n"), F.max(rank).alias("_w"))
+    joined = analyses.join(counts, doc, "left")
+    n = F.coalesce("_n", F.lit(0)) + F.col("downgraded").cast("long")
+    worst = F.greatest(F.coalesce("_w", F.lit(0)), F.when(F.col("downgraded"), 3).otherwise(0))
+    return joined.select(doc, n.alias("n_issues"), F.element_at(F.array(*map(F.lit, ("", "INFO", "WARNING", "ERROR"))), worst + 1).alias("worst"), ((n > 0) | (F.col("score") < REVIEW_BELOW)).alias("requires_review"))
+
+
 def versions(analyses: DataFrame, source: str, order: str, score: str, flagged: str) -> DataFrame:
     """analyses with version (from 1) and status."""
     out = ordinals(analyses, source, order, "version").withColumn("version", F.col("version") + 1)
@@ -122,11 +172,56 @@ def project(chains: DataFrame) -> DataFrame:
     return placed.join(children, "occ", "left").withColumn("n_children", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def owned(dimensions: DataFrame, parts: DataFrame, dim: str, target: str, occ: str) -> tuple[DataFrame, DataFrame]:
-    """(dim, occ) of the dimensions whose target is a part, and the (dim) of the others."""
-    ids = parts.select(F.col(occ).alias("_o")).distinct()
-    found = dimensions.join(ids, F.col(target) == F.col("_o")).select(dim, F.col("_o").alias(occ))
-    return found, dimensions.join(ids, F.col(target) == F.col("_o"), "left_anti").select(dim)
+def components(kinds: DataFrame, occurrences: DataFrame, definitions: DataFrame, features: DataFrame, doc: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, id, role, name, material, attached_to, hierarchy_issue, n_children): the component graph of every analysis.
+
+    kinds: doc, kind, title. occurrences: doc, occ, parent, explicit_root, definition, name, material. definitions: doc, definition, name, material.
+    features: doc, feature, parent, name. The only occurrence without a parent is the root if others hang on it, else a synthetic one is.
+    What an occurrence says comes before its definition. A feature tree shows its features in place of occurrences. Parents that are
+    missing, in or below a cycle or too far from the top are replaced by the root, and marked.
+    """
+    sep = "\u0001"
+    node = lambda prefix, c: F.concat(F.lit(prefix), c)
+    tree = kinds.where("kind = 'FEATURE_TREE'").select(doc)
+    flat = kinds.where("kind in ('FEATURE_TREE', 'NONE')").select(doc)
+    own = occurrences.join(flat, doc, "left_anti").join(definitions.select(doc, "definition", F.col("name").alias("_dn"), F.col("material").alias("_dm")), [doc, "definition"], "left")
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    parts = own.select(
+        doc, node("occ:", F.col("occ")).alias("id"), F.lit("ITEM").alias("role"), F.coalesce(blank("name"), blank("_dn"), F.col("occ").cast("string")).alias("name"), F.coalesce(blank("material"), blank("_dm")).alias("material"),
+        F.when(~F.coalesce("explicit_root", F.lit(False)), node("occ:", F.col("parent"))).alias("parent"),
+    )
+    shapes = features.join(tree, doc, "left_semi").select(doc, node("feature:", F.col("feature")).alias("id"), F.lit("FEATURE").alias("role"), F.coalesce(blank("name"), F.col("feature").cast("string")).alias("name"), F.lit(None).cast("string").alias("material"), node("feature:", F.col("parent")).alias("parent"))
+    every = save(parts.unionByName(shapes))
+    whole = lambda c: F.concat_ws(sep, doc, c)
+    chains = resolve_chains(every.select(whole("id").alias("k"), F.when(F.col("parent").isNotNull(), whole("parent")).alias("p")), "k", "p", save).select(F.col("occ").alias("_k"), F.col("depth").isNotNull().alias("_ok"))
+    tops = every.where("role = 'ITEM' and parent is null").groupBy(doc).agg(F.count("*").alias("_n"), F.min("id").alias("_top")).where("_n = 1")
+    used = every.where("role = 'ITEM' and parent is not null").select(F.col(doc).alias("_d"), F.col("parent").alias("_p")).distinct()
+    top = tops.join(used, (F.col(doc) == F.col("_d")) & (F.col("_top") == F.col("_p")), "left_semi").select(doc, "_top")
+    roots = save(kinds.select(doc, "title").join(top, doc, "left").select(doc, "title", F.coalesce("_top", F.lit("root")).alias("_root")))
+    placed = every.join(roots.select(doc, "_root"), doc).join(chains, whole("id") == F.col("_k"))
+    attached = F.when(F.col("id") == F.col("_root"), F.lit(None)).when(F.col("_ok") & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("_root"))
+    rows = placed.select(doc, "id", F.when(F.col("id") == F.col("_root"), "ROOT").otherwise(F.col("role")).alias("role"), "name", "material", attached.alias("attached_to"), (F.col("parent").isNotNull() & ~F.col("_ok")).alias("hierarchy_issue"))
+    made = roots.where("_root = 'root'").select(doc, F.lit("root").alias("id"), F.lit("ROOT").alias("role"), F.coalesce(blank("title"), F.lit("drawing")).alias("name"), F.lit(None).cast("string").alias("material"), F.lit(None).cast("string").alias("attached_to"), F.lit(False).alias("hierarchy_issue"))
+    rows = save(rows.unionByName(made))
+    children = rows.where("attached_to is not null").groupBy(F.col(doc).alias("_d"), F.col("attached_to").alias("_a")).agg(F.count("*").alias("_n"))
+    return rows.join(children, (F.col(doc) == F.col("_d")) & (F.col("id") == F.col("_a")), "left").withColumn("n_children", F.coalesce("_n", F.lit(0))).drop("_d", "_a", "_n")
+
+
+def owned(dimensions: DataFrame, targets: DataFrame, features: DataFrame, dim: str, ref: str, save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(dim, owner) of the dimensions whose reference leads to a target, and the (dim) of the others.
+
+    targets: ref, owner (an occurrence by its own id; a definition with a row for each of its occurrences; a feature that is a component). features:
+    ref, parent, for the features that are none: their dimensions go to the first target on the way up. Pointer doubling: 2^HOPS steps at most.
+    """
+    known = targets.select(F.col("ref").alias("_t")).distinct()
+    free = features.join(known, F.col("ref") == F.col("_t"), "left_anti").select("ref", F.col("parent").alias("_to"))
+    for _ in range(HOPS):
+        ahead = free.select(F.col("ref").alias("_r"), F.col("_to").alias("_next"))
+        # what is no free feature is the end of the way
+        free = save(free.join(ahead, F.col("_to") == F.col("_r"), "left").select("ref", F.when(F.col("_r").isNotNull(), F.col("_next")).otherwise(F.col("_to")).alias("_to")))
+    asked = dimensions.select(dim, F.col(ref).alias("_ref")).join(free.withColumnRenamed("ref", "_f"), F.col("_ref") == F.col("_f"), "left").select(dim, F.when(F.col("_f").isNotNull(), F.col("_to")).otherwise(F.col("_ref")).alias("_ref"))
+    found = asked.join(targets.select(F.col("ref").alias("_t"), "owner"), F.col("_ref") == F.col("_t")).select(dim, "owner").distinct()
+    return found, asked.join(known, F.col("_ref") == F.col("_t"), "left_anti").select(dim).distinct()
 
 
 def replace_rule(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -143,6 +238,12 @@ def fill_budget(components: DataFrame, dimensions: DataFrame, most: int) -> Data
     return components.select(F.lit("component").alias("kind"), "id").unionByName(dimensions.orderBy("id").limit(left).select(F.lit("dimension").alias("kind"), "id"))
 
 
+def omitted(components_: DataFrame, dimensions: DataFrame, most: int) -> int:
+    """How many dimensions the budget leaves out."""
+    n, left = dimensions.count(), max(0, most - components_.count())
+    return max(0, n - left)
+
+
 def below(parts: DataFrame, top: int, save: Callable[[DataFrame], DataFrame], occ: str = "occ", parent: str = "parent", max_depth: int = 64) -> DataFrame:
     """(occ): a part and everything below it, level by level until a level is empty."""
     front = parts.where(F.col(occ) == top).select(occ)
@@ -155,8 +256,10 @@ def below(parts: DataFrame, top: int, save: Callable[[DataFrame], DataFrame], oc
     return out
 
 
-def geometry_evidence(refs: DataFrame, node: str, allowed: Column) -> DataFrame:
-    """refs: node, ref, explicit, region_type. A node's explicit references, or its others where it has none, of a region that fits."""
+def geometry_evidence(refs: DataFrame, node: str, allowed: Column, roots: DataFrame | None = None) -> DataFrame:
+    """refs: node, ref, explicit, region_type. A node's explicit references, or its others where it has none, of a region that fits; roots (node) have none."""
+    if roots is not None:
+        refs = refs.join(roots.select(node), node, "left_anti")
     some = refs.where("explicit").select(node).distinct().withColumn("_e", F.lit(True))
     joined = refs.join(some, node, "left")
     return joined.where(F.col("explicit") | F.col("_e").isNull()).where(allowed).select(node, "ref")

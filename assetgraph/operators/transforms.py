@@ -22,21 +22,41 @@ def leaf_meta(assets: DataFrame) -> DataFrame:
     )
 
 
-def leaf_execute(assets: DataFrame, columns: DataFrame) -> DataFrame:
+def directory_meta(directories: DataFrame) -> DataFrame:
+    """The nine columns for directories (asset_key, logical_path, file_name): their content is that of their children."""
+    rows = directories.withColumns({"data_type": F.lit("directory"), "file_format": F.lit(""), "file_size": F.lit(0).cast("long")})
+    return leaf_meta(rows).withColumn("content_path", F.lit(None).cast("string"))
+
+
+def directory_execute(children: DataFrame) -> DataFrame:
+    """Results of directories from their children (directory, child, status, is_valid, keywords): FAILED without keywords of finished ones."""
+    none = F.array().cast("array<string>")
+    every = children.select(F.col("directory").alias("asset_key")).distinct()
+    done = children.where("status = 'SUCCESS' and is_valid")
+    words = extract.directory_summary(done, "directory", "child", "keywords").withColumnRenamed("directory", "asset_key")
+    found = every.join(words, "asset_key", "left").withColumn("keywords", F.coalesce("keywords", none))
+    good = F.size("keywords") > 0
+    return found.select("asset_key", F.when(good, "SUCCESS").otherwise("FAILED").alias("status"), "keywords", none.alias("fields"), F.lit("directory").alias("field_kind"), F.when(good, "").otherwise("no keywords of children").alias("message"))
+
+
+def leaf_execute(assets: DataFrame, columns: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """Results of all assets at once, each by the branch of its kind.
 
-    assets: asset_key, data_type, file_name. columns: asset_key, pos, name. Tables, time series and documents get fields from their
-    columns; files are routed by their extension; other kinds fail with a message.
+    assets: asset_key, data_type, file_name. columns: asset_key, pos, name. bodies: asset_key, body of key-value assets. Tables, time series and
+    documents get fields from their columns, key-value assets from their bodies; files are routed by their extension; other kinds fail with a message.
     """
     none = F.array().cast("array<string>")
-    table_like = ("relational", "keyvalue", "document")
+    table_like = ("relational", "document") if bodies is not None else ("relational", "keyvalue", "document")
     kinds = assets.select("asset_key", "data_type")
     own = columns.join(kinds, "asset_key")
     plain = extract.fields(own.where(F.col("data_type").isin(*table_like)), "asset_key", "pos", "name")
     timed = extract.fields(own.where("data_type = 'timeseries'"), "asset_key", "pos", "name", ("time", "timestamp"))
-    found = assets.join(plain.unionByName(timed), "asset_key", "left").withColumn("fields", F.coalesce("fields", none))
+    named = plain.unionByName(timed)
+    if bodies is not None:
+        named = named.unionByName(extract.json_fields(bodies.join(kinds.where("data_type = 'keyvalue'"), "asset_key", "left_semi"), "asset_key", "body"))
+    found = assets.join(named, "asset_key", "left").withColumn("fields", F.coalesce("fields", none))
     route = extract.route_file(F.col("file_name"))
-    is_file, known = F.col("data_type") == "file", F.col("data_type").isin(*table_like, "timeseries", "file")
+    is_file, known = F.col("data_type") == "file", F.col("data_type").isin(*table_like, "keyvalue", "timeseries", "file")
     status = F.when(~known, "FAILED").when(is_file & (route == "skipped"), "SKIPPED").when(~is_file & (F.size("fields") == 0), "FAILED").otherwise("SUCCESS")
     message = F.when(~known, F.concat(F.lit("no extractor for "), "data_type")).when(is_file & (route == "skipped"), "unsupported file").when(status == "FAILED", "no fields").otherwise("")
     keywords = F.when(status == "SUCCESS", extract.fallback_keywords(none, F.col("fields"), F.array("data_type"), F.col("file_name"))).otherwise(none)

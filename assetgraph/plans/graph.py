@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetgraph.fixtures import fixture, oracle, table
@@ -164,12 +165,19 @@ def q_entity_degree(spark, sf):
 def _raw(spark, sf):
     cls = F.when(F.col("p_partkey") % 3 == 0, "engineering_drawing").when(F.col("p_partkey") % 3 == 1, "photo").otherwise("")
     kind = F.when(F.col("p_partkey") % 4 == 0, "ebom").when(F.col("p_partkey") % 4 == 1, "odd").otherwise("feature_tree")
-    body = F.concat(F.lit('{"classification":{"documentClass":"'), cls, F.lit('","confidence":"'), F.col("p_size") / 40, F.lit('"},"structure":{"kind":"'), kind, F.lit('"},"summaryText":" '), "p_name", F.lit('","notes":["a","b"]}'))
+    items = F.concat(F.lit('[{"featureId":"a"},"no object",{"featureId":"'), "p_brand", F.lit('"}]'))
+    body = F.concat(
+        F.lit('{"classification":{"documentClass":"'), cls, F.lit('","domain":" steel","signals":["x","x"," y "],"confidence":"'), F.col("p_size") / 40, F.lit('"},"structure":{"kind":"'), kind, F.lit('","rootOccurrenceIds":["r"]},"summaryText":" '), "p_name",
+        F.lit('","features":'), items, F.lit(',"dimensions":'), F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), F.col("p_size") * 100), ","), F.lit("]")), F.lit(',"notes":["a","b"],"validation":{"issues":[]}}'),
+    )
     return table(spark, sf, "part").select("p_partkey", body.alias("body"))
 
 
 def q_drawing_normalize(spark, sf):
-    return d.normalize_analysis(_raw(spark, sf), "p_partkey", "body")
+    """Every part's analysis, with the numbers of entries in its lists."""
+    found = d.normalize_analysis(_raw(spark, sf), "p_partkey", "body")
+    sizes = [F.size(name).alias(f"n_{name}") for name in ("features", "dimensions", "notes", "evidence")]
+    return found.select("p_partkey", "document_class", "engineering", "confidence", "domain", "drawing_type", F.array_join("signals", "|").alias("signals"), "kind", "authority", F.array_join("roots", "|").alias("roots"), "summary", "score", *sizes)
 
 
 def q_drawing_ids(spark, sf):
@@ -197,10 +205,31 @@ def _parts(spark, sf):
     return fixture(spark, sf, "fx_parts")
 
 
-def q_drawing_issues(spark, sf):
+def _checked(spark, sf):
+    """Occurrences of fifty analyses, references, evidence, and the analyses themselves."""
     rows = _parts(spark, sf).select((F.col("occ") % 50).alias("doc"), "occ", (F.col("occ") % 370).cast("string").alias("item_no"), (F.col("quantity") - 3).alias("quantity"))
-    evidence = rows.where("occ % 4 <> 0").select("doc", "occ", F.when(F.col("occ") % 3 == 0, "PART_GEOMETRY").otherwise("TEXT").alias("region_type"), (F.col("occ") % 5 != 0).alias("has_box"))
-    return d.issues(rows, evidence, "doc", "occ")
+    evidence = rows.where("occ % 4 <> 0").select("doc", F.col("occ").alias("ev"), F.when(F.col("occ") % 3 == 0, "part_geometry").otherwise("TEXT").alias("region_type"), (F.col("occ") % 5 != 0).alias("has_box"), F.when(F.col("occ") % 7 == 0, "seen").otherwise(" ").alias("raw_text"))
+    refs = rows.select("doc", "occ", F.col("occ").alias("ref"))
+    analyses = rows.select("doc").distinct().select("doc", F.when(F.col("doc") % 2 == 0, "EBOM").otherwise("FEATURE_TREE").alias("kind"), F.when(F.col("doc") % 4 == 0, "PARTS_LIST").otherwise("NONE").alias("authority"), (1 - F.col("doc") / 100.0).alias("score"))
+    return rows, refs, evidence, analyses
+
+
+def _issues(spark, sf):
+    rows, refs, evidence, _ = _checked(spark, sf)
+    dims = fixture(spark, sf, "fx_dims").where("target > 0").select((F.col("target") % 50).alias("doc"), F.col("dim").alias("occ"), F.col("target").alias("ref"))
+    bare = d.missing_evidence(dims.select("doc", "occ"), dims, evidence, "doc", "occ")
+    return d.issues(rows, refs, refs.where("occ % 8 <> 1"), evidence, "doc", "occ").unionByName(bare)
+
+
+def q_drawing_issues(spark, sf):
+    return _issues(spark, sf)
+
+
+def q_drawing_review(spark, sf):
+    """Kinds after the check of parts lists, and which analyses need a review."""
+    rows, _, _, analyses = _checked(spark, sf)
+    settled = d.settled_kinds(analyses, rows, "doc")
+    return d.reviews(settled, _issues(spark, sf), "doc").join(settled.select("doc", "kind", "downgraded"), "doc")
 
 
 def _versions(spark, sf):
@@ -224,9 +253,29 @@ def q_bom_expand(spark, sf):
     return d.resolve_chains(_parts(spark, sf), "occ", "parent", saved).where("depth is not null").select("occ", "depth")
 
 
+def q_drawing_components(spark, sf):
+    """One analysis for each size of parts: occurrences in threes below the first one, or features where the size is a multiple of ten."""
+    w = Window.partitionBy("p_size").orderBy("p_partkey")
+    rows = table(spark, sf, "part").select(F.col("p_size").alias("doc"), "p_partkey", "p_name", "p_brand", "p_type", (F.row_number().over(w) - 1).alias("i"))
+    broken = F.when(F.col("p_partkey") % 17 == 0, F.lit(-1)).when((F.col("i") > 0) & ~((F.col("i") == 1) & (F.col("doc") % 2 == 0)), F.floor((F.col("i") - 1) / 3))
+    placed = saved(rows.withColumn("parent", broken), "parts")
+    kinds = placed.groupBy("doc").agg(F.min("p_brand").alias("title")).withColumn("kind", F.when(F.col("doc") % 10 == 0, "FEATURE_TREE").otherwise("EBOM"))
+    occurrences = placed.select("doc", F.col("i").alias("occ"), "parent", F.lit(False).alias("explicit_root"), F.col("p_brand").alias("definition"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 5 == 0, "steel").alias("material"))
+    definitions = placed.groupBy("doc", F.col("p_brand").alias("definition")).agg(F.concat(F.lit("def "), F.first("p_brand")).alias("name"), F.min("p_type").alias("material"))
+    features = placed.select("doc", F.col("i").alias("feature"), "parent", F.col("p_name").alias("name"))
+    return d.components(kinds, occurrences, definitions, features, "doc", saved)
+
+
 def q_dimension_owner(spark, sf):
-    found, lost = d.owned(fixture(spark, sf, "fx_dims"), _parts(spark, sf), "dim", "target", "occ")
-    return found.unionByName(lost.withColumn("occ", F.lit(None).cast("long")))
+    """Dimensions of parts, of brands (all their parts) and of features, which climb to a part; null where that leads nowhere."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    part = F.concat(F.lit("o"), "p_partkey")
+    targets = parts.select(part.alias("ref"), part.alias("owner")).unionByName(parts.select(F.col("p_brand").alias("ref"), part.alias("owner")))
+    features = parts.select(F.concat(F.lit("f"), "p_partkey").alias("ref"), F.when(F.col("p_partkey") % 4 == 0, part).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 2))).alias("parent"))
+    dims = fixture(spark, sf, "fx_dims").join(parts, F.col("target") == F.col("p_partkey"), "left")
+    ref = F.when(F.col("kind") == "R", F.concat(F.lit("o"), "target")).when(F.col("kind") == "A", F.when(F.col("dim") % 70 == 1, F.col("p_brand"))).otherwise(F.concat(F.lit("f"), "target"))
+    found, lost = d.owned(dims.select("dim", ref.alias("ref")), targets, features, "dim", "ref", saved)
+    return found.unionByName(lost.withColumn("owner", F.lit(None).cast("string")))
 
 
 def q_projection_sync(spark, sf):
@@ -237,7 +286,9 @@ def q_projection_sync(spark, sf):
 
 def q_bom_budget(spark, sf):
     components = _parts(spark, sf).where("occ % 10 = 0").select(F.col("occ").alias("id"))
-    return d.fill_budget(components, fixture(spark, sf, "fx_dims").select(F.col("dim").alias("id")), 300)
+    dims = fixture(spark, sf, "fx_dims").select(F.col("dim").alias("id"))
+    left_out = components.limit(1).select(F.lit("omitted").alias("kind"), F.lit(d.omitted(components, dims, 300)).cast("long").alias("id"))
+    return d.fill_budget(components, dims, 300).unionByName(left_out)
 
 
 def q_bom_related(spark, sf):
@@ -248,7 +299,7 @@ def q_bom_related(spark, sf):
 def q_bom_evidence(spark, sf):
     dims = fixture(spark, sf, "fx_dims").where("target is not null")
     refs = dims.select(F.col("target").alias("node"), F.col("dim").alias("ref"), (F.col("kind") == "R").alias("explicit"), F.when(F.col("nominal") % 2 == 0, "PART_GEOMETRY").otherwise("TEXT").alias("region_type"))
-    return d.geometry_evidence(refs, "node", F.col("region_type") == "PART_GEOMETRY")
+    return d.geometry_evidence(refs, "node", F.col("region_type") == "PART_GEOMETRY", _parts(spark, sf).where("parent is null").select(F.col("occ").alias("node")))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -269,6 +320,10 @@ cand as (select focus, g.asset_key, k.norm as candidate, case when r.asset_key i
  from grp g join known k on k.asset_key = g.asset_key and k.norm <> focus left join rel r on r.asset_key = g.asset_key and r.a = least(focus, k.norm) and r.b = greatest(focus, k.norm))"""
 _FOUND = f"found as (select id, label, case when id like '%9' then '' else name end as name from ({_NODES}) where id not like 'asset:%7'), links as (select src, dst from ({_EDGES}))"
 _VERS = "vers as (select doc_id, source, row_number() over (partition by source order by doc_id) as version, case when doc_id % 11 = 0 or n_chars % 100 / 100.0 < 0.9 then 'NEEDS_REVIEW' else 'AUTO_ACCEPTED' end as status from documents)"
+_ISSUES = """o as (select occ % 50 as doc, occ, occ % 370 as item, quantity - 3 as q from fx_parts), ev as (select occ, occ % 3 = 0 and occ % 5 <> 0 and occ % 7 <> 0 as shape from fx_parts where occ % 4 <> 0),
+ iss as (select doc, occ, 'DUPLICATE_ITEM_NO' as code from (select *, min(occ) over (partition by doc, item) as f from o) where occ <> f union all select doc, occ, 'INVALID_QUANTITY' from o where q <= 0
+ union all select doc, occ, 'MISSING_OCCURRENCE_EVIDENCE' from o where occ not in (select occ from ev where shape or occ % 8 <> 1) union all select doc, occ, 'MISSING_PART_GEOMETRY' from o where occ not in (select occ from ev where shape)
+ union all select target % 50, dim, 'MISSING_EVIDENCE' from fx_dims where target > 0 and (target % 50, dim) not in (select target % 50, dim from fx_dims where target in (select occ from ev)))"""
 _DOWN = "tree as (select occ, 0 as depth from fx_parts where parent is null union all select p.occ, t.depth + 1 from fx_parts p join tree t on p.parent = t.occ)"
 
 
@@ -312,8 +367,9 @@ ORACLE = {
  o as (select distinct src, dst from ed where asset_key % 5 <> 0), w as (select distinct src, dst from ed where asset_key % 3 <> 0)
  select *, 'added' as change from (select * from w except select * from o) union all select *, 'removed' from (select * from o except select * from w)""", "fx_assets"),
     "q_entity_degree": oracle(f"""with {_KNOWN}, {_REL}, en as (select norm, count(*) as n from (select a as norm from rel union all select b from rel) group by 1) select k.norm, count(*) as n_assets, coalesce(max(n), 0) as n_relations from known k left join en on en.norm = k.norm group by 1""", "fx_keywords", "fx_triples"),
-    "q_drawing_normalize": """select p_partkey, case p_partkey % 3 when 0 then 'ENGINEERING_DRAWING' when 1 then 'PHOTO' else 'UNKNOWN' end as document_class, p_partkey % 3 = 0 as engineering, least(1.0, p_size / 40)::double as confidence,
- case when p_partkey % 3 <> 0 then 'NONE' when p_partkey % 4 = 0 then 'EBOM' when p_partkey % 4 = 1 then 'NONE' else 'FEATURE_TREE' end as kind, 'NONE' as authority, trim(p_name) as summary, case when p_partkey % 3 = 0 then 2 else 0 end as n_notes from part""",
+    "q_drawing_normalize": """select p_partkey, case p_partkey % 3 when 0 then 'ENGINEERING_DRAWING' when 1 then 'PHOTO' else 'UNKNOWN' end as document_class, p_partkey % 3 = 0 as engineering, least(1.0, p_size / 40)::double as confidence, 'STEEL' as domain, 'UNKNOWN' as drawing_type, 'x|y' as signals,
+ case when p_partkey % 3 <> 0 then 'NONE' when p_partkey % 4 = 0 then 'EBOM' when p_partkey % 4 = 1 then 'NONE' else 'FEATURE_TREE' end as kind, 'NONE' as authority, 'r' as roots, trim(p_name) as summary, least(1.0, p_size / 40)::double as score, case when p_partkey % 3 = 0 then 2 else 0 end as n_features,
+ case when p_partkey % 3 = 0 then least(3000, p_size * 100) else 0 end as n_dimensions, case when p_partkey % 3 = 0 then 2 else 0 end as n_notes, 0 as n_evidence from part""",
     "q_drawing_ids": """with n as (select p_partkey, p_brand, case when p_partkey % 3 = 0 then 'occ-' || row_number() over (partition by p_brand order by p_partkey) else 'p' || (p_size % 5) end as id from part)
  select p_partkey, case when nth = 1 then id else id || '-' || nth end as id from (select *, row_number() over (partition by p_brand, id order by p_partkey) as nth from n)""",
     "q_evidence_bbox": """with b as (select vec_id, least(1.0, greatest(0.0, cast(embedding[1] as double) * 4)) as a, least(1.0, greatest(0.0, cast(embedding[2] as double) * 4)) as b, least(1.0, greatest(0.0, cast(embedding[3] as double) * 4)) as c, least(1.0, greatest(0.0, cast(embedding[4] as double) * 4)) as d from embeddings),
@@ -322,16 +378,28 @@ ORACLE = {
     "q_tile_bounds": """with s as (select doc_id, n_chars as w, doc_id * 37 % 3000 as h from documents), t as (select doc_id, case when w >= h then 3 else 2 end as nc, case when w >= h then 2 else 3 end as nr, unnest([0, 1, 2, 3, 4, 5]) as tile from s where w > 1600 or h > 1600),
  u as (select *, tile % nc as c, tile // nc as r from t) select doc_id, tile, floor(greatest(0.0::double, c::double / nc - case when c > 0 then 0.08 else 0.0 end::double) * 1000000 + 0.5) / 1000000 as x0, floor(greatest(0.0::double, r::double / nr - case when r > 0 then 0.08 else 0.0 end::double) * 1000000 + 0.5) / 1000000 as y0,
  floor(least(1.0::double, (c + 1)::double / nc + case when c < nc - 1 then 0.08 else 0.0 end::double) * 1000000 + 0.5) / 1000000 as x1, floor(least(1.0::double, (r + 1)::double / nr + case when r < nr - 1 then 0.08 else 0.0 end::double) * 1000000 + 0.5) / 1000000 as y1 from u""",
-    "q_drawing_issues": oracle("""with o as (select occ % 50 as doc, occ, occ % 370 as item, quantity - 3 as q from fx_parts) select doc, occ, 'DUPLICATE_ITEM_NO' as code from (select *, min(occ) over (partition by doc, item) as f from o) where occ <> f
- union all select doc, occ, 'INVALID_QUANTITY' from o where q <= 0 union all select doc, occ, 'MISSING_OCCURRENCE_EVIDENCE' from o where occ % 4 = 0 union all select doc, occ, 'MISSING_PART_GEOMETRY' from o where not (occ % 4 <> 0 and occ % 3 = 0 and occ % 5 <> 0)""", "fx_parts"),
+    "q_drawing_issues": oracle(f"with {_ISSUES} select * from iss", "fx_parts", "fx_dims"),
+    "q_drawing_review": oracle(f"""with {_ISSUES}, n as (select doc, count(*) as n, max(case when code in ('DUPLICATE_ITEM_NO', 'INVALID_QUANTITY', 'MISSING_OCCURRENCE_EVIDENCE') then 2 else 1 end) as w from iss group by 1), a as (select distinct doc, doc % 4 = 2 as downgraded from o)
+ select a.doc, coalesce(n, 0) + downgraded::int as n_issues, case when downgraded then 'ERROR' when w = 2 then 'WARNING' when w = 1 then 'INFO' else '' end as worst, coalesce(n, 0) > 0 or downgraded or 1 - a.doc / 100.0 < 0.9 as requires_review,
+ case when downgraded then 'INFERRED_ASSEMBLY' when a.doc % 2 = 0 then 'EBOM' else 'FEATURE_TREE' end as kind, downgraded from a left join n on n.doc = a.doc""", "fx_parts", "fx_dims"),
     "q_drawing_version": f"with {_VERS} select doc_id, version, status from vers",
     "q_drawing_summary": f"with {_VERS} select source, arg_max(doc_id, version) as doc_id, max(version) as version, arg_max(status, version) as status from vers group by 1",
     "q_drawing_project": _recursive(f"""with {_DOWN}, p as (select f.occ, case when t.occ is not null then f.parent end as attached_to, coalesce(t.depth, 0) as depth, t.occ is not null as valid from fx_parts f left join tree t on t.occ = f.occ)
  select p.occ, attached_to, cast(depth as int) as depth, valid, coalesce(n, 0) as n_children from p left join (select attached_to as occ, count(*) as n from p where attached_to is not null group by 1) c on c.occ = p.occ""", "fx_parts"),
     "q_bom_expand": _recursive(f"with {_DOWN} select occ, cast(depth as int) as depth from tree", "fx_parts"),
-    "q_dimension_owner": oracle("select dim, p.occ from fx_dims left join fx_parts p on p.occ = target", "fx_dims", "fx_parts"),
+    "q_drawing_components": """with recursive r as (select p_size as doc, p_partkey, p_name, p_brand, p_type, row_number() over (partition by p_size order by p_partkey) - 1 as i from part),
+ p as (select *, case when p_partkey % 17 = 0 then -1 when i > 0 and not (i = 1 and doc % 2 = 0) then (i - 1) // 3 end as parent from r), t as (select doc, i from p where parent is null union all select p.doc, p.i from p join t on p.doc = t.doc and p.parent = t.i),
+ tops as (select doc, count(*) as n, min(i) as top from p where parent is null and doc % 10 <> 0 group by 1 having count(*) = 1), root as (select d.doc, brand, case when exists (select 1 from p where p.doc = d.doc and p.parent = tops.top) then 'occ:' || tops.top else 'root' end as root from (select doc, min(p_brand) as brand from p group by 1) d left join tops on tops.doc = d.doc),
+ c as (select p.doc, case when p.doc % 10 = 0 then 'feature:' else 'occ:' end || p.i as id, case when p.doc % 10 = 0 then p_name when p_partkey % 3 = 0 then p_name else 'def ' || p_brand end as name, case when p.doc % 10 = 0 then null when p_partkey % 5 = 0 then 'steel' else (select min(p_type) from p q where q.doc = p.doc and q.p_brand = p.p_brand) end as material,
+  parent, t.i is not null as ok, root from p join root on root.doc = p.doc left join t on t.doc = p.doc and t.i = p.i),
+ x as (select doc, id, case when id = root then 'ROOT' when doc % 10 = 0 then 'FEATURE' else 'ITEM' end as role, name, material, case when id = root then null when ok and parent is not null then case when doc % 10 = 0 then 'feature:' else 'occ:' end || parent else root end as attached_to, parent is not null and not ok as hierarchy_issue from c
+  union all select doc, 'root', 'ROOT', brand, null, null, false from root where root = 'root')
+ select x.*, (select count(*) from x y where y.doc = x.doc and y.attached_to = x.id) as n_children from x""",
+    "q_dimension_owner": _recursive("""with climb as (select 'f' || p_partkey as ref, case when p_partkey % 4 = 0 then 'o' || p_partkey else 'f' || (p_partkey // 2) end as up from part union select c.ref, case when p_partkey % 4 = 0 then 'o' || p_partkey else 'f' || (p_partkey // 2) end from climb c join part on c.up = 'f' || p_partkey),
+ ends as (select ref, up from climb where up like 'o%'), targets as (select 'o' || p_partkey as ref, 'o' || p_partkey as owner from part union all select p_brand, 'o' || p_partkey from part union all select ref, up from ends),
+ a as (select dim, case kind when 'R' then 'o' || target when 'A' then case when dim % 70 = 1 then p_brand end else 'f' || target end as ref from fx_dims left join part on p_partkey = target) select distinct dim, owner from a left join targets t on t.ref = a.ref""", "fx_dims"),
     "q_projection_sync": "select doc_id, case when doc_id % 4 = 0 then true else not (doc_id % 3 > doc_id % 2 or (doc_id % 3 = doc_id % 2 and doc_id % 7 = doc_id % 5)) end as replace from documents",
-    "q_bom_budget": oracle("with co as (select occ as id from fx_parts where occ % 10 = 0) select 'component' as kind, id from co union all select 'dimension', id from (select dim as id from fx_dims order by dim limit (select greatest(0, 300 - count(*)) from co))", "fx_parts", "fx_dims"),
+    "q_bom_budget": oracle("with co as (select occ as id from fx_parts where occ % 10 = 0) select 'component' as kind, id from co union all select 'dimension', id from (select dim as id from fx_dims order by dim limit (select greatest(0, 300 - count(*)) from co)) union all select 'omitted', greatest(0, (select count(*) from fx_dims) - (select greatest(0, 300 - count(*)) from co))", "fx_parts", "fx_dims"),
     "q_bom_related": _recursive("with b as (select cast(2 as bigint) as occ union select p.occ from fx_parts p join b on p.parent = b.occ) select dim, target from fx_dims where target in (select occ from b)", "fx_parts", "fx_dims"),
-    "q_bom_evidence": oracle("""with e as (select *, bool_or(kind = 'R') over (partition by target) as has from fx_dims where target is not null) select target as node, dim as ref from e where (kind = 'R' or not has) and nominal % 2 = 0""", "fx_dims"),
+    "q_bom_evidence": oracle("""with e as (select *, bool_or(kind = 'R') over (partition by target) as has from fx_dims where target is not null) select target as node, dim as ref from e where (kind = 'R' or not has) and nominal % 2 = 0 and target not in (select occ from fx_parts where parent is null)""", "fx_dims", "fx_parts"),
 }

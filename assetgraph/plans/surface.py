@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetgraph.fixtures import fixture, oracle
+from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.operators import catalog as c
+from assetgraph.operators import extract
 from assetgraph.operators import graph as g
 from assetgraph.operators import sinks, transforms
 from assetgraph.scratch import fresh_path
@@ -17,9 +18,43 @@ def q_leaf_meta(spark, sf):
     return transforms.leaf_meta(c.live(fixture(spark, sf, "fx_assets")))
 
 
+def _directories(spark, sf):
+    """(asset_key, logical_path, file_name) of the folders of assets."""
+    rows = fixture(spark, sf, "fx_assets").groupBy("logical_path").agg((F.min("asset_key") + 2000000).alias("asset_key"))
+    return rows.select("asset_key", F.regexp_replace("logical_path", "/[^/]*$", "").alias("logical_path"), F.regexp_extract("logical_path", "([^/]*)$", 1).alias("file_name"))
+
+
+def q_directory_meta(spark, sf):
+    return transforms.directory_meta(_directories(spark, sf))
+
+
+def q_directory_execute(spark, sf):
+    """Results of the folders from the file formats and kinds of their assets."""
+    assets = fixture(spark, sf, "fx_assets")
+    folders = assets.groupBy("logical_path").agg((F.min("asset_key") + 2000000).alias("directory"))
+    children = assets.join(folders, "logical_path").select("directory", F.col("asset_key").alias("child"), "status", "is_valid", F.array("file_format", "data_type").alias("keywords"))
+    found = transforms.directory_execute(children)
+    return found.withColumns({n: F.array_join(n, "|") for n in ("keywords", "fields")})
+
+
+def q_enrich(spark, sf):
+    """A user's function over batches of documents, in place of a model call, and its answers read."""
+
+    def answer(frames):
+        for f in frames:
+            yield f.assign(raw=[f'Sure: {{"keywords": ["{lang}", "{source}"], "entities": ["{lang}"]}}' for lang, source in zip(f["lang"], f["source"], strict=True)])[["doc_id", "raw"]]
+
+    answers = extract.enrich(table(spark, sf, "documents").select("doc_id", "lang", "source"), answer, "doc_id long, raw string")
+    found = extract.parse_responses(answers, "doc_id", "raw")
+    return found.select("doc_id", F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"), "error")
+
+
 def q_leaf_execute(spark, sf):
     columns = fixture(spark, sf, "fx_keywords").select("asset_key", "pos", F.concat(F.lit("f"), "pos").alias("name"))
-    found = transforms.leaf_execute(c.live(fixture(spark, sf, "fx_assets")).select("asset_key", "data_type", "file_name"), columns)
+    kinds = F.when((F.col("data_type") == "relational") & (F.col("asset_key") % 14 == 2), "keyvalue").otherwise(F.col("data_type"))
+    assets = c.live(fixture(spark, sf, "fx_assets")).select("asset_key", kinds.alias("data_type"), "file_name")
+    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("asset_key"), F.concat(F.lit('{"lang":{"'), "lang", F.lit('":1}}')).alias("body"))
+    found = transforms.leaf_execute(assets, columns, bodies)
     return found.withColumns({n: F.array_join(n, "|") for n in ("keywords", "fields")})
 
 
@@ -59,8 +94,15 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 _PATH = "logical_path || '/' || file_name"
 ORACLE = {
     "q_leaf_meta": oracle(f"select asset_key as meta_key, logical_path, {_PATH} as asset_path, file_name, data_type, file_format, file_size, cast(null as varchar) as create_time, replace(substr({_PATH}, 2), '/', '.') as content_path from fx_assets where is_valid", "fx_assets"),
-    "q_leaf_execute": oracle("""with k as (select asset_key, string_agg('f' || pos, '|' order by pos) as fields from fx_keywords group by 1),
- r as (select a.asset_key, data_type, file_name, case when data_type = 'file' then '' else coalesce(fields, '') end as fields, case when data_type = 'file' and file_format = 'zip' then 'SKIPPED' when data_type <> 'file' and fields is null then 'FAILED' else 'SUCCESS' end as status from fx_assets a left join k on k.asset_key = a.asset_key where is_valid)
+    "q_directory_meta": oracle("""with d as (select logical_path as p, min(asset_key) + 2000000 as k from fx_assets group by 1) select k as meta_key, regexp_replace(p, '/[^/]*$', '') as logical_path, p as asset_path, regexp_extract(p, '([^/]*)$', 1) as file_name,
+ 'directory' as data_type, '' as file_format, cast(0 as bigint) as file_size, cast(null as varchar) as create_time, cast(null as varchar) as content_path from d""", "fx_assets"),
+    "q_directory_execute": oracle("""with d as (select logical_path, min(asset_key) + 2000000 as k from fx_assets group by 1), w as (select k, w, min(asset_key * 2 + i) as o from d join (select logical_path, asset_key, status, is_valid, unnest([file_format, data_type]) as w, unnest([0, 1]) as i from fx_assets) a using (logical_path) where status = 'SUCCESS' and is_valid group by 1, 2),
+ r as (select k, string_agg(w, '|' order by o, w) as kw from (select *, row_number() over (partition by k order by o, w) as nth from w) where nth <= 12 group by 1)
+ select d.k as asset_key, case when kw is null then 'FAILED' else 'SUCCESS' end as status, coalesce(kw, '') as keywords, '' as fields, 'directory' as field_kind, case when kw is null then 'no keywords of children' else '' end as message from d left join r on r.k = d.k""", "fx_assets"),
+    "q_enrich": "select doc_id, lang || '|' || source as keywords, lang as entities, false as error from documents",
+    "q_leaf_execute": oracle("""with k0 as (select asset_key, string_agg('f' || pos, '|' order by pos) as fields from fx_keywords group by 1), a0 as (select asset_key, logical_path, file_name, file_format, is_valid, case when data_type = 'relational' and asset_key % 14 = 2 then 'keyvalue' else data_type end as data_type from fx_assets),
+ k as (select a0.asset_key, case when data_type = 'keyvalue' then 'lang|lang.' || split_part(logical_path, '/', 3) else fields end as fields from a0 left join k0 using (asset_key)),
+ r as (select a.asset_key, data_type, file_name, case when data_type = 'file' then '' else coalesce(fields, '') end as fields, case when data_type = 'file' and file_format = 'zip' then 'SKIPPED' when data_type <> 'file' and fields is null then 'FAILED' else 'SUCCESS' end as status from a0 a left join k on k.asset_key = a.asset_key where is_valid)
  select asset_key, status, case when status = 'SUCCESS' then array_to_string(array_slice(list_concat(case when fields = '' then [] else string_split(fields, '|') end, [data_type, file_name]), 1, 12), '|') else '' end as keywords, fields, case when data_type = 'file' then case when status = 'SKIPPED' then 'skipped' else 'office' end else data_type end as field_kind,
  case status when 'SKIPPED' then 'unsupported file' when 'FAILED' then 'no fields' else '' end as message from r""", "fx_assets", "fx_keywords"),
     "q_sql_functions": oracle("select asset_key, logical_path || '/x' as path, file_format as extension, replace(replace(file_name, '_', ''), '.', '') as norm, cast((length(file_name) + 2) // 3 as bigint) as tokens, case when file_size > 0 then 1.0 else 0.0 end::double as confidence from fx_assets", "fx_assets"),

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetgraph.functions import names, paths, text
-from assetgraph.operators import catalog, drawings, extract, graph, sizes
-from assetgraph.scratch import saved
+from assetgraph.operators import catalog, drawings, extract, graph, sinks, sizes
+from assetgraph.scratch import fresh_path, saved, versions
 from assetgraph.sources import delimited, documents, export, external, files
 
 
@@ -54,6 +54,25 @@ def test_json_cut_shred_and_types(spark):
     found = {(r.k, r.doc_no, r.elem, r.path, r.type, r.value) for r in leaves.collect()}
     assert found == {(1, 0, 0, "a", "integer", "1"), (1, 1, 0, "a", "double", "2.5"), (2, 0, 0, "x", "integer", "1"), (3, 0, 0, "value", "integer", "7"), (5, 0, 0, "_id", "text", 'ObjectId("9")')}
     assert {r.path: r.type for r in documents.widened_types(leaves).collect()}["a"] == "text"
+    arrays = spark.createDataFrame([(1, '[{"a":1},{"a":2}];\n[{"a":3},{"a":4}]')], "k int, body string")
+    assert sorted((r.doc_no, r.value) for r in documents.shred(documents.split_documents(arrays, "k", "body"), "k").collect()) == [(0, "1"), (1, "2"), (2, "3"), (3, "4")]
+
+
+def test_documents_of_any_depth(spark):
+    depths = (1, 4, 5, 9)
+    bodies = [(n, "".join(f'{{"k{i}":' for i in range(n)) + "[[1,[2]]]" + "}" * n) for n in depths]
+    df = spark.createDataFrame(bodies, "k int, body string").coalesce(1)
+    leaves = documents.shred(documents.split_documents(df, "k", "body"), "k")
+    path = lambda n: ".".join(f"k{i}" for i in range(n))
+    assert sorted((r.k, r.elem, r.path, r.value) for r in leaves.collect()) == [(n, e, path(n), str(e + 1)) for n in depths for e in (0, 1)]
+    assert {r.k: r.fields for r in extract.json_fields(df, "k", "body").collect()} == {n: [path(i + 1) for i in range(n)] for n in depths}
+
+
+def test_xml_documents(spark):
+    bodies = [(1, '<r id="7"><a>1</a><a>x</a><b y="z">t<c>true</c></b><d/></r>'), (2, "<bad"), (3, "<r>5</r>"), (4, None), (5, ""), (6, "<!DOCTYPE r><r>1</r>")]
+    leaves = documents.shred(documents.xml_documents(spark.createDataFrame(bodies, "k int, body string"), "k", "body"), "k")
+    found = {(r.k, r.elem, r.path, r.type, r.value) for r in leaves.collect()}
+    assert found == {(1, 0, "@id", "integer", "7"), (1, 0, "a", "integer", "1"), (1, 1, "a", "text", "x"), (1, 0, "b._text", "text", "t"), (1, 0, "b.@y", "text", "z"), (1, 0, "b.c", "boolean", "true"), (3, 0, "value", "integer", "5")}
 
 
 def test_chunks_and_back(spark):
@@ -109,7 +128,26 @@ def test_text_functions(spark):
     assert one(spark, text.bounded_summary(F.col("c"), 20), c="One two. Three four five six.") == "One two. Three four…"
     assert one(spark, text.bounded_summary(F.col("c"), 20), c="One two three. Four five six.") == "One two three."
     assert one(spark, names.entity_norm(F.col("c")), c="Ab é-9龥") == "ab9龥"
-    assert one(spark, names.normalize_field(F.col("c")), c="t.(key_2)") == "key"
+    fields = {"t.(key_2)": "key", "(t.key_2)": "key", "key_7": "key_7", "f(a)b": "fab", " (a.b c) ": "bc"}
+    assert {c: one(spark, names.normalize_field(F.col("c")), c=c) for c in fields} == fields
+
+
+def test_headers_never_collide(spark):
+    heads = ["a", "a_2", "a", "", "a", "column_3", "a_2", "b"]
+    df = spark.createDataFrame([(0, i, h) for i, h in enumerate(heads)], "g int, i int, h string")
+    out = [r.header for r in names.dedup_headers(df, "g", "i", "h", saved).orderBy("i").collect()]
+    assert out == ["a", "a_2", "a_3", "column_3", "a_4", "column_3_2", "a_2_2", "b"]
+
+
+def test_path_parts(spark):
+    parent, leaf = paths.split_parent_leaf(F.col("c"))
+    assert [one(spark, parent, c=x) for x in ("a.b\\\\.c.d", "ab", ".a", "a.")] == ["a.b\\.c", "", "", ""] and one(spark, leaf, c="a.b\\.c") == "b\\.c"
+    assert [one(spark, paths.to_file_leaf_path(F.lit("data.p"), F.col("c")), c=x) for x in ("x\\y/f.t.csv", " ", "dir/")] == ["data.p.f\\.t\\.csv", "data.p.content\\.bin", "data.p.dir/"]
+
+
+def test_display_of_nested_values(spark):
+    row = spark.sql("select array(1, null, 2) as a, map('k', array('x', 'y'), 'n', null) as m, map('$oid', 'z') as o, struct(1 as p, cast(null as string) as q) as s, cast(null as string) as n, cast('é' as binary) as b")
+    assert list(catalog.preview(row, "n").first()) == ["1, , 2", "{k: x, y, n: null}", 'ObjectId("z")', "{p: 1, q: null}", "", "é"]
 
 
 def test_chunks_fit_their_budget(spark):
@@ -125,10 +163,38 @@ def test_rollup_blocks_and_skips(spark):
     assert out == {"/a/b": ("SUCCESS", ["x"]), "/a/c": ("PENDING", None), "/a": ("PENDING", None), "/d": ("PENDING", None), "/": ("PENDING", None)}
 
 
+def test_rollup_of_a_deep_tree_in_the_order_of_keys(spark):
+    deep = "".join(f"/d{i}" for i in range(34))
+    rows = [(10, deep, "SUCCESS", ["ten"]), (9, deep, "SUCCESS", ["nine"]), (3, "/z", "SUCCESS", ["last"]), (4, "/", "SUCCESS", ["own"])]
+    out = {r.path: r.keywords for r in extract.roll_up(spark.createDataFrame(rows, "k long, p string, status string, kw array<string>"), "k", "p", "kw", saved).collect()}
+    assert len(out) == 36 and out[deep] == out["/d0"] == ["nine", "ten"] and out["/"] == ["own", "nine", "ten", "last"]
+
+
+def test_pieces_of_a_unit():
+    text = "ab\n" + "c" * 50 + "。" + "é" * 30 + "\n" + "d" * 90
+    pieces = extract._pieces(text, 25)
+    assert sum(n for _, n in pieces) == len(text) and all(t <= 25 for t, _ in pieces) and extract._pieces("x", 0) == [(1, 1)] and extract._pieces("", 5) == [(0, 0)]
+    assert [n for _, n in extract._pieces("aaaa\nbbbb" + "c" * 11, 5)] == [5, 7, 8] and [n for _, n in extract._pieces("a\n" + "b" * 18, 5)] == [10, 10]
+
+
+def test_merged_tables_keep_their_old_version_until_the_new_one_is_there(spark):
+    path = fresh_path(spark, "merged")
+    assert sinks.read_table(spark, path, "k int, v string").count() == 0
+    for n in range(4):
+        sinks.merge_table(path, spark.createDataFrame([(n, "new"), (0, str(n))], "k int, v string").dropDuplicates(["k"]) if n else spark.createDataFrame([(0, "0")], "k int, v string"), ["k"])
+    assert {r.k for r in sinks.read_table(spark, path, "k int, v string").collect()} == {0, 1, 2, 3} and versions(spark, path) == [2, 3]
+
+
+def test_table_json_in_parts(spark):
+    df = spark.range(7).select((F.col("id") % 2).alias("g"), "id")
+    rows = {(r.g, r.part): r.body for r in export.table_json(df, "g", "id", 3).collect()}
+    assert set(rows) == {(0, 0), (0, 1), (1, 0)} and rows[(0, 1)] == '{"columns":["id"],"rows":[{"id":6}],"totalRows":4}'
+
+
 def test_chains_with_cycles_and_long_ones(spark):
     parts = [(0, None)] + [(i, i - 1) for i in range(1, 80)] + [(100, 101), (101, 100), (102, 100), (103, 999)]
     depth = {r.occ: r.depth for r in drawings.resolve_chains(spark.createDataFrame(parts, "occ long, parent long"), "occ", "parent", saved).collect()}
-    assert all(depth[i] == i for i in range(60)) and depth[79] is None
+    assert all(depth[i] == (i if i <= 62 else None) for i in range(80))
     assert [depth[i] for i in (100, 101, 102, 103)] == [None] * 4
 
 
