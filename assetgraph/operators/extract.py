@@ -163,17 +163,18 @@ def roll_up(assets: DataFrame, key: str, path: str, keywords: str, save: Callabl
     sub = F.col(folder) if folder else F.lit(None).cast("string")
     order = lambda number, name: F.struct(name.isNotNull().alias("f"), number.cast("long").alias("k"), name.alias("p"))
     children = save(assets.select(F.col(path).alias("parent"), order(F.col(key), sub).alias("_o"), "status", F.col(keywords).alias("_kw")))
-    levels = []
+    levels, up = [], None
     depth = F.size(F.filter(F.split("parent", "/"), lambda x: x != ""))
     for level in range(children.agg(F.max(depth)).first()[0] or 0, -1, -1):
         here = children.where(depth == level)
+        here = here if up is None else here.unionByName(up)
         state = directory_readiness(here.withColumn("has_keywords", F.col("_kw").isNotNull()))
         done = here.where("status = 'SUCCESS'")
         rows = state.join(directory_summary(done, "parent", "_o", "_kw"), "parent", "left")
         rows = save(rows.select(F.col("parent").alias("path"), F.when(F.col("ready"), "SUCCESS").otherwise("PENDING").alias("status"), F.when(F.col("ready"), F.coalesce("keywords", F.array().cast("array<string>"))).alias("keywords")))
         levels.append(rows)
+        # a folder's parent lies one level above it
         up = rows.where("path <> '/'").select(parent_path(F.col("path")).alias("parent"), order(F.lit(None), F.col("path")).alias("_o"), "status", F.col("keywords").alias("_kw"))
-        children = children.where(depth < level).unionByName(up)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

@@ -174,7 +174,7 @@ def test_pieces_of_a_unit():
     text = "ab\n" + "c" * 50 + "。" + "é" * 30 + "\n" + "d" * 90
     pieces = extract._pieces(text, 25)
     assert sum(n for _, n in pieces) == len(text) and all(t <= 25 for t, _ in pieces) and extract._pieces("x", 0) == [(1, 1)] and extract._pieces("", 5) == [(0, 0)]
-    assert [n for _, n in extract._pieces("aaaa\nbbbb" + "c" * 11, 5)] == [5, 7, 8] and [n for _, n in extract._pieces("a\n" + "b" * 18, 5)] == [10, 10]
+    assert [n for _, n in extract._pieces("aaaaa\nbbb" + "c" * 11, 5)] == [6, 14] and [n for _, n in extract._pieces("a\n" + "b" * 18, 5)] == [10, 10]
 
 
 def test_merged_tables_keep_their_old_version_until_the_new_one_is_there(spark):
