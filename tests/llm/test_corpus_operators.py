@@ -524,3 +524,31 @@ def test_pipeline_stages(spark, sf):
         if name == "personal data":
             assert set(after) == set(before) and not any("@mail" in (t or "") for t in after.values())
         before, d = after, out
+
+
+def test_stages_on_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").first().text
+    rows = [(1, None), (2, ""), (None, good + " one"), (3, good), (3, good), (4, good + " end"), (5, item), (6, "mail a@b.co"), (7, prose(rng, 60_000)), (8, "one"), (8, "two")]
+    df = spark.createDataFrame([(d, t, "en", "src", len(t or ""), "x", 1.5, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component string, rank double, _dropped string")
+    key = lambda frame: sorted((str(r.doc_id), r.text or "") for r in frame.collect())
+    every = key(df)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, df, sf), stage(spark, df.limit(0), sf)
+        assert none.count() == 0
+        if name == "packing":
+            assert out.agg(F.sum(F.col("is_last").cast("int"))).first()[0] == len(rows)
+            continue
+        assert out.columns == df.columns == none.columns and {(r.component, r.rank) for r in out.select("component", "rank").collect()} == {("x", 1.5)}
+        got = key(out)
+        if name == "quality classifier":
+            assert set(got) <= set(every) and got.count(("3", good)) == 2
+        elif name == "near-duplicates":
+            assert [d for d, _ in got] == ["1", "2", "3", "5", "6", "7", "8", "None"] and ("8", "one") in got
+        elif name == "decontamination":
+            assert got == [x for x in every if x[0] != "5"]
+        else:
+            assert [d for d, _ in got] == [d for d, _ in every] and ("6", "mail [EMAIL]") in got and out.where("doc_id = 6").first().n_chars == len("mail [EMAIL]")
