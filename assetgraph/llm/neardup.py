@@ -36,7 +36,7 @@ from assetgraph.llm.textvec import LOWER, mix, ngram_hash, span_hash, text_bytes
 BANDS, BAND_ROWS = 32, 5
 PERCENT = 80
 #: Shingles per block when buckets are settled exactly; memory per task follows it, results do not.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 100_000
 #: Members of a bucket that are joined in one portion.
 PORTION = 1000
 #: Further hubs of large buckets end after so many, or when one joins less than this share of what it is held against.

@@ -87,26 +87,36 @@ class Sample:
 
     def __init__(self, doc: np.ndarray, feature: np.ndarray, count: np.ndarray, docs: int):
         """doc ascends; each (doc, feature) stands once."""
-        self.docs, self.doc, self.feature = docs, doc.astype(np.int32), feature
-        total = np.maximum(np.bincount(doc, count, docs), 1)
-        self.share = (count / total[doc]).astype(np.float32)
-        self.filled, self.doc_at = np.unique(self.doc, return_index=True)
-        by = np.argsort(feature, kind="stable")
-        self.by_doc, self.by_share = self.doc[by], self.share[by]
-        self.seen, self.feature_at, self.place = np.unique(feature[by], return_index=True, return_inverse=True)
-        place = np.empty(len(by), np.int64)
-        place[by] = self.place
-        self.place = place.astype(np.int32)
+        self.docs, self.doc, n = docs, doc.astype(np.int32), len(doc)
+        total = np.maximum(np.bincount(self.doc, count, docs), 1).astype(np.float32)
+        self.share = count.astype(np.float32) / total[self.doc]
+        new = np.ones(n, bool)
+        new[1:] = self.doc[1:] != self.doc[:-1]
+        self.doc_at = np.flatnonzero(new)
+        self.filled = self.doc[self.doc_at]
+        by = np.argsort(feature, kind="stable").astype(np.int32)
+        self.by_doc, self.by_share, feature = self.doc[by], self.share[by], feature[by]
+        new[1:] = feature[1:] != feature[:-1]
+        self.feature_at = np.flatnonzero(new)
+        self.seen = feature[self.feature_at]
+        self.place = np.empty(n, np.int32)
+        self.place[by] = np.cumsum(new, dtype=np.int32) - 1
 
     def positions(self, w: np.ndarray) -> np.ndarray:
         """The mean weight of each document's features; w: of the features that occur."""
         out = np.zeros(self.docs)
         if len(self.filled):
-            out[self.filled] = np.add.reduceat(w[self.place] * self.share, self.doc_at, dtype=np.float64)
+            each = w.astype(np.float32)[self.place]
+            each *= self.share
+            out[self.filled] = np.add.reduceat(each, self.doc_at, dtype=np.float64)
         return out
 
     def gradient(self, by_doc: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(by_doc[self.by_doc] * self.by_share, self.feature_at, dtype=np.float64) if len(self.seen) else np.zeros(0)
+        if not len(self.seen):
+            return np.zeros(0)
+        each = by_doc.astype(np.float32)[self.by_doc]
+        each *= self.by_share
+        return np.add.reduceat(each, self.feature_at, dtype=np.float64)
 
 
 def loss_and_gradient(sample: Sample, y: np.ndarray, w: np.ndarray, raw: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
@@ -171,8 +181,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE_ROWS, size: in
     flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in found.column(c).chunks] or [np.zeros(0, np.int32)])
     sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in found.column("ids").chunks] or [np.zeros(0, np.int32)])
     grade = found.column("grade").to_numpy().copy()
-    made = Sample(np.repeat(np.arange(len(sizes)), sizes), flat("ids"), flat("counts"), len(sizes))
-    del found
+    made = Sample(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flat("ids"), flat("counts"), len(sizes))
+    del found, flat
     model = fit_ordinal(made, grade, bits)
     del made
     pa.default_memory_pool().release_unused()  # the driver needs the sample no longer
