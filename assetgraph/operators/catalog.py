@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetgraph.functions.paths import asset_path, base_name, file_extension, leaf_name, normalize_path, path_chain, split_unescaped, unescape
+from assetgraph.functions.paths import asset_path, base_name, escape, file_extension, leaf_name, normalize_escaped_path, normalize_path, path_chain, split_unescaped, to_data_path, to_file_leaf_path, unescape
 from assetgraph.sources.delimited import ordinals
 
 #: Kinds of files that keywords can be extracted from.
 SUPPORTED = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "pdf", "doc", "docx", "ppt", "pptx")
 STRUCTURED = ("mysql", "postgres", "iotdb", "mongodb", "redis")
 EXTERN = "/extern"
+#: Sources that stand in paths without an address.
+DEFAULT_SOURCES = ("filesystem", "mysql", "postgres", "iotdb")
 
 
 def current_state(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -69,6 +71,18 @@ def legacy_rows(new: DataFrame, existing: DataFrame, key: str, path: str, file:
     return existing.join(legacy, [path, file], "left_semi").select(key, path, file)
 
 
+def legacy_directories(directories: DataFrame, existing: DataFrame, key: str, path: str, file: str) -> DataFrame:
+    """Directory rows of existing that are stored below themselves: the folder's path with its own name as the file."""
+    own = directories.select(path).distinct()
+    return existing.where(F.col(file) == leaf_name(F.col(path))).join(own, path, "left_semi").select(key, path, file)
+
+
+def legacy_columns(tables: DataFrame, existing: DataFrame, key: str, path: str, file: str) -> DataFrame:
+    """Rows of existing that stand for single columns, in a folder that is a table's own path now."""
+    folders = tables.select(asset_path(F.col(path), F.col(file)).alias(path)).distinct()
+    return existing.join(folders, path, "left_semi").select(key, path, file)
+
+
 def _prefix(segs: Column) -> Column:
     return F.array_join(F.slice(segs, 1, 3), ".")
 
@@ -151,6 +165,34 @@ def resolve_content(path: Column) -> Column:
     return F.concat(F.lit("data."), F.regexp_replace(path, r"\.\*$", ""))
 
 
+def _cleaned(c: Column) -> Column:
+    return F.regexp_replace(F.trim(c), "[^a-zA-Z0-9._-]", "_")
+
+
+def resolve_data_path(content: Column, path: Column, file: Column) -> Column:
+    """The data path of an asset: its stored content path, else made from its folder and file. Below `/extern` the first folder is the
+    source: default ones add no segment, a file is a leaf with its dots escaped, a table a leaf unless the path ends with it."""
+    stored = F.regexp_replace(normalize_escaped_path(content), r"(\.\*)+$", "")
+    known = F.when((stored == "data") | stored.startswith("data."), stored).otherwise(F.concat(F.lit("data."), stored))
+    path, file = F.coalesce(path, F.lit("")), F.trim(F.coalesce(file, F.lit("")))
+    parts = F.split(F.substring(path, len(EXTERN) + 2, 1 << 30), "/")
+    first = F.get(parts, F.lit(0))
+    source, rest = F.lower(F.trim(first)), F.slice(parts, F.lit(2), F.size(parts))
+    default = source.isin(*DEFAULT_SOURCES)
+    twice = default & (first != "filesystem") & (F.size(rest) > 1) & (F.get(rest, F.lit(0)) == first)
+    body = F.when(twice, F.slice(rest, F.lit(2), F.size(rest))).otherwise(rest)
+    prefix = F.when(default | (first == ""), "data.extern").otherwise(F.concat(F.lit("data.extern."), _cleaned(first)))
+    segs = F.transform(F.filter(F.transform(body, _cleaned), lambda s: s != ""), escape)
+    base = F.array_join(F.concat(F.array(prefix), segs), ".")
+    leaf = _cleaned(file)
+    below = F.when(unescape(F.element_at(split_unescaped(base), -1)) == leaf, base).otherwise(F.concat(base, F.lit("."), leaf))
+    outside = (file != "") & source.rlike("^(" + "|".join(STRUCTURED) + ")")
+    extern = F.when((file != "") & source.startswith("filesystem"), to_file_leaf_path(base, file)).when(outside, below).otherwise(base)
+    plain = to_data_path(path)
+    own = F.when(file != "", to_file_leaf_path(plain, file)).otherwise(plain)
+    return F.when(stored != "", known).when(path.startswith(EXTERN + "/"), extern).otherwise(own)
+
+
 def initial_status(data_type: Column, file: Column) -> tuple[Column, Column]:
     """Status and keywords of a new row: files that nothing can be extracted from are skipped at once."""
     skipped = (data_type == "file") & ~file_extension(file).isin(*SUPPORTED)
@@ -273,9 +315,9 @@ def reconcile(observed: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return out.select(*observed.columns, F.coalesce("_k1", "_k2", "_k3").alias(key), name.alias("shown_name"))
 
 
-def rows_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is listed."""
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+def rows_by_key(df: DataFrame, keys: DataFrame, *on: str, listed: bool = True) -> DataFrame:
+    """The rows whose key, of one or several columns, is listed; or those whose key is not."""
+    return df.join(keys.select(*on).distinct(), list(on), "left_semi" if listed else "left_anti")
 
 
 def content_with_meta(content: DataFrame, assets: DataFrame, on: str) -> DataFrame:

@@ -21,7 +21,7 @@ LISTS = {"partDefinitions": 1000, "occurrences": 2000, "features": 1000, "dimens
 PLAIN = ("notes", "views")  # others hold objects alone
 SHAPE = (
     "classification struct<documentClass:string,confidence:string,isEngineeringDrawing:boolean,domain:string,drawingType:string,signals:array<string>>, "
-    "structure struct<kind:string,authority:string,rootOccurrenceIds:array<string>>, summaryText string, mainObjectName string, validation struct<score:string,issues:array<string>>, "
+    "structure struct<kind:string,authority:string,rootOccurrenceIds:array<string>>, documentInfo struct<title:string>, summaryText string, mainObjectName string, validation struct<score:string,issues:array<string>>, "
 ) + ", ".join(f"{name} array<string>" for name in LISTS)
 SEVERITY = {"EBOM_WITHOUT_PARTS_LIST": "ERROR", "DUPLICATE_ITEM_NO": "WARNING", "INVALID_QUANTITY": "WARNING", "MISSING_OCCURRENCE_EVIDENCE": "WARNING", "MISSING_PART_GEOMETRY": "INFO", "MISSING_EVIDENCE": "INFO"}
 
@@ -44,11 +44,20 @@ def normalize_analysis(raw: DataFrame, key: str, body: str) -> DataFrame:
         key, cls.alias("document_class"), engineering.alias("engineering"), confidence(sure).alias("confidence"), upper(F.col("j.classification.domain"), "UNKNOWN").alias("domain"),
         upper(F.col("j.classification.drawingType"), "UNKNOWN").alias("drawing_type"), dedup_strings(F.coalesce("j.classification.signals", none), 32).alias("signals"),
         F.when(engineering & kind.isin(*KINDS), kind).otherwise("NONE").alias("kind"), upper(F.col("j.structure.authority"), "NONE").alias("authority"),
-        dedup_strings(F.coalesce("j.structure.rootOccurrenceIds", none), 100).alias("roots"), text(F.col("j.mainObjectName")).alias("main_object"), F.substring(text(F.col("j.summaryText")), 1, 500).alias("summary"),
+        dedup_strings(F.coalesce("j.structure.rootOccurrenceIds", none), 100).alias("roots"), text(F.col("j.documentInfo.title")).alias("title"), text(F.col("j.mainObjectName")).alias("main_object"), F.substring(text(F.col("j.summaryText")), 1, 500).alias("summary"),
         confidence(F.coalesce("j.validation.score", sure)).alias("score"), *lists,
     )
 
 
+def summaries(analyses: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """One row for each normalised analysis: what it is, the object's name (the title before the main object) and the numbers of parts, dimensions, texts and issues (rows of key)."""
+    counted = issues.groupBy(key).agg(F.count("*").alias("issue_count"))
+    name = F.coalesce(F.nullif("title", F.lit("")), "main_object")
+    sizes = [F.size(c).alias(n) for c, n in (("occurrences", "part_count"), ("dimensions", "dimension_count"), ("textBlocks", "text_count"))]
+    own = analyses.select(key, "document_class", "domain", "drawing_type", "kind", "authority", name.alias("object_name"), "summary", "score", *sizes)
+    return own.join(counted, key, "left").fillna(0, ["issue_count"])
+
+
 def stable_ids(items: DataFrame, group: str, order: str, given: str, prefix: str) -> DataFrame:
     """items with `id`: the given one, or prefix and place where it is missing; repeats get -2, -3 and so on."""
     placed = ordinals(items.withColumn("_grp", F.col(group)), "_grp", order, "_at").drop("_grp")

@@ -31,6 +31,13 @@ def fields(columns: DataFrame, asset: str, order: str, name: str, drop: tuple[st
     return listed.select(asset, F.slice(F.when(F.size(rest) > 0, rest).otherwise(F.col("_all")), 1, cap).alias("fields"))
 
 
+def value_fields(values: DataFrame, asset: str, order: str, value: str, cap: int = FIELD_CAP) -> DataFrame:
+    """(asset, fields) of tables without a header: the last dotted part, other than `data`, of values with a dot and fewer than 180 characters."""
+    short = values.where(F.contains(F.col(value), F.lit(".")) & (F.length(value) < 180))
+    last = F.try_element_at(F.filter(F.split(F.col(value), "[.]"), lambda s: ~s.isin("", "data")), F.lit(-1))
+    return fields(short.withColumn("_last", last).where("_last is not null"), asset, order, "_last", cap=cap)
+
+
 def json_fields(df: DataFrame, key: str, body: str, cap: int = FIELD_CAP, save: Callable[[DataFrame], DataFrame] = saved, levels: int = 4) -> DataFrame:
     """(key, fields): all dotted keys of a JSON object, inner ones too, level by level; of other texts what looks like a quoted key."""
     out = df.select(key, F.col(body).alias("_b"), F.try_parse_json(F.col(body)).alias("_v"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from assetgraph.plans import catalog, extract, graph, ingest, streams, surface
+from assetgraph.plans import catalog, extract, forms, graph, ingest, streams, surface
 
-MODULES = (ingest, catalog, extract, graph, streams, surface)
+MODULES = (ingest, catalog, extract, forms, graph, streams, surface)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

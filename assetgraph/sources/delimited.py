@@ -61,6 +61,12 @@ def parse(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", lin
     return cells.select(file, "key", "pos", sanitize_column(F.col("_name")).alias("name"), F.coalesce(F.get("_cells", F.col("pos")), F.lit("")).alias("value"))
 
 
+def rejected_files(lines: DataFrame, file: str = "file_no", line: str = "line") -> DataFrame:
+    """(file, reason) of the files that `parse` has no rows for: fewer than two lines that are not blank."""
+    found = lines.groupBy(file).agg(F.count_if(trimmed(F.col(line)) != "").alias("_n"))
+    return found.where("_n < 2").select(file, F.when(F.col("_n") == 0, "empty").otherwise("header alone").alias("reason"))
+
+
 def parse_time(c: Column) -> Column:
     """Milliseconds: integers as they are; date, or date and time to the minute or second, in UTC; an offset is dropped. Null for others."""
     text = F.trim(c)
@@ -88,6 +94,25 @@ def timeseries(cells: DataFrame, file: str, line_no: str, time: str) -> DataFram
     return good.withColumn("value", filled).groupBy(file, "key", "name").agg(F.max_by("value", line_no).alias("value"))
 
 
+def rejected_series(cells: DataFrame, file: str, time: str, name: str = "name") -> DataFrame:
+    """(file, reason) of the files that `timeseries` has no rows for: no line has both a time that reads and a cell. A line without cells has a null name."""
+    good = parse_time(F.col(time)).isNotNull() & F.col(name).isNotNull()
+    return cells.groupBy(file).agg(F.count_if(good).alias("_n")).where("_n = 0").select(file, F.lit("no line with a time and a value").alias("reason"))
+
+
+def _unquoted(value: Column) -> Column:
+    quoted = (F.length(value) >= 2) & ((value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'")))
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def colon_pairs(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line") -> DataFrame:
+    """(file, k, v) of flat YAML: the first colon separates, # lines are skipped, keys stay as they are, the last of a key wins."""
+    text = trimmed(F.col(line))
+    rows = lines.select(file, line_no, text.alias("_t")).where("not startswith(_t, '#') and locate(':', _t) > 1")
+    value = trimmed(F.regexp_extract("_t", "(?s)^[^:]+:(.*)$", 1))
+    return rows.select(file, line_no, trimmed(F.regexp_extract("_t", "^([^:]+):", 1)).alias("k"), _unquoted(value).alias("_v")).groupBy(file, "k").agg(F.max_by("_v", line_no).alias("v"))
+
+
 def key_values(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(file, k, v) of properties-like lines: comments skipped, the first = or : separates, one pair of quotes stripped, the last of a key wins."""
     text = trimmed(F.col(line))
@@ -96,8 +121,7 @@ def key_values(lines: DataFrame, file: str = "file_no", line_no: str = "line_no"
     rows = rows.where(F.col("_b").rlike("^[^=:]+[=:]"))
     key = trimmed(F.regexp_extract("_b", r"(?s)^([^=:]+)[=:]", 1))
     value = trimmed(F.regexp_extract("_b", r"(?s)^[^=:]+[=:](.*)$", 1))
-    quoted = (F.length(value) >= 2) & ((value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'")))
-    pairs = rows.select(file, line_no, key.alias("_k"), F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value).alias("_v")).where("_k <> ''")
+    pairs = rows.select(file, line_no, key.alias("_k"), _unquoted(value).alias("_v")).where("_k <> ''")
     return pairs.withColumn("k", sanitize_column(F.col("_k"))).groupBy(file, "k").agg(F.max_by("_v", line_no).alias("v"))
 
 

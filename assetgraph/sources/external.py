@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetgraph.sources.delimited import ordinals
+
 #: What each kind of source has to be given.
 REQUIRED = {
     "filesystem": ("path",), "mysql": ("url", "dbtable"), "postgres": ("url", "dbtable"),
@@ -59,3 +61,21 @@ def show_columns(columns: DataFrame, prefix: str | None = None) -> DataFrame:
     """The columns below a prefix, each path once."""
     found = columns if prefix is None else columns.where(F.startswith("path", F.lit(prefix + ".")))
     return found.dropDuplicates(["path"])
+
+
+def reply_columns(replies: DataFrame, rows: DataFrame, store: str) -> DataFrame:
+    """(store, path, type) of what stores show. replies: store, headers, types; rows: store, row_no, cells.
+
+    The headers name the cells of path and type (else the first two). A row without a type takes that at its place among the
+    types. If a reply has no row with a path, its headers are the columns.
+    """
+    ends = lambda h, word: h.endswith(word) | F.contains(h, F.lit("." + word))
+    heads = F.transform("headers", lambda h: F.lower(F.trim(F.coalesce(h, F.lit("")))))
+    at = lambda test, default: F.coalesce(F.array_max(F.transform(heads, lambda h, i: F.when(test(h), i))), F.lit(default))
+    named = replies.select(store, "headers", "types", at(lambda h: ends(h, "path"), 0).alias("_p"), at(lambda h: ends(h, "type") & ~ends(h, "path"), 1).alias("_t"))
+    cell = lambda i: F.trim(F.coalesce(F.get("cells", F.col(i)), F.lit("")))
+    good = rows.join(named, store).withColumn("path", cell("_p")).where("path <> ''")
+    placed = ordinals(good, store, "row_no", "_nth").withColumn("_nth", F.col("_nth").cast("int"))
+    listed = placed.select(store, "path", F.coalesce(F.nullif(cell("_t"), F.lit("")), F.get("types", F.col("_nth")), F.lit("")).alias("type"))
+    silent = named.join(good.select(store).distinct(), store, "left_anti").select(store, "types", F.posexplode("headers").alias("_at", "path")).where("path is not null")
+    return listed.unionByName(silent.select(store, "path", F.coalesce(F.get("types", F.col("_at")), F.lit("")).alias("type")))
