@@ -95,6 +95,10 @@ def q_batch_ingest_report(spark, sf):
     return delimited.ingest_report(fixture(spark, sf, "fx_kv_lines"))
 
 
+def q_batch_ingest_totals(spark, sf):
+    return delimited.ingest_totals(q_batch_ingest_report(spark, sf))
+
+
 def q_file_sizes(spark, sf):
     listed = fixture(spark, sf, "fx_file_list").select(F.concat(F.ceil(F.col("size_chars") / 1024), F.lit("\t/"), "host", "path").alias("line"))
     return files.parse_usage(listed).groupBy("path").agg(F.sum("bytes").alias("bytes"))
@@ -137,6 +141,8 @@ b as (select file_no, line_no, case when starts_with(t, 'export ') then {_TRIM.f
 c as (select file_no, line_no, {_TRIM.format(x="regexp_extract(s, '^([^=:]+)[=:]', 1)")} as k0, {_TRIM.format(x="regexp_extract(s, '^[^=:]+[=:](.*)$', 1)")} as v0 from b where regexp_matches(s, '^[^=:]+[=:]')),
 pairs as (select file_no, {_san("k0")} as k, arg_max(case when length(v0) >= 2 and ((v0 like '"%' and v0 like '%"') or (starts_with(v0, chr(39)) and ends_with(v0, chr(39)))) then substr(v0, 2, length(v0) - 2) else v0 end, line_no) as v
   from c where k0 <> '' group by 1, 2)"""
+_REPORT = """lines as (select file_no, count(*) filter (where t <> '') as n from a group by 1), paired as (select file_no, count(*) as pairs from c where k0 <> '' group by 1),
+report as (select file_no, n >= 2 and pairs is not null as ok, case when n >= 2 and pairs is not null then n - 1 else 0 end as rows, case when n < 2 then 'needs a header and a row' when pairs is null then 'no pair' else '' end as reason from lines left join paired using (file_no))"""
 _LEAVES = """leaves as (
   select file_no, 0 as doc_no, 0 as elem, '_id' as path, 'text' as type, 'ObjectId("' || json_extract_string(body, '$._id."$oid"') || '")' as value from fx_json where file_no % 4 = 0
   union all select file_no, 0, 0, 'user.id', 'integer', body->'user'->>'id' from fx_json where file_no % 4 = 0
@@ -175,9 +181,8 @@ ORACLE = {
  from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil(octet_length(encode(text)) / {CHUNK}.0) as bigint)))) as n from documents where text is not null))""",
     "q_file_reassemble": f"select doc_id, cast(length(p) // 2 as int) as n_bytes, md5(p) as digest from (select doc_id, substr({_HEX}, 1, {2 * CAP}) as p from documents where text is not null)",
     "q_show_columns": oracle(f"select distinct source_type, path, type from fx_columns where starts_with(path, '{PREFIX}.')", "fx_columns"),
-    "q_batch_ingest_report": oracle(
-        f"""select file_no, n >= 2 and pairs > 0 as ok, case when n >= 2 and pairs > 0 then n - 1 else 0 end as rows, case when n < 2 then 'needs a header and a row' when pairs = 0 then 'no pair' else '' end as reason
- from (select file_no, count(*) filter (where t <> '') as n, count(*) filter (where t <> '' and regexp_matches(line, '[=:]')) as pairs from (select *, {_TRIM.format(x="line")} as t from fx_kv_lines) group by 1)""", "fx_kv_lines"),
+    "q_batch_ingest_report": oracle(f"with {_PAIRS}, {_REPORT} select * from report", "fx_kv_lines"),
+    "q_batch_ingest_totals": oracle(f"with {_PAIRS}, {_REPORT} select count(*) as total, count(*) filter (where ok) as succeeded, count(*) filter (where not ok) as failed, cast(sum(rows) as bigint) as rows from report", "fx_kv_lines"),
     "q_file_sizes": oracle("select '/' || host || path as path, cast(sum(cast(ceil(size_chars / 1024.0) as bigint) * 1024) as bigint) as bytes from fx_file_list group by 1", "fx_file_list"),
     "q_kv_export": oracle(f"with {_PAIRS} select file_no, '{{' || string_agg(cast(to_json(k) as varchar) || ':' || cast(to_json(v) as varchar), ',' order by k) || '}}' as body from pairs group by 1", "fx_kv_lines"),
     "q_document_export": """select c_nationkey, cast(part as int) as part, '{"columns":["c_custkey","c_name"],"rows":[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":' || cast(to_json(c_name) as varchar) || '}', ',' order by c_custkey) || '],"totalRows":' || max(n) || '}' as body

@@ -100,6 +100,12 @@ def rejected_series(cells: DataFrame, file: str, time: str, name: str = "name")
     return cells.groupBy(file).agg(F.count_if(good).alias("_n")).where("_n = 0").select(file, F.lit("no line with a time and a value").alias("reason"))
 
 
+def _property(line: Column) -> tuple[Column, Column]:
+    """A trimmed line, and what follows `export ` in it."""
+    text = trimmed(line)
+    return text, F.when(text.startswith("export "), trimmed(F.substring(text, 8, 1 << 30))).otherwise(text)
+
+
 def _unquoted(value: Column) -> Column:
     quoted = (F.length(value) >= 2) & ((value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'")))
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
@@ -115,8 +121,7 @@ def colon_pairs(lines: DataFrame, file: str = "file_no", line_no: str = "line_no
 
 def key_values(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(file, k, v) of properties-like lines: comments skipped, the first = or : separates, one pair of quotes stripped, the last of a key wins."""
-    text = trimmed(F.col(line))
-    body = F.when(text.startswith("export "), trimmed(F.substring(text, 8, 1 << 30))).otherwise(text)
+    text, body = _property(F.col(line))
     rows = lines.select(file, line_no, text.alias("_t"), body.alias("_b")).where("_t <> '' and not startswith(_t, '#') and not startswith(_t, '!')")
     rows = rows.where(F.col("_b").rlike("^[^=:]+[=:]"))
     key = trimmed(F.regexp_extract("_b", r"(?s)^([^=:]+)[=:]", 1))
@@ -127,7 +132,12 @@ def key_values(lines: DataFrame, file: str = "file_no", line_no: str = "line_no"
 
 def ingest_report(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(file, ok, rows, reason) per file: one bad file never fails the others."""
-    blank = trimmed(F.col(line)) == ""
-    found = lines.groupBy(file).agg(F.count_if(~blank).alias("n"), F.count_if(~blank & F.col(line).rlike("[=:]")).alias("pairs"))
+    blank, (text, body) = trimmed(F.col(line)) == "", _property(F.col(line))
+    found = lines.groupBy(file).agg(F.count_if(~blank).alias("n"), F.count_if(~text.rlike("^[#!]") & (trimmed(F.regexp_extract(body, "^([^=:]+)[=:]", 1)) != "")).alias("pairs"))
     reason = F.when(F.col("n") < 2, "needs a header and a row").when(F.col("pairs") == 0, "no pair")
     return found.select(file, reason.isNull().alias("ok"), F.when(reason.isNull(), F.col("n") - 1).otherwise(0).alias("rows"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def ingest_totals(report: DataFrame) -> DataFrame:
+    """One row: how many files there are, how many were taken and failed, and the rows of those taken."""
+    return report.agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
