@@ -74,6 +74,15 @@ def _classes(rows, n, percent=80):
     return {rows[i][0]: rows[c][0] for i, c in enumerate(_union(len(rows), links))}, {r[0]: len(s) for r, s in zip(rows, sets, strict=True)}
 
 
+def test_components_of_hubs_in_portions(spark, monkeypatch):
+    """Two large stars and a chain; hubs with large and with small ids are dealt to portions."""
+    monkeypatch.setattr("assetgraph.llm.components.LEAST", 20)
+    pairs = [(0, 10 * i + 1) for i in range(1, 1500)] + [(10 * i + 2, 90000) for i in range(1, 1200)] + [(50001, 50003), (50003, 50004)] + [(90000, 90001), (90001, 90005)] + [(7, 7)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {n: 0 for p in pairs[:1499] for n in p} | {n: 12 for p in pairs[1499:2698] for n in p} | {50001: 50001, 50003: 50001, 50004: 50001, 90001: 12, 90005: 12}
+    assert got == want
+
+
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, shingle, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)  # several blocks a bucket, and further hubs
