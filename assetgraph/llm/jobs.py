@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetgraph.llm.textvec import blocks
@@ -39,6 +39,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than this share of all rows (so at most so many) are joined by broadcast; from this number of rows on.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
+
+
+def joined_by(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with the one row of groups that has their key. count: the column of groups that says how many rows have the key; both are written tables."""
+    from_ = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col(count) > from_))  # at most HOT_SHARE rows: their counts add up to no more than all
+    cold = groups.where(F.col(count) <= from_)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with `at`, its place from 0 in that order, and `part`, the sorted range that holds it. Rows that are equal in the order's
+    columns are numbered in any order, and spread over the ranges; df is a written table. The driver sees one number for each range."""
+    spread = "_spread"
+    ranged = df.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(*order, spread).sortWithinPartitions(*order, spread)
+    written = materialise(ranged.drop(spread).withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned("_id", 33).cast("int")  # a partition and the place within it
+    total = 0
+    base = []
+    for r in written.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        base.append((r["part"], total))
+        total += r["n"]
+    bases = df.sparkSession.createDataFrame(base, "part int, base long")
+    return written.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "base")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table below the shared folder that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
