@@ -50,13 +50,11 @@ def relation(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     buf = LOWER[np.frombuffer(raw, np.uint8)] if raw is not None and raw.size else np.zeros(0, np.uint8)
     kind = _KIND[buf]
     word = kind == 0
-    start = word.copy()
-    start[1:] &= ~word[:-1]
-    begins = np.flatnonzero(start)
-    letters = np.concatenate([[0], np.cumsum(word, dtype=np.int64)])
-    offsets = np.append(letters[begins], letters[-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+    begins, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)])
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(buf[word]))
-    return words.dictionary_encode(), np.arange(len(begins)) + np.cumsum(kind == 2)[begins]
+    return words.dictionary_encode(), np.arange(len(begins)) + np.searchsorted(np.flatnonzero(kind == 2), begins)
 
 
 def _store(uri: str):
@@ -116,8 +114,8 @@ def _words(uri: str, size: int) -> Callable:
             if not len(words):
                 continue
             codes = words.indices.to_numpy().astype(np.int32)
-            gaps = np.diff(place, prepend=0).astype(np.int32)
-            _write(uri, f"{portion}-words", code=codes, gap=gaps)
+            planes = codes.view(np.uint8).reshape(-1, 4)  # apart, they compress better
+            _write(uri, f"{portion}-words", opens=np.diff(place, prepend=0) > 1, **{f"code{k}": np.ascontiguousarray(planes[:, k]) for k in range(4)})
             n = len(words.dictionary)
             of = pa.array(np.zeros(n + 1, np.int64))
             names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
@@ -130,16 +128,20 @@ def _words(uri: str, size: int) -> Callable:
     return run
 
 
-def _frequent_words(uri: str, portion: int, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The relation of length 1, semi-joined with the frequent words: places and numbers of words; the words' ids by number, ascending."""
-    code, gap = _read(uri, f"{portion}-words")
-    ids, codes = known.column("w").to_numpy(), known.column("code").to_numpy()
-    order = np.argsort(ids)
-    number = np.full(int(code.max()) + 1, -1, np.int64)
-    number[codes[order]] = np.arange(len(order))
-    number = number[code]
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    """The place of each code among the frequent ones, -1 for the others up to the largest and in the last entry, which stands for all beyond."""
+    of = np.full(int(codes.max()) + 2, -1, np.int32)
+    of[codes] = np.arange(len(codes))
+    return of
+
+
+def _frequent_words(uri: str, portion: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The relation of length 1, semi-joined with the frequent words: places and numbers. number: of each code, -1 where the word is not frequent."""
+    opens, *planes = _read(uri, f"{portion}-words")
+    codes = np.ascontiguousarray(np.stack(planes, axis=1)).view(np.int32).ravel()
+    number = number[np.minimum(codes, len(number) - 1)]
     kept = number >= 0
-    return np.cumsum(gap, dtype=np.int64)[kept], number[kept], ids[order]
+    return np.cumsum(opens.astype(np.int64) + 1)[kept], number[kept].astype(np.int64)
 
 
 def merge_join(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,13 +151,15 @@ def merge_join(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
 
 
 def _pairs(uri: str) -> Callable:
-    """Length 2 of a portion, and the relation of its frequent words for the next length."""
+    """Length 2 of a portion; writes the numbers of its frequent words for the next length."""
 
     def run(key: tuple, known: pa.Table) -> pa.Table:
         portion = key[0].as_py()
-        place, number, ids = _frequent_words(uri, portion, known)
-        _write(uri, f"{portion}-frequent", place=place, number=number.astype(np.int32))
-        _write(uri, f"{portion}-ids", w=ids)
+        known = known.sort_by("w")
+        ids, codes = known.column("w").to_numpy(), known.column("code").to_numpy()
+        of = _numbers(codes)
+        _write(uri, f"{portion}-ids", code=codes, w=ids)
+        place, number = _frequent_words(uri, portion, of)
         _, a, b = merge_join(place, number, number)
         pair, n = np.unique(a << 32 | b, return_counts=True)
         return pa.table({"portion": pa.array(np.full(len(pair), portion)), "w1": pa.array(ids[pair >> 32]), "w2": pa.array(ids[pair & 0xFFFFFFFF]), "n": pa.array(n)})
@@ -168,10 +172,11 @@ def _triples(uri: str) -> Callable:
 
     def run(key: tuple, known: pa.Table) -> pa.Table:
         portion = key[0].as_py()
-        place, number = _read(uri, f"{portion}-frequent")
-        (ids,) = _read(uri, f"{portion}-ids")
+        codes, ids = _read(uri, f"{portion}-ids")
+        of = _numbers(codes)
+        place, number = _frequent_words(uri, portion, of)
         frequent = np.sort(np.searchsorted(ids, known.column("w1").to_numpy()) << 32 | np.searchsorted(ids, known.column("w2").to_numpy()))
-        place, a, b = merge_join(place, number.astype(np.int64), number.astype(np.int64))
+        place, a, b = merge_join(place, number, number)
         pair = a << 32 | b
         at = np.minimum(np.searchsorted(frequent, pair), len(frequent) - 1)
         kept = frequent[at] == pair
@@ -183,6 +188,21 @@ def _triples(uri: str) -> Callable:
     return run
 
 
+#: Spark's switch that frees the files of a query's shuffles at its end.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The written table; the shuffles that made it, the largest thing on disk here, are freed."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE)
+    conf.set(_FREE, "true")
+    try:
+        return materialise(df.select("*"), name)
+    finally:
+        conf.set(_FREE, before)
+
+
 def _by_portion(known: DataFrame, fn: Callable, schema: str) -> DataFrame:
     portions = known.agg(F.approx_count_distinct("portion")).first()[0]
     return known.repartition(min(20_000, max(1, portions // PORTIONS_A_TASK)), "portion").groupBy("portion").applyInArrow(fn, schema)
@@ -212,15 +232,15 @@ def phrases(docs: DataFrame, least: int = LEAST, portion_bytes: int = PORTION_BY
     uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
     words = _summed(rows.mapInArrow(_words(uri, portion_bytes), "portion long, lang string, word string, code int, n long"), "lang", "word")
     words = words.where(F.col("word").isNull() | (F.col("total") >= least)).withColumn("word", F.when(F.col("first"), F.col("word")))
-    words = materialise(words.select("portion", "lang", "word", "code", "w", "total", "first"), "words")
+    words = _written(words.select("portion", "lang", "word", "code", "w", "total", "first"), "words")
     sizes = words.where("first and code < 0").select("lang", F.col("total").alias("n"))
     pairs = _by_portion(words.where("code >= 0").select("portion", "code", "w"), _pairs(uri), "portion long, w1 long, w2 long, n long")
-    pairs = materialise(_summed(pairs, "w1", "w2").where(F.col("total") >= least).select("portion", "w1", "w2", "total", "first"), "pairs")
+    pairs = _written(_summed(pairs, "w1", "w2").where(F.col("total") >= least).select("portion", "w1", "w2", "total", "first"), "pairs")
     triples = _by_portion(pairs.select("portion", "w1", "w2"), _triples(uri), "w1 long, w2 long, w3 long, n long")
-    triples = materialise(triples.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
+    triples = _written(triples.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
     known = words.where("first and code >= 0")
     one, two = (known.select(*(["lang"] if k == 1 else []), F.col("word").alias(f"word{k}"), F.col("w").alias(f"w{k}"), F.col("total").alias(f"f{k}")) for k in (1, 2))
-    named = materialise(pairs.where("first").select("w1", "w2", F.col("total").alias("a")).join(one, "w1").join(two, "w2"), "named-pairs")
+    named = _written(pairs.where("first").select("w1", "w2", F.col("total").alias("a")).join(one, "w1").join(two, "w2"), "named-pairs")
     of_two = named.select("lang", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("f1", "f2").alias("score"), "w1", "w2")
     front = named.withColumnRenamed("a", "front")
     back = named.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("word2").alias("word3"), F.col("f2").alias("f3"), F.col("a").alias("back"))
