@@ -12,7 +12,8 @@ block; the k best of each meet in a ranked merge that cuts partitions to k rows
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components take no part; only vectors of the
 query's dimension are candidates; rows that repeat a vec_id count once (the smallest vector); a null vec_id takes no
-part; an empty table gives no rows; further columns are not looked at. Scores are given to 12 decimals; ties, scores that are equal there, go to the smaller vec_id, however many they are.
+part; an empty table gives no rows; further columns are not looked at. A score is the cosine of the original vectors in double precision, its products
+summed in the order of the dimensions, never rounded; equal scores go to the smaller vec_id, however many they are.
 """
 
 from __future__ import annotations
@@ -35,24 +36,25 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 #: Tasks for each core that small inputs are dealt to.
 WAVES = 2
-DIGITS = 12
-NOISE = 1e-11  # above the rounding of a matrix product and of DIGITS
+NOISE = 1e-11  # above the rounding of a matrix product
 SLACK = 2e-6  # above the root of what equal cosines may differ by
-PAIRS = 65536
+PAIRS = 8192
 
 
 class Tree:
-    """A tree over the distinct directions of the vectors; rows of one direction are its members, in ascending order.
+    """A tree over the distinct vectors; rows of equal vectors, which differ by a power of two at most, are members of one, in ascending order.
 
     Nodes in depth-first order. Inner: (vantage, median, left, right). Leaf: (start, end) in `order`.
     """
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
-        unit = _unit(vectors)
-        _, first, of = np.unique(unit.view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        # directions are numbered by their smallest row, so that the smaller of two has the smaller row
+        scaled = _scaled(vectors)
+        _, first, of = np.unique(scaled.view(np.dtype((np.void, scaled.itemsize * scaled.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        # distinct vectors are numbered by their smallest row, so that the smaller of two has the smaller row
         self.of = np.argsort(np.argsort(first))[of.ravel()]
-        self.unit = unit[np.sort(first)]
+        self.scaled = scaled[np.sort(first)]
+        self.norm = _norm(self.scaled)
+        self.unit = self.scaled / self.norm[:, None]
         self.members = np.argsort(self.of, kind="stable")
         self.ends = np.cumsum(np.bincount(self.of))
         self.order = np.arange(len(self.unit))
@@ -82,8 +84,10 @@ class Tree:
 
         floor: scores that k rows elsewhere reach already; rows below it may be left out.
         """
-        q = _unit(queries)
-        most = k + 1  # directions: the query's own may have no other member
+        exact = _scaled(queries)
+        norm = _norm(exact)
+        q = exact / norm[:, None]
+        most = k + 1  # distinct vectors: the query's own may have no other member
         best = np.full((len(q), most), -np.inf)
         found = np.full((len(q), most), -1)
         least = np.full(len(q), -np.inf) if floor is None else floor
@@ -101,7 +105,7 @@ class Tree:
                 old = np.unique(at)
                 kept, slot = np.nonzero(found[old] >= 0)
                 kept = old[kept]
-                at, names, scores = np.concatenate([kept, at]), np.concatenate([found[kept, slot], names]), np.concatenate([best[kept, slot], _cosine(q, at, self.unit, names)])
+                at, names, scores = np.concatenate([kept, at]), np.concatenate([found[kept, slot], names]), np.concatenate([best[kept, slot], _cosine(exact, norm, at, self.scaled, self.norm, names)])
                 at, names, scores, rank = _first(at, names, scores, most)
                 best[at, rank], found[at, rank] = scores, names
                 return
@@ -133,16 +137,30 @@ class Tree:
         return out
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1: first by their largest component, so that scaled copies become equal and squares stay finite."""
-    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return np.ascontiguousarray(v / np.sqrt((v * v).sum(axis=1, keepdims=True)) + 0.0)
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: exact, so a cosine stays what it was, and squares stay finite."""
+    return np.ascontiguousarray(np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]) + 0.0)
 
 
-def _cosine(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The cosine of each pair of unit rows, to DIGITS; unlike a matrix product's it does not depend on the other pairs."""
-    parts = [(a[i[at : at + PAIRS]] * b[j[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)]
-    return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
+def _sum(products: np.ndarray) -> np.ndarray:
+    """Sums of the columns, one row after the other: the same for a pair whatever stands beside it."""
+    total = np.zeros(products.shape[1])
+    for row in products:
+        total += row
+    return total
+
+
+def _norm(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(_sum((vectors * vectors).T))
+
+
+def _cosine(a: np.ndarray, a_norm: np.ndarray, i: np.ndarray, b: np.ndarray, b_norm: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosine of each pair of rows."""
+    parts = []
+    for at in range(0, len(i), PAIRS):
+        k, m = i[at : at + PAIRS], j[at : at + PAIRS]
+        parts.append(_sum((a[k] * b[m]).T) / a_norm[k] / b_norm[m])
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def _first(at: np.ndarray, names: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -183,7 +201,8 @@ def _walk(uri: str, files, k: int, factor: float) -> Callable:
         from pyarrow import fs
 
         names, asked = group["query_id"].to_numpy(), np.stack(group["q"].to_numpy()).astype(np.float64)
-        unit, n = _unit(asked), len(group)
+        scaled, n = _scaled(asked), len(group)
+        norm = _norm(scaled)
         ids, scores, floor = np.full((n, k), -1), np.full((n, k), -np.inf), np.full(n, -np.inf)
         held = np.zeros((n, k), bool)
         store, root = fs.FileSystem.from_uri(uri)
@@ -194,7 +213,7 @@ def _walk(uri: str, files, k: int, factor: float) -> Callable:
             found = tree.search(asked, np.where(own[at] == names, at, -1), k, factor, floor)
             row, slot = np.nonzero(found >= 0)
             col = found[row, slot]
-            new = _cosine(unit, row, tree.unit, tree.of[col])
+            new = _cosine(scaled, norm, row, tree.scaled, tree.norm, tree.of[col])
             old, place = np.nonzero(held)
             at, name, score, rank = _first(np.concatenate([old, row]), np.concatenate([ids[old, place], own[col]]), np.concatenate([scores[old, place], new]), k)
             ids[at, rank], scores[at, rank], held[at, rank] = name, score, True
@@ -215,7 +234,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that is_query (over vec_id) marks."""
-    spark, rows = vectors.sparkSession, usable(vectors)
+    spark, rows = vectors.sparkSession, materialise(usable(vectors), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     shards, parts = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_queries))
     uri = fresh_path(spark, "trees")
@@ -245,6 +264,6 @@ ORACLE = f"""
 with good as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 once as (select vec_id, min(v) as v from good group by 1),
-scored as (select q.vec_id as query_id, c.vec_id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), {DIGITS}) as score
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)) as score
   from once q join once c on len(c.v) = len(q.v) and c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
 select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= {K}"""
