@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import bounded, fresh_path, materialise, table
+from assetgraph.llm.jobs import bounded, fresh_path, table, written
 from assetgraph.llm.textvec import LOWER
 
 LEAST, LONGEST, FIRST = 10, 3, 2000
@@ -188,21 +188,6 @@ def _triples(uri: str) -> Callable:
     return run
 
 
-#: Spark's switch that frees the files of a query's shuffles at its end.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The written table; the shuffles that made it, the largest thing on disk here, are freed."""
-    conf = df.sparkSession.conf
-    before = conf.get(_FREE)
-    conf.set(_FREE, "true")
-    try:
-        return materialise(df.select("*"), name)
-    finally:
-        conf.set(_FREE, before)
-
-
 def _by_portion(known: DataFrame, fn: Callable, schema: str) -> DataFrame:
     portions = known.agg(F.approx_count_distinct("portion")).first()[0]
     return known.repartition(min(20_000, max(1, portions // PORTIONS_A_TASK)), "portion").groupBy("portion").applyInArrow(fn, schema)
@@ -232,15 +217,15 @@ def phrases(docs: DataFrame, least: int = LEAST, portion_bytes: int = PORTION_BY
     uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
     words = _summed(rows.mapInArrow(_words(uri, portion_bytes), "portion long, lang string, word string, code int, n long"), "lang", "word")
     words = words.where(F.col("word").isNull() | (F.col("total") >= least)).withColumn("word", F.when(F.col("first"), F.col("word")))
-    words = _written(words.select("portion", "lang", "word", "code", "w", "total", "first"), "words")
+    words = written(words.select("portion", "lang", "word", "code", "w", "total", "first"), "words")
     sizes = words.where("first and code < 0").select("lang", F.col("total").alias("n"))
     pairs = _by_portion(words.where("code >= 0").select("portion", "code", "w"), _pairs(uri), "portion long, w1 long, w2 long, n long")
-    pairs = _written(_summed(pairs, "w1", "w2").where(F.col("total") >= least).select("portion", "w1", "w2", "total", "first"), "pairs")
+    pairs = written(_summed(pairs, "w1", "w2").where(F.col("total") >= least).select("portion", "w1", "w2", "total", "first"), "pairs")
     triples = _by_portion(pairs.select("portion", "w1", "w2"), _triples(uri), "w1 long, w2 long, w3 long, n long")
-    triples = _written(triples.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
+    triples = written(triples.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
     known = words.where("first and code >= 0")
     one, two = (known.select(*(["lang"] if k == 1 else []), F.col("word").alias(f"word{k}"), F.col("w").alias(f"w{k}"), F.col("total").alias(f"f{k}")) for k in (1, 2))
-    named = _written(pairs.where("first").select("w1", "w2", F.col("total").alias("a")).join(one, "w1").join(two, "w2"), "named-pairs")
+    named = written(pairs.where("first").select("w1", "w2", F.col("total").alias("a")).join(one, "w1").join(two, "w2"), "named-pairs")
     of_two = named.select("lang", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("f1", "f2").alias("score"), "w1", "w2")
     front = named.withColumnRenamed("a", "front")
     back = named.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("word2").alias("word3"), F.col("f2").alias("f3"), F.col("a").alias("back"))

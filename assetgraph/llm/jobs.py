@@ -39,6 +39,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's switch that frees the files of a query's shuffles at its end.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The written table; the shuffles that made it, are freed."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE)
+    conf.set(_FREE, "true")
+    try:
+        return materialise(df.select("*"), name)
+    finally:
+        conf.set(_FREE, before)
+
+
 #: Keys that hold more than this share of all rows (so at most so many) are joined by broadcast; from this number of rows on.
 HOT_SHARE, HOT_LEAST = 1000, 10_000
 

@@ -70,6 +70,14 @@ def _stops(w: Words) -> np.ndarray:
     return _STOP[last] | (two == _ARABIC) | np.isin(byte(3) << 16 | two, _WIDE)
 
 
+def run_hash(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of words."""
+    n = len(w.hashes)
+    p, inv = powers(n + 1)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hashes) * p[:n])])
+    return mix((total[last] - total[first]) * inv[first] + _U(_P) * (last - first).astype(_U))
+
+
 def units(w: Words, sentences: bool) -> Units:
     """Lines, or sentences within lines: a unit ends with its line, and for sentences after a word that ends in a stop. Long sentences are cut."""
     n = len(w.starts)
@@ -89,9 +97,7 @@ def units(w: Words, sentences: bool) -> Units:
         final |= (np.repeat(size, size) > LONG) & ((mix(w.hashes + before * _U(_P)) & _U(7)) == 0)
     last = np.flatnonzero(final) + 1
     first = np.concatenate([[0], last[:-1]])
-    p, inv = powers(n + 1)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hashes) * p[:n])])
-    return Units(first, last, mix((total[last] - total[first]) * inv[first] + _U(_P) * (last - first).astype(_U)), np.searchsorted(first, w.of), (np.cumsum(broken) - broken)[first])
+    return Units(first, last, run_hash(w, first, last), np.searchsorted(first, w.of), (np.cumsum(broken) - broken)[first])
 
 
 def code_points(w: Words) -> np.ndarray:

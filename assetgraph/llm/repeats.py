@@ -1,18 +1,20 @@
-"""Substring dedup by line hashing, with the sentences inside lines as a finer unit.
+"""Substring dedup by line hashing, and by passages inside lines.
 
-Units are lines, or the sentences of lines, normalised to lower-case words without outer punctuation and named by a 64-bit
-digest. Digests are grouped over the whole corpus; the occurrence with the smallest (doc_id, text, unit) stays, the others are
-repeats. Neighbouring repeats of a document join to a span, with its offsets in the original text. A repeat of whole lines is
-removed however short it is, and so is a run of at least `min_words` words that begins or ends inside a line. Shorter runs inside a
-line, which agree by chance, are returned but marked as left alone. Sentences of more than 16 words are cut at words that depend on
-the words alone, so that a passage without a stop is found inside different lines, but for a few words at its ends.
+Units are named by a 64-bit digest of their words in lower case without outer punctuation, and there are two kinds of them. A line is a unit however
+short it is. A passage is the shortest run of whole sentences that begins at a sentence and has at least `min_words` words; it may end
+in another line, as shared text also begins and ends inside lines. Digests are grouped over the whole corpus; of equal units the occurrence with
+the smallest (doc_id, text, place) stays and the others are removed, so whatever is removed stands, as a line or as a passage, earlier in the ranked corpus, and a line
+that occurs once goes only as far as passages of it occur elsewhere. Where a repeat overlaps the occurrence that stays, only what lies beyond it is removed.
+Removed units of a document that touch are one span, with its offsets in the original text. Sentences of more than 16 words are cut at
+words that depend on the words alone, so that a passage without a stop is found inside different lines, but for a few words at its ends.
 
 A digest's occurrences are never gathered: one aggregation finds the first and the count, one join marks the rest. Digests
 that hold more than a thousandth of all units (so at most a thousand) are joined by broadcast, the others by shuffle.
 
 Defined results: null and empty texts have no units. A null doc_id has no rank and takes no part. Rows that repeat a doc_id
 and its text are one document; their equal units are the same occurrence. Different texts of one doc_id are told apart by
-text_digest, which orders them too. Offsets are code points, ends exclusive.
+text_digest, which orders them too. Very long texts are units of a block of their own. An empty table gives no rows; columns beside doc_id and text
+are not looked at. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -25,79 +27,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import bounded, doc_texts, map_blocks, materialise
-from assetgraph.llm.plainwords import code_points, plain_words, units
+from assetgraph.llm.jobs import bounded, doc_texts, joined_by, map_blocks, materialise, written
+from assetgraph.llm.plainwords import code_points, plain_words, run_hash, units
+from assetgraph.llm.textvec import mix
 
-#: Words from which a run inside lines is a passage and no chance.
+#: Words from which a run of sentences is a passage and no chance.
 MIN_WORDS = 20
-HOT_SHARE, HOT_LEAST = 1000, 10_000
+_PASSAGE = np.uint64(0x5A17)
 
 
-def _units(sentences: bool):
+def _units(passages: bool, min_words: int):
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         w = plain_words(block.column("text"))
-        u = units(w, sentences)
-        text = np.repeat(np.arange(len(u.of) - 1), np.diff(u.of))
+        lines = units(w, False)
+        first, last, digest = lines.first, lines.last, lines.hashes
+        if passages and len(w.starts):
+            s = units(w, True)
+            whole = np.searchsorted(s.last, s.first + min_words)  # the sentence that completes the passage
+            of = np.searchsorted(w.of, s.first, "right")
+            within = whole < len(s.last)
+            within[within] = s.last[whole[within]] <= w.of[of[within]]
+            begin, end = s.first[within], s.last[whole[within]]
+            first, last = np.concatenate([first, begin]), np.concatenate([last, end])
+            digest = np.concatenate([digest, mix(run_hash(w, begin, end) ^ _PASSAGE)])
+        text = np.searchsorted(w.of, first, "right") - 1
         at = code_points(w)
         base = at[w.offsets[:-1]][text]
-        start = at[w.starts[u.first]] - base if len(u.first) else np.zeros(0, np.int64)
-        end = at[w.ends[u.last - 1]] - base if len(u.first) else np.zeros(0, np.int64)
-        nth = np.arange(len(text)) - u.of[:-1][text]
-        opens = np.searchsorted(u.line, u.line, "left")
-        line_unit, line_units = nth - (np.arange(len(nth)) - opens), np.searchsorted(u.line, u.line, "right") - opens
+        start = at[w.starts[first]] - base if len(first) else np.zeros(0, np.int64)
+        end = at[w.ends[last - 1]] - base if len(first) else np.zeros(0, np.int64)
+        own = w.of[text]
         return pa.RecordBatch.from_arrays(
-            [pa.array(u.hashes.view(np.int64)), *(block.column(c).take(pa.array(text)) for c in ("doc_id", "text_digest")), *(pa.array(x.astype(np.int32)) for x in (nth, start, end, u.last - u.first, line_unit, line_units))],
-            ["digest", "doc_id", "text_digest", "unit", "start", "end", "n_words", "line_unit", "line_units"],
+            [pa.array(digest.view(np.int64)), *(block.column(c).take(pa.array(text)) for c in ("doc_id", "text_digest")), *(pa.array(x.astype(np.int32)) for x in (first - own, last - own, start, end))],
+            ["digest", "doc_id", "text_digest", "first", "last", "start", "end"],
         )
 
     return run
 
 
-def occurrences(docs: DataFrame, sentences: bool = True) -> DataFrame:
-    """digest, doc_id, text_digest, unit, start, end, n_words of every unit of every ranked document, with the first unit of its line and their number."""
+def occurrences(docs: DataFrame, passages: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+    """digest, doc_id, text_digest, first and last (words, exclusive), start, end of every line and passage of every ranked document."""
     texts = doc_texts(docs).where("doc_id is not null").withColumn("text_digest", F.xxhash64("text"))
-    return map_blocks(texts, "text", _units(sentences), "digest long, doc_id long, text_digest long, unit int, start int, end int, n_words int, line_unit int, line_units int")
+    return map_blocks(texts, "text", _units(passages, min_words), "digest long, doc_id long, text_digest long, first int, last int, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """The spans of `all_repeats` that are to be removed."""
-    return all_repeats(docs, sentences, min_words).where("removed").drop("removed")
-
+def repeated_units(docs: DataFrame, passages: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_digest, first, last, start, end, kept_doc_id: what each later occurrence of a unit has beyond the one that stays."""
+    found = materialise(occurrences(docs, passages, min_words), "units")
+    place = ("doc_id", "text_digest", "first", "last", "end")
+    groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("keep")).where("n > 1")
+    groups = written(groups.select("digest", "n", *(F.col(f"keep.{c}").alias(f"kept_{c}") for c in place)), "repeated")
+    marked = joined_by(found, groups, "digest", "n")
+    same = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("text_digest") == F.col("kept_text_digest"))
+    beyond = lambda c, kept: F.when(same, F.greatest(c, kept)).otherwise(F.col(c)).alias(c)
+    rest = marked.select("doc_id", "text_digest", beyond("first", "kept_last"), "last", beyond("start", "kept_end"), "end", "kept_doc_id").where("first < last")
+    return rest.groupBy("doc_id", "text_digest", "first", "last").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"))
 
-def all_repeats(docs: DataFrame, sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id, removed: every repeat, where its first unit stays, whether to remove it.
 
-    A run below min_words comes as its whole lines (removed) and what it has of other lines (left). Columns of docs beside
-    doc_id and text are not looked at.
-    """
-    found = materialise(occurrences(docs, sentences), "units")
-    place = ("doc_id", "text_digest", "unit")
-    groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("keep")).where("n > 1")
-    groups = materialise(groups.select("digest", "n", *(F.col(f"keep.{c}").alias(f"kept_{c}") for c in place)), "repeated")
-    hot_from = max(HOT_LEAST, found.count() // HOT_SHARE)
-    hot = F.broadcast(groups.where(F.col("n") > hot_from))  # at most HOT_SHARE rows: their counts add up to no more than all
-    cold = groups.where(F.col("n") <= hot_from)
-    marked = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
-    kept = F.lit(True)
-    for c in place:
-        kept &= F.col(c) == F.col(f"kept_{c}")
-    marked = marked.where(~kept).select(*place, "start", "end", "n_words", "line_unit", "line_units", "kept_doc_id")
-    # repeated rows repeat their units: one of each is numbered
-    order = Window.partitionBy("doc_id", "text_digest").orderBy("unit")
-    runs = marked.withColumn("run", F.col("unit") - F.dense_rank().over(order)).withColumn("before", F.lag("unit").over(order)).where("before is null or before <> unit")
-    run = ("doc_id", "text_digest", "run")
-    words, here = F.sum("n_words").over(Window.partitionBy(*run)), F.count("*").over(Window.partitionBy(*run, "line_unit"))
-    part = F.when(F.col("words") >= min_words, -2).when(F.col("here") == F.col("line_units"), -1).otherwise(F.col("line_unit"))
-    spans = runs.withColumn("words", words).withColumn("here", here).withColumn("part", part).groupBy(*run, "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"), F.min_by("kept_doc_id", "unit").alias("kept_doc_id")
-    )
-    return spans.withColumn("removed", F.col("part") < 0).drop("run", "part")
+def repeated_spans(docs: DataFrame, passages: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_digest, start, end, n_units, n_words, kept_doc_id: the spans to be removed, and where the first unit of each stays."""
+    order = Window.partitionBy("doc_id", "text_digest").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = repeated_units(docs, passages, min_words).withColumn("opens", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
+    runs = opens.withColumn("run", F.sum("opens").over(order))
+    return runs.groupBy("doc_id", "text_digest", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), (F.max("last") - F.min("first")).alias("n_words"), F.min_by("kept_doc_id", F.struct("first", "last")).alias("kept_doc_id")
+    ).drop("run")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the spans, or those marked as removed. The spans of one text travel together; documents without spans stay as they are."""
+    """docs without the spans. The spans of one text travel together; documents without spans stay as they are."""
     doc, digest, cuts = (f"_{x}_{uuid.uuid4().hex}" for x in ("doc", "text", "spans"))  # clash with no column of docs
-    own = (spans.where("removed") if "removed" in spans.columns else spans).groupBy(F.col("doc_id").alias(doc), F.col("text_digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    own = spans.groupBy(F.col("doc_id").alias(doc), F.col("text_digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
     names = docs.columns
     joined = docs.join(own, (docs["doc_id"] == own[doc]) & (F.xxhash64(docs[text]) == own[digest]), "left").select(*(docs[c] for c in names), cuts)
 
