@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.operators.extract import route_file
 from assetgraph.scratch import fresh_path
-from assetgraph.streaming import feeds
+from assetgraph.streaming import feeds, state
 
 SINCE, LIMIT, WIDTH = 100, 50, "1 hour"
+IN_FLIGHT_MS = 2 * 86_400_000
 
 
 def q_events_since(spark, sf):
@@ -41,9 +42,15 @@ def q_stream_catalog(spark, sf):
         F.col("o_custkey").alias("asset_key"), F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("keywords"),
     )
-    sink = feeds.CatalogSink(fresh_path(spark, "catalog"), "asset_key", "seq")
-    feeds.run_available(log, sink)
-    return sink.state(spark, log.schema)
+    catalog = state.StreamedCatalog(fresh_path(spark, "catalog"), "asset_key", "seq")
+    catalog.start(log).awaitTermination()
+    return catalog.state(spark, log.schema)
+
+
+def q_in_flight_requests(spark, sf):
+    """Requests for a user that are admitted because none is in flight: it ends with an error or a purchase, or after two days."""
+    feed = _stream(spark, sf, "events").select("user_id", "event_id", "ts", F.col("event_type").isin("error", "purchase").alias("is_end"))
+    return state.collect_stream(state.in_flight_requests(feed, "user_id", "event_id", "ts", "is_end", IN_FLIGHT_MS, "40 days"))
 
 
 def q_stream_leaf_pipeline(spark, sf):
@@ -81,6 +88,13 @@ ORACLE = {
     "q_stream_status_windows": f"{_WINDOWS} having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) from events) - interval 10 minute",
     "q_stream_catalog": """select o_custkey as asset_key, arg_max(o_orderstatus, o_orderkey) filter (where o_orderkey % 3 <> 0) as status, arg_max(o_orderpriority, o_orderkey) filter (where o_orderkey % 2 = 0) as keywords
  from orders group by 1 having count(*) filter (where o_orderkey % 3 <> 0 or o_orderkey % 2 = 0) > 0""",
+    # islands of requests between ends; within an island the next request at the time-out or later opens a new one
+    "q_in_flight_requests": f"""with recursive e as (select cast(user_id as varchar) as focus, event_id as seq, epoch_us(ts) // 1000 as ms, event_type in ('error', 'purchase') as is_end from events),
+ i as (select *, sum(is_end::int) over (partition by focus order by seq) as island from e),
+ r as (select focus, island, seq, ms, row_number() over (partition by focus, island order by seq) as n from i where not is_end),
+ o as (select focus, island, seq, ms, n from r where n = 1 union all
+   select o.focus, o.island, x.seq, x.ms, x.n from o, lateral (select seq, ms, n from r where r.focus = o.focus and r.island = o.island and r.n > o.n and r.ms >= o.ms + {IN_FLIGHT_MS} order by r.n limit 1) x)
+ select focus, seq, ms from o""",
     "q_stream_directories": """with a as (select '/docs/' || lang as up, '/docs/' || lang || '/' || source as path, case when n_chars > 12000 then 'FAILED' when doc_id % 7 = 4 then 'SKIPPED' else 'SUCCESS' end as status from documents),
  d as (select up, path, bool_or(status <> 'SKIPPED') and bool_and(status in ('SKIPPED', 'SUCCESS')) as ready from a group by 1, 2), l as (select up as path, bool_and(ready) as ready from d group by 1)
  select path, case when ready then 'SUCCESS' else 'PENDING' end as status from (select path, ready from d union all select * from l union all select unnest(['/docs', '/']), (select bool_and(ready) from l))""",

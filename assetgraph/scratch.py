@@ -49,3 +49,14 @@ def drop_versions(spark: SparkSession, path: str, below: int) -> None:
         if n < below:
             at, fs = _at(spark, f"{path}/v{n}")
             fs.delete(at, True)
+
+
+def complete_folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """The folders `depth` levels below path whose writing job has been committed, by name."""
+    at, fs = _at(spark, path + "/*" * depth)
+    return sorted(f.getPath().toString() for f in fs.globStatus(at) or [] if f.isDirectory() and fs.exists(_at(spark, f"{f.getPath().toString()}/_SUCCESS")[0]))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, True)

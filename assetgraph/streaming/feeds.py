@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.functions.paths import normalize_path, parent_path, path_chain
-from assetgraph.operators.catalog import current_state
 from assetgraph.operators.extract import roll_up
 from assetgraph.operators.sinks import merge_table, read_table
-from assetgraph.scratch import drop_versions, fresh_path, saved, versions
+from assetgraph.scratch import fresh_path, saved
+from assetgraph.streaming.state import batch_folder
 
 LEVELS = ("INFO", "WARN", "ERROR", "SUCCESS", "RUNNING")
 MOST = 120
@@ -63,48 +63,15 @@ def collected(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-class CatalogSink:
-    """Continuous catalog state: every micro-batch is merged, by key, into the table of states at `path`.
-
-    A batch writes the version of its number from the newest complete one before it, which is looked for on disk, so a stream that starts
-    anew on its checkpoint goes on where it stopped. A version that is complete is not written again: a batch that is tried again
-    has no further effect. The one before the last is deleted.
-    """
-
-    def __init__(self, path: str, key: str, seq: str):
-        self.path, self.key, self.seq = path, key, seq
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        found = versions(spark, self.path)
-        if batch_id in found:
-            return
-        values = [c for c in batch.columns if c not in (self.key, self.seq)]
-        fresh = batch.select(self.key, self.seq, *values)
-        if before := [n for n in found if n < batch_id]:
-            fresh = spark.read.schema(fresh.schema).parquet(f"{self.path}/v{before[-1]}").unionByName(fresh)
-        # one log row per value that is set, so that an older batch row never hides a newer one
-        last = [F.max(F.when(F.col(v).isNotNull(), F.struct(self.seq, v))).alias(v) for v in values]
-        latest = fresh.groupBy(self.key).agg(*last)
-        rows = F.inline(F.array(*(F.struct(F.col(f"{v}.{self.seq}").alias(self.seq), *(F.when(F.lit(v == w), F.col(f"{w}.{w}")).alias(w) for w in values)) for v in values)))
-        latest.select(self.key, rows).where(F.col(self.seq).isNotNull()).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        drop_versions(spark, self.path, before[-1] if before else 0)
-
-    def state(self, spark, schema) -> DataFrame:
-        found = versions(spark, self.path)
-        log = spark.read.schema(schema).parquet(f"{self.path}/v{found[-1]}") if found else spark.createDataFrame([], schema)
-        return current_state(log, self.key, self.seq)
-
-
 class LeafPipeline:
-    """A recurring extraction: each micro-batch of waiting assets is extracted as a whole and its rows appended to the log at `path`."""
+    """A recurring extraction: each micro-batch of waiting assets is extracted as a whole and its rows appended to the log at `path`, in a folder of the stream and the batch."""
 
     def __init__(self, path: str, extract: Callable[[DataFrame], DataFrame]):
         self.path, self.extract = path, extract
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         waiting = batch.where("status in ('PENDING', 'FAILED') and is_valid")
-        self.extract(waiting).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.extract(waiting).write.mode("overwrite").parquet(batch_folder(self.path, batch, batch_id))
 
 
 class DirectoryPipeline:
