@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.functions.names import sanitize_column
-from assetgraph.sources import delimited, documents, export, external, files
+from assetgraph.sources import delimited, documents, export, external, files, quoted
 
 CHUNK, CAP = 1024, 1 << 20
 PREFIX = "data.extern.mysql10_0_0_1_3306"
@@ -16,6 +16,16 @@ def q_csv_ingest(spark, sf):
     return delimited.parse(fixture(spark, sf, "fx_csv_lines"))
 
 
+def q_csv_quoted(spark, sf):
+    """A file for each language with its documents' whole texts in quotes, line breaks and all, cut into lines and read back."""
+    quoted_ = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = table(spark, sf, "documents").select("lang", "doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), quoted_(F.coalesce("text", F.lit("")))).alias("record"))
+    lines = docs.select("lang", "doc_id", F.posexplode(F.split("record", "\n"))).select("lang", (F.col("doc_id") * (1 << 20) + F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    heads = docs.select("lang").distinct().select("lang", F.lit(0).cast("long").alias("line_no"), F.lit("doc id,text").alias("line"))
+    cells = quoted.parse_quoted(quoted.record_starts(lines.unionByName(heads), "lang"))
+    return cells.select("file", "key", "pos", "name", F.length("value").alias("n_chars"), F.md5("value").alias("digest"))
+
+
 def q_detect_delimiter(spark, sf):
     return delimited.headers(fixture(spark, sf, "fx_csv_lines"))
 
@@ -160,6 +170,8 @@ ORACLE = {
         f"""with {_HEADERS}, rows as (select k.file_no, row_number() over (partition by k.file_no order by line_no) - 2 as key, string_split(header, delimiter) as names, string_split(l, delimiter) as cs from kept k join delims d on k.file_no = d.file_no),
  flat as (select file_no, key, names, cs, unnest(range(0, len(names))) as pos from rows where key >= 0)
  select file_no, key, cast(pos as int) as pos, {_san("names[pos + 1]")} as name, coalesce(cs[pos + 1], '') as value from flat""", "fx_csv_lines"),
+    "q_csv_quoted": """with r as (select lang, row_number() over (partition by lang order by doc_id) - 1 as key, cast(doc_id as varchar) as d, coalesce(text, '') as t from documents)
+ select lang as file, key, 0 as pos, 'doc_id' as name, length(d) as n_chars, md5(d) as digest from r union all select lang, key, 1, 'text', length(t), md5(t) from r""",
     "q_detect_delimiter": oracle(f"with {_HEADERS} select file_no, header, delimiter from delims", "fx_csv_lines"),
     "q_sanitize_columns": oracle(f"""select path, {_san("regexp_replace(path, '^data\\.extern\\.[a-z]+', '')")} as name from fx_columns""", "fx_columns"),
     "q_timeseries_ingest": oracle(
