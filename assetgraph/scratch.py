@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,21 +36,44 @@ def _at(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions v<n> of a table below path, ascending. A version is complete once its job has been committed."""
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
     at, fs = _at(spark, path)
-    if not fs.exists(at):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_at(spark, f"{path}/{n}/_SUCCESS")[0]))
-
-
-def drop_versions(spark: SparkSession, path: str, below: int) -> None:
-    """Deletes the versions of a table before a number."""
-    for n in versions(spark, path):
-        if n < below:
-            at, fs = _at(spark, f"{path}/v{n}")
-            fs.delete(at, True)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    at, fs = _at(spark, path)
+    source = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file was written."""
+    at, fs = _at(spark, path)
+    return time.time() - fs.getFileStatus(at).getModificationTime() / 1000
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text file, unless there is one."""
+    at, fs = _at(spark, path)
+    if fs.exists(at):
+        return False
+    try:
+        out = fs.create(at, False)  # fails if another writer has made it meanwhile
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
 
 
 def complete_folders(spark: SparkSession, path: str, depth: int) -> list[str]:

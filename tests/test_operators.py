@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assetgraph.functions import names, paths, text
+from assetgraph import scratch
+from assetgraph.functions import names as name_functions
+from assetgraph.functions import paths, text
 from assetgraph.operators import catalog, drawings, extract, graph, sinks, sizes
-from assetgraph.scratch import fresh_path, saved, versions
+from assetgraph.scratch import fresh_path, names, saved
 from assetgraph.sources import delimited, documents, export, external, files
 
 
@@ -127,15 +129,15 @@ def test_text_functions(spark):
     assert one(spark, text.parse_keywords(F.col("c")), c="[broken, x") == ["[broken", "x"]
     assert one(spark, text.bounded_summary(F.col("c"), 20), c="One two. Three four five six.") == "One two. Three four…"
     assert one(spark, text.bounded_summary(F.col("c"), 20), c="One two three. Four five six.") == "One two three."
-    assert one(spark, names.entity_norm(F.col("c")), c="Ab é-9龥") == "ab9龥"
+    assert one(spark, name_functions.entity_norm(F.col("c")), c="Ab é-9龥") == "ab9龥"
     fields = {"t.(key_2)": "key", "(t.key_2)": "key", "key_7": "key_7", "f(a)b": "fab", " (a.b c) ": "bc"}
-    assert {c: one(spark, names.normalize_field(F.col("c")), c=c) for c in fields} == fields
+    assert {c: one(spark, name_functions.normalize_field(F.col("c")), c=c) for c in fields} == fields
 
 
 def test_headers_never_collide(spark):
     heads = ["a", "a_2", "a", "", "a", "column_3", "a_2", "b"]
     df = spark.createDataFrame([(0, i, h) for i, h in enumerate(heads)], "g int, i int, h string")
-    out = [r.header for r in names.dedup_headers(df, "g", "i", "h", saved).orderBy("i").collect()]
+    out = [r.header for r in name_functions.dedup_headers(df, "g", "i", "h", saved).orderBy("i").collect()]
     assert out == ["a", "a_2", "a_3", "column_3", "a_4", "column_3_2", "a_2_2", "b"]
 
 
@@ -177,12 +179,48 @@ def test_pieces_of_a_unit():
     assert [n for _, n in extract._pieces("aaaaa\nbbb" + "c" * 11, 5)] == [6, 14] and [n for _, n in extract._pieces("a\n" + "b" * 18, 5)] == [10, 10]
 
 
-def test_merged_tables_keep_their_old_version_until_the_new_one_is_there(spark):
-    path = fresh_path(spark, "merged")
-    assert sinks.read_table(spark, path, "k int, v string").count() == 0
-    for n in range(4):
-        sinks.merge_table(path, spark.createDataFrame([(n, "new"), (0, str(n))], "k int, v string").dropDuplicates(["k"]) if n else spark.createDataFrame([(0, "0")], "k int, v string"), ["k"])
-    assert {r.k for r in sinks.read_table(spark, path, "k int, v string").collect()} == {0, 1, 2, 3} and versions(spark, path) == [2, 3]
+def test_a_merge_rewrites_the_buckets_it_touches(spark):
+    path, schema = fresh_path(spark, "merged"), "k int, v string"
+    read = lambda version=None: {r.k: r.v for r in sinks.read_table(spark, path, schema, version).collect()}
+    assert read() == {} and sinks.manifest(spark, path) is None
+    assert sinks.merge_table(path, spark.createDataFrame([(k, "0") for k in range(100)] + [(None, "null")], schema), ["k"], buckets=8) == 1
+    first = sinks.manifest(spark, path)
+    old = sinks.read_table(spark, path, schema)
+    assert sinks.merge_table(path, spark.createDataFrame([(7, "a"), (7, "b"), (7, "B")], schema), ["k"], order="v") == 2
+    second = sinks.manifest(spark, path)
+    changed = [b for b in second["folders"] if second["folders"][b] != first["folders"][b]]
+    assert len(changed) == 1 and len(first["folders"]) == 8 and second["n_buckets"] == 8
+    assert read() == {k: "0" for k in range(100)} | {7: "b", None: "null"}
+    assert {r.k: r.v for r in old.collect()}[7] == "0" and read(1)[7] == "0"  # a reader that has begun goes on
+    sinks.merge_table(path, spark.createDataFrame([(7, "c"), (None, "new")], schema), ["k"])
+    assert read() == {k: "0" for k in range(100)} | {7: "c", None: "new"}
+    assert names(spark, f"{path}/manifests") == ["2.json", "3.json"]
+    third = sinks.manifest(spark, path)
+    untouched = [b for b in third["folders"] if third["folders"][b] == first["folders"][b]]
+    assert len(untouched) == 8 - len({*changed} | {b for b in third["folders"] if third["folders"][b] != second["folders"][b]}) >= 6
+    assert sinks.merge_table(path, spark.createDataFrame([], schema), ["k"]) == 4 and read()[7] == "c"
+    with pytest.raises(ValueError):
+        sinks.merge_table(path, spark.createDataFrame([], schema), ["v"])
+
+
+def test_of_two_writers_of_one_version_the_second_is_told(spark, monkeypatch):
+    path, schema = fresh_path(spark, "merged"), "k int, v string"
+    sinks.merge_table(path, spark.createDataFrame([(1, "first")], schema), ["k"])
+    now = sinks.manifest(spark, path)
+    sinks.merge_table(path, spark.createDataFrame([(1, "other")], schema), ["k"])
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "manifest", lambda *a: now)  # a writer that began before the other one ended
+        with pytest.raises(sinks.ConcurrentMerge):
+            sinks.merge_table(path, spark.createDataFrame([(1, "lost"), (2, "lost")], schema), ["k"])
+    assert [tuple(r) for r in sinks.read_table(spark, path, schema).collect()] == [(1, "other")]
+    sinks.merge_table(path, spark.createDataFrame([(2, "again")], schema), ["k"])
+    assert sorted(tuple(r) for r in sinks.read_table(spark, path, schema).collect()) == [(1, "other"), (2, "again")]
+    scratch.write_new(spark, f"{path}/manifests/9.json", '{"vers')  # half a manifest
+    assert sinks.read_table(spark, path, schema).count() == 2
+    with pytest.raises(sinks.ConcurrentMerge):
+        sinks.merge_table(path, spark.createDataFrame([(3, "x")], schema), ["k"])
+    monkeypatch.setattr(sinks, "STALE", -1)
+    assert sinks.merge_table(path, spark.createDataFrame([(3, "x")], schema), ["k"]) == 4
 
 
 def test_table_json_in_parts(spark):
