@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.functions.text import confidence, dedup_strings
+from assetgraph.scratch import saved
 from assetgraph.sources.delimited import ordinals
 
 HOPS = 6  # doublings: chains of up to 2^6 hops
@@ -58,12 +59,21 @@ def summaries(analyses: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     return own.join(counted, key, "left").fillna(0, ["issue_count"])
 
 
-def stable_ids(items: DataFrame, group: str, order: str, given: str, prefix: str) -> DataFrame:
-    """items with `id`: the given one, or prefix and place where it is missing; repeats get -2, -3 and so on."""
+def stable_ids(items: DataFrame, group: str, order: str, given: str, prefix: str, save: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
+    """items with `id`: the given one, or prefix and place where it is missing; an id that an earlier item of the group has gets -2, -3 and so on.
+
+    A suffixed id that an earlier item has as its own moves on to the next one, in rounds, until all ids of a group differ.
+    """
     placed = ordinals(items.withColumn("_grp", F.col(group)), "_grp", order, "_at").drop("_grp")
     named = placed.withColumn("_id", F.coalesce(F.nullif(F.trim(given), F.lit("")), F.concat(F.lit(prefix + "-"), F.col("_at") + 1)))
-    nth = ordinals(named.withColumn("_key", F.concat_ws("\u0001", group, "_id")), "_key", order, "_nth")
-    return nth.withColumn("id", F.when(F.col("_nth") == 0, F.col("_id")).otherwise(F.concat_ws("-", "_id", F.col("_nth") + 1))).drop("_at", "_id", "_key", "_nth")
+    nth = lambda df, c, name: ordinals(df.withColumn("_key", F.concat_ws("\u0001", group, c)), "_key", order, name).drop("_key")
+    rows = save(nth(named, "_id", "_suffix").withColumn("_suffix", F.col("_suffix") + 1))
+    while True:
+        rows = rows.withColumn("id", F.when(F.col("_suffix") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_suffix")))
+        rows = save(nth(rows, "id", "_late"))
+        if rows.where("_late > 0").isEmpty():
+            return rows.drop("_at", "_id", "_suffix", "_late")
+        rows = rows.withColumn("_suffix", F.col("_suffix") + (F.col("_late") > 0).cast("int")).drop("_late", "id")
 
 
 def six(c: Column) -> Column:
@@ -217,20 +227,31 @@ def components(kinds: DataFrame, occurrences: DataFrame, definitions: DataFrame,
 
 
 def owned(dimensions: DataFrame, targets: DataFrame, features: DataFrame, dim: str, ref: str, save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(dim, owner) of the dimensions whose reference leads to a target, and the (dim) of the others.
+    """(dim, owner, feature) of the dimensions whose reference leads to a target, and (dim, feature) of the others. feature: the first name on the way up, null if there is none.
 
     targets: ref, owner (an occurrence by its own id; a definition with a row for each of its occurrences; a feature that is a component). features:
-    ref, parent, for the features that are none: their dimensions go to the first target on the way up. Pointer doubling: 2^HOPS steps at most.
+    ref, parent, name, for all features; dimensions of those that are no targets go to the first target on the way up, however long it is. Pointer doubling: a round doubles
+    how far a feature looks, and those that have come to the end of the way are not joined again. As every way that ends has features at each distance from its end, each
+    round brings some of them there; when one brings none, what is left leads into cycles and to no target.
     """
     known = targets.select(F.col("ref").alias("_t")).distinct()
-    free = features.join(known, F.col("ref") == F.col("_t"), "left_anti").select("ref", F.col("parent").alias("_to"))
-    for _ in range(HOPS):
-        ahead = free.select(F.col("ref").alias("_r"), F.col("_to").alias("_next"))
-        # what is no free feature is the end of the way
-        free = save(free.join(ahead, F.col("_to") == F.col("_r"), "left").select("ref", F.when(F.col("_r").isNotNull(), F.col("_next")).otherwise(F.col("_to")).alias("_to")))
-    asked = dimensions.select(dim, F.col(ref).alias("_ref")).join(free.withColumnRenamed("ref", "_f"), F.col("_ref") == F.col("_f"), "left").select(dim, F.when(F.col("_f").isNotNull(), F.col("_to")).otherwise(F.col("_ref")).alias("_ref"))
-    found = asked.join(targets.select(F.col("ref").alias("_t"), "owner"), F.col("_ref") == F.col("_t")).select(dim, "owner").distinct()
-    return found, asked.join(known, F.col("_ref") == F.col("_t"), "left_anti").select(dim).distinct()
+    name = F.nullif(F.trim("name"), F.lit("")) if "name" in features.columns else F.lit(None).cast("string")
+    all_ = features.select("ref", F.col("parent").alias("_to"), name.alias("_name"))
+    free = all_.join(known, F.col("ref") == F.col("_t"), "left_anti")
+    rows = save(free.join(free.select(F.col("ref").alias("_r")), F.col("_to") == F.col("_r"), "left").select("ref", "_to", "_name", F.col("_r").isNotNull().alias("_open")))
+    left, before = rows.where("_open").count(), None
+    while left and left != before:
+        ahead = rows.select(F.col("ref").alias("_r"), F.col("_to").alias("_next"), F.col("_name").alias("_after"), F.col("_open").alias("_more"))
+        moved = rows.where("_open").join(ahead, F.col("_to") == F.col("_r")).select("ref", F.col("_next").alias("_to"), F.coalesce("_name", "_after").alias("_name"), F.col("_more").alias("_open"))
+        rows = save(rows.where("not _open").unionByName(moved))
+        left, before = rows.where("_open").count(), left
+    ends = rows.select(F.col("ref").alias("_f"), F.when(~F.col("_open"), F.col("_to")).alias("_end"), "_name")
+    asked = dimensions.select(dim, F.col(ref).alias("_ref")).join(ends, F.col("_ref") == F.col("_f"), "left")
+    asked = asked.select(dim, F.when(F.col("_f").isNotNull(), F.col("_end")).otherwise(F.col("_ref")).alias("_ref"), "_name")
+    last = all_.select(F.col("ref").alias("_l"), F.col("_name").alias("_own"))
+    asked = asked.join(last, F.col("_ref") == F.col("_l"), "left").select(dim, "_ref", F.coalesce("_name", "_own").alias("feature"))
+    found = asked.join(targets.select(F.col("ref").alias("_t"), "owner"), F.col("_ref") == F.col("_t")).select(dim, "owner", "feature").distinct()
+    return found, asked.join(known, F.col("_ref") == F.col("_t"), "left_anti").select(dim, "feature").distinct()
 
 
 def replace_rule(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

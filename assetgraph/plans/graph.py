@@ -181,7 +181,7 @@ def q_drawing_normalize(spark, sf):
 
 
 def q_drawing_ids(spark, sf):
-    items = table(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("p"), F.col("p_size") % 5)).alias("given"))
+    items = table(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 7 == 1, F.concat(F.lit("p"), F.col("p_size") % 5, F.lit("-2"))).otherwise(F.concat(F.lit("p"), F.col("p_size") % 5)).alias("given"))
     return d.stable_ids(items, "p_brand", "p_partkey", "given", "occ").select("p_partkey", "id")
 
 
@@ -267,11 +267,11 @@ def q_drawing_components(spark, sf):
 
 
 def q_dimension_owner(spark, sf):
-    """Dimensions of parts, of brands (all their parts) and of features, which climb to a part; null where that leads nowhere."""
-    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    """Dimensions of parts, of brands (all their parts) and of features, which climb to a part; null where that leads nowhere. With the first name on the way."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
     part = F.concat(F.lit("o"), "p_partkey")
     targets = parts.select(part.alias("ref"), part.alias("owner")).unionByName(parts.select(F.col("p_brand").alias("ref"), part.alias("owner")))
-    features = parts.select(F.concat(F.lit("f"), "p_partkey").alias("ref"), F.when(F.col("p_partkey") % 4 == 0, part).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 2))).alias("parent"))
+    features = parts.select(F.concat(F.lit("f"), "p_partkey").alias("ref"), F.when(F.col("p_partkey") % 4 == 0, part).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 2))).alias("parent"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(" ").alias("name"))
     dims = fixture(spark, sf, "fx_dims").join(parts, F.col("target") == F.col("p_partkey"), "left")
     ref = F.when(F.col("kind") == "R", F.concat(F.lit("o"), "target")).when(F.col("kind") == "A", F.when(F.col("dim") % 70 == 1, F.col("p_brand"))).otherwise(F.concat(F.lit("f"), "target"))
     found, lost = d.owned(dims.select("dim", ref.alias("ref")), targets, features, "dim", "ref", saved)
@@ -370,8 +370,11 @@ ORACLE = {
     "q_drawing_normalize": """select p_partkey, case p_partkey % 3 when 0 then 'ENGINEERING_DRAWING' when 1 then 'PHOTO' else 'UNKNOWN' end as document_class, p_partkey % 3 = 0 as engineering, least(1.0, p_size / 40)::double as confidence, 'STEEL' as domain, 'UNKNOWN' as drawing_type, 'x|y' as signals,
  case when p_partkey % 3 <> 0 then 'NONE' when p_partkey % 4 = 0 then 'EBOM' when p_partkey % 4 = 1 then 'NONE' else 'FEATURE_TREE' end as kind, 'NONE' as authority, 'r' as roots, trim(p_name) as summary, least(1.0, p_size / 40)::double as score, case when p_partkey % 3 = 0 then 2 else 0 end as n_features,
  case when p_partkey % 3 = 0 then least(3000, p_size * 100) else 0 end as n_dimensions, case when p_partkey % 3 = 0 then 2 else 0 end as n_notes, 0 as n_evidence from part""",
-    "q_drawing_ids": """with n as (select p_partkey, p_brand, case when p_partkey % 3 = 0 then 'occ-' || row_number() over (partition by p_brand order by p_partkey) else 'p' || (p_size % 5) end as id from part)
- select p_partkey, case when nth = 1 then id else id || '-' || nth end as id from (select *, row_number() over (partition by p_brand, id order by p_partkey) as nth from n)""",
+    # one item after the other of every brand, each with the ids that are taken
+    "q_drawing_ids": """with recursive n as (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as nth, case when p_partkey % 3 = 0 then 'occ-' || row_number() over (partition by p_brand order by p_partkey) when p_partkey % 7 = 1 then 'p' || (p_size % 5) || '-2' else 'p' || (p_size % 5) end as base from part),
+ t as (select p_brand, 0::bigint as nth, 0::bigint as p_partkey, ''::varchar as id, []::varchar[] as used from n group by 1 union all
+  select p_brand, nth, p_partkey, id, list_append(used, id) from (select n.p_brand, n.nth, n.p_partkey, t.used, case when not list_contains(t.used, base) then base else base || '-' || list_min(list_filter(range(2, len(t.used) + 3), lambda k: not list_contains(t.used, base || '-' || k))) end as id from t join n on n.p_brand = t.p_brand and n.nth = t.nth + 1))
+ select p_partkey, id from t where nth > 0""",
     "q_evidence_bbox": """with b as (select vec_id, least(1.0, greatest(0.0, cast(embedding[1] as double) * 4)) as a, least(1.0, greatest(0.0, cast(embedding[2] as double) * 4)) as b, least(1.0, greatest(0.0, cast(embedding[3] as double) * 4)) as c, least(1.0, greatest(0.0, cast(embedding[4] as double) * 4)) as d from embeddings),
  k as (select vec_id, case when c > a and d > b then a end as a, case when c > a and d > b then b end as b, case when c > a and d > b then c end as c, case when c > a and d > b then d end as d from b)
  select vec_id, floor((0.586667::double + a * (1.0::double - 0.586667::double)) * 1000000 + 0.5) / 1000000 as x0, floor((0.0::double + b * 0.58::double) * 1000000 + 0.5) / 1000000 as y0, floor((0.586667::double + c * (1.0::double - 0.586667::double)) * 1000000 + 0.5) / 1000000 as x1, floor((0.0::double + d * 0.58::double) * 1000000 + 0.5) / 1000000 as y1 from k""",
@@ -395,9 +398,11 @@ ORACLE = {
  x as (select doc, id, case when id = root then 'ROOT' when doc % 10 = 0 then 'FEATURE' else 'ITEM' end as role, name, material, case when id = root then null when ok and parent is not null then case when doc % 10 = 0 then 'feature:' else 'occ:' end || parent else root end as attached_to, parent is not null and not ok as hierarchy_issue from c
   union all select doc, 'root', 'ROOT', brand, null, null, false from root where root = 'root')
  select x.*, (select count(*) from x y where y.doc = x.doc and y.attached_to = x.id) as n_children from x""",
-    "q_dimension_owner": _recursive("""with climb as (select 'f' || p_partkey as ref, case when p_partkey % 4 = 0 then 'o' || p_partkey else 'f' || (p_partkey // 2) end as up from part union select c.ref, case when p_partkey % 4 = 0 then 'o' || p_partkey else 'f' || (p_partkey // 2) end from climb c join part on c.up = 'f' || p_partkey),
- ends as (select ref, up from climb where up like 'o%'), targets as (select 'o' || p_partkey as ref, 'o' || p_partkey as owner from part union all select p_brand, 'o' || p_partkey from part union all select ref, up from ends),
- a as (select dim, case kind when 'R' then 'o' || target when 'A' then case when dim % 70 = 1 then p_brand end else 'f' || target end as ref from fx_dims left join part on p_partkey = target) select distinct dim, owner from a left join targets t on t.ref = a.ref""", "fx_dims"),
+    "q_dimension_owner": _recursive("""with f as (select 'f' || p_partkey as ref, case when p_partkey % 4 = 0 then 'o' || p_partkey else 'f' || (p_partkey // 2) end as up, case when p_partkey % 3 = 0 then p_name end as name from part),
+ climb as (select ref, up, name from f union select c.ref, f.up, coalesce(c.name, f.name) from climb c join f on f.ref = c.up), ends as (select * from climb where up not in (select ref from f)),
+ a as (select dim, case kind when 'R' then 'o' || target when 'A' then case when dim % 70 = 1 then p_brand end else 'f' || target end as ref from fx_dims left join part on p_partkey = target),
+ targets as (select 'o' || p_partkey as ref, 'o' || p_partkey as owner from part union all select p_brand, 'o' || p_partkey from part)
+ select distinct dim, t.owner, e.name as feature from a left join ends e on e.ref = a.ref left join targets t on t.ref = coalesce(e.up, a.ref)""", "fx_dims"),
     "q_projection_sync": "select doc_id, case when doc_id % 4 = 0 then true else not (doc_id % 3 > doc_id % 2 or (doc_id % 3 = doc_id % 2 and doc_id % 7 = doc_id % 5)) end as replace from documents",
     "q_bom_budget": oracle("with co as (select occ as id from fx_parts where occ % 10 = 0) select 'component' as kind, id from co union all select 'dimension', id from (select dim as id from fx_dims order by dim limit (select greatest(0, 300 - count(*)) from co)) union all select 'omitted', greatest(0, (select count(*) from fx_dims) - (select greatest(0, 300 - count(*)) from co))", "fx_parts", "fx_dims"),
     "q_bom_related": _recursive("with b as (select cast(2 as bigint) as occ union select p.occ from fx_parts p join b on p.parent = b.occ) select dim, target from fx_dims where target in (select occ from b)", "fx_parts", "fx_dims"),

@@ -80,7 +80,7 @@ def q_xml_documents(spark, sf):
     """Orders with an attribute, a nested part and their lines as repeated children."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("line"))  # seven at most
     orders = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    shape = F.struct(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("info"), "line")
+    shape = F.struct(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"), F.lit("").alias("note")).alias("info"), "line")
     texts = orders.select(F.col("o_orderkey").alias("order_no"), F.to_xml(shape, {"attributePrefix": "_"}).alias("body"))
     return documents.shred(documents.xml_documents(texts, "order_no", "body"), "order_no").drop("doc_no")
 
@@ -186,8 +186,8 @@ ORACLE = {
     "q_json_shred": oracle(f"with {_LEAVES} select file_no, doc_no, elem, path, type, value from leaves", "fx_json"),
     "q_json_types": oracle(f"with {_LEAVES} select path, case when min(type) = max(type) then min(type) else 'text' end as type from leaves group by 1", "fx_json"),
     "q_json_flat_kv": oracle(f"with {_LEAVES} select file_no, path as k, arg_max(value, elem) as v from leaves where doc_no = 0 group by 1, 2", "fx_json"),
-    "q_xml_documents": """select o_orderkey as order_no, 0 as elem, '@id' as path, 'integer' as type, cast(o_orderkey as varchar) as value from orders union all select o_orderkey, 0, 'status', 'text', o_orderstatus from orders
- union all select o_orderkey, 0, 'info.priority', 'text', o_orderpriority from orders union all select o_orderkey, 0, 'info.customer', 'integer', cast(o_custkey as varchar) from orders
+    "q_xml_documents": """select o_orderkey as order_no, 0 as elem, '@id' as path, 'text' as type, cast(o_orderkey as varchar) as value from orders union all select o_orderkey, 0, 'status', 'text', o_orderstatus from orders
+ union all select o_orderkey, 0, 'info.priority', 'text', o_orderpriority from orders union all select o_orderkey, 0, 'info.customer', 'integer', cast(o_custkey as varchar) from orders union all select o_orderkey, 0, 'info.note', 'text', '' from orders
  union all select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as int), 'line', 'integer', cast(l_linenumber as varchar) from lineitem where l_orderkey in (select o_orderkey from orders)""",
     "q_file_chunks": f"""select doc_id, cast(n as int) as chunk_no, cast(length(p) // 2 as int) as n_bytes, md5(p) as digest from (select doc_id, n, substr({_HEX}, n * {2 * CHUNK} + 1, {2 * CHUNK}) as p
  from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil(octet_length(encode(text)) / {CHUNK}.0) as bigint)))) as n from documents where text is not null))""",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import math
+import re
+from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ def split_documents(df: DataFrame, key: str, body: str) -> DataFrame:
     return listed.select(key, F.posexplode(flat).alias("doc_no", "doc"))
 
 
-_NAME = "regexp_replace(regexp_replace(coalesce({k}, ''), '[^a-zA-Z0-9_@$-]', '_'), '^([0-9])', 'c_$1')"
+_NAME = r"regexp_replace(regexp_replace(regexp_replace(coalesce({k}, ''), r'^[\x00-\x20]+|[\x00-\x20]+$', ''), '[^a-zA-Z0-9_@$-]', '_'), '^([0-9])', 'c_$1')"
 _EXPAND = f"""flatten(transform(_nodes, n -> case
   when n.t is not null or n.v is null then array(n)
   when schema_of_variant(n.v) like 'OBJECT%' then transform(map_entries(cast(n.v as map<string, variant>)), e -> named_struct(
@@ -73,10 +78,76 @@ def flat_pairs(leaves: DataFrame, key: str) -> DataFrame:
     return leaves.where("doc_no = 0").groupBy(key, F.col("path").alias("k")).agg(F.max_by("value", "elem").alias("v"))
 
 
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+_NUMBER = re.compile(r"([+-]?)([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?")
+_BLANK = "".join(map(chr, range(33)))
+
+
+def _leaf(text: str) -> str:
+    """A text as JSON: a boolean, a whole number of 64 bits, another number, or text."""
+    if text.lower() in ("true", "false"):
+        return text.lower()
+    if _WHOLE.fullmatch(text) and -(1 << 63) <= int(text) < 1 << 63:
+        return str(int(text))
+    if (m := _NUMBER.fullmatch(text)) and math.isfinite(x := float(m[1] + m[2] + (m[3] or ""))):
+        return json.dumps(x)
+    return json.dumps(text, ensure_ascii=False)
+
+
+def _xml_json(text: str | None) -> str | None:
+    """An XML text as JSON: attributes `@name` as text, repeated children lists, mixed text `#text`; null for what is no XML or brings a document type."""
+    if text is None or not text.strip(_BLANK):
+        return None
+    stack: list[tuple[list[str], dict[str, list[str]], list[str]]] = []
+    root: list[str] = []
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)
+
+    def start(name: str, attributes: list[str]) -> None:
+        stack.append(([f"{quoted('@' + k)}:{quoted(v)}" for k, v in zip(attributes[::2], attributes[1::2], strict=True)], {}, [""]))
+
+    def cut() -> None:  # texts apart from each other are joined by a space
+        if stack and stack[-1][2][-1]:
+            stack[-1][2].append("")
+
+    def end(name: str) -> None:
+        members, children, texts = stack.pop()
+        body = " ".join(t for t in (x.strip(_BLANK) for x in texts) if t)
+        members += [f"{quoted(k)}:{v[0] if len(v) == 1 else '[' + ','.join(v) + ']'}" for k, v in children.items()]
+        if members and body:
+            members.append(f'"#text":{_leaf(body)}')
+        found = "{" + ",".join(members) + "}" if members else _leaf(body)
+        if stack:
+            stack[-1][1].setdefault(name, []).append(found)
+            cut()
+        else:
+            root.append(found)
+
+    def data(value: str) -> None:
+        stack[-1][2][-1] += value
+
+    def refuse(*_) -> None:
+        raise ValueError("a document type")
+
+    parser = expat.ParserCreate()
+    parser.ordered_attributes, parser.buffer_text = True, True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, data, refuse
+    parser.StartCdataSectionHandler = parser.EndCdataSectionHandler = parser.CommentHandler = lambda *_: cut()
+    try:
+        parser.Parse(text.strip(_BLANK).encode("utf-8", "replace"), True)
+    except (expat.ExpatError, ValueError):
+        return None
+    return root[0]
+
+
 def xml_documents(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, doc_no, doc) of XML texts, for `shred`: attributes are `@name`, repeated children lists, mixed text `#text`, leaves typed, the root's
-    name dropped. Texts that are no XML, or that bring a document type, have no row."""
-    checked = df.select(key, F.col(body).alias("_b"), F.from_xml(F.col(body), "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].alias("_bad"))
-    good = checked.where("_b is not null and _bad is null and trim(_b) <> '' and not contains(_b, '<!DOCTYPE')")
-    doc = F.expr("case when _bad is null and trim(_b) <> '' then from_xml(_b, 'variant', map('attributePrefix', '@', 'valueTag', '#text')) end")
-    return good.select(key, F.lit(0).alias("doc_no"), doc.alias("doc"))
+    """(key, doc_no, doc) of XML texts, for `shred`: attributes are `@name` and stay text, repeated children are lists, mixed text is `#text`, the texts of
+    leaves are typed, empty leaves are empty texts, the root's name is dropped. Texts that are no XML, that bring a document type, or that are
+    nested deeper than JSON is read (1000 levels) have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_xml_json(t) for t in b.column(1).to_pylist()], pa.string())], ["k", "json"])
+
+    texts = df.select(F.col(key).alias("k"), F.col(body).cast("string").alias("body"))
+    found = texts.mapInArrow(run, f"k {dict(texts.dtypes)['k']}, json string").select(F.col("k").alias(key), F.lit(0).alias("doc_no"), F.try_parse_json("json").alias("doc"))
+    return found.where("doc is not null")

@@ -71,10 +71,40 @@ def test_documents_of_any_depth(spark):
 
 
 def test_xml_documents(spark):
-    bodies = [(1, '<r id="7"><a>1</a><a>x</a><b y="z">t<c>true</c></b><d/></r>'), (2, "<bad"), (3, "<r>5</r>"), (4, None), (5, ""), (6, "<!DOCTYPE r><r>1</r>")]
+    bodies = [(1, '<r id="7"><a>1</a><a>x</a><b y="z">t<c>true</c></b><d/></r>'), (2, "<bad"), (3, "<r>5</r>"), (4, None), (5, ""), (6, "<!DOCTYPE r><r>1</r>"), (7, "<r id='007' f='1.50'><a> </a><b/><c>1.50</c><d>-9223372036854775809</d><e> x <f>TRUE</f><!-- c --> y<![CDATA[<z>]]></e><g>1e3</g><h>NaN</h></r>"), (8, "<r/>")]
     leaves = documents.shred(documents.xml_documents(spark.createDataFrame(bodies, "k int, body string"), "k", "body"), "k")
     found = {(r.k, r.elem, r.path, r.type, r.value) for r in leaves.collect()}
-    assert found == {(1, 0, "@id", "integer", "7"), (1, 0, "a", "integer", "1"), (1, 1, "a", "text", "x"), (1, 0, "b._text", "text", "t"), (1, 0, "b.@y", "text", "z"), (1, 0, "b.c", "boolean", "true"), (3, 0, "value", "integer", "5")}
+    assert found == {(1, 0, "@id", "text", "7"), (1, 0, "a", "integer", "1"), (1, 1, "a", "text", "x"), (1, 0, "b._text", "text", "t"), (1, 0, "b.@y", "text", "z"), (1, 0, "b.c", "boolean", "true"), (1, 0, "d", "text", ""), (3, 0, "value", "integer", "5"), (8, 0, "value", "text", "")} | {
+        (7, 0, p, t, v) for p, t, v in (("@id", "text", "007"), ("@f", "text", "1.50"), ("a", "text", ""), ("b", "text", ""), ("c", "double", "1.5"), ("d", "double", "-9.223372036854776E18"), ("e._text", "text", "x y <z>"), ("e.f", "boolean", "true"), ("g", "double", "1000"), ("h", "text", "NaN"))
+    }
+
+
+def test_names_of_documents_are_trimmed(spark):
+    df = spark.createDataFrame([(1, '{" a ": 1, "\\tb c\\n": {" 2": 3}}')], "k int, body string")
+    assert {r.path for r in documents.shred(documents.split_documents(df, "k", "body"), "k").collect()} == {"a", "b_c.c_2"}
+
+
+def test_ids_differ_whatever_suffixes_are_given(spark):
+    given = ["a", "a-2", "a", "a-2", " ", "a-3", "occ-6", None, "a", "a-2-2", "x-5", "a"]
+    df = spark.createDataFrame([(g, i, v) for g in (1, 2) for i, v in enumerate(given)], "g int, i long, given string")
+    used = []
+    for i, v in enumerate(given):
+        base = (v or "").strip() or f"occ-{i + 1}"
+        used.append(next(c for c in [base, *(f"{base}-{k}" for k in range(2, 99))] if c not in used))
+    got = sorted((r.g, r.i, r.id) for r in drawings.stable_ids(df, "g", "i", "given", "occ").collect())
+    assert got == [(g, i, x) for g in (1, 2) for i, x in enumerate(used)] and used[:3] == ["a", "a-2", "a-3"]
+
+
+def test_owners_are_found_however_far_up(spark):
+    chain = [(f"f{i}", f"f{i + 1}", "named" if i == 700 else "") for i in range(1000)] + [("f1000", "top", None)]
+    cycle = [(f"c{i}", f"c{(i + 1) % 37}", "in a ring") for i in range(37)] + [("into", "c5", " ")] + [("self", "self", None), ("gone", "nowhere", "own"), ("leaf", None, "leaf")]
+    features = spark.createDataFrame(chain + cycle, "ref string, parent string, name string")
+    targets = spark.createDataFrame([("top", "o1"), ("top", "o2"), ("f900", "o3")], "ref string, owner string")
+    refs = ["f0", "f701", "f950", "f900", "top", "c3", "into", "self", "gone", "leaf", "unknown", None]
+    dims = spark.createDataFrame(list(enumerate(refs)), "dim int, ref string")
+    found, lost = drawings.owned(dims, targets, features, "dim", "ref", saved)
+    assert sorted((refs[r.dim], r.owner, r.feature) for r in found.collect()) == [("f0", "o3", "named"), ("f701", "o3", None), ("f900", "o3", None), ("f950", "o1", None), ("f950", "o2", None), ("top", "o1", None), ("top", "o2", None)]
+    assert {(refs[r.dim], r.feature) for r in lost.collect()} == {("c3", "in a ring"), ("into", "in a ring"), ("self", None), ("gone", "own"), ("leaf", "leaf"), ("unknown", None), (None, None)}
 
 
 def test_chunks_and_back(spark):
