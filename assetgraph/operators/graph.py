@@ -96,16 +96,18 @@ def write_back(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame
     return joined.select(key, "a", "b", F.col("_r").isNotNull().alias("related"), F.coalesce("_r", F.lit("no relation")).alias("relation"), F.lit("query-udf").alias("source"))
 
 
-def query_prefix(assets: DataFrame, known: DataFrame, key: str, path: str, prefix: str, max_nodes: int, drawings: DataFrame | None = None) -> DataFrame:
-    """(kind, rank, src, dst): the edges around the newest assets below a path, within the row budget. The limit comes before the joins.
+def query_prefix(assets: DataFrame, known: DataFrame, key: str, path: str, prefix: str, max_nodes: int, drawings: DataFrame | None = None, updated: str | None = None) -> DataFrame:
+    """(kind, rank, src, dst): the edges around the newest assets below a path, within the row budget. The limit comes before the joins. Newest: by the column
+    `updated` where it is set, else by key; ties by key.
 
     HAS_DATA from the folder, CONTAINS from the root down to it, MENTIONS of entities, and for drawings (key, component), which show no
     mentions, DEPICTS with the root component. rank: of the asset, 0 for CONTAINS. Without assets the folders below the path, as NODE.
     """
     width, rows = min(200, max(10, max_nodes)), min(2000, max(100, 4 * max_nodes))
     below = lambda c: (c == prefix) | F.startswith(c, F.lit(prefix.rstrip("/") + "/"))
-    newest = assets.where(below(F.col(path))).orderBy(F.desc(key)).limit(width)
-    ranked = newest.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key))))  # at most `width` rows
+    age = [F.coalesce(F.col(updated), F.col(key)).desc(), F.desc(key)] if updated else [F.desc(key)]
+    newest = assets.where(below(F.col(path))).orderBy(*age).limit(width)
+    ranked = newest.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*age)))  # at most `width` rows
     drawn = drawings.select(F.col(key).alias("_d"), "component") if drawings is not None else assets.sparkSession.createDataFrame([], f"_d {assets.schema[key].dataType.simpleString()}, component string")
     ranked = ranked.join(drawn, F.col(key) == F.col("_d"), "left")
     told = ranked.join(known.select(F.col(key).alias("_m"), "norm"), (F.col(key) == F.col("_m")) & F.col("_d").isNull(), "left")

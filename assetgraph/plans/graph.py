@@ -10,6 +10,7 @@ from assetgraph.operators import catalog as c
 from assetgraph.operators import drawings as d
 from assetgraph.operators import extract as x
 from assetgraph.operators import graph as g
+from assetgraph.operators import graph_search as gs
 from assetgraph.plans import extract as x_plans
 from assetgraph.scratch import saved
 
@@ -115,6 +116,37 @@ def q_graph_search(spark, sf):
     return two.withColumn("of", F.lit("two")).unionByName(g.search(live, known, "asset_key", "a 3", texts=[words, parts, dims], folders=folders).union(g.search(live, known, "asset_key", "src1", folders=folders).where("kind = 'directory'")).withColumn("of", F.lit("all")))
 
 
+def _told(spark, sf, known):
+    """Mentions with the names of their entities, of the assets and of their folders."""
+    told = known.join(_entities(spark, sf), "norm")
+    homes = _live(spark, sf).select("asset_key", F.col("logical_path").alias("path"), "data_type")
+    return told, told.join(homes.where("data_type = 'relational'"), "asset_key").select("path", "norm", "name").distinct()
+
+
+def q_graph_search_expanded(spark, sf):
+    """The graph around what a word finds below a path in one kind of assets, and around what another word finds anywhere, folders too. The newest are the largest texts first."""
+    live = _live(spark, sf).withColumn("updated", F.when(F.col("asset_key") % 3 == 0, F.col("file_size")))
+    known = saved(_known(spark, sf), "mentions")
+    told, of_folders = (saved(x, "told") for x in _told(spark, sf, known))
+    relations = saved(_relations(spark, sf, known).withColumn("related", F.col("relation") != "rel3"), "relations")
+    folders = live.groupBy(F.col("logical_path").alias("path")).agg(F.max("asset_key").alias("key"))
+    out = []
+    for name, word, kind, path in (("narrow", WORD, "document", "/docs/en"), ("wide", "src1", "", "")):
+        found = saved(gs.hits(live, told, "asset_key", word, kind, path, NODES, folders=folders, folder_mentions=of_folders, updated="updated"), "hits")
+        out.append(gs.expanded(found, told, relations, "asset_key", word, NODES, _drawings(spark, sf).where("asset_key % 2 = 0"), of_folders).withColumn("of", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+def q_display_names(spark, sf):
+    """Names of folders, assets and entities, each without some of its properties."""
+    live = _live(spark, sf)
+    blank = lambda n, c: F.when(F.col("asset_key") % n == 0, " ").otherwise(c)
+    none = F.lit(None).cast("string")
+    assets = live.select(F.concat(F.lit("asset:"), "asset_key").alias("id"), F.lit("DataAsset").alias("label"), blank(2, F.col("file_name")).alias("name"), blank(6, F.col("file_name")).alias("file_name"), none.alias("path"), blank(12, F.col("logical_path")).alias("logical_path"), F.col("file_format").alias("norm"))
+    folders = live.groupBy("logical_path").agg(F.min("asset_key").alias("asset_key")).select(F.col("logical_path").alias("id"), F.lit("LogicalPath").alias("label"), blank(2, F.lit("a folder")).alias("name"), none.alias("file_name"), F.concat("logical_path", F.lit("/")).alias("path"), none.alias("logical_path"), none.alias("norm"))
+    return gs.display_names(assets.unionByName(folders)).select("id", "shown")
+
+
 def q_matched_entities(spark, sf):
     french = _live(spark, sf).where("logical_path like '/docs/fr/%'")
     return g.matched_entities(french, _known(spark, sf), _entities(spark, sf), "asset_key", WORD, MOST, _drawings(spark, sf))
@@ -354,6 +386,27 @@ ORACLE = {
  select 'asset' as kind, cast(asset_key as varchar) as id, 'two' as of from (select distinct asset_key from h where one and data_type in ('file', 'document') order by asset_key desc limit 120)
  union all select 'asset', cast(asset_key as varchar), 'all' from (select distinct asset_key from h where two order by asset_key desc limit 120) union all select 'directory', path, 'all' from (select path from f where contains(lower(path), 'a 3') order by key desc, path limit 120)
  union all select 'directory', path, 'all' from (select path from f where contains(lower(path), 'src1') order by key desc, path limit 120)""", "fx_assets", "fx_keywords", "fx_dims"),
+    "q_graph_search_expanded": oracle(f"""with {_LIVE}, {_KNOWN}, {_ENT}, {_REL}, told as (select asset_key, norm, name from known join ent using (norm)),
+ ft as (select distinct logical_path as path, norm, name from told join live using (asset_key) where data_type = 'relational'),
+ q as (select * from (values ('narrow', '{WORD}', 'document', '/docs/en'), ('wide', 'src1', '', '')) as t("of", word, kind, below)),
+ ah as (select "of", word, asset_key, logical_path as path, row_number() over (partition by "of" order by coalesce(case when asset_key % 3 = 0 then file_size end, asset_key) desc, asset_key desc) as rank from live, q
+  where (starts_with(logical_path || '/' || file_name, below) or starts_with(logical_path, below)) and (kind = '' or data_type = kind) and (contains(lower(logical_path || '/' || file_name), word)
+   or asset_key in (select asset_key from told where contains(lower(name), '{WORD}') or contains(norm, '{WORD}')) and word = '{WORD}' or asset_key in (select asset_key from told where contains(lower(name), 'src1') or contains(norm, 'src1')) and word = 'src1')),
+ dh as (select 'wide' as "of", path, row_number() over (order by key desc, path) as rank from (select logical_path as path, max(asset_key) as key from live group by 1) where contains(lower(path), 'src1') or path in (select path from ft where contains(lower(name), 'src1') or contains(norm, 'src1'))),
+ a as (select * from ah where rank <= {NODES}), d as (select * from dh where rank <= {NODES}), drawn as (select asset_key from live where file_format = 'json' and asset_key % 2 = 0),
+ own as (select a.*, norm, name from a join told using (asset_key) where asset_key not in (select asset_key from drawn)), shown as (select * from own where contains(lower(name), word) or contains(norm, word)),
+ ways as (select asset_key, a as norm, b as other from rel where relation <> 'rel3' union all select asset_key, b, a from rel where relation <> 'rel3'),
+ related as (select s.*, other from shown s join ways using (asset_key, norm) where exists (select 1 from own o where o."of" = s."of" and o.asset_key = s.asset_key and o.norm = other)),
+ steps as (select 'asset' as hit, "of", rank, path from a union all select 'directory', "of", rank, path from d), chain as (select hit, "of", rank, string_split(path, '/') as s, unnest([2, 3, 4]) as n from steps),
+ e as (select 'asset' as hit, "of", rank, 0 as k, 'NODE' as kind, 'asset:' || asset_key as src, null as dst, true as matched from a union all select 'directory', "of", rank, 0, 'NODE', path, null, true from d
+  union all select hit, "of", rank, 1, 'CONTAINS', case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end, array_to_string(s[1:n], '/'), false from chain
+  union all select 'asset', "of", rank, 2, 'HAS_DATA', path, 'asset:' || asset_key, false from a union all select 'asset', "of", rank, 3, 'DEPICTS', 'asset:' || asset_key, 'component:' || asset_key, false from a where asset_key in (select asset_key from drawn)
+  union all select 'asset', "of", rank, 4, 'MENTIONS', 'asset:' || asset_key, norm, false from shown union all select 'asset', "of", rank, 4, 'MENTIONS', 'asset:' || asset_key, other, false from related
+  union all select 'directory', "of", rank, 4, 'MENTIONS', path, norm, false from d join ft using (path) union all select 'asset', "of", rank, 5, 'SEMANTIC_RELATION', least(norm, other), greatest(norm, other), false from related),
+ once as (select hit, "of", k, kind, src, dst, matched, min(rank) as rank from e group by all)
+ select hit, "of", cast(rank as int) as rank, kind, src, dst, matched from (select *, row_number() over (partition by hit, "of" order by rank, k, src, dst) as nth from once) where nth <= {max(100, 4 * NODES)}""", "fx_assets", "fx_keywords", "fx_triples"),
+    "q_display_names": oracle(f"""with {_LIVE} select 'asset:' || asset_key as id, case when asset_key % 2 <> 0 or asset_key % 6 <> 0 then file_name when asset_key % 12 <> 0 then logical_path else file_format end as shown from live
+ union all select logical_path, case when min(asset_key) % 2 = 0 then regexp_extract(logical_path, '([^/]*)$', 1) else 'a folder' end from live group by logical_path""", "fx_assets"),
     "q_matched_entities": oracle(f"with {_LIVE}, {_KNOWN}, {_ENT} select norm, name from ent where contains(lower(name), '{WORD}') and norm in (select norm from known where asset_key in (select asset_key from live where logical_path like '/docs/fr/%' and file_format <> 'json')) order by name, norm limit {MOST}", "fx_assets", "fx_keywords"),
     "q_graph_links": oracle(f"""with {_LIVE}, {_TREE}, {_KNOWN}, {_REL} select src, dst, type, '' as relation from ({_EDGES}) union all select 'asset:' || asset_key, norm, 'MENTIONS', '' from known union all select distinct a, b, 'SEMANTIC_RELATION', relation from rel""", "fx_assets", "fx_keywords", "fx_triples"),
     "q_graph_focus": oracle("select 'asset:' || asset_key as id, 'DataAsset' as label from fx_assets where is_valid and status <> 'SUCCESS' order by id limit 1", "fx_assets"),
