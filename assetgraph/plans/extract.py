@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.functions.paths import parent_path
 from assetgraph.operators import catalog as c
+from assetgraph.operators import chunks
 from assetgraph.operators import extract as x
 from assetgraph.scratch import saved
 
 LEAVES, DIRECTORIES, BUDGET, BLOCK_CAP = 10, 5, 120, 500_000
+UNIT, UNIT_BUDGETS = 400, chunks.Budgets(tokens=900, bytes_=12_000, images=3, image_tokens=150)
 
 
 def _columns(spark, sf, kind):
@@ -144,6 +146,13 @@ def q_pack_chunks(spark, sf):
     return x.pack_chunks(table(spark, sf, "documents"), "doc_id", "text", BUDGET)
 
 
+def q_pack_units(spark, sf):
+    """Units of documents, some with images, packed under budgets of tokens, bytes and images."""
+    cut = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / UNIT))).alias("pos"), "text", "source", "lang")
+    units = cut.select("doc_id", F.col("pos").cast("long").alias("pos"), F.expr(f"substring(text, cast(pos * {UNIT} as int) + 1, {UNIT})").alias("text"), F.concat_ws(" ", "source", "lang").alias("location"), (F.col("pos") % 3 == 1).alias("has_image"))
+    return chunks.pack_units(units, "doc_id", "pos", UNIT_BUDGETS).select("doc_id", "pos", "part", "begin", "end", "chunk")
+
+
 def q_merge_sections(spark, sf):
     return x.merge_sections(fixture(spark, sf, "fx_triples"), "asset_key", "pos")
 
@@ -184,6 +193,15 @@ def _up(child: str, name: str, parent: str) -> str:
 
 
 ORACLE = {
+    # one unit after the other of every document; no unit is too large by itself
+    "q_pack_units": f"""with recursive c as (select doc_id, unnest(range(0, length(text) // {UNIT} + 1)) as pos, text, source || ' ' || lang as place from documents where text is not null),
+ t as (select doc_id, pos, substr(text, pos * {UNIT} + 1, {UNIT}) as t, place, (pos % 3 = 1)::bigint as im from c),
+ n as (select *, length(regexp_replace(place || t, '[\\x00-\\x7f]', '', 'g')) as other, length(regexp_replace(t, '[^"\\\\\\n\\r\\t\\x08\\f]', '', 'g')) as s2, length(regexp_replace(t, '[^ !#-\\[\\]-~]', '', 'g')) as s1, length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')) as s12 from t),
+ u as (select doc_id, pos, length(t) as n, (length(place || t) - other + 2) // 3 + 2 * other + im * {UNIT_BUDGETS.image_tokens} as tok, s1 + 2 * s2 + 12 * s12 + 6 * (length(t) - s1 - s2 - s12) + length(place) + 30 as b, im from n),
+ p as (select doc_id, pos, n, tok, b, im, 0 as chunk from u where pos = 0 union all
+  select doc_id, pos, n, case when fits then stok + tok else tok end, case when fits then sb + b else b end, case when fits then sim + im else im end, case when fits then chunk else chunk + 1 end
+  from (select u.*, p.tok as stok, p.b as sb, p.im as sim, p.chunk, p.tok + u.tok <= {UNIT_BUDGETS.tokens} and p.b + u.b + 8192 <= {UNIT_BUDGETS.bytes_} and p.im + u.im <= {UNIT_BUDGETS.images} as fits from p join u on u.doc_id = p.doc_id and u.pos = p.pos + 1))
+ select doc_id, pos, 0 as part, 0 as begin, n as "end", chunk from p""",
     "q_fields_relational": oracle(f"""with {_COLS("source_type in ('mysql', 'redis')")}, {_FIRST} select asset, string_agg(name, '|' order by o, name) as fields from ranked where nth <= 120 group by 1""", "fx_columns"),
     "q_fields_timeseries": oracle(f"""with {_COLS("source_type = 'filesystem'", "replace(regexp_extract(path, '([^.]*)$', 1), 'event_time', 'time')")}, {_FIRST}
  select asset, coalesce(string_agg(name, '|' order by o, name) filter (where name <> 'time'), 'time') as fields from ranked group by 1""", "fx_columns"),
