@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.llm.jobs import bounded, fresh_path, materialise
+from assetgraph.llm.jobs import bounded, fresh_path, joined_by, materialise, written
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 1024
@@ -151,40 +152,103 @@ def _html(html: str = "html"):
     return F.coalesce(F.col(html).cast("string"), F.lit(""))
 
 
-def special_pages(pages: DataFrame) -> DataFrame:
-    """page_id, digest, refers_to, repeated, named of the pages whose payload another page stores, and of those that stand in several rows.
+_FILE, _ROW = "_metadata.file_path", "_metadata.row_index"
 
-    named: the page that is referred to stands in one row.
+
+def _located(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and where each row lies: its input file and its number there. Rows that don't come from files are written first."""
+    own = (F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _html().alias("html"))
+    place = (F.col(_FILE).alias("from"), F.col(_ROW).alias("at"))
+    try:
+        return pages.select(*own, *place)
+    except AnalysisException:  # Spark finds no such column: the rows are not those of files
+        return materialise(pages.select(*own), "pages").select("*", *place)
+
+
+def verdicts(located: DataFrame) -> DataFrame:
+    """from, at, refers_to, named, repeated of the rows whose payload another page stores, and of those whose page stands in several rows.
+
+    named: the page that is referred to stands in one row. Only ids, digests and lengths are shuffled; a payload of very many pages meets its response by broadcast.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(_html()).alias("digest"), F.octet_length(_html()).cast("long").alias("n"))
-    own = own.groupBy("page_id", "digest", "n").agg(F.count("*").alias("rows"))
-    first = own.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest", "n").agg(F.max("page_id").alias("to"), F.max_by("rows", "page_id").alias("to_rows"), F.count("*").alias("k")).where("k > 1").drop("k")
-    refers_to = F.when(F.col("page_id") != F.col("to"), F.col("to"))
-    return own.join(first, ["digest", "n"], "left").select("page_id", "digest", refers_to.alias("refers_to"), (F.col("rows") > 1).alias("repeated"), (F.col("to_rows") == 1).alias("named")).where("refers_to is not null or repeated")
+    payload = F.concat_ws(":", F.sha1("html"), F.octet_length("html"))
+    rows = materialise(located.select("from", "at", "page_id", payload.alias("payload"), F.octet_length("html").cast("long").alias("n")), "payload-digests")
+    own = rows.groupBy("page_id", "payload").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    own = written(own.where((F.col("n") >= REVISIT_BYTES) | (F.col("rows") > 1)), "payload-pages")
+    first = own.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("payload").agg(
+        F.max("page_id").alias("to"), F.max_by("rows", "page_id").alias("to_rows"), F.count("*").alias("pages"), F.sum("rows").alias("total")
+    ).where("pages > 1")
+    referring = joined_by(rows, written(first, "payload-responses"), "payload", "total").where("page_id <> to")
+    again = own.where("rows > 1").select(F.col("page_id").alias("_p"), F.col("payload").alias("_d"))
+    repeated = rows.join(again, rows["page_id"].eqNullSafe(again["_p"]) & (rows["payload"] == again["_d"]), "left_semi")
+    both = referring.select("from", "at", F.col("to").alias("refers_to"), (F.col("to_rows") == 1).alias("named"), F.lit(False).alias("repeated"))
+    both = both.unionByName(repeated.select("from", "at", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("boolean").alias("named"), F.lit(True).alias("repeated")))
+    return both.groupBy("from", "at").agg(F.max("refers_to").alias("refers_to"), F.max("named").alias("named"), F.max("repeated").alias("repeated"))
+
+
+def _verdict_file(file: str) -> str:
+    return hashlib.sha1(file.encode()).hexdigest() + ".verdicts"
+
+
+def write_verdicts(found: DataFrame, uri: str) -> None:
+    """A file below uri for each input file that has verdicts, by row. A task that runs again writes the same file."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        fs, root = _filesystem(uri)
+        fs.create_dir(root, recursive=True)
+        group = group.select(["at", "refers_to", "named", "repeated"]).sort_by("at")
+        with fs.open_output_stream(f"{root}/{_verdict_file(key[0].as_py())}") as out, pa.ipc.new_stream(out, group.schema) as to:
+            to.write_table(group)
+        return pa.table({"n": [group.num_rows]})
+
+    materialise(found.groupBy("from").applyInArrow(run, "n long"), "verdicts")
+
+
+class _Verdicts:
+    """Verdicts of the input files of a task; the last few are kept."""
+
+    def __init__(self, uri: str):
+        self.fs, self.root = _filesystem(uri)
+        self.of: dict[str, tuple[np.ndarray, list]] = {}
+
+    def get(self, file: str, at: int) -> tuple[int | None, bool, bool]:
+        if file not in self.of:
+            if len(self.of) >= 4:
+                self.of.pop(next(iter(self.of)))
+            path = f"{self.root}/{_verdict_file(file)}"
+            self.of[file] = (np.zeros(0, np.int64), [])
+            if self.fs.get_file_info(path).is_file:
+                with self.fs.open_input_stream(path) as source, pa.ipc.open_stream(source) as reader:
+                    t = reader.read_all()
+                    self.of[file] = (t.column("at").to_numpy(), [t.column(c) for c in ("refers_to", "named", "repeated")])
+        rows, columns = self.of[file]
+        k = int(np.searchsorted(rows, at))
+        if k == len(rows) or rows[k] != at:
+            return None, False, False
+        return tuple(c[k].as_py() for c in columns)
 
 
 def write_archives(pages: DataFrame, uri: str) -> DataFrame:
-    """Writes a record for every row below uri; returns the captures: key, page_id, file, offset, length."""
-    # written first, so that Spark sees how many there are: few are broadcast, and no payload is shuffled; many are joined by shuffle
-    known = materialise(special_pages(pages), "special-pages").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", "repeated", "named")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _html().alias("html"), F.sha1(_html()).alias("digest"))
-    rows = rows.join(known, rows["page_id"].eqNullSafe(known["_page"]) & (rows["digest"] == known["_digest"]), "left")
-    # a revisit needs no payload, only its length
-    html = F.when(F.col("refers_to").isNull(), F.col("html"))
-    rows = rows.select("page_id", "url", html.alias("html"), "digest", "refers_to", F.octet_length("html").alias("n"), F.coalesce("repeated", F.lit(False)).alias("repeated"), "named")
+    """Writes a record for every row below uri; returns the captures: key, page_id, file, offset, length.
+
+    Payloads go from the scan to the archives and through no shuffle or join: what is known of a row lies in a file for each input file, by the row's number.
+    """
+    located = _located(pages)
+    write_verdicts(verdicts(located), f"{uri}-verdicts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(uri, ".warc.gz")
+        files, known = _Files(uri, ".warc.gz"), _Verdicts(f"{uri}-verdicts")
         for batch in batches:
             found = []
-            for page, url, html, digest, refers, n, repeated, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _compress(record(page, url, html.encode() if html is not None else b"", n, digest, refers, f":{uuid.uuid4().hex}" if repeated else "", bool(named)))
+            for page, url, html, file_, at_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refers, named, repeated = known.get(file_, at_)
+                payload = html.encode()
+                data = _compress(record(page, url, payload, len(payload), hashlib.sha1(payload).hexdigest(), refers, f":{uuid.uuid4().hex}" if repeated else "", bool(named)))
                 name, at = files.write(data)
                 found.append((sort_key(url), page, name, at, len(data)))
             yield _batch(found, (("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())))
         files.close()
 
-    return materialise(bounded(rows).mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
+    return materialise(bounded(located).mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
 def _batch(rows: list[tuple], columns) -> pa.RecordBatch:
