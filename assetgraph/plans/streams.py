@@ -17,6 +17,16 @@ def q_events_since(spark, sf):
     return feeds.events_since(fixture(spark, sf, "fx_events_log"), "seq", SINCE, LIMIT).select("seq", "level", "text")
 
 
+def q_stream_events_since(spark, sf):
+    """The events after a number among the last that a streamed feed has kept."""
+    feed = _stream(spark, sf, "events").select((F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("level"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("text"))
+    ring = state.EventRing(fresh_path(spark, "ring"), "seq", "seq long, level string, text string", feeds.RETAINED)
+    feeds.run_available(feed, ring)
+    kept = ring.events(spark)
+    first = kept.agg(F.min("seq")).first()[0]  # one number
+    return feeds.events_since(kept, "seq", (first or 0) + SINCE, LIMIT).select("seq", "level", "text").unionByName(feeds.events_since(kept, "seq", 0, 1000).select("seq", "level", "text").withColumn("text", F.concat(F.lit("all: "), "text")))
+
+
 def q_dedup_requests(spark, sf):
     return feeds.dedup_requests(fixture(spark, sf, "fx_events_log").select("text", "seq", "level"), "text", "seq")
 
@@ -83,6 +93,9 @@ _WINDOWS = f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as win
 
 ORACLE = {
     "q_events_since": oracle(f"select seq, {_LEVEL} as level, text from fx_events_log where seq > {SINCE} order by seq desc limit {LIMIT}", "fx_events_log"),
+    "q_stream_events_since": f"""with k as (select event_id + 1 as seq, event_type as level, 'user ' || user_id as text from events order by seq desc limit {feeds.RETAINED}),
+ s as (select seq, {_LEVEL} as level, text from k where seq > (select min(seq) from k) + {SINCE} order by seq desc limit {LIMIT}), a as (select seq, {_LEVEL} as level, 'all: ' || text as text from k order by seq desc limit 120)
+ select * from s union all select * from a""",
     "q_dedup_requests": oracle("select text, min(seq) as seq, arg_min(level, seq) as level from fx_events_log group by 1", "fx_events_log"),
     "q_status_windows": _WINDOWS,
     "q_stream_status_windows": f"{_WINDOWS} having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) from events) - interval 10 minute",

@@ -15,6 +15,8 @@ from assetgraph.streaming.state import batch_folder
 
 LEVELS = ("INFO", "WARN", "ERROR", "SUCCESS", "RUNNING")
 MOST = 120
+#: Events that a feed keeps.
+RETAINED = 300
 
 
 def level(c: Column) -> Column:
@@ -28,6 +30,11 @@ def events_since(events: DataFrame, seq: str, since: int, limit: int) -> DataFra
     return newest.withColumn("level", level(F.col("level"))).orderBy(seq)
 
 
+def retained(events: DataFrame, seq: str, most: int = RETAINED) -> DataFrame:
+    """The last events of a feed, which alone can still be asked for."""
+    return events.orderBy(F.desc(seq)).limit(most)
+
+
 def dedup_requests(requests: DataFrame, focus: str, seq: str) -> DataFrame:
     """The first request of each focus."""
     return requests.groupBy(focus).agg(F.min(F.struct(seq, *(c for c in requests.columns if c not in (focus, seq)))).alias("_x")).select(focus, "_x.*")

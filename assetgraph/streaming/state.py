@@ -150,6 +150,37 @@ class StreamedCatalog:
         spark.createDataFrame([(f,) for f in old], "folder string").write.mode("overwrite").parquet(f"{self.path}/merged")
 
 
+# --- retained events -------------------------------------------------------------------------------------------------
+
+
+class EventRing:
+    """The last `most` events of a feed, by seq, kept by streams at `path`; an event that comes late is kept if it is among them.
+
+    A micro-batch is cut to its newest events by the tasks that hold it, so a batch of any size writes `most` rows; of an event that comes again one is kept. Readers take the newest of
+    what all batches have left. Now and then a batch puts them together: it writes the ring anew and deletes what the batches before had left.
+    """
+
+    def __init__(self, path: str, seq: str, schema: str, most: int = 300, batches: int = 32):
+        self.path, self.seq, self.schema, self.most, self.batches = path, seq, schema, most, batches
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, batch_folder(self.path, batch, batch_id)
+        old = complete_folders(spark, self.path, 2)
+        late = [f for f in old if not f.endswith(own.split(":")[-1])]
+        merge = len(late) >= self.batches
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*late)) if merge else batch
+        self._newest(rows).coalesce(1).write.mode("overwrite").parquet(own)  # `most` rows
+        for folder in late if merge else ():
+            delete(spark, folder)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col(self.seq).isNotNull()).dropDuplicates([self.seq]).orderBy(F.desc(self.seq)).limit(self.most)
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        found = complete_folders(spark, self.path, 2)
+        return self._newest(spark.read.schema(self.schema).parquet(*found)) if found else spark.createDataFrame([], self.schema)
+
+
 # --- requests in flight ----------------------------------------------------------------------------------------------
 
 

@@ -75,6 +75,22 @@ def test_leaf_pipelines_on_new_checkpoints_keep_earlier_rows(spark, tmp_path):
     assert sorted(r.asset_key for r in spark.read.schema("asset_key long").parquet(path).select("asset_key").collect()) == [1, 2]
 
 
+def test_a_ring_keeps_the_last_events_late_ones_too(spark, tmp_path):
+    path, schema = fresh_path(spark, "ring"), "seq long, text string"
+    ring = state.EventRing(path, "seq", schema, most=10, batches=3)
+    assert ring.events(spark).count() == 0
+    seen = set()
+    for n, seqs in enumerate([range(1, 40), [3, 50, 49], range(60, 64), [], [48, 47, 2, 63], [61, 200], range(41, 46), range(70, 72)]):
+        source = str(tmp_path / f"in{n}")
+        _append(spark, source, schema, [(q, f"e{q}") for q in seqs] + [(None, "x")])
+        feeds.run_available(spark.readStream.schema(schema).parquet(source), ring)  # a checkpoint of its own each time
+        seen |= set(seqs)
+        assert sorted(r.seq for r in ring.events(spark).collect()) == sorted(seen)[-10:]
+        assert len(complete_folders(spark, path, 2)) <= 4
+        since = [r.seq for r in feeds.events_since(ring.events(spark).withColumn("level", F.lit("info")), "seq", 45, 3).collect()]
+        assert since == [q for q in sorted(seen)[-10:] if q > 45][-3:]
+
+
 def test_requests_are_in_flight_until_their_end_or_the_time_out(spark, tmp_path):
     source, path, checkpoint = str(tmp_path / "feed"), fresh_path(spark, "admitted"), str(tmp_path / "c")
     schema = "focus string, seq long, s long, done boolean"
