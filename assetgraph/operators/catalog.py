@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetgraph.functions.paths import asset_path, base_name, escape, file_extension, leaf_name, normalize_escaped_path, normalize_path, path_chain, split_unescaped, to_data_path, to_file_leaf_path, unescape
-from assetgraph.sources.delimited import ordinals
+from assetgraph.operators.ordered import ordinals
 
 #: Kinds of files that keywords can be extracted from.
 SUPPORTED = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "pdf", "doc", "docx", "ppt", "pptx")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.functions.text import confidence, dedup_strings
+from assetgraph.operators.ordered import ordinals
 from assetgraph.scratch import saved
-from assetgraph.sources.delimited import ordinals
 
 HOPS = 6  # doublings: chains of up to 2^6 hops
 MOST_ANCESTORS = 62

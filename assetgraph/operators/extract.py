@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assetgraph.functions.names import normalize_field
 from assetgraph.functions.paths import file_extension, parent_path, strip
 from assetgraph.functions.text import ENTITY_CAP, KEYWORD_CAP, TRIPLE_CAP, bounded_summary, dedup_strings, salvage_object
+from assetgraph.operators.ordered import within_budget
 from assetgraph.scratch import saved
 
 FIELD_CAP, RELATION_CAP, FINAL_CAP = 120, 24, 12
@@ -66,11 +67,9 @@ def route_file(name: Column) -> Column:
 
 
 def bounded_text(values: DataFrame, asset: str, order: str, value: str, each: int = VALUE_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
-    """(asset, text): values in order, each and all together clipped, on lines of their own. No more than `total` values are ever gathered."""
+    """(asset, text): values in order, each and all together clipped, on lines of their own. What is beyond `total` is dropped before values are gathered."""
     clipped = values.select(asset, F.col(order).alias("_o"), F.substring(value, 1, each).alias("_t")).where("_t <> ''")
-    w = Window.partitionBy(asset).orderBy("_o")
-    few = clipped.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= total)
-    few = few.withColumn("_before", F.coalesce(F.sum(F.length("_t") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < total)
+    few = within_budget(clipped.withColumn("_size", (F.length("_t") + 1).cast("long")), asset, "_o", "_size", total)
     few = few.withColumn("_t", F.substring(F.col("_t"), F.lit(1), (total - F.col("_before")).cast("int")))
     return few.groupBy(asset).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "\n").alias("text"))
 
@@ -257,8 +256,7 @@ def dedup_blocks(docs: DataFrame, key: str, text: str, cap: int) -> DataFrame:
     """(key, pos, block): the distinct lines of each document in order, together at most `cap` characters."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "_l")).select(key, "pos", F.trim(F.regexp_replace("_l", "[ \t]+", " ")).alias("block")).where("block <> ''")
     first = lines.groupBy(key, "block").agg(F.min("pos").alias("pos"))
-    before = F.coalesce(F.sum(F.length("block")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = first.withColumn("_before", before).where(F.col("_before") < cap)
+    kept = within_budget(first.withColumn("_size", F.length("block").cast("long")), key, "pos", "_size", cap)
     return kept.select(key, "pos", F.substring(F.col("block"), F.lit(1), (cap - F.col("_before")).cast("int")).alias("block"))
 
 

@@ -1,15 +1,15 @@
 """Delimited text, time series and key-value files as long tables of cells.
 
-Lines come as (file, line number, line). Ordinals are made in two steps, within ranges of line numbers and over the
-ranges' counts, so that a file of any length is numbered by many tasks.
+Lines come as (file, line number, line). A file of any length is numbered by many tasks (`operators.ordered`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetgraph.functions.names import sanitize_column
+from assetgraph.operators.ordered import ordinals
 
 RANGE = 1 << 16
 _EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -26,17 +26,6 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), _EDGES, "")
 
 
-def ordinals(df: DataFrame, group: str, order: str, name: str, span: int = RANGE) -> DataFrame:
-    """Adds the place of each row within its group, from 0, by the order of an integer column."""
-    df = df.withColumn("_range", F.floor(F.col(order) / span))
-    counts = df.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1
-    joined = df.withColumn("_within", within).join(counts, (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")))
-    return joined.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_g", "_r", "_n", "_before", "_within")
-
-
 def detect_delimiter(header: Column) -> Column:
     """Tab where it is at least as frequent as comma and semicolon; else the semicolon if there are more of it; else the comma."""
     count = lambda c: F.length(header) - F.length(F.replace(header, F.lit(c), F.lit("")))

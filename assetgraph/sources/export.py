@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetgraph.sources.delimited import ordinals
+from assetgraph.operators.ordered import ordinals
 
 
 def csv_cell(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetgraph.sources.delimited import ordinals
+from assetgraph.operators.ordered import ordinals
 
 #: What each kind of source has to be given.
 REQUIRED = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetgraph.operators.ordered import within_budget
+
 CHUNK = 1 << 20
 
 
@@ -16,9 +18,9 @@ def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK) -> DataFram
 
 
 def reassemble(pieces: DataFrame, key: str, cap: int, chunk_no: str = "chunk_no", content: str = "bytes") -> DataFrame:
-    """(key, content): the pieces in order, no more than `cap` bytes; pieces past the cap are dropped before they are gathered."""
-    before = F.coalesce(F.sum(F.octet_length(content)).over(Window.partitionBy(key).orderBy(chunk_no).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = pieces.withColumn("_before", before).where(F.col("_before") < cap)
+    """(key, content): the pieces in order, no more than `cap` bytes; pieces past the cap are dropped where they are read, or in the first shuffle."""
+    sized = pieces.select(key, chunk_no, content, F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("_size"))
+    kept = within_budget(sized, key, chunk_no, "_size", cap)
     clipped = kept.withColumn("_piece", F.substring(F.col(content), F.lit(1), (cap - F.col("_before")).cast("int")))
     joined = clipped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk_no).alias("n"), F.col("_piece").alias("b")))).alias("_all"))
     return joined.select(key, F.aggregate("_all", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["b"])).alias("content"))

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetgraph.functions.names import sanitize_column
-from assetgraph.sources.delimited import RANGE, detect_delimiter, ordinals
+from assetgraph.operators.ordered import ordinals
+from assetgraph.sources.delimited import RANGE, detect_delimiter
 
 MAX_RECORD = 2 << 20
 DELIMITERS = (",", ";", "\t")
