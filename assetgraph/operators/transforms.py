@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetgraph.functions.paths import asset_path
 from assetgraph.operators import extract
+from assetgraph.operators.table_functions import register_relations
 
 #: What a stage returns for an asset; errors are rows with status FAILED.
 RESULT = "asset_key long, status string, keywords array<string>, fields array<string>, field_kind string, message string"
@@ -79,10 +80,10 @@ return select distinct m.asset_key, m.norm from ag_mentions m left semi join (se
 
 
 def register(spark: SparkSession, mentions: DataFrame | None = None) -> list[str]:
-    """Makes the scalar functions known to SQL and, given the mentions (asset_key, norm), the table function ag_expand; returns their names."""
+    """Makes the scalar functions known to SQL, the table function ag_relations and, given the mentions (asset_key, norm), ag_expand; returns their names."""
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"create or replace temporary function {head} return {body}")
-    names = [h.split("(")[0] for h in SQL_FUNCTIONS]
+    names = [*(h.split("(")[0] for h in SQL_FUNCTIONS), register_relations(spark)]
     if mentions is not None:
         mentions.createOrReplaceTempView("ag_mentions")
         spark.sql(EXPAND)

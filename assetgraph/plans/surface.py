@@ -9,9 +9,11 @@ from assetgraph.operators import catalog as c
 from assetgraph.operators import extract
 from assetgraph.operators import graph as g
 from assetgraph.operators import sinks, transforms
-from assetgraph.scratch import fresh_path
+from assetgraph.plans.graph import _KNOWN, _REL
+from assetgraph.scratch import fresh_path, saved
 
 FOCUS = "the"
+BRAND, BRANDS = "Brand#12", 12
 
 
 def q_leaf_meta(spark, sf):
@@ -71,6 +73,23 @@ def q_sql_expand(spark, sf):
     return spark.sql(f"select asset_key, candidate from ag_expand('{FOCUS}')")
 
 
+def q_sql_relations(spark, sf):
+    """The table function that takes a table, over two of them with keys of different types: what documents and suppliers mention beside one
+    entity, what is known of the pairs, and what is to be stored for the others after the answers."""
+    transforms.register(spark)
+    known = saved(g.mentions(fixture(spark, sf, "fx_keywords"), "asset_key", "keyword"), "mentions")
+    known.createOrReplaceTempView("ag_known")
+    g.semantic_relations(fixture(spark, sf, "fx_triples"), known, "asset_key", "pos").createOrReplaceTempView("ag_semantic")
+    table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).createOrReplaceTempView("ag_shipped")
+    return spark.sql(f"""select 'document' as of, cast(asset_key as string) as asset, candidate, status, a, b, related, relation, source from ag_relations(TABLE(
+      select asset_key, norm, cast(null as string) as other, cast(null as boolean) as related, cast(null as string) as answer from ag_known
+      union all select asset_key, a, b, relation <> 'rel3', null from ag_semantic where a = '{FOCUS}' or b = '{FOCUS}'
+      union all select asset_key, norm, '{FOCUS}', null, 'linked' from ag_known where norm like 't%' and norm <> '{FOCUS}'), '{FOCUS}')
+    union all select 'supplier', asset, candidate, status, null, null, null, null, null from ag_relations(TABLE(
+      select concat('s', l_suppkey) as asset, p_brand as norm, cast(null as string) as other, cast(null as boolean) as related from ag_shipped
+      union all select concat('s', l_suppkey), '{BRAND}', p_brand, l_returnflag = 'R' from ag_shipped where p_brand <> '{BRAND}' and l_returnflag <> 'A'), '{BRAND}', {BRANDS})""")
+
+
 def q_graph_sink(spark, sf):
     """Edges that were merged in two steps, first those of finished assets, then all, and read back."""
     live = c.live(fixture(spark, sf, "fx_assets"), null_is_live=True)
@@ -107,6 +126,12 @@ ORACLE = {
  case status when 'SKIPPED' then 'unsupported file' when 'FAILED' then 'no fields' else '' end as message from r""", "fx_assets", "fx_keywords"),
     "q_sql_functions": oracle("select asset_key, logical_path || '/x' as path, file_format as extension, replace(replace(file_name, '_', ''), '.', '') as norm, cast((length(file_name) + 2) // 3 as bigint) as tokens, case when file_size > 0 then 1.0 else 0.0 end::double as confidence from fx_assets", "fx_assets"),
     "q_sql_expand": oracle(f"""with known as (select distinct asset_key, regexp_replace(lower(keyword), '[^a-z0-9一-龥]', '', 'g') as norm from fx_keywords) select k.asset_key, k.norm as candidate from known k where norm not in ('', '{FOCUS}') and exists (select 1 from known f where f.asset_key = k.asset_key and f.norm = '{FOCUS}')""", "fx_keywords"),
+    "q_sql_relations": oracle(f"""with {_KNOWN}, {_REL}, f as (select asset_key, norm, row_number() over (partition by asset_key order by norm) as nth from known where asset_key in (select asset_key from known where norm = '{FOCUS}')),
+ c as (select f.asset_key, norm, least(norm, '{FOCUS}') as a, greatest(norm, '{FOCUS}') as b, relation from f left join rel r on r.asset_key = f.asset_key and r.a = least(norm, '{FOCUS}') and r.b = greatest(norm, '{FOCUS}') where nth <= 30 and norm <> '{FOCUS}'),
+ sh as (select 's' || l_suppkey as asset, p_brand, l_returnflag as flag from lineitem join part on l_partkey = p_partkey), m as (select asset, p_brand, row_number() over (partition by asset order by p_brand) as nth, bool_or(flag = 'R') as r, bool_or(flag <> 'A') as k from sh group by 1, 2)
+ select 'document' as "of", cast(asset_key as varchar) as asset, norm as candidate, case when relation is null then 'unknown' when relation <> 'rel3' then 'related' else 'unrelated' end as status, a, b,
+  case when relation is null then norm like 't%' end as related, case when relation is null then case when norm like 't%' then 'linked' else 'no relation' end end as relation, case when relation is null then 'query-udf' end as source from c
+ union all select 'supplier', asset, p_brand, case when not k then 'unknown' when r then 'related' else 'unrelated' end, null, null, null, null, null from m where nth <= {BRANDS} and p_brand <> '{BRAND}' and asset in (select asset from m where p_brand = '{BRAND}')""", "fx_keywords", "fx_triples"),
     "q_graph_sink": oracle("""with live as (select * from fx_assets where is_valid) select distinct case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end as src, array_to_string(s[1:n], '/') as dst, 'CONTAINS' as type
  from (select string_split(logical_path, '/') as s, unnest([2, 3, 4]) as n from live) union all select logical_path, 'asset:' || asset_key, 'HAS_DATA' from live""", "fx_assets"),
     "q_log_sink": oracle("select asset_key, arg_max(status, seq) filter (where status is not null) as status, arg_max(is_valid, seq) filter (where is_valid is not null) as is_valid from fx_assets_log where seq % 4 <> 0 group by 1", "fx_assets_log"),
