@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.functions.names import sanitize_column
-from assetgraph.sources import delimited, documents, export, external, files, quoted
+from assetgraph.scratch import fresh_path
+from assetgraph.sources import delimited, documents, dumps, export, external, files, quoted
 
 CHUNK, CAP = 1024, 1 << 20
 PREFIX = "data.extern.mysql10_0_0_1_3306"
@@ -97,6 +98,21 @@ def q_file_reassemble(spark, sf):
     return files.reassemble(_chunks(spark, sf), "doc_id", CAP).select("doc_id", F.octet_length("content").alias("n_bytes"), F.md5(F.hex("content")).alias("digest"))
 
 
+def q_dump_scan(spark, sf):
+    """Events as the dump of a time-series store and parts as that of a key-value store, written and read through the data source with filters of the key."""
+    dumps.register_sources(spark)
+    cells = lambda df, key, **values: df.select(key, F.explode(F.create_map(*(x for p, v in values.items() for x in (F.lit(p), v.cast("string"))))).alias("path", "value"))
+    series, pairs = fresh_path(spark, "dump"), fresh_path(spark, "dump")
+    events = cells(table(spark, sf, "events"), F.col("event_id").alias("key"), user=F.col("user_id"), value=F.col("value"), kind=F.nullif("event_type", F.lit("view")), odd=F.col("event_type"))
+    dumps.write_dump(spark, events, [("user", "LONG"), ("value", "DOUBLE"), ("kind", "TEXT"), ("odd", "LONG")], series)
+    parts = cells(table(spark, sf, "part"), F.concat_ws("/", "p_brand", "p_partkey").alias("key"), name=F.col("p_name"), size=F.col("p_size"))
+    dumps.write_dump(spark, parts, [("name", "TEXT"), ("size", "INTEGER")], pairs)
+    read = lambda kind, path: spark.read.format("ag_dump").option("kind", kind).load(path)
+    some = read("timeseries", series).where("time >= 100 and user is not null").select(F.col("time").cast("string").alias("key"), F.coalesce("kind", F.lit("none")).alias("name"), F.coalesce("odd", "user").alias("n"), F.col("value").alias("x"))
+    others = read("keyvalue", pairs).where("key >= 'Brand#12' and key < 'Brand#3'").select("key", "name", F.col("size").cast("long").alias("n"), F.lit(None).cast("double").alias("x"))
+    return some.unionByName(others)
+
+
 def q_show_columns(spark, sf):
     return external.show_columns(fixture(spark, sf, "fx_columns"), PREFIX).select("source_type", "path", "type")
 
@@ -199,6 +215,7 @@ ORACLE = {
     "q_kv_export": oracle(f"with {_PAIRS} select file_no, '{{' || string_agg(cast(to_json(k) as varchar) || ':' || cast(to_json(v) as varchar), ',' order by k) || '}}' as body from pairs group by 1", "fx_kv_lines"),
     "q_document_export": """select c_nationkey, cast(part as int) as part, '{"columns":["c_custkey","c_name"],"rows":[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":' || cast(to_json(c_name) as varchar) || '}', ',' order by c_custkey) || '],"totalRows":' || max(n) || '}' as body
  from (select *, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 25 as part, count(*) over (partition by c_nationkey) as n from customer) group by 1, 2""",
+    "q_dump_scan": "select cast(event_id as varchar) as key, case when event_type = 'view' then 'none' else event_type end as name, user_id as n, value as x from events where event_id >= 100 union all select p_brand || '/' || p_partkey, p_name, cast(p_size as bigint), null from part where p_brand || '/' || p_partkey >= 'Brand#12' and p_brand || '/' || p_partkey < 'Brand#3'",
     "q_external_scan": "select p_brand, count(*) as n, cast(sum(p_size) as bigint) as size from part group by 1",
 }
 _cell = lambda x: f"""case when regexp_matches(coalesce({x}, ''), '[,"' || chr(13) || chr(10) || ']') then '"' || replace({x}, '"', '""') || '"' else coalesce({x}, '') end"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assetgraph.fixtures import fixture, oracle, table
 from assetgraph.operators.extract import route_file
 from assetgraph.scratch import fresh_path
+from assetgraph.sources import dumps
 from assetgraph.streaming import feeds, state
 
 SINCE, LIMIT, WIDTH = 100, 50, "1 hour"
@@ -27,6 +28,14 @@ def q_stream_events_since(spark, sf):
     return feeds.events_since(kept, "seq", (first or 0) + SINCE, LIMIT).select("seq", "level", "text").unionByName(feeds.events_since(kept, "seq", 0, 1000).select("seq", "level", "text").withColumn("text", F.concat(F.lit("all: "), "text")))
 
 
+def q_feed_source(spark, sf):
+    """The events after a number, read by a stream from the segments of a feed."""
+    dumps.register_sources(spark)
+    path = fresh_path(spark, "feed")
+    dumps.append_feed(fixture(spark, sf, "fx_events_log"), path)
+    return state.collect_stream(spark.readStream.format("ag_feed").option("since", str(SINCE)).load(path))
+
+
 def q_dedup_requests(spark, sf):
     return feeds.dedup_requests(fixture(spark, sf, "fx_events_log").select("text", "seq", "level"), "text", "seq")
 
@@ -92,6 +101,7 @@ _LEVEL = "case upper(trim(coalesce(level, ''))) when 'WARNING' then 'WARN' when
 _WINDOWS = f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, {_LEVEL.replace('level', 'event_type')} as level, count(*) as n from events group by 1, 2"
 
 ORACLE = {
+    "q_feed_source": oracle(f"select seq, level, text from fx_events_log where seq > {SINCE}", "fx_events_log"),
     "q_events_since": oracle(f"select seq, {_LEVEL} as level, text from fx_events_log where seq > {SINCE} order by seq desc limit {LIMIT}", "fx_events_log"),
     "q_stream_events_since": f"""with k as (select event_id + 1 as seq, event_type as level, 'user ' || user_id as text from events order by seq desc limit {feeds.RETAINED}),
  s as (select seq, {_LEVEL} as level, text from k where seq > (select min(seq) from k) + {SINCE} order by seq desc limit {LIMIT}), a as (select seq, {_LEVEL} as level, 'all: ' || text as text from k order by seq desc limit 120)
