@@ -129,7 +129,8 @@ def _settle(percent: int):
     """Links across components between the drivers and all members of a group: joins what it finds as it goes, so at most one per member."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "driver"], ascending=[True, False]).drop_duplicates("doc")
+        group["set"] = [np.asarray(g, np.int64).tobytes() for g in group["grams"]]  # a doc_id may have several
+        group = group.sort_values(["doc", "driver"], ascending=[True, False]).drop_duplicates(["doc", "set"])
         docs, labels, drivers = group["doc"].to_numpy(), group["component"].to_numpy().copy(), np.flatnonzero(group["driver"].to_numpy())
         sets = [np.asarray(g, np.int64) for g in group["grams"]]
         size = np.array([len(s) for s in sets])
@@ -184,7 +185,7 @@ def components(docs: DataFrame, shingle: int = 2, percent: int = PERCENT, count:
 
     members = first.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(
-        F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("hub"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1")
+        F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("hub"), F.bit_xor(F.xxhash64("doc", "n")).alias("x0"), F.bit_xor(F.xxhash64("doc", "n", F.lit(1))).alias("x1")
     )
     # buckets of several bands with the very same members are one
     shared = shared.where("size > 1").groupBy("size", F.col("hub.doc").alias("hub"), "x0", "x1").agg(F.min("key").alias("key"), F.min("hub.n").alias("hub_n")).select("key", "size", "hub", "hub_n")

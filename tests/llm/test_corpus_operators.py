@@ -129,6 +129,36 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.components(docs(spark, [])).count() == 0 and neardup.keep_first(docs(spark, []), 2).count() == 0
 
 
+def test_a_doc_id_with_two_texts_keeps_the_links_of_both(spark, monkeypatch):
+    import pandas as pd
+
+    one, two = list(range(100, 120)), list(range(300, 330))
+    rows = [(5, True, 5, one), (5, True, 5, two), (9, False, 9, two), (11, False, 11, one)]
+    for order in (rows, rows[::-1]):
+        found = neardup._settle(80)(pd.DataFrame(order, columns=["doc", "driver", "component", "grams"]))
+        assert set(zip(found["a"], found["b"], strict=True)) == {(5, 9), (5, 11)}
+
+    monkeypatch.setattr(neardup, "PORTION", 3)
+    rng = random.Random(31)
+    first, second = (" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(60)) for _ in range(2))
+    rows = [(50, first), (50, second), *((60 + i, edited(rng, first, 0.03)) for i in range(6)), *((80 + i, edited(rng, second, 0.03)) for i in range(6)), (99, first + " " + second)]
+    want = {i: min(_component(rows, i)) for i, _ in rows}
+    for order in (rows, rows[::-1]):
+        got = neardup.components(docs(spark, order), 2, count=64, rows=2).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def _component(rows, start):
+    """doc_ids reachable over links between any texts."""
+    sets = list(zip([i for i, _ in rows], _sets([t for _, t in rows], 2), strict=True))
+    seen, todo = {start}, [start]
+    while todo:
+        own = [s for i, s in sets if i in seen]
+        todo = [i for i, s in sets if i not in seen and any(100 * len(s & t) >= 80 * len(s | t) for t in own)]
+        seen |= set(todo)
+    return seen
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
