@@ -15,6 +15,7 @@ from assetgraph.plans import extract as x_plans
 from assetgraph.scratch import saved
 
 NODES, WORD, MOST = 20, "re", 16
+BOM_NODES = 20_000
 
 
 def _live(spark, sf):
@@ -185,6 +186,15 @@ def q_node_budget(spark, sf):
     return report.unionByName(kept.select("id", F.lit("node").alias("kind"))).unionByName(own.select(F.concat_ws(">", "src", "dst").alias("id"), F.lit("edge").alias("kind")))
 
 
+def q_graph_signature(spark, sf):
+    """Whether two states of the graph have the same signature: with rows in another order and twice, and without what is not finished."""
+    live = saved(_live(spark, sf), "live")
+    signed = lambda df: g.signature(g.nodes(df, "asset_key", "logical_path", "file_name"), g.edges(df, "asset_key", "logical_path"))
+    whole = signed(live)
+    again, done = signed(live.unionByName(live).repartition("file_name")), signed(live.where("status = 'SUCCESS'"))
+    return live.limit(1).select(F.explode(F.create_map(F.lit("again"), F.lit(whole == again), F.lit("finished"), F.lit(whole == done))).alias("state", "same"))
+
+
 def q_graph_delta(spark, sf):
     live = _live(spark, sf)
     return g.delta(g.edges(live.where("asset_key % 5 <> 0"), "asset_key", "logical_path"), g.edges(live.where("asset_key % 3 <> 0"), "asset_key", "logical_path"), ["src", "dst"])
@@ -317,10 +327,10 @@ def q_projection_sync(spark, sf):
 
 
 def q_bom_budget(spark, sf):
-    components = _parts(spark, sf).where("occ % 10 = 0").select(F.col("occ").alias("id"))
+    components = _parts(spark, sf).select(F.col("occ").alias("id"))
     dims = fixture(spark, sf, "fx_dims").select(F.col("dim").alias("id"))
-    left_out = components.limit(1).select(F.lit("omitted").alias("kind"), F.lit(d.omitted(components, dims, 300)).cast("long").alias("id"))
-    return d.fill_budget(components, dims, 300).unionByName(left_out)
+    left_out = components.limit(1).select(F.lit("omitted").alias("kind"), F.lit(d.omitted(components, dims, BOM_NODES)).cast("long").alias("id"))
+    return d.fill_budget(components, dims, BOM_NODES).unionByName(left_out)
 
 
 def q_bom_related(spark, sf):
@@ -415,6 +425,7 @@ ORACLE = {
  case label when 'LogicalPath' then 36 when 'DataAsset' then 42 else 24 end as size from e join cat using (label)""", "fx_assets"),
     "q_node_budget": oracle(f"""with {_LIVE}, {_TREE}, {_FOUND}, kept as (select id from found order by contains(name, 'src') desc, id limit 60)
  select '60:' || ((select count(*) from found) - 60) || ':true' as id, 'report' as kind union all select id, 'node' as kind from kept union all select src || '>' || dst, 'edge' from links where src in (select id from kept) and dst in (select id from kept)""", "fx_assets"),
+    "q_graph_signature": oracle(f"with {_LIVE} select 'again' as state, true as same where exists (select 1 from live) union all select 'finished', not exists (select 1 from live where status <> 'SUCCESS' or status is null) where exists (select 1 from live)", "fx_assets"),
     "q_graph_delta": oracle("""with p as (select unnest([1, 2, 3, 4]) as n), ex as (select asset_key, logical_path, string_split(logical_path, '/') as s, n from fx_assets, p where is_valid),
  ed as (select asset_key, case when n = 2 then '/' else array_to_string(s[1:n - 1], '/') end as src, array_to_string(s[1:n], '/') as dst from ex where n > 1 union all select asset_key, logical_path, 'asset:' || asset_key from fx_assets where is_valid),
  o as (select distinct src, dst from ed where asset_key % 5 <> 0), w as (select distinct src, dst from ed where asset_key % 3 <> 0)
@@ -457,7 +468,7 @@ ORACLE = {
  targets as (select 'o' || p_partkey as ref, 'o' || p_partkey as owner from part union all select p_brand, 'o' || p_partkey from part)
  select distinct dim, t.owner, e.name as feature from a left join ends e on e.ref = a.ref left join targets t on t.ref = coalesce(e.up, a.ref)""", "fx_dims"),
     "q_projection_sync": "select doc_id, case when doc_id % 4 = 0 then true else not (doc_id % 3 > doc_id % 2 or (doc_id % 3 = doc_id % 2 and doc_id % 7 = doc_id % 5)) end as replace from documents",
-    "q_bom_budget": oracle("with co as (select occ as id from fx_parts where occ % 10 = 0) select 'component' as kind, id from co union all select 'dimension', id from (select dim as id from fx_dims order by dim limit (select greatest(0, 300 - count(*)) from co)) union all select 'omitted', greatest(0, (select count(*) from fx_dims) - (select greatest(0, 300 - count(*)) from co))", "fx_parts", "fx_dims"),
+    "q_bom_budget": oracle(f"with co as (select occ as id from fx_parts) select 'component' as kind, id from co union all select 'dimension', id from (select dim as id from fx_dims order by dim limit (select greatest(0, {BOM_NODES} - count(*)) from co)) union all select 'omitted', greatest(0, (select count(*) from fx_dims) - (select greatest(0, {BOM_NODES} - count(*)) from co))", "fx_parts", "fx_dims"),
     "q_bom_related": _recursive("with b as (select cast(2 as bigint) as occ union select p.occ from fx_parts p join b on p.parent = b.occ) select dim, target from fx_dims where target in (select occ from b)", "fx_parts", "fx_dims"),
     "q_bom_evidence": oracle("""with e as (select *, bool_or(kind = 'R') over (partition by target) as has from fx_dims where target is not null) select target as node, dim as ref from e where (kind = 'R' or not has) and nominal % 2 = 0 and target not in (select occ from fx_parts where parent is null)""", "fx_dims", "fx_parts"),
 }
