@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.functions.paths import strip
+from assetgraph.operators.suffixes import suffixed
 
 
 def sanitize_column(c: Column) -> Column:
@@ -45,14 +46,7 @@ def display_name(c: Column) -> Column:
 def dedup_headers(df: DataFrame, group: str, position: str, name: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds `header`: blanks become `column_<position>`, repeats get `_2`, `_3` and so on within their group.
 
-    A name that an earlier column has by its suffix moves on to the next one, in rounds until all names of a group differ.
+    A name that an earlier column has by its suffix moves on to the next one that is free.
     """
     filled = df.withColumn("_name", F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", F.concat(F.lit("column_"), F.col(position))).otherwise(F.trim(F.col(name))))
-    header = F.when(F.col("_nth") == 1, F.col("_name")).otherwise(F.concat_ws("_", "_name", "_nth"))
-    rows = filled.withColumn("_nth", F.row_number().over(Window.partitionBy(group, "_name").orderBy(position)))
-    while True:
-        rows = rows.withColumn("header", header)
-        rows = save(rows.withColumn("_late", F.row_number().over(Window.partitionBy(group, "header").orderBy(position)) > 1))
-        if rows.where("_late").isEmpty():
-            return rows.drop("_name", "_nth", "_late")
-        rows = rows.withColumn("_nth", F.col("_nth") + F.col("_late").cast("int"))
+    return suffixed(filled, group, position, "_name", "_", "header", save).drop("_name")
