@@ -112,21 +112,33 @@ def final_keywords(answers: DataFrame, fallback: DataFrame, key: str, kind: str
 
 def document_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, evidence: str = "evidence", most: int = 160) -> DataFrame:
     """Triples of documents (key, order, subject, predicate, object, evidence), uncapped: ends are keywords, the predicate has 1 to 64 characters, the evidence is not empty."""
-    told = triples.withColumn(evidence, bounded_summary(F.col(evidence), most)).withColumn("predicate", strip(F.coalesce("predicate", F.lit("")))).where(F.col(evidence) != "")
-    kept = admitted_triples(told, keywords, key, order, None, self_loops=True, max_predicate=64)
-    return kept.join(told.select(key, order, "subject", "predicate", "object", evidence), [key, order, "subject", "predicate", "object"])
+    named = triples.withColumn("predicate", strip(F.coalesce("predicate", F.lit(""))))
+    good = _admitted(named, keywords, key, self_loops=True, max_predicate=64)
+    told = good.withColumn(evidence, bounded_summary(F.col(evidence), most)).where(F.col(evidence) != "")
+    first = told.withColumn("_nth", F.rank().over(Window.partitionBy(key, "subject", "predicate", "object").orderBy(order))).where("_nth = 1")
+    return first.select(key, order, "subject", "predicate", "object", evidence)
 
 
-def admitted_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, cap: int | None, self_loops: bool, max_predicate: int | None = None) -> DataFrame:
-    """Triples (key, order, subject, predicate, object) whose ends are keywords (key, keyword) of their asset, each once, the first ones by order; all of them without a cap."""
+def between(rows: DataFrame, words: DataFrame, key: str, word: str, begin: str, end: str, self_loops: bool) -> DataFrame:
+    """The rows whose begin and end are both words (key, word) of their asset. The words of an asset, some hundred at most, meet its rows as one set, so rows are shuffled by key
+    alone, and not at all where they lie by it already; what is grouped by key and more afterwards stays there."""
+    own = words.groupBy(F.col(key).alias("_a")).agg(F.collect_set(word).alias("_words"))
+    # one condition, so that no part of it goes below the join, where the ends would be worked out once more
+    apart = F.lit(True) if self_loops else F.col(begin) != F.col(end)
+    both = F.when(F.array_contains("_words", F.col(begin)), F.array_contains("_words", F.col(end)) & apart).otherwise(False)
+    return rows.join(own, F.col(key) == F.col("_a")).where(both).drop("_a", "_words")
+
+
+def _admitted(triples: DataFrame, keywords: DataFrame, key: str, self_loops: bool, max_predicate: int | None) -> DataFrame:
     good = triples.where("predicate <> ''")
-    if not self_loops:
-        good = good.where("subject <> object")
     if max_predicate:
         good = good.where(F.length("predicate") <= max_predicate)
-    known = keywords.select(F.col(key).alias("_a"), F.col("keyword").alias("_k")).distinct()
-    for end in ("subject", "object"):
-        good = good.join(known, (F.col(key) == F.col("_a")) & (F.col(end) == F.col("_k")), "left_semi")
+    return between(good, keywords, key, "keyword", "subject", "object", self_loops)
+
+
+def admitted_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, cap: int | None, self_loops: bool, max_predicate: int | None = None) -> DataFrame:
+    """Triples (key, order, subject, predicate, object) whose ends are keywords (key, keyword) of their asset, each once, the first ones by order; all of them without a cap."""
+    good = _admitted(triples, keywords, key, self_loops, max_predicate)
     once = good.groupBy(key, "subject", "predicate", "object").agg(F.min(order).alias(order))
     if cap is None:
         return once

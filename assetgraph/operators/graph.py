@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetgraph.functions.names import display_name, entity_norm
 from assetgraph.functions.paths import asset_path, leaf_name, normalize_path, parent_path, path_chain
 from assetgraph.functions.text import dedup_strings
+from assetgraph.operators.extract import between
 
 FOCUS_ASSETS, CANDIDATES = 8, 30
 SIZES = {"LogicalPath": 36, "DataAsset": 42, "Entity": 30}
@@ -68,10 +69,8 @@ def entities(keywords: DataFrame, key: str, order: str, word: str) -> DataFrame:
 
 def semantic_relations(triples: DataFrame, known: DataFrame, key: str, order: str, label: str = "DataAsset") -> DataFrame:
     """(key, a, b, relation, reversed, asset_ref): one undirected edge for each pair of an asset's entities, the last relation wins; asset_ref is `Label::key`."""
-    rows = triples.where("predicate <> ''").select(key, order, "predicate", entity_norm(F.col("subject")).alias("_s"), entity_norm(F.col("object")).alias("_o")).where("_s <> '' and _o <> '' and _s <> _o")
-    own = known.select(F.col(key).alias("_k"), F.col("norm").alias("_n"))
-    for end in ("_s", "_o"):
-        rows = rows.join(own, (F.col(key) == F.col("_k")) & (F.col(end) == F.col("_n")), "left_semi")
+    rows = triples.where("predicate <> ''").select(key, order, "predicate", entity_norm(F.col("subject")).alias("_s"), entity_norm(F.col("object")).alias("_o"))
+    rows = between(rows, known.where("norm <> ''"), key, "norm", "_s", "_o", self_loops=False)
     pairs = rows.select(key, order, F.least("_s", "_o").alias("a"), F.greatest("_s", "_o").alias("b"), "predicate", (F.col("_s") > F.col("_o")).alias("_r"))
     last = pairs.groupBy(key, "a", "b").agg(F.max(F.struct(order, "predicate", "_r")).alias("_x"))
     return last.select(key, "a", "b", F.col("_x.predicate").alias("relation"), F.col("_x._r").alias("reversed"), F.concat(F.lit(f"{label}::"), key).alias("asset_ref"))
