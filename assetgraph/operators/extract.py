@@ -22,14 +22,16 @@ IMAGES, OFFICE = ("jpg", "jpeg", "png", "bmp", "gif", "webp"), ("doc", "docx", "
 TRIPLE = "array<struct<subject:string,predicate:string,relation:string,object:string>>"
 
 
-def fields(columns: DataFrame, asset: str, order: str, name: str, drop: tuple[str, ...] = (), cap: int = FIELD_CAP) -> DataFrame:
-    """(asset, fields): normalised names in order, each once. Names in drop go unless nothing else is left."""
+def fields(columns: DataFrame, asset: str, order: str, name: str, drop: tuple[str, ...] = (), cap: int | None = FIELD_CAP) -> DataFrame:
+    """(asset, fields): normalised names in order, each once, all of them without a cap. Names in drop go unless nothing else is left."""
     named = columns.select(asset, F.col(order).alias("_o"), normalize_field(F.col(name)).alias("_n")).where("_n <> ''")
     first = named.groupBy(asset, "_n").agg(F.min("_o").alias("_o"))
-    kept = first.withColumn("_nth", F.row_number().over(Window.partitionBy(asset).orderBy(F.col("_n").isin(*drop) if drop else F.lit(0), "_o", "_n"))).where(F.col("_nth") <= cap + len(drop))
+    nth = F.row_number().over(Window.partitionBy(asset).orderBy(F.col("_n").isin(*drop) if drop else F.lit(0), "_o", "_n"))
+    kept = first if cap is None else first.withColumn("_nth", nth).where(F.col("_nth") <= cap + len(drop))
     listed = kept.groupBy(asset).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_n"))), lambda x: x["_n"]).alias("_all"))
     rest = F.filter("_all", lambda x: ~x.isin(*drop)) if drop else F.col("_all")
-    return listed.select(asset, F.slice(F.when(F.size(rest) > 0, rest).otherwise(F.col("_all")), 1, cap).alias("fields"))
+    chosen = F.when(F.size(rest) > 0, rest).otherwise(F.col("_all"))
+    return listed.select(asset, (chosen if cap is None else F.slice(chosen, 1, cap)).alias("fields"))
 
 
 def value_fields(values: DataFrame, asset: str, order: str, value: str, cap: int = FIELD_CAP) -> DataFrame:
