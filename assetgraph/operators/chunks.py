@@ -1,6 +1,6 @@
 """Packing of a document's units into requests that keep several budgets at once: tokens, bytes of JSON, images and characters.
 
-Costs of a unit are column expressions. A unit that is too large by itself is cut first, in the task that reads it. What is then brought together for each
+Costs of a unit are counted on its bytes of UTF-8, many units at once. A unit that is too large by itself is cut then, in the task that reads it. What is then brought together for each
 document is numbers alone: prefix sums of every cost, in which bisection finds the furthest unit that still fits all budgets.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a request has besides its units.
@@ -29,22 +29,21 @@ class Budgets:
     image_tokens: int = 0
 
 
-def token_count(c: Column) -> Column:
-    """A third of the ASCII characters, rounded up, and two for each other."""
-    other = F.length(F.regexp_replace(c, r"[\x00-\x7f]", ""))
-    return (F.floor((F.length(c) - other + 2) / 3) + 2 * other).cast("long")
-
-
-def json_bytes(c: Column) -> Column:
-    """Bytes of a text within JSON's quotes, with all but printable ASCII escaped."""
-    count = lambda pattern: F.length(F.regexp_replace(c, pattern, ""))
-    short, plain = count(r'[^"\\\n\r\t\x08\f]'), count(r'[^ !#-\[\]-~]')
-    far = count(r"[^\x{10000}-\x{10ffff}]")
-    return (plain + 2 * short + 12 * far + 6 * (F.length(c) - plain - short - far)).cast("long")
-
-
 _TWICE = np.zeros(128, bool)
 _TWICE[[ord(x) for x in '"\\\n\r\t\b\f']] = True
+#: By a byte of UTF-8: what its character takes within JSON's quotes, all but printable ASCII escaped; bytes that go on with a character take nothing.
+_JSON = np.array([2 if b < 128 and _TWICE[b] else 1 if 32 <= b < 127 else 6 if b < 128 else 0 if b < 0xC0 else 6 if b < 0xF0 else 12 for b in range(256)])
+_SLICE = 256  # rows that are counted at once
+
+
+def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ASCII characters, others and JSON bytes of each text."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    marks = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    of = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at - at[0]])
+    return of(marks < 128), of(marks >= 0xC0), of(_JSON[marks])
 
 
 def _sums(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,35 +75,50 @@ def cut_text(text: str, fits: Callable[[int, int, int], bool]) -> list[tuple[int
 
 
 def fragments(units: DataFrame, key: str, order: str, budgets: Budgets) -> DataFrame:
-    """(key, order, part, begin, end, tokens, bytes, images, chars) of the units (key, order, location, text, has_image), those that are too large cut. The location counts for every part."""
+    """(key, order, part, begin, end, tokens, bytes, images, chars) of the units (key, order, location, text, has_image), those that are too large cut. The location counts for every part.
+    Tokens: a third of the ASCII characters, rounded up, and two for each other."""
     place, text = F.coalesce("location", F.lit("")), F.coalesce("text", F.lit(""))
     image = F.coalesce(F.col("has_image"), F.lit(False)).cast("long")
-    frame = json_bytes(place) + len('{"location": "", "text": ""}') + 2  # and the comma before it
-    base = units.select(key, order, text.alias("text"), place.alias("place"), image.alias("images"), frame.alias("frame"))
-    tokens = token_count(F.concat("place", "text")) + F.col("images") * budgets.image_tokens
-    costs = base.withColumns({"tokens": tokens, "bytes": json_bytes(F.col("text")) + F.col("frame"), "chars": F.length("text").cast("long")})
-    large = (F.col("tokens") > budgets.tokens) | (F.col("bytes") + OVERHEAD_BYTES > budgets.bytes_) | (F.col("chars") > budgets.chars)
     names = (key, order, "part", "begin", "end", "tokens", "bytes", "images", "chars")
-    whole = costs.where(~large).select(key, order, F.lit(0).alias("part"), F.lit(0).alias("begin"), F.col("chars").cast("int").alias("end"), *names[5:])
+    brackets = len('{"location": "", "text": ""}') + 2  # and the comma before it
+
+    def costs(low: np.ndarray, other: np.ndarray, size: np.ndarray, place_low: np.ndarray, place_other: np.ndarray, frame: np.ndarray, images: np.ndarray):
+        return (low + place_low + 2) // 3 + 2 * (other + place_other) + images * budgets.image_tokens, size + frame, low + other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list[int]] = []
-            of: list[int] = []
-            for i, (body, where, images, own) in enumerate(zip(*(b.column(n).to_pylist() for n in ("text", "place", "images", "frame")), strict=True)):
-                ascii_ = sum(ord(c) < 128 for c in where)
-                tokens_ = lambda a, o, ascii_=ascii_, where=where, images=images: (a + ascii_ + 2) // 3 + 2 * (o + len(where) - ascii_) + images * budgets.image_tokens
-                fits = lambda a, o, size, own=own, tokens_=tokens_: tokens_(a, o) <= budgets.tokens and size + own + OVERHEAD_BYTES <= budgets.bytes_ and a + o <= budgets.chars
-                low, size, _ = _sums(body)
-                for n, (x, y) in enumerate(cut_text(body, fits)):
-                    a = int(low[y] - low[x])
-                    rows.append([n, x, y, tokens_(a, y - x - a), int(size[y] - size[x]) + own, images, y - x])
-                    of.append(i)
-            at = pa.array(of, pa.int64())
-            types = (pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(order).take(at), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], list(names))
-
-    return whole.unionByName(costs.where(large).mapInArrow(run, whole.schema))
+        for b in (whole.slice(k, _SLICE) for whole in batches for k in range(0, whole.num_rows, _SLICE)):
+            images = b.column("images").to_numpy()
+            place_low, place_other, frame = _counts(b.column("place"))
+            own = place_low, place_other, frame + brackets, images
+            low, other, size = _counts(b.column("text"))
+            tokens, bytes_, chars = costs(low, other, size, *own)
+            large = (tokens > budgets.tokens) | (bytes_ + OVERHEAD_BYTES > budgets.bytes_) | (chars > budgets.chars)
+            fit = np.flatnonzero(~large)
+            none = np.zeros(len(fit), np.int64)
+            found = [np.stack([fit, none, none, chars[fit], tokens[fit], bytes_[fit], images[fit], chars[fit]])]
+            for i in np.flatnonzero(large):
+                mine = [x[i] for x in own]
+
+                def fits(a, o, size, mine=mine):
+                    t, s, c = costs(a, o, size, *mine)
+                    return t <= budgets.tokens and s + OVERHEAD_BYTES <= budgets.bytes_ and c <= budgets.chars
+
+                body = b.column("text")[int(i)].as_py()
+                low_, size_, _ = _sums(body)
+                cuts = np.array(cut_text(body, fits))
+                x, y = cuts[:, 0], cuts[:, 1]
+                a = low_[y] - low_[x]
+                t, s, c = costs(a, y - x - a, size_[y] - size_[x], *mine)
+                found.append(np.stack([np.full(len(cuts), i), np.arange(len(cuts)), x, y, t, s, np.full(len(cuts), images[i]), c]))
+            of, *columns = np.concatenate(found, axis=1)
+            at = pa.array(of)
+            types = (*[pa.int32()] * 3, *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(order).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], list(names))
+
+    base = units.select(key, order, text.alias("text"), place.alias("place"), image.alias("images"))
+    kinds = dict(base.dtypes)
+    schema = [f"`{n}` {kinds[n]}" for n in (key, order)] + [f"`{n}` int" for n in names[2:5]] + [f"`{n}` long" for n in names[5:]]
+    return base.mapInArrow(run, ", ".join(schema))
 
 
 def furthest(sums: list[np.ndarray], budgets: list[int]) -> np.ndarray:

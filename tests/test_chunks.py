@@ -51,3 +51,20 @@ def test_units_are_packed_as_one_after_the_other(spark):
         got = {d: [[(n, t) for n, _, t in sorted(c[k])] for k in sorted(c)] for d, c in found.items()}
         assert got == {d: _pack(units, b) for d, units in docs.items()}
     assert chunks.pack_units(df.limit(0), "doc", "pos", b).count() == 0
+
+
+def test_a_text_is_read_once_and_cut_in_one_pass(spark, sf):
+    from assetgraph.plans.extract import QUERIES
+
+    plan = QUERIES["q_pack_units"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "substring(text" not in plan
+
+
+def test_units_of_lengths_around_a_multiple(spark, tmp_path):
+    from assetgraph.plans.extract import QUERIES, UNIT
+
+    lengths = {1: 0, 2: UNIT - 1, 3: UNIT, 4: UNIT + 1, 5: 3 * UNIT}
+    rows = [(d, ("a𝄞\n" * n)[:n], "s", "en") for d, n in lengths.items()] + [(6, None, "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, r.pos, r.begin, r.end) for r in QUERIES["q_pack_units"](spark, str(tmp_path)).collect())
+    assert found == [(d, k, 0, min(UNIT, n - k * UNIT)) for d, n in lengths.items() for k in range(n // UNIT + 1)]
