@@ -95,6 +95,6 @@ class Relations:
 
 
 def register_relations(spark: SparkSession, name: str = "ag_relations") -> str:
-    """Makes the table function known to SQL; rows go to and from it as Arrow batches."""
-    spark.udtf.register(name, F.udtf(Relations, useArrow=True))
+    """Makes the table function known to SQL. With Arrow, each row that goes in would make a batch of what comes out, mostly an empty one; rows go in batches of rows."""
+    spark.udtf.register(name, F.udtf(Relations, useArrow=False))
     return name

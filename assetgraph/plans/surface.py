@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetgraph.fixtures import fixture, oracle, table
+from assetgraph.functions.names import entity_norm
 from assetgraph.operators import catalog as c
 from assetgraph.operators import extract
 from assetgraph.operators import graph as g
@@ -78,15 +79,22 @@ def q_sql_relations(spark, sf):
     entity, what is known of the pairs, and what is to be stored for the others after the answers."""
     transforms.register(spark)
     known = saved(g.mentions(fixture(spark, sf, "fx_keywords"), "asset_key", "keyword"), "mentions")
-    known.createOrReplaceTempView("ag_known")
-    g.semantic_relations(fixture(spark, sf, "fx_triples"), known, "asset_key", "pos").createOrReplaceTempView("ag_semantic")
-    table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).createOrReplaceTempView("ag_shipped")
+    # assets that don't mention the focus have no candidates, so their words and triples go no further
+    focused = known.where(F.col("norm") == FOCUS).select("asset_key")
+    around = known.join(focused, "asset_key", "left_semi")
+    around.createOrReplaceTempView("ag_known")
+    triples = fixture(spark, sf, "fx_triples").join(focused, "asset_key", "left_semi")
+    triples = triples.where((entity_norm(F.col("subject")) == FOCUS) | (entity_norm(F.col("object")) == FOCUS))
+    g.semantic_relations(triples, around, "asset_key", "pos").createOrReplaceTempView("ag_semantic")
+    shipped = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    # equal facts say the same, so a supplier has one row for each brand and flag, however much it ships
+    saved(shipped.select("l_suppkey", "p_brand", "l_returnflag").distinct(), "shipped").createOrReplaceTempView("ag_shipped")
     return spark.sql(f"""select 'document' as of, cast(asset_key as string) as asset, candidate, status, a, b, related, relation, source from ag_relations(TABLE(
       select asset_key, norm, cast(null as string) as other, cast(null as boolean) as related, cast(null as string) as answer from ag_known
       union all select asset_key, a, b, relation <> 'rel3', null from ag_semantic where a = '{FOCUS}' or b = '{FOCUS}'
       union all select asset_key, norm, '{FOCUS}', null, 'linked' from ag_known where norm like 't%' and norm <> '{FOCUS}'), '{FOCUS}')
     union all select 'supplier', asset, candidate, status, null, null, null, null, null from ag_relations(TABLE(
-      select concat('s', l_suppkey) as asset, p_brand as norm, cast(null as string) as other, cast(null as boolean) as related from ag_shipped
+      select distinct concat('s', l_suppkey) as asset, p_brand as norm, cast(null as string) as other, cast(null as boolean) as related from ag_shipped
       union all select concat('s', l_suppkey), '{BRAND}', p_brand, l_returnflag = 'R' from ag_shipped where p_brand <> '{BRAND}' and l_returnflag <> 'A'), '{BRAND}', {BRANDS})""")
 
 

@@ -51,3 +51,13 @@ def test_arguments_that_do_not_fit(spark):
     for table, rest in (("select 1 as k, 2 as norm, 'b' as other, true as related", "'a'"), ("select norm, other, related from fits", "'a'"), ("select * from fits", "3"), ("select * from fits", "'a', 0")):
         with pytest.raises(Exception, match="ag_relations needs"):
             spark.sql(f"select * from ag_relations(TABLE({table}), {rest})").collect()
+
+
+def test_the_query_passes_facts_once_and_around_the_focus(spark, sf):
+    from assetgraph.plans.surface import QUERIES
+
+    QUERIES["q_sql_relations"](spark, sf)
+    shipped = spark.table("ag_shipped")
+    assert shipped.count() == shipped.distinct().count()
+    known = spark.table("ag_known")
+    assert known.select("asset_key").distinct().count() == known.where("norm = 'the'").count() > 0
