@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,15 @@ def normalize_column(c: Column) -> Column:
     return F.regexp_extract(inner, r"([^.]*)$", 1)
 
 
+_ALNUM = string.ascii_lowercase + string.digits
+_MARKS = "".join(c for c in map(chr, range(1, 128)) if c not in _ALNUM)
+
+
 def entity_norm(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9一-龥]", "")
+    """In lower case, without characters outside letters, digits and Han. Only words with others than ASCII need the pattern, which would take most of the time."""
+    low = F.translate(F.lower(c), _MARKS, "")
+    plain = F.translate(low, _ALNUM, "") == ""
+    return F.when(plain, low).otherwise(F.regexp_replace(low, "[^a-z0-9一-龥]", ""))
 
 
 def display_name(c: Column) -> Column:

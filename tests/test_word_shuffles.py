@@ -30,3 +30,22 @@ def test_equal_triples_with_several_evidences(spark):
     triples = spark.createDataFrame(rows, "k long, pos int, subject string, predicate string, object string, evidence string")
     keywords = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, None)], "k long, keyword string")
     assert sorted((r.k, r.pos, r.evidence) for r in x.document_triples(triples, keywords, "k", "pos").collect()) == [(1, 1, "one"), (1, 1, "two")]
+
+
+def test_norms_by_the_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from assetgraph.functions.names import entity_norm
+
+    words = ["", "Ab", "a-b_c.", "É9x", "龥!", "𝄞a", "İx", "K", "\x00a\x7f", "no pattern", None, "ß.", *map(chr, range(1, 700))]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", entity_norm(F.col("w")).alias("n"), F.regexp_replace(F.lower("w"), "[^a-z0-9一-龥]", "").alias("p")).collect()
+    assert [r.n for r in rows] == [r.p for r in rows]
+
+
+def test_norms_of_ascii_need_no_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from assetgraph.functions.names import entity_norm
+
+    plan = _plan(spark.range(1).select(entity_norm(F.col("id").cast("string"))))
+    assert "CASE WHEN" in plan and plan.index("translate") < plan.index("regexp_replace")
