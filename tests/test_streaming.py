@@ -131,3 +131,21 @@ def test_directories_over_several_batches_equal_one_roll_up(spark, tmp_path):
         want = roll_up(spark.createDataFrame(list(now.values()), schema), "asset_key", "logical_path", "keywords", saved)
         got = sink.table(spark)
         assert sorted((r.path, r.status, sorted(r.keywords or [])) for r in got.collect()) == sorted((r.path, r.status, sorted(r.keywords or [])) for r in want.collect())
+
+
+def test_last_values_go_by_rows():
+    """No data frame is made for a key."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    kept = {}
+    one = {}
+    cells = SimpleNamespace(iterator=lambda: iter(list(kept.items())), updateValue=lambda k, v: kept.update({k: v}))
+    revision = SimpleNamespace(get=lambda: one.get("n"), update=lambda v: one.update(n=v))
+    last = state.LastValues("seq", ["a", "b"])
+    last.init(SimpleNamespace(getMapState=lambda *_: cells, getValueState=lambda *_: revision))
+    rows = lambda *r: iter([Row(k=1, seq=s, a=a, b=b) for s, a, b in r])
+    assert list(last.handleInputRows((1,), rows((2, "x", None), (1, "y", "z"), (2, "w", None)), None)) == [Row(**{"key": 1, state.REVISION: 1, "a__seq": 2, "a": "x", "b__seq": 1, "b": "z"})]
+    assert list(last.handleInputRows((1,), rows((1, "late", None), (0, None, "old")), None)) == []
+    assert list(last.handleInputRows((1,), rows((3, None, "new")), None)) == [Row(**{"key": 1, state.REVISION: 2, "a__seq": 2, "a": "x", "b__seq": 3, "b": "new"})]
