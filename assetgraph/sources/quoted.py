@@ -21,6 +21,7 @@ from assetgraph.operators.ordered import ordinals
 from assetgraph.sources.delimited import RANGE, detect_delimiter
 
 MAX_RECORD = 2 << 20
+BLOCK = 64  # records that meet their header in one place
 DELIMITERS = (",", ";", "\t")
 _INNER = r'[^"]*+(?:""[^"]*+)*+'
 _QUOTED = f'"{_INNER}"'
@@ -64,8 +65,11 @@ def _turns(df: DataFrame, group: list[str], order: str) -> DataFrame:
 def record_starts(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line", span: int = RANGE) -> DataFrame:
     """(file, line_no, line, delimiter, record): record is the number of the line that its record begins with."""
     rows = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.coalesce(F.col(line), F.lit("")).alias("line"))
+    rows = rows.withColumn("range", F.floor(F.col("line_no") / span))
     heads = rows.where("line <> ''").groupBy("file").agg(detect_delimiter(F.min_by("line", "line_no")).alias("delimiter"))
-    steps = _steps(rows.join(heads, "file")).withColumn("range", F.floor(F.col("line_no") / span))
+    # every range gets its file's delimiter first, so that a file's lines are never brought together
+    heads = rows.select("file", "range").distinct().join(heads, "file").select("file", "range", "delimiter")
+    steps = _steps(rows.join(heads, ["file", "range"]))
     steps = _turns(steps, ["file", "range"], "line_no")
     # a range as one step: what it settles, and turns since that or in all
     settled = F.col("_c").isNotNull()
@@ -101,6 +105,9 @@ def parse_quoted(starts: DataFrame, most: int = MAX_RECORD) -> DataFrame:
     inner = lambda x: F.concat(F.replace(F.regexp_extract(x, rf'(?s)^"({_INNER})"', 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, rf"(?s)^{_QUOTED}(.*)$", 1))
     cells = F.transform(cut, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
     numbered = ordinals(records.select("file", "record", cells.alias("_cells")), "file", "record", "_at")
+    numbered = numbered.withColumn("_block", F.floor(F.col("_at") / BLOCK))
     names = numbered.where("_at = 0").select("file", F.col("_cells").alias("_names"))
-    rows = numbered.where("_at > 0").join(names, "file").select("file", (F.col("_at") - 1).alias("key"), "_cells", F.posexplode("_names").alias("pos", "_name"))
+    # every block of records gets its file's header, for the same reason
+    names = numbered.where("_at > 0").select("file", "_block").distinct().join(names, "file").select("file", "_block", "_names")
+    rows = numbered.where("_at > 0").join(names, ["file", "_block"]).select("file", (F.col("_at") - 1).alias("key"), "_cells", F.posexplode("_names").alias("pos", "_name"))
     return rows.select("file", "key", "pos", sanitize_column(F.col("_name")).alias("name"), F.coalesce(F.get("_cells", F.col("pos")), F.lit("")).alias("value"))

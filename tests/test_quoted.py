@@ -50,3 +50,11 @@ def test_odd_quoted_text(spark):
     assert [(r.file, r.record) for r in quoted.oversized(starts, 100).collect()] == [(7, 2)]
     assert {(r.key, r.value) for r in quoted.parse_quoted(starts, 100).collect()} == {(0, "1"), (0, "2")}
     assert quoted.parse_quoted(quoted.record_starts(_lines(spark, {1: "x"}).limit(0))).count() == 0
+
+
+def test_a_file_is_not_brought_together(spark):
+    """Records of a file meet its header by blocks, not by the file."""
+    found = quoted.parse_quoted(quoted.record_starts(_lines(spark, {1: 'id;text\n1;"a\nb"\n2;c'})))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert "_block#" in joins[0]
+    assert sorted((r.key, r.name, r.value) for r in found.collect()) == [(0, "id", "1"), (0, "text", "a\nb"), (1, "id", "2"), (1, "text", "c")]
