@@ -49,3 +49,12 @@ def test_norms_of_ascii_need_no_pattern(spark):
 
     plan = _plan(spark.range(1).select(entity_norm(F.col("id").cast("string"))))
     assert "CASE WHEN" in plan and plan.index("translate") < plan.index("regexp_replace")
+
+
+def test_tasks_grow_with_the_texts(spark):
+    from assetgraph.fixtures import word_tasks
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = spark.createDataFrame([(i, "é" * 50 if i else None) for i in range(41)], "doc_id long, text string")
+    assert word_tasks(spark, texts, 100) == max(least, 40) and word_tasks(spark, texts, 1) == 4000
+    assert word_tasks(spark, texts) == word_tasks(spark, texts.limit(0)) == least
