@@ -10,6 +10,8 @@ from assetgraph.scratch import fresh_path
 from assetgraph.sources import delimited, documents, dumps, export, external, files, quoted
 
 CHUNK, CAP = 1024, 1 << 20
+#: Orders whose texts one task has.
+TASK_ORDERS = 25_000
 PREFIX = "data.extern.mysql10_0_0_1_3306"
 
 
@@ -80,7 +82,10 @@ def q_json_flat_kv(spark, sf):
 def q_xml_documents(spark, sf):
     """Orders with an attribute, a nested part and their lines as repeated children."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("line"))  # seven at most
-    orders = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf, "orders")
+    # a few bytes of an order become a whole text, so their number says how many tasks there are, not the bytes
+    dealt = orders.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // TASK_ORDERS)), "o_orderkey")
+    orders = dealt.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     shape = F.struct(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"), F.lit("").alias("note")).alias("info"), "line")
     texts = orders.select(F.col("o_orderkey").alias("order_no"), F.to_xml(shape, {"attributePrefix": "_"}).alias("body"))
     return documents.shred(documents.xml_documents(texts, "order_no", "body"), "order_no").drop("doc_no")

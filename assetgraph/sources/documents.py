@@ -6,10 +6,13 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from json.encoder import encode_basestring as quoted
+from operator import or_
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.scratch import saved
@@ -29,16 +32,35 @@ def split_documents(df: DataFrame, key: str, body: str) -> DataFrame:
     return listed.select(key, F.posexplode(flat).alias("doc_no", "doc"))
 
 
+_PLAIN = r"r'^[a-zA-Z_@$-][a-zA-Z0-9_@$-]*\z'"
 _NAME = r"regexp_replace(regexp_replace(regexp_replace(coalesce({k}, ''), r'^[\x00-\x20]+|[\x00-\x20]+$', ''), '[^a-zA-Z0-9_@$-]', '_'), '^([0-9])', 'c_$1')"
+# _kind is looked up once for each node, when it is made; that of an object or a list goes through all that is in it
 _EXPAND = f"""flatten(transform(_nodes, n -> case
   when n.t is not null or n.v is null then array(n)
-  when schema_of_variant(n.v) like 'OBJECT%' then transform(map_entries(cast(n.v as map<string, variant>)), e -> named_struct(
-    'path', concat(n.path, if(n.path = '', '', '.'), {_NAME.format(k="e.key")}), 'elem', n.elem,
-    't', if(schema_of_variant(e.value) like 'OBJECT%' and try_variant_get(e.value, '$["$oid"]', 'string') is not null, concat('ObjectId("', try_variant_get(e.value, '$["$oid"]', 'string'), '")'), cast(null as string)), 'v', e.value))
-  when schema_of_variant(n.v) like 'ARRAY%' then transform(cast(n.v as array<variant>), (x, i) -> named_struct('path', n.path, 'elem', n.elem + i, 't', cast(null as string), 'v', x))
+  when startswith(n._kind, 'OBJECT') then transform(map_entries(cast(n.v as map<string, variant>)), e -> named_struct(
+    'path', concat(n.path, if(n.path = '', '', '.'), if(e.key rlike {_PLAIN}, e.key, {_NAME.format(k="e.key")})), 'elem', n.elem,
+    't', concat('ObjectId("', try_variant_get(e.value, '$["$oid"]', 'string'), '")'), 'v', e.value, '_kind', schema_of_variant(e.value)))
+  when startswith(n._kind, 'ARRAY') then transform(cast(n.v as array<variant>), (x, i) -> named_struct('path', n.path, 'elem', n.elem + i, 't', cast(null as string), 'v', x, '_kind', schema_of_variant(x)))
   else array(n) end))"""
 
 
+def _begins(kind: Column, *names: str) -> Column:
+    return reduce(or_, (F.startswith(kind, F.lit(n)) for n in names))
+
+
+def _leaf_type(n: Column) -> Column:
+    kind = n["_kind"]
+    return (
+        F.when(n["t"].isNotNull() | (kind == "STRING"), "text").when(kind == "BIGINT", F.when(F.to_json(n["v"]).try_cast("int").isNotNull(), "integer").otherwise("long")).when(kind == "BOOLEAN", "boolean")
+        .when(_begins(kind, "DECIMAL", "DOUBLE", "FLOAT"), "double").when(_begins(kind, "OBJECT", "ARRAY"), "open").otherwise("text")
+    )
+
+
+def _leaf_text(n: Column) -> Column:
+    # whole numbers and what is open are the same as JSON, without a cast of its own for each value
+    return F.coalesce(n["t"], F.when(_begins(n["_kind"], "BIGINT", "OBJECT", "ARRAY"), F.to_json(n["v"])).otherwise(F.try_variant_get(n["v"], "$", "string")))
+
+
 def shred(docs: DataFrame, key: str, save: Callable[[DataFrame], DataFrame] = saved, levels: int = LEVELS) -> DataFrame:
     """(key, doc_no, elem, path, type, value): every leaf of every document, however deep.
 
@@ -48,18 +70,13 @@ def shred(docs: DataFrame, key: str, save: Callable[[DataFrame], DataFrame] = sa
     start = docs.select(key, "doc_no", F.lit("").alias("path"), F.lit(0).alias("elem"), F.col("doc").alias("v"))
     out = None
     while True:
-        nodes = start.select(key, "doc_no", F.expr("array(named_struct('path', path, 'elem', elem, 't', cast(null as string), 'v', v))").alias("_nodes"))
+        nodes = start.select(key, "doc_no", F.expr("array(named_struct('path', path, 'elem', elem, 't', cast(null as string), 'v', v, '_kind', schema_of_variant(v)))").alias("_nodes"))
         for _ in range(levels):
             nodes = nodes.withColumn("_nodes", F.expr(_EXPAND))
-        leaf = nodes.select(key, "doc_no", F.explode("_nodes").alias("n")).select(key, "doc_no", "n.*").withColumn("_kind", F.expr("schema_of_variant(v)"))
-        number = F.expr("try_variant_get(v, '$', 'bigint')")
-        kind, named = F.col("_kind"), F.col("t").isNotNull()
-        type_ = (
-            F.when(named, "text").when(kind == "BOOLEAN", "boolean").when((kind == "BIGINT") & number.between(-(2**31), 2**31 - 1), "integer").when(kind == "BIGINT", "long")
-            .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double").when(kind.rlike("^(OBJECT|ARRAY)"), "open").otherwise("text")
-        )
-        text = F.coalesce("t", F.when(kind.rlike("^(OBJECT|ARRAY)"), F.expr("to_json(v)")).otherwise(F.expr("try_variant_get(v, '$', 'string')")))
-        rows = save(leaf.where((kind != "VOID") | named).select(key, "doc_no", F.col("elem").cast("int").alias("elem"), "path", type_.alias("type"), text.alias("value")))
+        kept = F.filter("_nodes", lambda n: (n["_kind"] != "VOID") | n["t"].isNotNull())
+        # worked out within the array, so that no row has a variant, which brings all names of its document
+        leaves = F.transform(kept, lambda n: F.struct(n["elem"].cast("int").alias("elem"), n["path"].alias("path"), _leaf_type(n).alias("type"), _leaf_text(n).alias("value")))
+        rows = save(nodes.select(key, "doc_no", F.explode(leaves).alias("_leaf")).select(key, "doc_no", "_leaf.*"))
         closed = rows.where("type <> 'open'").withColumn("path", F.when(F.col("path") == "", "value").otherwise(F.col("path")))
         out = closed if out is None else out.unionByName(closed)
         rest = rows.where("type = 'open'")
@@ -85,13 +102,13 @@ _BLANK = "".join(map(chr, range(33)))
 
 def _leaf(text: str) -> str:
     """A text as JSON: a boolean, a whole number of 64 bits, another number, or text."""
-    if text.lower() in ("true", "false"):
-        return text.lower()
+    if not text or text[0] not in "+-.0123456789":
+        return low if (low := text.lower()) in ("true", "false") else quoted(text)
     if _WHOLE.fullmatch(text) and -(1 << 63) <= int(text) < 1 << 63:
         return str(int(text))
     if (m := _NUMBER.fullmatch(text)) and math.isfinite(x := float(m[1] + m[2] + (m[3] or ""))):
         return json.dumps(x)
-    return json.dumps(text, ensure_ascii=False)
+    return quoted(text)
 
 
 def _xml_json(text: str | None) -> str | None:
@@ -100,10 +117,9 @@ def _xml_json(text: str | None) -> str | None:
         return None
     stack: list[tuple[list[str], dict[str, list[str]], list[str]]] = []
     root: list[str] = []
-    quoted = lambda x: json.dumps(x, ensure_ascii=False)
 
     def start(name: str, attributes: list[str]) -> None:
-        stack.append(([f"{quoted('@' + k)}:{quoted(v)}" for k, v in zip(attributes[::2], attributes[1::2], strict=True)], {}, [""]))
+        stack.append(([f"{quoted('@' + k)}:{quoted(v)}" for k, v in zip(attributes[::2], attributes[1::2], strict=True)] if attributes else [], {}, [""]))
 
     def cut() -> None:  # texts apart from each other are joined by a space
         if stack and stack[-1][2][-1]:
@@ -111,7 +127,7 @@ def _xml_json(text: str | None) -> str | None:
 
     def end(name: str) -> None:
         members, children, texts = stack.pop()
-        body = " ".join(t for t in (x.strip(_BLANK) for x in texts) if t)
+        body = texts[0].strip(_BLANK) if len(texts) == 1 else " ".join([t for x in texts if (t := x.strip(_BLANK))])
         members += [f"{quoted(k)}:{v[0] if len(v) == 1 else '[' + ','.join(v) + ']'}" for k, v in children.items()]
         if members and body:
             members.append(f'"#text":{_leaf(body)}')
