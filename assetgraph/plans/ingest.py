@@ -22,8 +22,11 @@ def q_csv_ingest(spark, sf):
 def q_csv_quoted(spark, sf):
     """A file for each language with its documents' whole texts in quotes, line breaks and all, cut into lines and read back."""
     quoted_ = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    docs = table(spark, sf, "documents").select("lang", "doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), quoted_(F.coalesce("text", F.lit("")))).alias("record"))
-    lines = docs.select("lang", "doc_id", F.posexplode(F.split("record", "\n"))).select("lang", (F.col("doc_id") * (1 << 20) + F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    texts = table(spark, sf, "documents")
+    # numbers that a document has for its lines: no text has more lines than bytes and one
+    room = max(1 << 20, (texts.agg(F.max(F.octet_length("text"))).first()[0] or 0) + 1)
+    docs = texts.select("lang", "doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), quoted_(F.coalesce("text", F.lit("")))).alias("record"))
+    lines = docs.select("lang", "doc_id", F.posexplode(F.split("record", "\n"))).select("lang", (F.col("doc_id") * room + F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
     heads = docs.select("lang").distinct().select("lang", F.lit(0).cast("long").alias("line_no"), F.lit("doc id,text").alias("line"))
     cells = quoted.parse_quoted(quoted.record_starts(lines.unionByName(heads), "lang"))
     return cells.select("file", "key", "pos", "name", F.length("value").alias("n_chars"), F.md5("value").alias("digest"))

@@ -7,8 +7,8 @@ state at its begin, and only then are lines put together to records, numbered, a
 
 Lines come as (file, line number, line); a line break inside quotes becomes one newline. Fields are not trimmed. A field without quotes keeps quotes that
 it holds; after a closing quote, what follows up to the delimiter is kept. Records without any character, outside quotes, are left out. Missing
-cells are empty, cells beyond the header are dropped. Records of more than MAX_RECORD characters, as after a quote that nothing closes, come
-from `oversized` and not as cells, so no task gathers more than that.
+cells are empty, cells beyond the header are dropped. Records are whole however long they are, as after a quote that nothing closes; those that can't be
+a value of Spark's (2 GB) end the job. Who wants none that long gives a bound, and has those beyond it from `oversized` and not as cells.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from assetgraph.functions.names import sanitize_column
 from assetgraph.operators.ordered import ordinals
 from assetgraph.sources.delimited import RANGE, detect_delimiter
 
-MAX_RECORD = 2 << 20
 BLOCK = 64  # records that meet their header in one place
 DELIMITERS = (",", ";", "\t")
 _INNER = r'[^"]*+(?:""[^"]*+)*+'
@@ -91,15 +90,16 @@ def _sizes(starts: DataFrame) -> DataFrame:
     return starts.groupBy("file", "record").agg(F.sum(F.length("line") + 1).alias("size"))
 
 
-def oversized(starts: DataFrame, most: int = MAX_RECORD) -> DataFrame:
-    """(file, record, size) of the records that are too long to be one."""
+def oversized(starts: DataFrame, most: int) -> DataFrame:
+    """(file, record, size) of the records of more than `most` characters."""
     return _sizes(starts).where(F.col("size") > most)
 
 
-def parse_quoted(starts: DataFrame, most: int = MAX_RECORD) -> DataFrame:
-    """(file, key, pos, name, value) of the records of `record_starts`: the first is the header, key counts the others from 0, all values are text."""
-    over = oversized(starts, most).select("file", "record")
-    whole = starts.join(over, ["file", "record"], "left_anti").groupBy("file", "record", "delimiter").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+def parse_quoted(starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(file, key, pos, name, value) of the records of `record_starts`, all of them without a bound: the first is the header, key counts the others from 0, all values are text."""
+    if most is not None:
+        starts = starts.join(oversized(starts, most).select("file", "record"), ["file", "record"], "left_anti")
+    whole = starts.groupBy("file", "record", "delimiter").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
     records = whole.select("file", "record", "delimiter", F.array_join("_lines.line", "\n").alias("_text")).where("_text <> ''")
     cut = _by_delimiter(F.col("delimiter"), lambda d: F.regexp_extract_all(F.concat(F.col("delimiter"), "_text"), F.lit(rf"{d}({_QUOTED}[^{d}]*+|[^{d}]*+)"), F.lit(1)))
     inner = lambda x: F.concat(F.replace(F.regexp_extract(x, rf'(?s)^"({_INNER})"', 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, rf"(?s)^{_QUOTED}(.*)$", 1))

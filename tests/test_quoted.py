@@ -58,3 +58,17 @@ def test_a_file_is_not_brought_together(spark):
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert "_block#" in joins[0]
     assert sorted((r.key, r.name, r.value) for r in found.collect()) == [(0, "id", "1"), (0, "text", "a\nb"), (1, "id", "2"), (1, "text", "c")]
+
+
+def test_records_of_any_length_are_whole(spark, tmp_path):
+    """Texts of more than 2 Mi characters, in few lines and in many, between others that come as they would without them."""
+    from oracles import spark_rows, sql_rows
+
+    from assetgraph.plans.registry import ORACLE, QUERIES
+
+    con, at = duckdb.connect(), f"{tmp_path}/documents.parquet"
+    long_ = [(1, "de", "repeat('x,\"\"é', 600000)"), (2, "de", "'short'"), (3, "de", "repeat(chr(10), 1200000) || repeat('ab', 500000)"), (4, "de", "'after'"), (5, "fr", "repeat('a\"b' || chr(10), 700000)"), (6, "fr", "null")]
+    con.execute(f"copy ({' union all '.join(f'select {k}::bigint as doc_id, {t} as text, {lang!r} as lang' for k, lang, t in long_)}) to '{at}' (format parquet)")
+    con.execute(f"create view documents as select * from '{at}'")
+    assert con.execute("select count(*) from documents where length(text) > 2097152").fetchone()[0] == 3
+    assert spark_rows(QUERIES["q_csv_quoted"](spark, str(tmp_path))) == sql_rows(con, ORACLE["q_csv_quoted"])
