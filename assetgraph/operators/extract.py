@@ -114,20 +114,21 @@ def final_keywords(answers: DataFrame, fallback: DataFrame, key: str, kind: str
 
 def document_triples(triples: DataFrame, keywords: DataFrame, key: str, order: str, evidence: str = "evidence", most: int = 160) -> DataFrame:
     """Triples of documents (key, order, subject, predicate, object, evidence), uncapped: ends are keywords, the predicate has 1 to 64 characters, the evidence is not empty."""
-    named = triples.withColumn("predicate", strip(F.coalesce("predicate", F.lit(""))))
-    good = _admitted(named, keywords, key, self_loops=True, max_predicate=64)
-    told = good.withColumn(evidence, bounded_summary(F.col(evidence), most)).where(F.col(evidence) != "")
+    said, shown = strip(F.coalesce("predicate", F.lit(""))), F.coalesce(evidence, F.lit("")).rlike(r"(?U)\S")
+    # patterns run on triples between keywords alone: few are, and what the patterns ask stands behind that in one condition
+    good = between(triples, keywords, key, "keyword", "subject", "object", True, shown & (said != "") & (F.length(said) <= 64))
+    told = good.withColumn("predicate", said).withColumn(evidence, bounded_summary(F.col(evidence), most))
     first = told.withColumn("_nth", F.rank().over(Window.partitionBy(key, "subject", "predicate", "object").orderBy(order))).where("_nth = 1")
     return first.select(key, order, "subject", "predicate", "object", evidence)
 
 
-def between(rows: DataFrame, words: DataFrame, key: str, word: str, begin: str, end: str, self_loops: bool) -> DataFrame:
-    """The rows whose begin and end are both words (key, word) of their asset. The words of an asset, some hundred at most, meet its rows as one set, so rows are shuffled by key
+def between(rows: DataFrame, words: DataFrame, key: str, word: str, begin: str, end: str, self_loops: bool, more: Column | None = None) -> DataFrame:
+    """The rows whose begin and end are both words (key, word) of their asset, and for which more holds. The words of an asset, some hundred at most, meet its rows as one set, so rows are shuffled by key
     alone, and not at all where they lie by it already; what is grouped by key and more afterwards stays there."""
     own = words.groupBy(F.col(key).alias("_a")).agg(F.collect_set(word).alias("_words"))
     # one condition, so that no part of it goes below the join, where the ends would be worked out once more
-    apart = F.lit(True) if self_loops else F.col(begin) != F.col(end)
-    both = F.when(F.array_contains("_words", F.col(begin)), F.array_contains("_words", F.col(end)) & apart).otherwise(False)
+    rest = (F.lit(True) if self_loops else F.col(begin) != F.col(end)) & (F.lit(True) if more is None else more)
+    both = F.when(F.array_contains("_words", F.col(begin)), F.array_contains("_words", F.col(end)) & rest).otherwise(False)
     return rows.join(own, F.col(key) == F.col("_a")).where(both).drop("_a", "_words")
 
 
