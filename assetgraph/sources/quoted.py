@@ -62,7 +62,7 @@ def _turns(df: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def record_starts(lines: DataFrame, file: str = "file_no", line_no: str = "line_no", line: str = "line", span: int = RANGE) -> DataFrame:
-    """(file, line_no, line, delimiter, record): record is the number of the line that its record begins with."""
+    """(file, range, line_no, line, delimiter, record): record is the number of the line that its record begins with, ranges are of `span` lines and stay together."""
     rows = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.coalesce(F.col(line), F.lit("")).alias("line"))
     rows = rows.withColumn("range", F.floor(F.col("line_no") / span))
     heads = rows.where("line <> ''").groupBy("file").agg(detect_delimiter(F.min_by("line", "line_no")).alias("delimiter"))
@@ -83,7 +83,7 @@ def record_starts(lines: DataFrame, file: str = "file_no", line_no: str = "line_
     here = known.withColumn("_start", F.max(starts).over(Window.partitionBy("file", "range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     carried = here.groupBy("file", "range").agg(F.max("_start").alias("_s")).withColumn("_before", F.max("_s").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
     joined = here.join(carried.select("file", "range", "_before"), ["file", "range"])
-    return joined.select("file", "line_no", "line", "delimiter", F.coalesce("_start", "_before").alias("record"))
+    return joined.select("file", "range", "line_no", "line", "delimiter", F.coalesce("_start", "_before").alias("record"))
 
 
 def _sizes(starts: DataFrame) -> DataFrame:
@@ -99,8 +99,10 @@ def parse_quoted(starts: DataFrame, most: int | None = None) -> DataFrame:
     """(file, key, pos, name, value) of the records of `record_starts`, all of them without a bound: the first is the header, key counts the others from 0, all values are text."""
     if most is not None:
         starts = starts.join(oversized(starts, most).select("file", "record"), ["file", "record"], "left_anti")
-    whole = starts.groupBy("file", "record", "delimiter").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
-    records = whole.select("file", "record", "delimiter", F.array_join("_lines.line", "\n").alias("_text")).where("_text <> ''")
+    joined = lambda order, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
+    # lines become text where their range lies, so that a record is gathered from one piece of each range and not from its lines
+    pieces = starts.groupBy("file", "range", "record", "delimiter").agg(joined("line_no", "line").alias("_piece"))
+    records = pieces.groupBy("file", "record", "delimiter").agg(joined("range", "_piece").alias("_text")).where("_text <> ''")
     cut = _by_delimiter(F.col("delimiter"), lambda d: F.regexp_extract_all(F.concat(F.col("delimiter"), "_text"), F.lit(rf"{d}({_QUOTED}[^{d}]*+|[^{d}]*+)"), F.lit(1)))
     inner = lambda x: F.concat(F.replace(F.regexp_extract(x, rf'(?s)^"({_INNER})"', 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, rf"(?s)^{_QUOTED}(.*)$", 1))
     cells = F.transform(cut, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
